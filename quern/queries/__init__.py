@@ -1 +1,4 @@
-"""See the modules of this folder."""
+"""Registered queries over the driver's tables, each with SQL for its rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
