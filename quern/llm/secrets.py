@@ -119,7 +119,7 @@ def redact(versions: DataFrame, columns: list[str], ledger: DataFrame | None = N
     """versions with every finding in text replaced by `mark`; overlapping findings are one. Rows without findings stay as they are."""
     new = materialize(update_ledger(versions, ledger, text_col=text_col), "ledger")
     known = new if ledger is None else ledger.unionByName(new)
-    found = known.filter((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
+    found = known.filter((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")).dropDuplicates(["_blob"])
     text = F.col(text_col)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -127,6 +127,7 @@ def redact(versions: DataFrame, columns: list[str], ledger: DataFrame | None = N
         hidden = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))).otherwise(s["out"])
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), hidden.alias("out"))
 
-    cut = F.aggregate("findings", state, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    cut = F.aggregate("_findings", state, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     blob = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    return versions.withColumn("_blob", blob).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left").withColumn(text_col, F.when(F.col("findings").isNotNull(), cut).otherwise(text)).select(*columns)
+    joined = versions.withColumn("_blob", blob).join(found, "_blob", "left")
+    return joined.withColumn(text_col, F.when(F.col("_findings").isNotNull(), cut).otherwise(text)).select(*columns)

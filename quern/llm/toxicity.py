@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,10 @@ from quern.llm.batches import map_texts
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 20_000
 #: Bytes of each dictionary, compression level.
 TOXIC_DICTIONARY, ORDINARY_DICTIONARY, LEVEL = 131_072, 131_072, 16
-#: Toxic windows are those with a piece of a word that is this many times as frequent among toxic documents and stands in so many of them at least.
-LIFT, LEAST_DOCS, PIECES = 8.0, 3, (4, 5, 6, 7, 8)
+#: Toxic windows are those with a piece of a word that has this many times as many contexts by toxic document as by ordinary one, so many at least, and that share of the toxic documents.
+LIFT, LEAST_CONTEXTS, LEAST_SHARE, PIECES = 8.0, 3, 0.01, (4, 5, 6, 7, 8)
+#: Calibration tries these gains, and these bytes beyond what a whole match takes.
+GAINS, SLACKS = (2, 3, 4, 5, 6, 8, 10), (0, 1, 2, 3, 4, 6, 40)
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 #: Each byte stands as eight of a fixed code: a reference costs less than a letter, so a window's length counts the pieces in which a dictionary has it.
@@ -51,11 +53,12 @@ def train_dictionary(words: list[str], size: int) -> bytes:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, the gain from which a window counts, and the weights of the document score."""
+    """Dictionaries, the gain from which and the length with the toxic dictionary up to which a window counts, and the weights of the document score."""
 
     toxic: bytes
     ordinary: bytes
     gain: int
+    length: int
     weights: tuple[float, ...]
 
 
@@ -74,17 +77,18 @@ def _compressors(model: Model) -> tuple:
 
 
 class Gains(dict):
-    """Of a window: bytes that the ordinary dictionary needs beyond the toxic one."""
+    """Of a window: bytes that the ordinary dictionary needs beyond the toxic one, and bytes with the toxic one."""
 
     def __init__(self, model: Model, most: int = 500_000):
         self.toxic, self.ordinary = _compressors(model)
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) > self.most:
             self.clear()
         data = coded(word)
-        value = self[word] = self.ordinary(data) - self.toxic(data)
+        toxic = self.toxic(data)
+        value = self[word] = (self.ordinary(data) - toxic, toxic)
         return value
 
 
@@ -93,15 +97,20 @@ def _gains(model: Model) -> Gains:
     return Gains(model)
 
 
-def features(gains: Gains, texts: list[str | None], gain: int) -> np.ndarray:
-    """Per text: windows at or over the gain (log), their share (per hundred, log), the largest gain."""
+def window_lengths(gains: Gains, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of each text; of all windows, the gain and the length with the toxic dictionary, and the text."""
     words = [word_windows(t) if t else [] for t in texts]
     n = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.fromiter(map(gains.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n.sum()))
-    doc = np.repeat(np.arange(len(texts)), n)
-    hits = np.bincount(doc[flat >= gain], minlength=len(texts))
-    top = np.zeros(len(texts))
-    np.maximum.at(top, doc, flat)
+    flat = np.array([gains[w] for w in chain.from_iterable(words)], dtype=np.int64).reshape(-1, 2)
+    return n, flat, np.repeat(np.arange(len(texts)), n)
+
+
+def features(n: np.ndarray, flat: np.ndarray, doc: np.ndarray, gain: int, length: int) -> np.ndarray:
+    """Per text: windows that count (log), their share (per hundred, log), the largest gain of one."""
+    hit = (flat[:, 0] >= gain) & (flat[:, 1] <= length)
+    hits = np.bincount(doc[hit], minlength=len(n))
+    top = np.zeros(len(n))
+    np.maximum.at(top, doc[hit], flat[hit, 0])
     return np.stack([np.log1p(hits), np.log1p(100 * hits / np.maximum(n, 1)), np.minimum(top, 4.0 * gain) / gain], axis=1)
 
 
@@ -109,33 +118,44 @@ def _logistic(weights: tuple[float, ...], x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ np.array(weights[:-1]) + weights[-1], -30, 30)))
 
 
+def _contexts(texts: list[str]) -> Counter:
+    """Of each word, how many different pairs of neighbours it has: copies of a text add nothing."""
+    seen = set()
+    for text in texts:
+        w = ["", *word_windows(text), ""]
+        seen.update(zip(w, w[1:], w[2:]))
+    return Counter(w for _, w, _ in seen)
+
+
 def train(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries from the windows of both kinds of text, then the gain and the score calibrated on the same sample."""
-    kinds = [[set(word_windows(t)) for t in texts] for texts in (toxic, ordinary)]
+    contexts = [_contexts(texts) for texts in (toxic, ordinary)]
     pieces: list[Counter] = [Counter(), Counter()]
     of = lambda w: {w[a : a + n] for w in (f" {w} ",) for n in PIECES for a in range(len(w) - n + 1)}
-    for docs, count in zip(kinds, pieces):
-        for words in docs:
-            count.update(set(chain.from_iterable(map(of, words))))
+    for words, count in zip(contexts, pieces):
+        for word, n in words.items():
+            for piece in of(word):
+                count[piece] += n
     n_toxic, n_ordinary = max(1, len(toxic)), max(1, len(ordinary))
-    marks = {p for p, n in pieces[0].items() if n >= LEAST_DOCS and n / n_toxic >= LIFT * (pieces[1][p] + 1) / n_ordinary}
-    words = [Counter(chain.from_iterable(docs)) for docs in kinds]
+    marks = {p for p, n in pieces[0].items() if n >= max(LEAST_CONTEXTS, LEAST_SHARE * n_toxic) and n / n_toxic >= LIFT * (pieces[1][p] + 1) / n_ordinary}
+    words = contexts
     marked = [w for w, _ in sorted(words[0].items(), key=lambda x: (-x[1], x[0])) if not marks.isdisjoint(of(w))]
     plain = [w for w, _ in sorted(words[1].items(), key=lambda x: (-x[1], x[0]))]
-    model = Model(train_dictionary(marked, TOXIC_DICTIONARY), train_dictionary(plain, ORDINARY_DICTIONARY), 1, (0.0, 0.0, 0.0, 0.0))
+    model = Model(train_dictionary(marked, TOXIC_DICTIONARY), train_dictionary(plain, ORDINARY_DICTIONARY), 1, 0, (0.0, 0.0, 0.0, 0.0))
     if not toxic or not ordinary:
-        return Model(b"", b"", 1, (0.0, 0.0, 0.0, -5.0 if not toxic else 5.0))
+        return Model(b"", b"", 1, 0, (0.0, 0.0, 0.0, -5.0 if not toxic else 5.0))
     gains, y = Gains(model, 10**7), np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    texts = [*toxic, *ordinary]
+    lengths = window_lengths(gains, [*toxic, *ordinary])
+    whole = min((gains[w][1] for w in marked), default=0)  # a window that the toxic dictionary has in one piece
     best: tuple = ()
-    for gain in (2, 3, 4, 6, 8, 10, 12):
-        x = features(gains, texts, gain)
+    for gain, slack in product(GAINS, SLACKS):
+        x = features(*lengths, gain, whole + slack)
         weights = _fit(x, y)
         p = np.clip(_logistic(weights, x), 1e-6, 1 - 1e-6)
         wrong = float(-(y * np.log(p) / n_toxic + (1 - y) * np.log(1 - p) / n_ordinary).sum())
         if not best or wrong < best[0] - 1e-9:
-            best = (wrong, gain, weights, p)
-    _, gain, weights, p = best
+            best = (wrong, gain, slack, weights, p)
+    _, gain, slack, weights, p = best
     # calibrated threshold: shift the score so that THRESHOLD is where errors on the sample are fewest
     cuts = np.unique(np.r_[p, 0.5])
     middles = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
@@ -143,7 +163,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     near = np.flatnonzero(np.array(errors) == min(errors))
     cut = float(middles[near[len(near) // 2]])
     shift = math.log(THRESHOLD / (1 - THRESHOLD)) - math.log(cut / (1 - cut))
-    return Model(model.toxic, model.ordinary, gain, (*weights[:-1], weights[-1] + shift))
+    return Model(model.toxic, model.ordinary, gain, whole + slack, (*weights[:-1], weights[-1] + shift))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, ...]:
@@ -182,7 +202,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
         gains = _gains(model)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            score = _logistic(model.weights, features(gains, batch.column("text").to_pylist(), model.gain))
+            score = _logistic(model.weights, features(*window_lengths(gains, batch.column("text").to_pylist()), model.gain, model.length))
             return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(score, pa.float64())], ["id", "held_out", "score"])
 
         return work
