@@ -12,7 +12,7 @@ from quern.scratch import materialize
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern in Java's syntax, without capturing groups; keep(match) tells which matches are findings."""
+    """pattern in Java's syntax, without capturing groups. Where shorter matches can't hide a finding, the pattern has the least length itself."""
 
     kind: str
     pattern: str
@@ -20,19 +20,21 @@ class Rule:
     #: Of a match, what `least` is measured on: "" the whole, else a pattern whose first group is measured.
     part: str = ""
     base: bool = True
+    #: Lower-case strings of which every text with a match has one.
+    marks: tuple[str, ...] = ()
 
 
 _WORDS, _VALUE = "(?:password|passwd|secret|token|api_?key)", "[A-Za-z0-9+/_.=-]"
 _ASSIGN = f"""(?i:{_WORDS})["']?\\x20*[:=]\\x20*["']?"""
 #: The kinds in the order that ties of a start follow. Base kinds first, then those that the method adds.
 RULES = (
-    Rule("assign", f"{_ASSIGN}{_VALUE}+", 8, f"^{_ASSIGN}({_VALUE}+)$"),
-    Rule("access", "AKIA[A-Z0-9]+", 16),
-    Rule("hex", "[0-9a-f]+", 32),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, base=False),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40, base=False),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 20, base=False),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 30, base=False),
+    Rule("assign", f"{_ASSIGN}{_VALUE}+", 8, f"^{_ASSIGN}({_VALUE}+)$", marks=("passw", "secret", "token", "api")),
+    Rule("access", "AKIA[A-Z0-9]{12,}", 16, marks=("akia",)),
+    Rule("hex", "[0-9a-f]{32,}", 32),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, base=False, marks=("private key-----",)),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40, base=False, marks=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 20, base=False, marks=("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 30, base=False, marks=("eyj",)),
 )
 RULE_VERSION = "1"
 LEDGER_SCHEMA = "blob string, rule_version string, findings array<struct<kind:string,ord:int,base:boolean,start:int,end:int>>"
@@ -41,24 +43,32 @@ LEDGER_SCHEMA = "blob string, rule_version string, findings array<struct<kind:st
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Findings of one rule: leftmost matches that don't overlap, in code points, from the pieces between matches and the matches."""
     pattern = f"(?:{rule.pattern})"
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("match"))
     ok = lambda m: F.length(F.regexp_extract(m, rule.part, 1) if rule.part else m) >= rule.least
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<kind:string,ord:int,base:boolean,start:int,end:int>>").alias("out"))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,ord:int,base:boolean,start:int,end:int>>").alias("out"))
 
-    def step(s: Column, m: Column) -> Column:
-        start = s["at"] + F.length(F.get(gaps_, s["k"]))
-        end = start + F.length(m)
+    def step(s: Column, x: Column) -> Column:  # the last piece has a gap and no match
+        start = s["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
         one = F.struct(F.lit(rule.kind).alias("kind"), F.lit(order).alias("ord"), F.lit(rule.base).alias("base"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), (s["k"] + 1).alias("k"), F.when(ok(m), F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(ok(x["match"]), F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
 
-    gaps_ = gaps
-    return F.when(F.exists(found, ok), F.aggregate(found, state, step, lambda s: s["out"])).otherwise(state["out"])
+    return F.aggregate(pieces, state, step, lambda s: s["out"])
+
+
+def _possible(text: Column, lowered: Column, rule: Rule) -> Column:
+    """Cheap tests first: few texts have a rule's marks, and fewer its pattern."""
+    has = text.rlike(rule.pattern)
+    for k, mark in enumerate(rule.marks):
+        any_ = lowered.contains(mark) if not k else any_ | lowered.contains(mark)
+    return any_ & has if rule.marks else has
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """blobs (blob, text) to LEDGER_SCHEMA. findings are sorted by start, then by the rules' order. Null text has none."""
-    text = F.col("text")
-    quick = [F.when(text.rlike(r.pattern if r.part else f"(?:{_least(r)})"), _spans(text, r, k)) for k, r in enumerate(rules)]
+    text, lowered = F.col("text"), F.col("_lowered")
+    blobs = blobs.select("blob", "text", F.lower("text").alias("_lowered"))
+    quick = [F.when(_possible(text, lowered, r), _spans(text, r, k)) for k, r in enumerate(rules)]
     empty = F.array().cast("array<struct<kind:string,ord:int,base:boolean,start:int,end:int>>")
     all_ = F.concat(*[F.coalesce(q, empty) for q in quick])
     key = lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["base"].alias("base"), x["end"].alias("end"))
@@ -66,11 +76,6 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version:
     return blobs.select("blob", F.lit(rule_version).alias("rule_version"), F.transform(F.array_sort(F.transform(all_, key)), back).alias("findings"))
 
 
-def _least(rule: Rule) -> str:
-    """A pattern that any text with a finding contains, which fails early: the last repeated class with its least length."""
-    return {"access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}.get(rule.kind, rule.pattern)
-
-
 def address(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """path, blob: the content address (sha-256 of the UTF-8 bytes) of each version; null text is the empty blob."""
     return versions.select(path_col, *(extra or []), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob"))
@@ -79,7 +84,7 @@ def address(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
     """Ledger rows to append: one for each blob of versions that the ledger doesn't have under this rule version.
 
-    A blob that many paths share is scanned once: only addresses and row numbers are grouped, then the chosen row of each blob is kept.
+    A blob that many paths share is scanned once: copies meet within their task first, so a blob of a third of all rows is a row for each task.
     """
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     rows = versions.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
