@@ -15,13 +15,13 @@ from quern.llm.batches import by_bytes, map_texts
 from quern.scratch import materialize
 
 #: Classes; words with a class of their own choice, the most frequent; words whose counts travel to the tasks. Rarer words share one class, and their counts are joined.
-CLASSES, CLUSTERED, CARRIED = 64, 16_384, 200_000
+CLASSES, CLUSTERED, CARRIED = 64, 16_384, 100_000
 #: Rounds of exchange. In each, every other word may move to the class that gains most.
 ROUNDS = 8
 #: Weight of the class unigram in a transition, in observations.
 PRIOR = 5.0
 #: Distinct words or word pairs that a task gathers before it sends them on.
-GATHERED = 400_000
+GATHERED = 200_000
 #: The end of a text as a word; no word is empty.
 END = b""
 
@@ -203,6 +203,20 @@ def transitions(table: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     return np.log10((t + prior * unigram) / (t.sum(axis=1, keepdims=True) + prior))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, c) of at most `most` words and the end, the end first and then by falling count. All words of a count, or of a narrow range of counts, are in or out together."""
+    step = F.floor(F.log2("c") * 64).cast("int")
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # 64 rows for each doubling of a count
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    wanted = counts.filter((F.col("word") == F.lit(END)) | (step >= least if least is not None else F.lit(False))).toArrow()
+    rows = list(zip(wanted.column("word").to_pylist(), wanted.column("c").to_pylist()))
+    return sorted(rows, key=lambda x: (x[0] != END, -x[1], x[0]))
+
+
 def class_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, clustered: int = CLUSTERED, carried: int = CARRIED) -> DataFrame:
     """Per row: id, held_out, n_tokens (words and the end), n_known, train_tokens, base_score, score (both log10 probabilities of the text).
 
@@ -217,7 +231,7 @@ def class_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     counts = materialize(word_counts(training), "words")
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(whole["n"] or 0), int(whole["v"])
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(carried).collect()]
+    head = most_frequent(counts, carried)
     names = [w for w, _ in head[:clustered]]
     c_head = np.array([c for _, c in head] or [0], dtype=np.int64)
     if names:
