@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables, each with SQL for its rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quern.queries import columns, evaluation, rows
+from quern.queries.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "columns", "evaluation", "rows"]
