@@ -112,7 +112,7 @@ def slug(x: Column, most: int = 30) -> Column:
 
 
 def escape_latex(x: Column) -> Column:
-    return F.regexp_replace(x, "([&%$#_{}])", "\\\\\\$1")
+    return F.regexp_replace(x, "([&%$#_{}])", r"\\$1")
 
 
 def escape_controls(x: Column) -> Column:
