@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame
 
 BATCH_BYTES = 2 << 20
 
+_held: dict = {}
+
+
+def held(key: object, make: Callable):
+    """make()'s result, kept for the next tasks of this worker process until another key is asked for: one operator's memory at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
 
 def by_bytes(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive rows with about `limit` bytes of text each; a longer text stands alone with its neighbours before it."""

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.batches import map_texts
+from quern.llm.batches import held, map_texts
 from quern.llm.components import components
 from quern.scratch import materialize
 
@@ -41,9 +41,8 @@ class _WordHashes(dict):
         return value
 
 
-@cache
 def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+    return held("word_hashes", _WordHashes)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.batches import map_texts
+from quern.llm.batches import held, map_texts
 
 #: The training sample: documents of each label, and the longest text (bytes) taken into it.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 20_000
@@ -92,9 +92,8 @@ class Gains(dict):
         return value
 
 
-@cache
 def _gains(model: Model) -> Gains:
-    return Gains(model)
+    return held(model, lambda: Gains(model))
 
 
 def window_lengths(gains: Gains, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,6 +12,8 @@ from functools import cache
 
 import numpy as np
 
+from quern.llm.batches import held
+
 #: Chunks and their characters that a process remembers in each of two generations.
 MEMO_CHUNKS, MEMO_CHARS = 500_000, 8_000_000
 ENCODE_BYTES = 1 << 18
@@ -91,14 +93,12 @@ def _piece_encoder(path: str, value: Callable):
     return encode
 
 
-@cache
 def piece_counts(path: str) -> ChunkMemo:
-    return ChunkMemo(_piece_encoder(path, len))
+    return held(("piece_counts", path), lambda: ChunkMemo(_piece_encoder(path, len)))
 
 
-@cache
 def piece_ids(path: str) -> ChunkMemo:
-    return ChunkMemo(_piece_encoder(path, lambda ids: np.array(ids, "<u4").tobytes()))
+    return held(("piece_ids", path), lambda: ChunkMemo(_piece_encoder(path, lambda ids: np.array(ids, "<u4").tobytes())))
 
 
 @cache
@@ -120,9 +120,12 @@ def word_chunks(text: str) -> list[str]:
 _MARK = "|"
 
 
-@cache
 def word_bpe_ids(path: str) -> ChunkMemo:
     """Ids of a chunk as little-endian unsigned 32-bit bytes. Chunks are encoded together, with a mark between them at which the ids are cut again."""
+    return held(("word_bpe_ids", path), lambda: _word_bpe_memo(path))
+
+
+def _word_bpe_memo(path: str) -> ChunkMemo:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
