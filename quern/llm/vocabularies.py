@@ -16,6 +16,8 @@ from quern.llm.batches import held
 
 #: Chunks and their characters that a process remembers in each of two generations.
 MEMO_CHUNKS, MEMO_CHARS = 500_000, 8_000_000
+#: The same for pieces, which are encoded faster.
+PIECE_CHUNKS, PIECE_CHARS = 150_000, 4_000_000
 ENCODE_BYTES = 1 << 18
 
 
@@ -94,11 +96,11 @@ def _piece_encoder(path: str, value: Callable):
 
 
 def piece_counts(path: str) -> ChunkMemo:
-    return held(("piece_counts", path), lambda: ChunkMemo(_piece_encoder(path, len)))
+    return held(("piece_counts", path), lambda: ChunkMemo(_piece_encoder(path, len), PIECE_CHUNKS, PIECE_CHARS))
 
 
 def piece_ids(path: str) -> ChunkMemo:
-    return held(("piece_ids", path), lambda: ChunkMemo(_piece_encoder(path, lambda ids: np.array(ids, "<u4").tobytes())))
+    return held(("piece_ids", path), lambda: ChunkMemo(_piece_encoder(path, lambda ids: np.array(ids, "<u4").tobytes()), PIECE_CHUNKS, PIECE_CHARS))
 
 
 @cache
