@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import is_blank, strip, tokens
 
-#: Words that open a question.
-OPENERS = ("who", "what", "when", "where", "why", "how", "is", "are", "do", "does", "can", "could", "would")
+#: What French questions start with.
+OPENERS = (
+    "pourquoi", "comment", "est-ce", "quel", "quelle", "quels", "quelles", "où", "quand", "qui", "que", "quoi", "combien", "lequel", "laquelle", "lesquels", "lesquelles",
+    "avez-vous", "as-tu", "puis-je", "peut-on", "devrait", "veux-tu", "voulez-vous", "peux-tu", "pouvez-vous", "sais-tu", "savez-vous", "vois-tu", "voyez-vous",
+    "es-tu", "êtes-vous", "a-t-il", "a-t-elle", "ont-ils", "ont-elles", "suis-je", "sommes-nous", "y a-t-il", "n'y a-t-il",
+)
 
 
 def n_tokens(x: Column) -> Column:
@@ -50,7 +54,7 @@ def reasons(flags: dict[str, Column]) -> Column:
 
 
 def likely_question(x: Column) -> Column:
-    return F.lower(F.trim(x)).rlike("^(" + "|".join(OPENERS) + ")\\b")
+    return F.lower(strip(x)).rlike("^(" + "|".join(OPENERS) + ")")
 
 
 def has_quotes(x: Column) -> Column:
@@ -79,9 +83,12 @@ def matched_marks(src: Column, tgt: Column) -> Column:
 
 
 def tags(x: Column) -> Column:
-    """Of a sentence: neg, q, past, as far as they hold."""
-    low = F.lower(x)
-    return F.array_compact(F.array(F.when(low.rlike("\\b(not|no|never)\\b"), F.lit("neg")), F.when(F.rtrim(x).endswith("?"), F.lit("q")), F.when(low.rlike("\\b(was|were|had|did)\\b"), F.lit("past"))))
+    """Of a French sentence: neg, q, past, as far as they hold."""
+    low = F.lower(strip(x))
+    spaced = F.concat(F.lit(" "), low)
+    neg = low.contains(" pas ") | low.endswith(" pas") | low.contains(" ne ")
+    past = spaced.contains(" j'") | spaced.contains(" ai ") | spaced.contains(" as ")
+    return F.array_compact(F.array(F.when(neg, F.lit("neg")), F.when(low.endswith("?") | low.startswith("est-ce que"), F.lit("q")), F.when(past, F.lit("past"))))
 
 
 def last_colon(x: Column) -> Column:
@@ -92,3 +99,35 @@ def last_colon(x: Column) -> Column:
 def first_reason(rules: dict[str, Column]) -> Column:
     """The name of the first rule that rejects the row, in order; null for a row to keep."""
     return reduce(lambda rest, item: F.when(item[1], F.lit(item[0])).otherwise(rest), reversed(list(rules.items())), F.lit(None).cast("string"))
+
+
+def matched_quotes(src: Column, tgt: Column) -> Column:
+    """struct(src, tgt, change): where one side alone has quotes, the other is put in the same kind: guillemets, double angles, else straight ones."""
+    both = lambda x, a, b: x.contains(a) & x.contains(b)
+    wrap = lambda x, like: F.when(both(like, "«", "»"), F.concat(F.lit("«"), x, F.lit("»"))).when(both(like, "<<", ">>"), F.concat(F.lit("<<"), x, F.lit(">>"))).otherwise(F.concat(F.lit('"'), x, F.lit('"')))
+    out = lambda a, b, c: F.struct(a.alias("src"), b.alias("tgt"), F.lit(c).alias("change"))
+    s, t = has_quotes(src), has_quotes(tgt)
+    return F.when(s & ~t, out(src, wrap(tgt, src), "quotes_to_target")).when(t & ~s, out(wrap(src, tgt), tgt, "quotes_to_source")).otherwise(out(src, tgt, "none"))
+
+
+def numbered_lines(x: Column) -> Column:
+    """The items of a numbered list, one a line, without numbers; other lines go."""
+    items = F.filter(F.split(x, "\n"), lambda line: line.rlike("^\\s*\\d+\\s*[.)]\\s*\\S"))
+    return F.transform(items, lambda line: strip(F.regexp_replace(line, "^\\s*\\d+\\s*[.)]\\s*", "")))
+
+
+def targets(x: Column) -> Column:
+    """Of `target[:label],...` an array of struct(target, label): the label stands after the last colon that isn't a scheme's, else it is the last part of the path."""
+    form = "^(.*[^:/]):([^:/]+)$"
+    one = lambda t: F.struct(F.when(t.rlike(form), F.regexp_extract(t, form, 1)).otherwise(t).alias("target"), F.when(t.rlike(form), F.regexp_extract(t, form, 2)).otherwise(F.regexp_extract(t, "([^/]*)/*$", 1)).alias("label"))
+    return F.transform(F.filter(F.transform(F.split(x, ","), lambda t: F.trim(t)), lambda t: t != ""), one)
+
+
+def codec_ids(x: Column, tag: str) -> Column:
+    """The numbers of all tags <|tag_N|>."""
+    return F.transform(F.regexp_extract_all(x, F.lit(f"<\\|{tag}_(\\d+)\\|>"), F.lit(1)), lambda n: n.cast("int"))
+
+
+def record_errors(rules: dict[str, Column]) -> Column:
+    """Names of the rules that a record breaks, in order; a rule that gives null is broken."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

@@ -19,6 +19,7 @@ def _texts(name: str, make, sql: str) -> None:
     query(f"SELECT doc_id, {sql} AS result FROM documents")(run)
 
 
+_OPENERS = "^(" + "|".join(P.OPENERS).replace("'", "''") + ")"
 _COLLAPSE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _texts("txt_nfc", T.nfc, "nfc_normalize(text)")
 _texts("txt_clean", T.clean, _COLLAPSE.format("regexp_replace(nfc_normalize(text), '\\p{C}', ' ', 'g')"))
@@ -79,20 +80,19 @@ def prd_untranslated(spark, sf_dir):
     return pairs(spark, sf_dir).select("ord", P.untranslated(F.col("src"), F.col("tgt")).alias("untranslated"))
 
 
-@query("WITH " + PAIRS + " SELECT ord, regexp_matches(lower(trim(src)), '^(who|what|when|where|why|how|is|are|do|does|can|could|would)\\b') AS question, regexp_matches(src, '[«»\"]|<<|>>') AS quotes FROM pairs")
+@query("WITH " + PAIRS + " SELECT ord, regexp_matches(lower(trim(src)), '" + _OPENERS + "') AS question, regexp_matches(src, '[«»\"]|<<|>>') AS quotes FROM pairs")
 def prd_questions_and_quotes(spark, sf_dir):
     return pairs(spark, sf_dir).select("ord", P.likely_question(F.col("src")).alias("question"), P.has_quotes(F.col("src")).alias("quotes"))
 
 
-@query("WITH " + PAIRS + ", m AS (SELECT ord, src, tgt, regexp_extract(rtrim(src), '([.!?]+)[\"»]?$', 1) AS s, regexp_extract(rtrim(tgt), '([.!?]+)[\"»]?$', 1) AS t FROM pairs) SELECT ord, CASE WHEN contains(s, '?') AND NOT contains(t, '?') THEN 'question_to_target' WHEN contains(t, '?') AND NOT contains(s, '?') THEN CASE WHEN regexp_matches(lower(trim(src)), '^(who|what|when|where|why|how|is|are|do|does|can|could|would)\\b') THEN 'question_to_source' ELSE 'flag' END WHEN contains(s, '!') AND NOT contains(t, '!') THEN 'exclamation_to_target' WHEN contains(t, '!') AND NOT contains(s, '!') THEN 'exclamation_to_source' ELSE 'none' END AS change FROM m")
+@query("WITH " + PAIRS + ", m AS (SELECT ord, src, tgt, regexp_extract(rtrim(src), '([.!?]+)[\"»]?$', 1) AS s, regexp_extract(rtrim(tgt), '([.!?]+)[\"»]?$', 1) AS t FROM pairs) SELECT ord, CASE WHEN contains(s, '?') AND NOT contains(t, '?') THEN 'question_to_target' WHEN contains(t, '?') AND NOT contains(s, '?') THEN CASE WHEN regexp_matches(lower(trim(src)), '" + _OPENERS + "') THEN 'question_to_source' ELSE 'flag' END WHEN contains(s, '!') AND NOT contains(t, '!') THEN 'exclamation_to_target' WHEN contains(t, '!') AND NOT contains(s, '!') THEN 'exclamation_to_source' ELSE 'none' END AS change FROM m")
 def prd_matched_marks(spark, sf_dir):
     return pairs(spark, sf_dir).select("ord", P.matched_marks(F.col("src"), F.col("tgt"))["change"].alias("change"))
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), '\\b(not|no|never)\\b') THEN 'neg' END, CASE WHEN rtrim(text) LIKE '%?' THEN 'q' END, CASE WHEN regexp_matches(lower(text), '\\b(was|were|had|did)\\b') THEN 'past' END) AS tags FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query("WITH s AS (SELECT doc_id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS s FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN contains(s, ' pas ') OR ends_with(s, ' pas') OR contains(s, ' ne ') THEN 'neg' END, CASE WHEN ends_with(s, '?') OR starts_with(s, 'est-ce que') THEN 'q' END, CASE WHEN contains(' ' || s, ' j''') OR contains(' ' || s, ' ai ') OR contains(' ' || s, ' as ') THEN 'past' END) AS tags FROM s")
 def prd_tags(spark, sf_dir):
-    """Documents in ASCII: word boundaries of other letters differ between engines."""
-    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]")).select("doc_id", F.array_join(P.tags(F.col("text")), ",").alias("tags"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(P.tags(F.col("text")), ",").alias("tags"))
 
 
 @query("SELECT page_id, trim(regexp_extract(url, '(?s)^(.*):([^:]*)$', 1)) AS l, trim(regexp_extract(url, '(?s)^(.*):([^:]*)$', 2)) AS r FROM pages WHERE contains(url, ':')")

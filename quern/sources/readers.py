@@ -48,3 +48,89 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns {missing}")
     return df
+
+
+def pick_any_case(columns: list[str]) -> tuple[str, str]:
+    """The source and target columns by name in any case, else the first two."""
+    low = {c.lower().strip(): c for c in columns}
+    found = [next((low[n.lower()] for n in names if n.lower() in low), None) for names in (SOURCE_NAMES, TARGET_NAMES)]
+    if None not in found:
+        return found[0], found[1]
+    if len(columns) < 2:
+        raise ValueError("two columns are needed")
+    return columns[0], columns[1]
+
+
+def tabular(spark: SparkSession, path: str) -> DataFrame:
+    """CSV or TSV with a header, by suffix, as strings; nulls are the text nan."""
+    if not path.endswith((".csv", ".tsv")):
+        raise ValueError(f"no reader for {path}")
+    t = spark.read.csv(path, header=True, multiLine=True, escape='"', sep="\t" if path.endswith(".tsv") else ",")
+    return t.select(*[F.coalesce(F.col(c), F.lit("nan")).alias(c) for c in t.columns])
+
+
+def records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """JSON, JSON lines, CSV or TSV by suffix; an error for a missing column or no rows."""
+    t = tabular(spark, path) if path.endswith((".csv", ".tsv")) else spark.read.json(path, multiLine=not path.endswith(".jsonl"))
+    if required(t, columns).isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return t
+
+
+def last_by_index(spark: SparkSession, path: str, index: str = "idx") -> DataFrame:
+    """JSON lines, the last line of each index. Lines of one file are ordered by their place in it."""
+    t = spark.read.json(path).withColumn("_at", F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    names = [c for c in t.columns if c not in (index, "_at")]
+    return t.groupBy(index).agg(F.max_by(F.struct(*names), "_at").alias("_r")).select(index, "_r.*")
+
+
+def metric_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """JSON files root/model/experiment/condition/seedN/name with what their paths say; others are skipped."""
+    t = spark.read.json(root, multiLine=True, recursiveFileLookup=True, pathGlobFilter=name)
+    return with_run(t.withColumn("_path", F.col("_metadata.file_path"))).drop("_path")
+
+
+def with_run(df: DataFrame, path: str = "_path") -> DataFrame:
+    """df with model, experiment, condition and seed of a path .../model/experiment/condition/seedN/file; rows of other paths go."""
+    form = "([^/]+)/([^/]+)/([^/]+)/seed_?(\\d+)/[^/]+$"
+    part = lambda k: F.regexp_extract(path, form, k)
+    return df.filter(F.col(path).rlike(form)).withColumns({"model": part(1), "experiment": part(2), "condition": part(3), "seed": part(4).cast("int")})
+
+
+def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of first, else that of second; columns that one lacks are null."""
+    return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+
+
+def manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """TSV with a header; lines in which one of the columns is missing or blank go."""
+    t = required(spark.read.csv(path, header=True, sep="\t", quote="", mode="PERMISSIVE"), columns)
+    for c in columns:
+        t = t.filter(~is_blank(F.col(c)))
+    return t
+
+
+def drifting(spark: SparkSession, path: str, extra: str = "__index_level_0__") -> DataFrame:
+    """Parquet files whose schemas differ by added columns, without the index column that some writers leave."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop(extra)
+
+
+def first_column(df: DataFrame, candidates: list[str]) -> str | None:
+    return next((c for c in candidates if c in df.columns), None)
+
+
+def paragraph_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(src, tgt) of text lines `source : target`, without list numbers, cut at the last colon; lines without one go."""
+    from quern.functions.predicates import last_colon
+    from quern.functions.text import strip_number
+
+    cut = spark.read.text(path).select(last_colon(strip_number(F.col("value"))).alias("c")).filter("c IS NOT NULL")
+    return cut.select(F.col("c.left").alias("src"), F.regexp_replace("c.right", "^[-–—|\\s]+", "").alias("tgt")).filter("src <> '' AND tgt <> ''")
+
+
+def waveforms(spark: SparkSession, path: str) -> DataFrame:
+    """(path, samples, rate) of WAV files under path; null samples for files that can't be decoded."""
+    from quern.operators.audio import decode_wav
+
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    return f.select("path", decode_wav("content").alias("w")).select("path", "w.samples", "w.rate")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import escape_controls
@@ -30,3 +32,61 @@ def guarded(df: DataFrame, review: DataFrame, path: str, allow: bool = False) ->
         return False
     df.write.parquet(path)
     return True
+
+
+def chat(prompt: str, answer: str, system: str | None = None) -> Column:
+    """A JSON record of messages: system if given, user, assistant."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    head = [said("system", F.lit(system))] if system else []
+    return F.to_json(F.struct(F.array(*head, said("user", F.col(prompt)), said("assistant", F.col(answer))).alias("messages")))
+
+
+def turns(prompt: str, answer: str) -> Column:
+    """The other dialect: contents of user and model with parts."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), F.array(F.struct(F.col(text).alias("text"))).alias("parts"))
+    return F.to_json(F.struct(F.array(said("user", prompt), said("model", answer)).alias("contents")))
+
+
+def json_lines(df: DataFrame, record: Column, path: str) -> None:
+    df.select(record.alias("value")).write.text(path)
+
+
+def speech_manifest(df: DataFrame, path: str) -> None:
+    """JSON lines (audio_filepath, duration, text)."""
+    json_lines(df, F.to_json(F.struct("audio_filepath", "duration", "text")), path)
+
+
+def aligned(df: DataFrame, index: str, columns: list[str], path: str) -> None:
+    """One folder a column whose files have the same rows in the same order: rows are sorted by ranges of the index, once, and every column is written from that table."""
+    from quern.scratch import materialize
+
+    whole = materialize(df.select(index, *columns).repartitionByRange(index).sortWithinPartitions(index), "aligned")
+    for c in columns:
+        whole.repartitionByRange(index).sortWithinPartitions(index).select(escape_controls(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("value")).write.text(f"{path}/{c}")
+
+
+def piped(df: DataFrame, path: str, header: bool = True) -> None:
+    df.write.csv(path, sep="|", header=header, quote="")
+
+
+def union_of_keys(tables: list[DataFrame], path: str) -> None:
+    """All rows as CSV with the sorted union of their columns; a missing cell is empty."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    whole.select(*sorted(whole.columns)).write.csv(path, header=True, escape='"', emptyValue="", nullValue="")
+
+
+def summary(df: DataFrame, by: str) -> DataFrame:
+    """One JSON document: rows in all and for each value of `by`."""
+    n = df.groupBy(by).agg(F.count("*").alias("n"))
+    entries = F.sort_array(F.collect_list(F.struct(F.coalesce(F.col(by).cast("string"), F.lit("null")).alias("key"), F.col("n").alias("value"))))  # groups, not rows
+    return n.agg(F.to_json(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.map_from_entries(entries).alias("by"))).alias("value"))
+
+
+def mean_and_deviation(mean: Column, deviation: Column, digits: int = 2) -> Column:
+    """A table's cell: mean±deviation, a dash without a mean."""
+    form = lambda x: F.format_string(f"%.{digits}f", x)
+    return F.when(mean.isNull(), "-").when(deviation.isNull(), form(mean)).otherwise(F.concat(form(mean), F.lit("±"), form(deviation)))
+
+
+def markdown_row(*cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\\|", "\\\\|") for c in cells]), F.lit(" |"))
