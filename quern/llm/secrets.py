@@ -26,17 +26,25 @@ class Rule:
 
 _WORDS, _VALUE = "(?:password|passwd|secret|token|api_?key)", "[A-Za-z0-9+/_.=-]"
 _ASSIGN = f"""(?i:{_WORDS})["']?\\x20*[:=]\\x20*["']?"""
+#: A private key from BEGIN through END, or, without END, header lines and base64 up to where they stop: runs of 16 or more, then a shorter one that is padded or a line of its own.
+#: Between runs are white space, quotes, marks of quoted lines, or line feeds that are written as escapes. No step backs into the one before it, so long texts cost one pass.
+_BREAK = r"""(?:[\s>"',#*|]|\\+[nrt])"""
+_TO_END = r"(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+_HEADERS = rf"(?:{_BREAK}*+[A-Za-z][A-Za-z0-9-]*+:\x20[^\n\\]*+(?=\n|\\)){{0,8}}+"
+_RUNS = rf"(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)"
+_LAST = rf"(?:{_BREAK}*+[A-Za-z0-9+/]{{1,15}}+={{1,2}}|{_BREAK}*+(?<=\n)[A-Za-z0-9+/]{{1,15}}+(?=[\x20\t\r]*+(?:\n|\z)))"
+_PRIVATE = f"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_HEADERS}{_RUNS}++{_LAST}?+)?+"
 #: The kinds in the order that ties of a start follow. Base kinds first, then those that the method adds.
 RULES = (
     Rule("assign", f"{_ASSIGN}{_VALUE}+", 8, f"^{_ASSIGN}({_VALUE}+)$", marks=("passw", "secret", "token", "api")),
     Rule("access", "AKIA[A-Z0-9]{12,}", 16, marks=("akia",)),
     Rule("hex", "[0-9a-f]{32,}", 32),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, base=False, marks=("private key-----",)),
+    Rule("private_key", _PRIVATE, 1, base=False, marks=("private key-----",)),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40, base=False, marks=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 20, base=False, marks=("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 30, base=False, marks=("eyj",)),
 )
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 LEDGER_SCHEMA = "blob string, rule_version string, findings array<struct<kind:string,ord:int,base:boolean,start:int,end:int>>"
 
 
