@@ -17,7 +17,7 @@ from quern.scratch import materialize
 MIN_WORDS, REPEAT_PERCENT, SYMBOLS = 50, 50, b"#*$%&|<>"
 #: A document is rejected beyond the median of its language by so many times the distance from the median to the quartile on that side.
 BAND_QUANTILE, BAND_WIDTH = 0.25, 8.0
-#: Languages with fewer documents take the bands of all documents.
+#: A group with fewer distinct texts has its bands widened, by the root of what it lacks.
 MIN_GROUP = 200
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 _SPACE = b" \t\n\v\f\r"
@@ -104,39 +104,46 @@ def text_measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
 
 def fertility_bands(measures: DataFrame, quantile: float = BAND_QUANTILE, width: float = BAND_WIDTH, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang (null: all documents) with low and high of each measure, over all documents that pass the base rules.
+    """band_group with low and high of each measure, over its distinct texts (text_hash) that pass the base rules.
 
-    A band reaches from the median by `width` times the distance to the quantile on that side, and at least a twentieth of the median (a hundredth for byte_share).
+    A band reaches from the median by `width` times the distance to the quantile on that side, and at least as far as that of the mean distance of all groups
+    (by their texts, and in parts of each median but for byte_share) and a twentieth of the median (a hundredth for byte_share). The fewer than min_group texts, the wider.
     """
     aggs = [F.count("*").alias("n")]
     for m in MEASURES:
         aggs.append(F.percentile_approx(m, [quantile, 0.5, 1 - quantile], 2000).alias(m))
-    bands = measures.filter("NOT base_failed").groupBy("lang").agg(*aggs).filter((F.col("n") >= min_group) & F.col("lang").isNotNull())
-    overall = measures.filter("NOT base_failed").agg(*aggs).withColumn("lang", F.lit(None).cast("string"))
-    out = bands.unionByName(overall)
+    texts = measures.filter("NOT base_failed").select("band_group", "text_hash", *MEASURES).dropDuplicates(["band_group", "text_hash"])
+    groups = materialize(texts.groupBy("band_group").agg(*aggs), "groups")
+    spreads = []
+    for m in MEASURES:
+        mid = F.col(m)[1]
+        part = F.lit(1.0) if m == "byte_share" else mid
+        spreads += [F.try_divide(F.sum(F.col("n") * F.try_divide(d, part)), F.sum("n")).alias(f"{m}_{side}_spread") for side, d in (("low", mid - F.col(m)[0]), ("high", F.col(m)[2] - mid))]
+    out = groups.crossJoin(F.broadcast(groups.agg(*spreads))).withColumn("_wider", F.sqrt(F.greatest(F.lit(1.0), F.lit(min_group) / F.col("n"))) * width)
     for m in MEASURES:
         low, mid, high = (F.col(m)[k] for k in range(3))
-        least = F.lit(0.01) if m == "byte_share" else mid * 0.05
-        out = out.withColumn(f"{m}_low", mid - F.greatest((mid - low) * width, least)).withColumn(f"{m}_high", mid + F.greatest((high - mid) * width, least))
-    return out.drop("n", *MEASURES)
+        part, least = (F.lit(1.0), F.lit(0.01)) if m == "byte_share" else (mid, mid * 0.05)
+        reach = lambda d, side: F.greatest(d * F.col("_wider"), F.col(f"{m}_{side}_spread") * part * F.col("_wider"), least)  # noqa: B023, E731
+        out = out.withColumn(f"{m}_low", mid - reach(mid - low, "low")).withColumn(f"{m}_high", mid + reach(high - mid, "high"))
+    return out.select("band_group", *[f"{m}_{side}" for m in MEASURES for side in ("low", "high")])
 
 
 def quality_rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", extra: list[str] | None = None) -> DataFrame:
     """Per row: id, base counts, base_failed, the fertility measures and kept.
 
-    kept is false where the base rules fail, else the verdict of the bands of the row's language; languages with few documents and null take those of all documents.
+    kept is false where the base rules fail, else the verdict of the bands of the row's language, or where that is null of all unlabelled texts.
+    No row is judged by bands of another language; few texts widen their own. Copies count once in the bands.
     Null text has no words and fails. `extra` names columns of docs to carry through (pipeline). Repeated rows each give a row; an empty table gives an empty one.
     """
-    measured = text_measures(docs, path, id_col, text_col, lang_col, extra)
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    measured = text_measures(hashed, path, id_col, text_col, lang_col, [*(extra or []), "_text_hash"]).withColumnRenamed("_text_hash", "text_hash")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    table = materialize(measured.withColumn("base_failed", failed), "quality")
+    group = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("unknown"))
+    table = materialize(measured.withColumn("base_failed", failed).withColumn("band_group", group), "quality")
     bands = materialize(fertility_bands(table), "bands")
-    named, rest = bands.filter("lang IS NOT NULL"), bands.filter("lang IS NULL").drop("lang")
-    small = named.count() <= 10_000
-    own = table.join(F.broadcast(named) if small else named, "lang", "left")
-    whole = rest.first()
+    small = bands.count() <= 10_000
+    own = table.join(F.broadcast(bands) if small else bands, "band_group", "left")
     inside = F.lit(True)
     for m in MEASURES:
-        low, high = (F.coalesce(F.col(f"{m}_{side}"), F.lit(whole[f"{m}_{side}"] if whole else None).cast("double")) for side in ("low", "high"))
-        inside = inside & F.coalesce(F.col(m).between(low, high), F.lit(True))
+        inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
     return own.withColumn("kept", ~F.col("base_failed") & inside).select(id_col, *(extra or []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *MEASURES)

@@ -112,3 +112,18 @@ def test_fertility_measures(spark):
         assert abs(r["chars_per_token"] - len(r["text"]) / len(ids)) < 1e-9
         p = np.array(list(Counter(ids).values())) / len(ids)
         assert abs(r["token_entropy"] - float(-(p * np.log2(p)).sum() / np.log2(len(ids) + 1))) < 1e-9
+
+
+PROSE = "the house stands near river and people walk along old road every morning while birds sing above green fields".split()
+
+
+def test_copies_leave_the_bands_as_they_are(spark):
+    """Of 400 texts from plain prose to nearly half random words, the middle one is repeated to two thirds of all rows."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    odd = lambda: "".join(rng.choice(letters, 7))
+    rows = [(k, " ".join(odd() if rng.random() < k / 1000 else str(rng.choice(PROSE)) for _ in range(120)), "en") for k in range(400)]
+    many = rows + [(1000 + k, rows[200][1], "en") for k in range(800)]
+    kept = lambda r: {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(r, "doc_id long, text string, lang string")).filter("doc_id < 1000").collect()}
+    first = kept(rows)
+    assert kept(many) == first and sum(first.values()) >= 395
