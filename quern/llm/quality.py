@@ -1,7 +1,9 @@
-"""Quality rules: word and line rules, and bands for tokeniser fertility by language."""
+"""Quality rules: word and line rules, and bands for tokeniser fertility by language, or by script where the language is unknown."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -51,8 +53,26 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     return np.bincount(doc[hit], minlength=len(words)).astype(np.int64)
 
 
+class _Scripts(dict):
+    def __missing__(self, char: str) -> str:
+        name = unicodedata.name(char, "").split(" ")[0] if char.isalpha() else ""
+        value = self[char] = {"HIRAGANA": "KANA", "KATAKANA": "KANA"}.get(name, name)
+        return value
+
+
+def dominant_script(text: str, scripts: _Scripts) -> str:
+    """The script of most letters, as their Unicode names begin; of equals the first by name, "" without letters."""
+    if text.isascii():
+        return "LATIN" if any(map(str.isalpha, text)) else ""
+    times: Counter = Counter()
+    for char, n in Counter(text).items():
+        times[scripts[char]] += n
+    del times[""]
+    return min(times, key=lambda s: (-times[s], s), default="")
+
+
 def text_measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", extra: list[str] | None = None) -> DataFrame:
-    """Per row: id, lang, the base counts, n_tokens and the three measures of fertility (null without tokens).
+    """Per row: id, lang, script (null where lang is known), the base counts, n_tokens and the three measures of fertility (null without tokens).
 
     chars_per_token: characters by tokens of the public vocabulary; byte_share: tokens that are bytes of a character outside it
     (line feeds apart); token_entropy: bits of the document's token distribution, by the most that its length allows.
@@ -61,13 +81,14 @@ def text_measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     keep = extra or []
 
     def make():
-        memo, is_byte = piece_ids(path), byte_pieces(path).copy()
+        memo, is_byte, scripts = piece_ids(path), byte_pieces(path).copy(), _Scripts()
         from quern.llm.vocabularies import piece_model
 
         is_byte[piece_model(path).piece_to_id("<0x0A>")] = False
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("text").to_pylist()]
+            script = [dominant_script(t, scripts) if lang is None else None for t, lang in zip(texts, batch.column("lang").to_pylist())]
             raw = [t.encode() for t in texts]
             words = [b.split() for b in raw]
             dup = []
@@ -91,16 +112,16 @@ def text_measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 "n_words": [len(w) for w in words], "word_chars": [len(b.translate(None, _NOT_COUNTED)) for b in raw],
                 "n_symbols": [len(b) - len(b.translate(None, SYMBOLS)) for b in raw], "n_dup_lines": dup, "n_repeat_words": repeated_words(words), "n_tokens": n,
             }
-            arrays = [batch.column(c) for c in ("id", "lang", *keep)] + [pa.array(x, pa.int64()) for x in columns.values()]
+            arrays = [batch.column(c) for c in ("id", "lang", *keep)] + [pa.array(script, pa.string())] + [pa.array(x, pa.int64()) for x in columns.values()]
             arrays += [masked(np.array([len(t) for t in texts]) / part), masked(in_bytes / part), masked(bits / np.log2(part + 1))]
-            return pa.RecordBatch.from_arrays(arrays, ["id", "lang", *keep, *columns, *MEASURES])
+            return pa.RecordBatch.from_arrays(arrays, ["id", "lang", *keep, "script", *columns, *MEASURES])
 
         return work
 
     cols = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *keep)
     kind = lambda c: cols.schema[c].dataType.simpleString()
     own = "".join(f", `{c}` {kind(c)}" for c in keep)
-    return map_texts(cols, "text", make, f"id {kind('id')}, lang string{own}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double").withColumnRenamed("id", id_col)
+    return map_texts(cols, "text", make, f"id {kind('id')}, lang string{own}, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double").withColumnRenamed("id", id_col)
 
 
 def fertility_bands(measures: DataFrame, quantile: float = BAND_QUANTILE, width: float = BAND_WIDTH, min_group: int = MIN_GROUP) -> DataFrame:
@@ -131,14 +152,14 @@ def fertility_bands(measures: DataFrame, quantile: float = BAND_QUANTILE, width:
 def quality_rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", extra: list[str] | None = None) -> DataFrame:
     """Per row: id, base counts, base_failed, the fertility measures and kept.
 
-    kept is false where the base rules fail, else the verdict of the bands of the row's language, or where that is null of all unlabelled texts.
+    kept is false where the base rules fail, else the verdict of the bands of the row's language, or where that is null of the unlabelled texts of its dominant script.
     No row is judged by bands of another language; few texts widen their own. Copies count once in the bands.
     Null text has no words and fails. `extra` names columns of docs to carry through (pipeline). Repeated rows each give a row; an empty table gives an empty one.
     """
     hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
     measured = text_measures(hashed, path, id_col, text_col, lang_col, [*(extra or []), "_text_hash"]).withColumnRenamed("_text_hash", "text_hash")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    group = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("unknown"))
+    group = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"))
     table = materialize(measured.withColumn("base_failed", failed).withColumn("band_group", group), "quality")
     bands = materialize(fertility_bands(table), "bands")
     small = bands.count() <= 10_000

@@ -127,3 +127,23 @@ def test_copies_leave_the_bands_as_they_are(spark):
     kept = lambda r: {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(r, "doc_id long, text string, lang string")).filter("doc_id < 1000").collect()}
     first = kept(rows)
     assert kept(many) == first and sum(first.values()) >= 395
+
+
+def test_small_groups_are_not_judged_by_other_languages(spark):
+    rng = np.random.default_rng(6)
+    greek = "το σπίτι στέκεται κοντά στο ποτάμι και οι άνθρωποι περπατούν στον παλιό δρόμο κάθε πρωί ενώ πουλιά τραγουδούν".split()
+    vietnamese = "ngôi nhà đứng gần dòng sông và người ta đi bộ dọc con đường cũ mỗi buổi sáng khi chim hót trên cánh đồng".split()
+    text = lambda words: " ".join(rng.choice(words, 120))
+    rows = [(-1 - k, text(PROSE), "en") for k in range(1500)]
+    for k, (words, lang, n) in enumerate(((greek, "el", 60), (greek, None, 30), (vietnamese, "vi", 30), (greek, "xx", 1))):
+        rows += [(1000 * (k + 1) + j, text(words), lang) for j in range(n)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    judged = [r for r in got if r["doc_id"] >= 1000 and not r["base_failed"]]
+    assert len(judged) > 100
+    assert all(r["kept"] for r in judged)
+
+
+def test_dominant_script():
+    scripts = quality._Scripts()
+    cases = {"plain words": "LATIN", "12 - 3": "", "": "", "é à": "LATIN", "δρόμο road δρόμο": "GREEK", "ひらがなカタカナ漢字": "KANA", "漢字 ok 漢": "CJK", "🙂 €": ""}
+    assert {t: quality.dominant_script(t, scripts) for t in cases} == cases
