@@ -12,6 +12,10 @@ MASKS = ("111010011", "111001101")
 SPAN = len(MASKS[0])
 #: A word that agrees counts 1, one that differs MISMATCH; the best run of an overlap has to reach SCORE.
 SCORE, MISMATCH = 10, -2
+#: An item stands in a text, too, if of its words in place no more than one in CHANGED differs: under CHANGED words none.
+CHANGED = 6
+#: Runs of equal words that such an item leaves at least, by its length: (span, fewest words, most words). Longer items that keep so many words reach SCORE.
+RUNS = ((3, 6, 7), (4, 8, 18))
 #: Seeds and keys that may be broadcast, of some 40 bytes, and word triples of the benchmark that an expression may hold.
 BROADCAST_ROWS, MOST_TRIPLES = 1_000_000, 50_000
 #: Words are runs of other characters than these.
@@ -46,8 +50,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per row of docs: id, extra columns, contaminated, n_items, item_ids (ascending), best_score.
 
     A seed that a document and an item share puts them on a diagonal. Along it all words of the item are compared with the document's:
-    a run's score counts equal words and takes away 2 for each that differs. Runs of SCORE, or of all words of a shorter item, are contamination.
-    Items of fewer words than SPAN are seeded whole, by a contiguous mask of their length. Items and texts that are null or blank match nothing.
+    a run's score counts equal words and takes away 2 for each that differs. Runs of SCORE are contamination, and so is an item of which no more than one word in CHANGED differs.
+    Items of fewer words than CHANGED are seeded whole, by a contiguous mask of their length; those of up to 18 words by runs that CHANGED can't all break, so none is missed. Items and texts that are null or blank match nothing.
     Null item ids count as an item in n_items' place only once and aren't listed. Texts are told apart by content, so repeated ids and copies are safe.
     An empty table on either side gives no contamination.
     """
@@ -55,32 +59,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     raw = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     texts = raw.select("key", word_hashes(F.col("text")).alias("h"))
     items = materialize(benchmark.select(F.col(item_col).alias("item"), F.array_remove(word_hashes(F.col(item_text_col)), F.xxhash64(F.lit(''))).alias("ih")).filter(F.size("ih") > 0), "items")
-    firsts = items.withColumnRenamed("ih", "h").select(F.explode(F.transform(windows(SPAN), lambda i: _read("111", 0, i))).alias("t")).distinct().limit(MOST_TRIPLES + 1).collect()
-    triples = [r["t"] for r in firsts] if len(firsts) <= MOST_TRIPLES else None  # else every window is looked up
-    lengths = [r[0] for r in items.filter(F.size("ih") < SPAN).select(F.size("ih")).distinct().collect()]  # SPAN - 1 numbers at most
+    size = F.size("ih")
+    lengths = [r[0] for r in items.filter(size < CHANGED).select(size).distinct().collect()]  # CHANGED - 1 numbers at most
+    families = [(MASKS, size >= SPAN), *[(("1" * m,), size == m) for m in sorted(lengths)], *[(("1" * span,), size.between(least, most)) for span, least, most in RUNS]]
     hits = None
-    for masks in [MASKS, *[("1" * m,) for m in sorted(lengths)]]:
-        own = items if masks is MASKS else items.filter(F.size("ih") == len(masks[0]))
-        theirs = seeds(own.withColumnRenamed("ih", "h"), ["item"], masks).withColumnRenamed("at", "item_at")
+    for masks, of in families:
+        own, span = items.filter(of).withColumnRenamed("ih", "h"), len(masks[0])
+        firsts = own.select(F.explode(F.transform(windows(span), lambda i: _read("111", 0, i))).alias("t")).distinct().limit(MOST_TRIPLES + 1).collect() if span >= 3 else []
+        if span >= 3 and not firsts:
+            continue
+        triples = [r["t"] for r in firsts] if 0 < len(firsts) <= MOST_TRIPLES else None  # else every window is looked up
+        theirs = seeds(own, ["item"], masks).withColumnRenamed("at", "item_at")
         if theirs.count() <= BROADCAST_ROWS:
             theirs = F.broadcast(theirs)
-        got = seeds(texts, ["key"], masks, triples if masks is MASKS else None).join(theirs, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+        got = seeds(texts, ["key"], masks, triples).join(theirs, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
         hits = got if hits is None else hits.unionByName(got)
+    if hits is None:
+        hits = texts.crossJoin(items).select("key", "item", F.lit(0).alias("diagonal")).limit(0)
     hits = materialize(hits.distinct(), "hits")
     keys = hits.select("key").distinct()
     few = keys.count() <= BROADCAST_ROWS
     near = raw.join(F.broadcast(keys) if few else keys, "key", "left_semi").dropDuplicates(["key"]).select("key", word_hashes(F.col("text")).alias("h"))
     pairs = hits.join(near, "key").join(items, hits["item"].eqNullSafe(items["item"])).select("key", hits["item"], "diagonal", "ih", F.slice("h", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("ih")).alias("part"))
     pairs = pairs.withColumn("skip", F.greatest(-F.col("diagonal"), F.lit(0)))
-    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("same"))
 
     def step(s: Column, i: Column) -> Column:
-        now = F.greatest(s["now"] + F.when(F.get("ih", i + F.col("skip")) == F.get("part", i), 1).otherwise(MISMATCH), F.lit(0))
-        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"))
+        equal = F.get("ih", i + F.col("skip")) == F.get("part", i)
+        now = F.greatest(s["now"] + F.when(equal, 1).otherwise(MISMATCH), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"), (s["same"] + equal.cast("int")).alias("same"))
 
     n = F.least(F.size("part"), F.size("ih") - F.col("skip"))
-    best = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), state, step, lambda s: s["best"])).otherwise(0)
-    scored = pairs.select("key", "item", best.alias("score"), F.least(F.lit(SCORE), F.size("ih")).alias("need")).filter("score >= need")
+    run = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), state, step))
+    scored = pairs.select("key", "item", "ih", run.alias("run")).filter((F.col("run.best") >= SCORE) | (F.col("run.same") >= size - F.floor(size / CHANGED))).select("key", "item", F.col("run.best").alias("score"))
     found = scored.groupBy("key").agg(F.count_distinct(F.struct("item")).alias("n_items"), F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("score").alias("best_score"))
     out = docs.select(id_col, *(extra or []), key.alias("key")).join(found, "key", "left")
     none = F.array().cast(found.schema["item_ids"].dataType)

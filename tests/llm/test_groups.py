@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 
@@ -181,3 +182,26 @@ def test_decontamination(spark):
     assert [r["item_ids"] for r in got.filter("doc_id = 3").collect()] == [[3]]
     assert decontamination.contaminated(table.limit(0), benchmark).count() == 0
     assert decontamination.contaminated(table, benchmark.limit(0)).filter("contaminated").count() == 0
+
+
+def test_short_items_with_changed_words(spark):
+    """Every choice of up to one changed word in six is found; with one more the item is another text, unless a run reaches the score."""
+    rng = np.random.default_rng(12)
+    sizes = (3, 5, 6, 7, 8, 9, 10, 11, 12, 15, 18)
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in sizes}
+    docs, want = [], {}
+    for n, item in items.items():
+        for m in (n // 6, n // 6 + 1):
+            choices = list(combinations(range(n), m))
+            for at in (choices[k] for k in sorted(rng.permutation(len(choices))[:40])):
+                words = ["other" if j in at else w for j, w in enumerate(item)]
+                now = best = 0
+                for j in range(n):
+                    now = max(now + (1 if j not in at else -2), 0)
+                    best = max(best, now)
+                if m == n // 6 or best < 10:
+                    want[len(docs)] = [n] if m == n // 6 else []
+                    docs.append((len(docs), " ".join([f"r{x}" for x in rng.integers(0, 5000, 15)] + words + [f"r{x}" for x in rng.integers(0, 5000, 15)])))
+    benchmark = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in got} == want
