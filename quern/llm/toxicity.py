@@ -19,8 +19,10 @@ from quern.llm.batches import held, map_texts
 
 #: The training sample: documents of each label, and the longest text (bytes) taken into it.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 20_000
-#: Bytes of each dictionary, compression level.
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY, LEVEL = 131_072, 131_072, 16
+#: Bytes of each dictionary, compression level. Both hold every window of the sample that is meant for them; the bounds only guard a worker's memory.
+TOXIC_DICTIONARY, ORDINARY_DICTIONARY, LEVEL = 1 << 23, 1 << 23, 16
+#: Ids of a label that are ranked for the sample, in parts of it.
+RANKED = 4
 #: Toxic windows are those with a piece of a word that has this many times as many contexts by toxic document as by ordinary one, so many at least, and that share of the toxic documents.
 LIFT, LEAST_CONTEXTS, LEAST_SHARE, PIECES = 8.0, 3, 0.01, (4, 5, 6, 7, 8)
 #: Calibration tries these gains, and these bytes beyond what a whole match takes.
@@ -179,10 +181,16 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, ...]:
 
 
 def training_sample(rows: DataFrame, labels: DataFrame, id_col: str, most: int = SAMPLE_DOCS, longest: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """Texts of label 1 and of label 0 for the driver: the first `most` of each by a hash of the id; texts of over `longest` bytes train nothing."""
+    """Texts of label 1 and of label 0 for the driver: the first `most` of each by a hash of the id; texts of over `longest` bytes train nothing.
+
+    A label's ids are first cut at a hash below which about RANKED times `most` lie, so no task ranks all ids of a label.
+    """
     marked = labels.filter("toxic IN (0, 1)").select(F.col(id_col).alias("id"), "toxic").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    ids = rows.select("id").join(marked, "id").distinct().withColumn("n", order).filter(F.col("n") <= most).select("id", "toxic")
+    known = rows.select("id").join(marked, "id").distinct().withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    share = F.least(F.lit(1.0), F.lit(float(RANKED * most)) / F.count("*")).alias("share")
+    near = known.join(F.broadcast(known.groupBy("toxic").agg(share)), "toxic").filter(F.col("place") <= F.col("share") * float(1 << 40))
+    order = F.row_number().over(Window.partitionBy("toxic").orderBy("place", "id"))
+    ids = near.withColumn("n", order).filter(F.col("n") <= most).select("id", "toxic")
     got = rows.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= longest)).join(F.broadcast(ids), "id").select("id", "text", "toxic").collect()
     got.sort(key=lambda r: (r["id"], r["text"]))
     return [r["text"] for r in got if r["toxic"] == 1], [r["text"] for r in got if r["toxic"] == 0]
