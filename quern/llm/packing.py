@@ -17,6 +17,8 @@ from quern.scratch import materialize
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that a task ranks at most, about.
 RANKED_TOGETHER = 100_000
+#: Ranks that share a key of the join with the plan: a piece meets the plan's rows of its own ranks and no others.
+RANKS_TOGETHER = 64
 
 
 def tokenized_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -137,11 +139,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         first += bins
     plan = spark.createDataFrame(rows, "length long, from_rank long, to_rank long, copies long, first_sequence long, first_offset long")
     ids = [id_col, "piece", "ids_crc32"]
-    small = len(rows) <= 50 * capacity  # 48 bytes a row
+    bucket = lambda x: F.floor(x / RANKS_TOGETHER).cast("long")
+    plan = plan.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("from_rank")), bucket(F.col("to_rank") - 1))))
+    small = len(rows) + sum(histogram.values()) // RANKS_TOGETHER <= 50 * capacity  # rows of the plan, of 56 bytes
     nth = F.col("rank") - F.col("from_rank")
     return (
         ranked(pieces, "length", ids)
-        .join(F.broadcast(plan) if small else plan, "length")
+        .withColumn("_bucket", bucket(F.col("rank")))
+        .join(F.broadcast(plan) if small else plan, ["length", "_bucket"])
         .filter((F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
         .withColumn("sequence_id", F.col("first_sequence") + F.floor(nth / F.col("copies")).cast("long"))
         .withColumn("offset", F.col("first_offset") + (nth % F.col("copies")) * F.col("length"))

@@ -113,9 +113,25 @@ def byte_pieces(path: str) -> np.ndarray:
 # ---- tokenizers, word BPE: white space dropped, no merge over it
 
 
+#: What every special string of the vocabulary has. The library looks for special strings before it lowers capitals.
+_SPECIAL = "<|"
+
+
 def word_chunks(text: str) -> list[str]:
-    """Cut at spaces and line feeds. The vocabulary has no capitals, so A-Z are lowered and more chunks are equal."""
-    return text.encode().lower().replace(b"\n", b" ").decode().split(" ")
+    """Cut at spaces and line feeds. The vocabulary has no capitals, so A-Z are lowered and more chunks are equal; chunks that may hold a special string stay as they are."""
+    lowered = text.encode().lower().replace(b"\n", b" ").decode().split(" ")
+    return [a if _SPECIAL in a else b for a, b in zip(text.replace("\n", " ").split(" "), lowered)] if _SPECIAL in text else lowered
+
+
+def safe_word_vocabulary(path: str) -> bool:
+    """Whether capitals are lowered, and special strings have no white space and all begin with _SPECIAL."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = spec["normalizer"].get("normalizers", [spec["normalizer"]])
+    special = [t["content"] for t in spec["added_tokens"]]
+    return "Lowercase" in [n["type"] for n in steps] and all(t.startswith(_SPECIAL) and not re.search("\\s", t) for t in special)
 
 
 #: A token of its own between spaces, which no text without the character has.
@@ -133,6 +149,8 @@ def _word_bpe_memo(path: str) -> ChunkMemo:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
+    if not safe_word_vocabulary(path):
+        raise ValueError(f"{path} has tokens that chunks would not give")
     tokenizer = Tokenizer.from_file(path)
     ids_of = lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     mark = ids_of([_MARK])[0]
