@@ -6,9 +6,37 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.scratch import materialize
+
 SHARDS = 40
-#: Rows of a block, about, and the most blocks; with more rows the blocks grow.
-BLOCK_ROWS, MOST_BLOCKS, LEAST_BLOCKS = 100_000, 10_000, 256
+#: Rows of a block, about, and the most blocks, whose counts the driver holds; beyond 5 * 10^9 rows blocks grow (a million narrow rows each at 5 * 10^10).
+BLOCK_ROWS, MOST_BLOCKS, LEAST_BLOCKS = 100_000, 50_000, 256
+#: numpy draws below this population; beyond, hypergeometric() does.
+NUMPY_LIMIT = 10**9
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of `take` rows drawn without replacement from good + bad are good, for populations of any size.
+
+    Beyond numpy's limit the distribution is laid out around its mode from the exact ratios of neighbouring probabilities,
+    as far as 40 standard deviations, outside of which nothing is left in a double.
+    """
+    if not take or not good:
+        return 0
+    if not bad:
+        return take
+    if max(good, bad) < NUMPY_LIMIT:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high = max(0, take - bad), min(take, good)
+    share = good / (good + bad)
+    mode = min(high, max(low, int((take + 1) * (good + 1) / (good + bad + 2))))
+    reach = int(40 * (take * share * (1 - share)) ** 0.5) + 40
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1)
+    at = k[:-1].astype(float)  # log of p(k + 1) / p(k)
+    steps = np.log(good - at) + np.log(take - at) - np.log(at + 1) - np.log((bad - take) + at + 1)
+    logs = np.r_[0.0, np.cumsum(steps)]
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(len(k) - 1, np.searchsorted(upto, rng.random() * upto[-1], side="right"))])
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:
@@ -23,7 +51,7 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.
         for s in range(len(shards)):
             rest = int(left[s + 1 :].sum())
             take = int(n - out[k, :s].sum())
-            out[k, s] = take if not rest else rng.hypergeometric(int(left[s]), rest, take) if take and left[s] else 0
+            out[k, s] = hypergeometric(rng, int(left[s]), rest, take)
         left -= out[k]
     return out
 
@@ -43,14 +71,13 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 1, id_col
     key = [F.col(c) for c in (id_col, "size", "text_crc32")]
     total = docs.count()
     n_blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-total // block_rows)))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n_blocks)).cast("int"))
+    rows = materialize(rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n_blocks)).cast("int")), "blocks")  # texts are read once
     counts = {r["_block"]: r["count"] for r in rows.groupBy("_block").count().collect()}
     blocks = sorted(counts)
     matrix = communication_matrix([counts[b] for b in blocks], [total // shards + (s < total % shards) for s in range(shards)], seed)
     upto = np.cumsum(matrix, axis=1)
     # block -> array of upper bounds; its shard is the number of bounds at or below a row's place in the block
-    table = "VALUES " + ", ".join(f"({b}, array({', '.join(f'{x}L' for x in u)}))" for b, u in zip(blocks, upto.tolist())) if blocks else "SELECT 0, array(0L) WHERE false"
-    bounds = spark.sql(f"SELECT * FROM ({table}) AS t(_block, _upto)")
+    bounds = spark.createDataFrame(list(zip(blocks, upto.tolist())), "_block int, _upto array<long>")
     local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), *key), *key)
     sent = (
         rows.withColumn("_place", F.row_number().over(local) - 1)
