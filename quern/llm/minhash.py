@@ -22,10 +22,12 @@ BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the posterior probability of a true link below which a pair is dropped.
 BATCH, MISS = 30, 1e-6
-#: Buckets up to this size give pairs; larger ones are compared block by block, with at most about BLOCK members each.
+#: Buckets up to this size give pairs; of larger ones each member is compared with one representative, and what that leaves block by block, with at most about BLOCK members each.
 SMALL, BLOCK = 16, 400
-#: Candidate documents whose ids may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: Ids and labels, of up to 50 bytes, that may be broadcast, and bytes of the sets of representatives that may.
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Rows of one word sequence from which its label is spread by a broadcast.
+HOT = 10_000
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,11 +212,63 @@ def verified_blocks(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("bucket", "i", "j").applyInArrow(work, "u binary, v binary")
 
 
+def compared_with_one(pairs: DataFrame, percent: int) -> DataFrame:
+    """(node, rep, xu, xv) to (node, rep, linked, near): whether the sets link, and whether node could link to another member that links to rep.
+
+    1 - similarity is a metric, so a node farther from rep than twice the threshold allows links with nothing that links to rep.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("xu", "xv")]
+            linked = [is_link(x, y, percent) for x, y in zip(*sets)]
+            near = [a or is_link(x, y, 2 * percent - 100) for a, x, y in zip(linked, *sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rep"), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_())], ["node", "rep", "linked", "near"])
+
+    return pairs.mapInArrow(run, "node binary, rep binary, linked boolean, near boolean")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, a written table, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def large_bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (bucket, band, node) of large buckets, sets (node, sig, shingles) to links (u, v), enough to connect what is connected.
+
+    Every member is verified against the least node of its bucket, its representative. Members that link to it are connected, so no pair of them is compared again.
+    The others, the rest, are compared among themselves, and those of them that could link to a connected member with the connected ones, block against block.
+    So a bucket of n near copies costs n comparisons of whole sets, and one with a rest of m costs n * ceil(m / BLOCK) rows more.
+    """
+    reps = members.groupBy("bucket").agg(F.min("node").alias("rep"))
+    placed = materialize(members.join(_few(materialize(reps, "reps")), "bucket"), "placed")
+    theirs = materialize(placed.select(F.col("rep").alias("node")).distinct().join(sets, "node").select(F.col("node").alias("rep"), F.col("shingles").alias("xv")), "rep_sets")
+    light = int(theirs.agg(F.sum(F.octet_length("xv"))).first()[0] or 0) <= BROADCAST_BYTES
+    pairs = placed.filter("node <> rep").select("node", "rep").distinct().join(sets.select("node", F.col("shingles").alias("xu")), "node").join(F.broadcast(theirs) if light else theirs, "rep")
+    judged = materialize(compared_with_one(pairs, percent), "judged")
+    state = placed.join(judged, ["node", "rep"], "left").select("bucket", "band", "node", F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("near", F.lit(True)).alias("near"))
+    state = materialize(state, "state")
+    rest = state.filter("NOT linked")
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n_rest"), F.sum(F.col("near").cast("long")).alias("n_near"))
+    sizes = materialize(sizes.join(state.filter("linked").groupBy("bucket").agg(F.count("*").alias("n_linked")), "bucket"), "sizes")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    sized = state.join(_few(sizes), "bucket")
+    apart = sized.filter("NOT linked AND n_rest > 1").select("bucket", "band", "node", own("n_rest").alias("own"), F.explode(F.sequence(F.lit(0), blocks("n_rest") - 1)).alias("other"))
+    among = apart.select("bucket", "band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    # rest against connected: blocks of the rest are numbered below 0
+    left = sized.filter("NOT linked AND near").select("bucket", "band", "node", (-1 - own("n_near")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("n_linked") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = sized.filter("linked AND n_near > 0").select("bucket", "band", "node", F.explode(F.sequence(F.lit(0), blocks("n_near") - 1)).alias("i"), own("n_linked").alias("j"), F.lit(1).alias("side"))
+    across = left.unionByName(right.withColumn("i", -1 - F.col("i")))
+    own_links = judged.filter("linked").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    return own_links.unionByName(verified_blocks(among.unionByName(across).join(sets, "node"), percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (least id that links reach), kept (component_id is its own id).
 
     Equal word sequences are one node, so copies are never paired. Nodes that share a band are candidates: small buckets give distinct pairs,
-    larger ones are cut into blocks and compared block by block inside the tasks, which emit no more links than connect the blocks.
+    larger ones go by large_bucket_links(), whose tasks emit no more links than connect what is connected.
     Links are verified on full sets. Only a pair that shares no band (2e-8 at the threshold of 0.85) or whose posterior is below MISS is lost.
     Null and blank texts have no shingles and link with nothing. Rows of null id take part; a component's id ignores null unless all are. Repeated ids are rows of their own.
     An empty table gives an empty table.
@@ -260,20 +314,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     small = members.filter(F.col("n") <= SMALL).select("bucket", "node")
     pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").filter("u < v").select("u", "v").distinct()
     pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("sig").alias("su"), F.col("shingles").alias("xu")), "u").join(sets.select(F.col("node").alias("v"), F.col("sig").alias("sv"), F.col("shingles").alias("xv")), "v")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    large = (
-        members.filter(F.col("n") > SMALL)
-        .select("bucket", "band", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("bucket", "band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(sets, "node")
-    )
-    links = verified_pairs(pairs, percent).unionByName(verified_blocks(large, percent))
-    roots = components(links)
-    reps = rows.groupBy("node").agg(F.min("id").alias("rep")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    # blank texts share a node but link with nothing
-    labels = reps.join(least, "root").select("node", "component_id")
-    out = rows.select("id", "node", "n_shingles").join(labels, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    links = verified_pairs(pairs, percent).unionByName(large_bucket_links(members.filter(F.col("n") > SMALL).select("bucket", "band", "node"), sets, percent))
+    roots = materialize(components(links), "roots")
+    # blank texts share a node but link with nothing; a text that stands once and links with nothing is its own group and takes no part in a join
+    words = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    reps = materialize(words.join(roots, "node", "left").filter("root IS NOT NULL OR times > 1"), "grouped")
+    linked = reps.filter("root IS NOT NULL")
+    least = materialize(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    labels = linked.join(_few(least), "root").select("node", "times", "component_id").unionByName(reps.filter("root IS NULL").select("node", "times", F.col("rep").alias("component_id")))
+    labels = materialize(labels, "labels")
+    hot = _few(materialize(labels.filter(F.col("times") >= HOT).select("node", "component_id"), "hot"))  # a label for HOT rows
+    slim = rows.select("id", "node", "n_shingles")
+    many = slim.join(hot, "node").select("id", "n_shingles", "component_id")
+    others = slim.join(hot.select("node"), "node", "left_anti").join(_few(labels.filter(F.col("times") < HOT).select("node", "component_id")), "node", "left")
+    others = others.select("id", "n_shingles", F.when(F.col("component_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = many.unionByName(others)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
