@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -16,8 +17,8 @@ from quern.scratch import materialize
 
 #: Classes; words with a class of their own choice, the most frequent; words whose counts travel to the tasks. Rarer words share one class, and their counts are joined.
 CLASSES, CLUSTERED, CARRIED = 64, 16_384, 100_000
-#: Rounds of exchange. In each, every other word may move to the class that gains most.
-ROUNDS = 8
+#: Batches of moves that are tried, at most, and the share of the likelihood that a batch has to gain for another to be tried.
+ROUNDS, LEAST_GAIN = 10, 1e-4
 #: Weight of the class unigram in a transition, in observations.
 PRIOR = 5.0
 #: Distinct words or word pairs that a task gathers before it sends them on.
@@ -151,13 +152,13 @@ def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: int) -> n
     return out
 
 
-def best_moves(near: DataFrame, table: np.ndarray, classes: np.ndarray, k: int, turn: int) -> dict[int, int]:
-    """The better classes of the words whose turn it is. At most CLUSTERED rows reach the driver."""
-    vectors = near.filter((F.col("word") < len(classes) - 1) & (F.pmod(F.xxhash64("word"), F.lit(2)) == turn % 2)).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
+def best_moves(near: DataFrame, table: np.ndarray, classes: np.ndarray, k: int) -> list[tuple[float, int, int]]:
+    """(gain, word, class) of the words that another class would suit better, each as if it moved alone; the largest gain first. At most CLUSTERED rows reach the driver."""
+    vectors = near.filter(F.col("word") < len(classes) - 1).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))  # 2 (k + 1) numbers a word at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, to = [], []
+            word, to, gain = [], [], []
             for w, near_ in zip(batch.column("word").to_pylist(), batch.column("near").to_pylist()):
                 v = np.zeros(2 * (k + 1))
                 for x in near_:
@@ -167,33 +168,43 @@ def best_moves(near: DataFrame, table: np.ndarray, classes: np.ndarray, k: int,
                 if g.max() > 1e-6:
                     word.append(w)
                     to.append(int(g.argmax()))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(to, pa.int32())], ["word", "to"])
+                    gain.append(float(g.max()))
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(to, pa.int32()), pa.array(gain, pa.float64())], ["word", "to", "gain"])
 
-    return {r["word"]: r["to"] for r in vectors.mapInArrow(run, "word int, to int").collect()}
+    return sorted(((r["gain"], r["word"], r["to"]) for r in vectors.mapInArrow(run, "word int, to int, gain double").collect()), key=lambda m: (-m[0], m[1]))
 
 
 def exchange(bigrams: DataFrame, n_words: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Class of each clustered word (and, last, of all others: k) and the counts of class pairs.
 
-    Words start by rank in turn. Each round moves half of the words, all at once, and the best classes seen are kept.
+    Words start by rank in turn. A batch is the moves with the largest gains; gains don't add up, so the likelihood is computed anew and a batch that lowers it
+    is taken back and tried again with half as many moves. The likelihood never falls. It ends after `rounds` batches, with the first that gains little, or when no move is left.
     """
     k = max(1, min(k, n_words))
     classes = np.r_[np.arange(n_words) % k, k].astype(np.int64)
-    best: tuple = ()
-    for turn in range(rounds + 1):
-        near = materialize(neighbours(bigrams, classes, k), "neighbours")
-        table = class_table(near, classes, k)
-        value = likelihood(table)
-        if not best or value > best[0]:
-            best = (value, classes, table)
-        if turn < rounds:
-            moves = best_moves(near, table, classes, k, turn)
-            if not moves and turn:
+    near = materialize(neighbours(bigrams, classes, k), "neighbours")
+    table = class_table(near, classes, k)
+    value, share = likelihood(table), 0.5
+    moves = best_moves(near, table, classes, k) if rounds else []
+    for turn in range(rounds):
+        if not moves:
+            break
+        batch = moves[: max(1, int(len(moves) * share))]
+        tried = classes.copy()
+        tried[[w for _, w, _ in batch]] = [to for _, _, to in batch]
+        near = materialize(neighbours(bigrams, tried, k), "neighbours")
+        new = class_table(near, tried, k)
+        gain = likelihood(new) - value
+        if gain <= 0:
+            if len(batch) == 1:
                 break
-            classes = classes.copy()
-            for w, to in moves.items():
-                classes[w] = to
-    return best[1], best[2]
+            share /= 2
+            continue
+        classes, table, value = tried, new, value + gain
+        if turn + 1 == rounds or gain < LEAST_GAIN * abs(value):
+            break
+        moves = best_moves(near, table, classes, k)
+    return classes, table
 
 
 def transitions(table: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -217,6 +228,33 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(rows, key=lambda x: (x[0] != END, -x[1], x[0]))
 
 
+@dataclass(frozen=True)
+class Model:
+    """What the driver holds: words with their counts (the clustered ones first), the class of each of the clustered, counts of class pairs, all tokens and distinct words of the training rows."""
+
+    head: list[tuple[bytes, int]]
+    of: np.ndarray
+    table: np.ndarray
+    total: int
+    kinds: int
+
+    @property
+    def rare_all(self) -> float:
+        """By which a word beyond the clustered ones has (c + 1) of their class."""
+        clustered = len(self.of) - 1
+        return float(self.total - sum(c for _, c in self.head[:clustered]) + (self.kinds - clustered) + 1)
+
+
+def fit(training: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, carried: int = CARRIED) -> tuple[Model, DataFrame]:
+    """The model of training (text), and the counts (word, c) of all its words as a written table."""
+    counts = materialize(word_counts(training), "words")
+    whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    head = most_frequent(counts, carried)
+    names = [w for w, _ in head[:clustered]]
+    of, table = exchange(materialize(bigram_counts(training, names), "bigrams"), len(names), classes) if names else (np.zeros(1, np.int64), np.zeros((1, 1), np.int64))
+    return Model(head, of, table, int(whole["n"] or 0), int(whole["v"])), counts
+
+
 def class_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, clustered: int = CLUSTERED, carried: int = CARRIED) -> DataFrame:
     """Per row: id, held_out, n_tokens (words and the end), n_known, train_tokens, base_score, score (both log10 probabilities of the text).
 
@@ -227,20 +265,12 @@ def class_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     Without training rows both scores are 0: all tokens are unknown. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    training = rows.filter("NOT held_out")
-    counts = materialize(word_counts(training), "words")
-    whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, kinds = int(whole["n"] or 0), int(whole["v"])
-    head = most_frequent(counts, carried)
-    names = [w for w, _ in head[:clustered]]
+    model, counts = fit(rows.filter("NOT held_out"), classes, clustered, carried)
+    head, of, total, kinds, rare_all = model.head, model.of, model.total, model.kinds, model.rare_all
+    names = [w for w, _ in head[: len(of) - 1]]
     c_head = np.array([c for _, c in head] or [0], dtype=np.int64)
-    if names:
-        of, table = exchange(materialize(bigram_counts(training, names), "bigrams"), len(names), classes)
-    else:
-        of, table = np.zeros(1, np.int64), np.zeros((1, 1), np.int64)
-    step, rare = transitions(table), len(table) - 1
+    step, rare = transitions(model.table), len(model.table) - 1
     in_class = np.bincount(of[:-1], weights=c_head[: len(names)], minlength=rare + 1)
-    rare_all = float(total - c_head[: len(names)].sum() + (kinds - len(names)) + 1)
     class_of = np.full(len(head) + 1, rare, dtype=np.int64)
     class_of[: len(names)] = of[:-1]
     emission = np.zeros(len(head) + 1)
