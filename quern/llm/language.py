@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.batches import map_texts
 
-#: Units of each direction, bytes of a window over which state runs, and windows that step together.
-HIDDEN, WINDOW, TOGETHER = 8, 96, 2048
-#: The training sample: documents of each language, windows of each document (spread over it), languages at most.
-SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_LANGUAGES = 250, 6, 200
-EPOCHS, MINIBATCH, RATE = 8, 128, 0.02
+#: Units of each direction, bytes that a window labels, bytes on either side over which state runs in, and windows that step together.
+HIDDEN, WINDOW, CONTEXT, TOGETHER = 8, 128, 32, 2048
+#: The training sample: whole documents of each language and their bytes, and documents of all languages together (one of each language at least).
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL = 96, 300_000, 20_000
+EPOCHS, MINIBATCH, RATE = 4, 128, 0.02
 UNDETERMINED = "und"
 
 
@@ -33,15 +33,16 @@ class Network:
         return [*self.tables, *self.recurrent, self.out, self.bias]
 
 
-def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts in rows of `size`, padded with 256 at each text's end, and the text of each row."""
+def windows(texts: list[bytes], size: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `size` bytes of the texts with `context` bytes before and after, 256 where the text has none, and the text of each row. Every byte is in the middle of one row."""
     counts = np.array([-(-len(t) // size) for t in texts], dtype=np.int64)
-    rows = np.full((int(counts.sum()), size), 256, dtype=np.int16)
-    flat, at = rows.reshape(-1), 0
+    flat, starts, at = np.full(int((counts * size).sum()) + (len(texts) + 1) * context, 256, dtype=np.int16), [], context
     for t, n in zip(texts, counts):
         flat[at : at + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        at += int(n) * size
-    return rows, np.repeat(np.arange(len(texts)), counts)
+        starts.append(at + size * np.arange(n))
+        at += int(n) * size + context
+    first = np.concatenate(starts) - context if starts else np.zeros(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(np.r_[flat, np.full(size + context, 256, np.int16)], size + 2 * context)[first], np.repeat(np.arange(len(texts)), counts)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -96,12 +97,12 @@ def _states(table: np.ndarray, u: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def position_probabilities(net: Network, rows: np.ndarray) -> np.ndarray:
-    """(time, label, row): the label distribution at every byte."""
+def position_probabilities(net: Network, rows: np.ndarray, context: int = CONTEXT) -> np.ndarray:
+    """(time, label, row): the label distribution at every byte in the middle of the rows. Each direction has run in over the context before it."""
     x = np.ascontiguousarray(rows.T).astype(np.int64)
-    k = net.recurrent[0].shape[0]
-    logits = np.matmul(net.out[:k].T, _states(net.tables[0], net.recurrent[0], x))
-    logits += np.matmul(net.out[k:].T, _states(net.tables[1], net.recurrent[1], x[::-1]))[::-1]
+    k, end = net.recurrent[0].shape[0], len(x) - context
+    logits = np.matmul(net.out[:k].T, _states(net.tables[0], net.recurrent[0], x[:end])[context:])
+    logits += np.matmul(net.out[k:].T, _states(net.tables[1], net.recurrent[1], x[context:][::-1])[context:])[::-1]
     logits += net.bias[:, None]
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
@@ -130,13 +131,13 @@ def _back(table: np.ndarray, u: np.ndarray, x: np.ndarray, states: np.ndarray, k
     return d_table, d_u
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = 3, hidden: int = HIDDEN, epochs: int = EPOCHS, size: int = WINDOW) -> Network:
+def train(texts: list[bytes], labels: list[str], seed: int = 3, hidden: int = HIDDEN, epochs: int = EPOCHS, size: int = WINDOW, context: int = CONTEXT) -> Network:
     """Fit by backpropagation through time: cross entropy of each byte's label, Adam steps."""
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
     f32 = lambda x: x.astype(np.float32)
     net = Network(names, [f32(rng.normal(0, 0.3, (257, 3 * hidden))) for _ in range(2)], [f32(rng.normal(0, 0.3, (hidden, 3 * hidden))) for _ in range(2)], f32(rng.normal(0, 0.3, (2 * hidden, len(names)))), np.zeros(len(names), np.float32))
-    rows, doc = windows(texts, size)
+    rows, doc = windows(texts, size, context)
     goal = np.array([names.index(x) for x in labels], dtype=np.int64)[doc] if len(labels) else np.zeros(0, np.int64)
     first, second, step = [np.zeros_like(a) for a in net.arrays()], [np.zeros_like(a) for a in net.arrays()], 0
     total = epochs * max(1, -(-len(rows) // MINIBATCH))
@@ -145,19 +146,21 @@ def train(texts: list[bytes], labels: list[str], seed: int = 3, hidden: int = HI
         for at in range(0, len(order), MINIBATCH):
             pick = order[at : at + MINIBATCH]
             x = np.ascontiguousarray(rows[pick].T)
-            forward, kept_f = _run(net.tables[0], net.recurrent[0], x, True)
-            backward, kept_b = _run(net.tables[1], net.recurrent[1], x[::-1], True)
-            both = np.concatenate([forward, backward[::-1]], axis=2)
+            ahead, behind, middle = x[: size + context], x[context:][::-1], x[context : size + context]
+            forward, kept_f = _run(net.tables[0], net.recurrent[0], ahead, True)
+            backward, kept_b = _run(net.tables[1], net.recurrent[1], behind, True)
+            both = np.concatenate([forward[context:], backward[context:][::-1]], axis=2)
             logits = both @ net.out + net.bias
             p = np.exp(logits - logits.max(axis=2, keepdims=True))
             p /= p.sum(axis=2, keepdims=True)
-            real = (x < 256)[..., None]
+            real = (middle < 256)[..., None]
             d = p
             d[:, np.arange(len(pick)), goal[pick]] -= 1
             d *= real / np.float32(max(1, real.sum()))
             d_both = d @ net.out.T
-            t0, u0 = _back(net.tables[0], net.recurrent[0], x, forward, kept_f, d_both[..., :hidden])
-            t1, u1 = _back(net.tables[1], net.recurrent[1], x[::-1], backward, kept_b, d_both[::-1][..., hidden:])
+            run_in = np.zeros((context, len(pick), hidden), np.float32)  # no label there, but state to learn from
+            t0, u0 = _back(net.tables[0], net.recurrent[0], ahead, forward, kept_f, np.concatenate([run_in, d_both[..., :hidden]]))
+            t1, u1 = _back(net.tables[1], net.recurrent[1], behind, backward, kept_b, np.concatenate([run_in, d_both[::-1][..., hidden:]]))
             grads = [t0, t1, u0, u1, both.reshape(-1, 2 * hidden).T @ d.reshape(-1, len(names)), d.sum(axis=(0, 1))]
             step += 1
             rate = RATE * (1 - step / (total + 1))
@@ -175,7 +178,7 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     for at in range(0, len(rows), TOGETHER):
         part = rows[at : at + TOGETHER]
         p = position_probabilities(net, part)
-        p *= (part.T < 256)[:, None, :]
+        p *= (part[:, CONTEXT : CONTEXT + WINDOW].T < 256)[:, None, :]
         sums = p.sum(axis=0)
         for k in range(len(net.labels)):
             out[:, k] += np.bincount(doc[at : at + TOGETHER], weights=sums[k], minlength=len(texts))
@@ -183,26 +186,27 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return out / size[:, None]
 
 
-def training_sample(rows: DataFrame, per_label: int = SAMPLE_DOCS, pieces: int = SAMPLE_WINDOWS, size: int = WINDOW) -> tuple[list[bytes], list[str]]:
-    """rows (id, text, lang) to windows and labels for the driver: at most per_label documents of each language, `pieces` windows of each."""
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = rows.select("id", "lang").filter("lang IS NOT NULL AND id IS NOT NULL").withColumn("n", order).filter(F.col("n") <= per_label).select("id").distinct().limit(per_label * MOST_LANGUAGES)
-    got = rows.filter("lang IS NOT NULL AND text <> ''").join(F.broadcast(ids), "id", "left_semi")
-    raw = F.col("text").cast("binary")
-    step = F.greatest(F.lit(size), F.floor(F.octet_length("text") / pieces)).cast("int")
-    cut = got.select("lang", F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring(raw, k * step + 1, F.lit(size))).alias("cut"))
-    texts, labels = [], []
-    for r in cut.select(F.explode("cut").alias("cut"), "lang").filter("octet_length(cut) > 0").collect():
-        texts.append(bytes(r["cut"]))
-        labels.append(r["lang"])
-    order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))  # the same network whatever the order of rows
-    return [texts[i] for i in order], [labels[i] for i in order]
+def training_sample(rows: DataFrame, per_label: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, together: int = SAMPLE_ALL) -> tuple[list[bytes], list[str]]:
+    """rows (id, text, lang) to whole texts and their labels for the driver: of each language the first documents by a hash of the id, as many as per_label and most_bytes allow, one at least.
+
+    With many languages each has fewer documents, `together` in all, but none is left out.
+    """
+    known = rows.filter("lang IS NOT NULL AND id IS NOT NULL AND text <> ''")
+    languages = known.select("lang").distinct().count()
+    most = max(1, min(per_label, together // max(1, languages)))
+    by = Window.partitionBy("lang").orderBy("h", "id")
+    first = known.select("lang", "id", F.xxhash64("id").alias("h"), F.octet_length("text").alias("size")).withColumn("n", F.row_number().over(by)).filter(F.col("n") <= most)
+    ids = first.withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("n") == 1) | (F.col("upto") <= most_bytes)).select("id").distinct()  # `together` ids at most, and one a language
+    got = known.join(F.broadcast(ids), "id", "left_semi").select("text", "lang").collect()
+    pairs = sorted((r["lang"], r["text"].encode()) for r in got)  # the same network whatever the order of rows
+    return [t for _, t in pairs], [lang for lang, _ in pairs]
 
 
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, held_out, lang_pred, score (the pooled probability of lang_pred).
 
-    held_out: a condition on docs' columns; rows where it isn't true may train. Every byte of every text is labelled and pooled.
+    held_out: a condition on docs' columns; rows where it isn't true may train. Every byte of every text is labelled and pooled; state has run in over CONTEXT bytes
+    before a window's first byte in either direction and isn't carried farther, so long texts cost memory in proportion to a slice only. Of equal probabilities the first language by name wins.
     Null texts and texts without a letter, and all texts where no language can be learned, get `und` and 0. With one language learned it is always that.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
