@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import brown, decontamination, language, minhash, packing, quality, secrets, sharding, token_counts, toxicity
+from quern.scratch import scratch_dir
 
 
 def _remainder(n: int):
@@ -51,7 +53,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scan(_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    """Documents arrive in two deliveries. The first begins a ledger; the second, which is all documents, scans only blobs that the ledger lacks."""
+    docs = _table(spark, sf_dir, "documents", ["doc_id", "text"])
+    path = f"{scratch_dir(spark)}/quern-secret-ledger-{uuid.uuid4().hex}"
+    secrets.append(docs.filter(_remainder(2) == 0), path)
+    return secrets.secret_scan(docs, path=path)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,8 @@ RULES = (
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 30, base=False, marks=("eyj",)),
 )
 RULE_VERSION = "1.1"
+#: Hashes of blobs, of some 30 bytes, and blobs with findings that may be broadcast.
+BROADCAST_HASHES, BROADCAST_FINDINGS = 4_000_000, 200_000
 LEDGER_SCHEMA = "blob string, rule_version string, findings array<struct<kind:string,ord:int,base:boolean,start:int,end:int>>"
 
 
@@ -92,34 +94,73 @@ def address(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
     """Ledger rows to append: one for each blob of versions that the ledger doesn't have under this rule version.
 
-    A blob that many paths share is scanned once: copies meet within their task first, so a blob of a third of all rows is a row for each task.
+    Addresses alone are counted and compared with the ledger. Texts of blobs that one path has are scanned where they are read; only those of shared blobs
+    are exchanged, so that each is scanned once: copies meet within their task first, and a blob of a third of all rows is a row for each task.
+    With more than BROADCAST_HASHES hashes of shared blobs all texts go the way of shared ones.
     """
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    counts = address(versions, text_col, text_col).groupBy("blob").agg(F.count("*").alias("n"))
     rows = versions.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ledger is not None:
-        rows = rows.join(ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    return scan_blobs(rows.dropDuplicates(["blob"]), rules, rule_version)
+        known = counts.join(ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_semi")
+        known = materialize(known, "known")
+        rows = rows.join(_sized(known.select("blob"), BROADCAST_HASHES // 8), "blob", "left_anti")
+        counts = counts.join(known, "blob", "left_anti")
+    # a hash of the address tells rows apart well enough here: one that shares it by chance is exchanged like a copy
+    shared = materialize(counts.filter("n > 1").select(F.xxhash64("blob").alias("_h")).distinct(), "shared")
+    if shared.count() > BROADCAST_HASHES:
+        return scan_blobs(rows.dropDuplicates(["blob"]), rules, rule_version)
+    rows = rows.withColumn("_h", F.xxhash64("blob"))
+    alone = rows.join(F.broadcast(shared), "_h", "left_anti").drop("_h")
+    copies = rows.join(F.broadcast(shared), "_h", "left_semi").drop("_h").dropDuplicates(["blob"])
+    return scan_blobs(alone, rules, rule_version).unionByName(scan_blobs(copies, rules, rule_version))
+
+
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    """df, a written table, to be broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def append(versions: DataFrame, path: str, rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
+    """Scan what the ledger in the folder `path` lacks and append it there; the whole ledger. A folder without a table is an empty ledger, begun here.
+
+    Appended rows are those of one write, so a run that fails leaves the ledger as it was.
+    """
+    spark = versions.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    begun = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(path) if begun else None
+    update_ledger(versions, ledger, rule_version=rule_version, text_col=text_col).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
 def join_findings(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, path_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """path, extra columns and findings of every version. Copies of a third of all rows are one ledger row; the join spreads them as AQE splits skewed partitions."""
-    known = ledger.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
+    """path, extra columns and findings of every version. Only blobs with findings are joined, by a broadcast up to BROADCAST_FINDINGS of them; beyond, AQE splits what copies skew."""
+    known = _sized(materialize(_with_findings(ledger, rule_version), "findings"), BROADCAST_FINDINGS)
     empty = F.array().cast("array<struct<kind:string,ord:int,base:boolean,start:int,end:int>>")
     return address(versions, path_col, text_col, extra).join(known, "blob", "left").withColumn("findings", F.coalesce("findings", empty)).drop("blob")
 
 
+def _with_findings(ledger: DataFrame, rule_version: str) -> DataFrame:
+    return ledger.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
+
+
 def _joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans.
 
+    Blobs that `ledger` has, or the ledger kept in the folder `path`, aren't scanned again; what is new is appended to the latter.
     Spans are kind:start:end in code points, end exclusive, by start and then by the order of RULES, joined by commas; base_sha256 is the digest of those of base kinds.
     Null text is the empty blob without spans. Null, repeated ids and repeated rows each give a row. Other columns of docs are ignored. An empty table gives an empty one.
     """
-    new = materialize(update_ledger(docs, ledger, text_col=text_col), "ledger")
-    known = new if ledger is None else ledger.unionByName(new)
+    if path is not None:
+        known = append(docs, path, text_col=text_col)
+    else:
+        new = materialize(update_ledger(docs, ledger, text_col=text_col), "ledger")
+        known = new if ledger is None else ledger.unionByName(new)
     f = F.col("findings")
     count = lambda kind: F.size(F.filter(f, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = _joined(F.filter(f, lambda x: x["base"]))
@@ -132,7 +173,7 @@ def redact(versions: DataFrame, columns: list[str], ledger: DataFrame | None = N
     """versions with every finding in text replaced by `mark`; overlapping findings are one. Rows without findings stay as they are."""
     new = materialize(update_ledger(versions, ledger, text_col=text_col), "ledger")
     known = new if ledger is None else ledger.unionByName(new)
-    found = known.filter((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")).dropDuplicates(["_blob"])
+    found = _sized(materialize(_with_findings(known, RULE_VERSION).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")), "findings"), BROADCAST_FINDINGS)
     text = F.col(text_col)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
