@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.scratch import materialize
 
-#: Positions of a window of words that a seed reads (1) or ignores (0): fixed masks of one span. All read the first three words.
-MASKS = ("111010011", "111001101")
-SPAN = len(MASKS[0])
+#: Positions of a window of words that a seed reads (1) or ignores (0): fixed masks. They have the first two positions in common and no run of three.
+MASKS = ("1101101", "1100101001")
 #: A word that agrees counts 1, one that differs MISMATCH; the best run of an overlap has to reach SCORE.
-SCORE, MISMATCH = 10, -2
+SCORE, MISMATCH = 10, -1
 #: An item stands in a text, too, if of its words in place no more than one in CHANGED differs: under CHANGED words none.
 CHANGED = 6
 #: Runs of equal words that such an item leaves at least, by its length: (span, fewest words, most words). Longer items that keep so many words reach SCORE.
 RUNS = ((3, 6, 7), (4, 8, 18))
-#: Seeds and keys that may be broadcast, of some 40 bytes, and word triples of the benchmark that an expression may hold.
-BROADCAST_ROWS, MOST_TRIPLES = 1_000_000, 50_000
+#: Seeds and keys that may be broadcast, of some 40 bytes, and hashes of the benchmark that an expression may hold.
+BROADCAST_ROWS, MOST_HASHES = 1_000_000, 50_000
 #: Words are runs of other characters than these.
 SEPARATORS = "[\\x00-\\x2F:;<=>?@\\[\\\\\\]^_`{|}~]+"
 
@@ -31,27 +32,61 @@ def _read(mask: str, salt: int, at: Column) -> Column:
     return F.xxhash64(F.lit(salt), *[F.get(F.col("h"), at + k) for k, c in enumerate(mask) if c == "1"])
 
 
+def families(lengths: list[int]) -> list[tuple[str, Column]]:
+    """Masks and the items that each seeds, by their number of words. lengths: those under CHANGED that occur, which are seeded whole."""
+    size = F.size("h")
+    return [*[(m, size >= len(m)) for m in MASKS], *[("1" * span, size.between(least, most)) for span, least, most in RUNS], *[("1" * n, size == n) for n in sorted(lengths)]]
+
+
 def windows(span: int) -> Column:
     """First places of the windows of h; none in shorter texts."""
     return F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span)).otherwise(F.array().cast("array<int>"))
 
 
-def seeds(table: DataFrame, keep: list[str], masks: tuple[str, ...], triples: list[int] | None = None) -> DataFrame:
-    """keep, seed, at: a row for each mask and window of column h. triples: only windows that start with one of these hashes of three words."""
-    span = len(masks[0])
-    at = windows(span)
-    if triples is not None:
-        at = F.filter(at, lambda i: _read("111", 0, i).isin(triples))
-    made = F.flatten(F.transform(at, lambda i: F.array(*[F.struct(_read(m, 100 * span + k, i).alias("seed"), i.alias("at")) for k, m in enumerate(masks)])))
-    return table.select(*keep, F.explode(made).alias("_s")).select(*keep, "_s.seed", "_s.at")
+def _opening(at: Column) -> Column:
+    return _read("11", -1, at)
+
+
+def item_seeds(items: DataFrame, masks: list[tuple[str, Column]]) -> DataFrame:
+    """items (item, h) to (seed, opening, item, item_at): a row for each window of each mask that seeds the item. opening: the hash of its first two words, null for masks of one."""
+
+    def of_mask(k: int, mask: str) -> Column:
+        opening = _opening if len(mask) > 1 else lambda i: F.lit(None).cast("long")
+        return F.transform(windows(len(mask)), lambda i: F.struct(_read(mask, k, i).alias("seed"), opening(i).alias("opening"), i.alias("item_at")))
+
+    parts = [items.filter(of).select("item", F.explode(of_mask(k, mask)).alias("_s")).select("_s.seed", "_s.opening", "item", "_s.item_at") for k, (mask, of) in enumerate(masks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def text_seeds(texts: DataFrame, masks: list[str], openings: list[int] | None, seeds: list[int] | None) -> DataFrame:
+    """texts (key, h) to (key, seed, at) in one pass: a row for each mask and window. openings: only windows whose first two words have one of these hashes, but for masks of one word; seeds: only these."""
+
+    def of_masks(at: Column, own: list[tuple[int, str]]) -> Column:
+        one = lambda i, k, m: F.struct(F.when(i + len(m) <= F.size("h"), _read(m, k, i)).alias("seed"), i.alias("at"))
+        return F.flatten(F.transform(at, lambda i: F.array(*[one(i, k, m) for k, m in own])))
+
+    numbered = list(enumerate(masks))
+    opened = windows(2) if openings is None else F.filter(windows(2), lambda i: _opening(i).isin(openings))
+    parts = [of_masks(opened, [(k, m) for k, m in numbered if len(m) > 1])]
+    if any(len(m) == 1 for m in masks):
+        parts.append(of_masks(windows(1), [(k, m) for k, m in numbered if len(m) == 1]))
+    made = F.filter(F.concat(*parts), lambda s: s["seed"].isNotNull() if seeds is None else s["seed"].isin(seeds))
+    return texts.select("key", F.explode(made).alias("_s")).select("key", "_s.seed", "_s.at")
+
+
+def _listed(df: DataFrame, column: str) -> list[int] | None:
+    """The distinct values that aren't null, None if there are over MOST_HASHES."""
+    got = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_HASHES + 1).collect()
+    return [r[0] for r in got] if len(got) <= MOST_HASHES else None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """Per row of docs: id, extra columns, contaminated, n_items, item_ids (ascending), best_score.
 
     A seed that a document and an item share puts them on a diagonal. Along it all words of the item are compared with the document's:
-    a run's score counts equal words and takes away 2 for each that differs. Runs of SCORE are contamination, and so is an item of which no more than one word in CHANGED differs.
-    Items of fewer words than CHANGED are seeded whole, by a contiguous mask of their length; those of up to 18 words by runs that CHANGED can't all break, so none is missed. Items and texts that are null or blank match nothing.
+    a run's score counts equal words and takes away 1 for each that differs. Runs of SCORE are contamination, and so is an item of which no more than one word in CHANGED differs.
+    No run of SCORE is without two equal words in a row, with which all masks begin. Items of fewer words than CHANGED are seeded whole, by a contiguous mask of their length;
+    those of up to 18 words also by runs that CHANGED can't all break, so none is missed. Items and texts that are null or blank match nothing.
     Null item ids count as an item in n_items' place only once and aren't listed. Texts are told apart by content, so repeated ids and copies are safe.
     An empty table on either side gives no contamination.
     """
@@ -61,21 +96,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = materialize(benchmark.select(F.col(item_col).alias("item"), F.array_remove(word_hashes(F.col(item_text_col)), F.xxhash64(F.lit(''))).alias("ih")).filter(F.size("ih") > 0), "items")
     size = F.size("ih")
     lengths = [r[0] for r in items.filter(size < CHANGED).select(size).distinct().collect()]  # CHANGED - 1 numbers at most
-    families = [(MASKS, size >= SPAN), *[(("1" * m,), size == m) for m in sorted(lengths)], *[(("1" * span,), size.between(least, most)) for span, least, most in RUNS]]
-    hits = None
-    for masks, of in families:
-        own, span = items.filter(of).withColumnRenamed("ih", "h"), len(masks[0])
-        firsts = own.select(F.explode(F.transform(windows(span), lambda i: _read("111", 0, i))).alias("t")).distinct().limit(MOST_TRIPLES + 1).collect() if span >= 3 else []
-        if span >= 3 and not firsts:
-            continue
-        triples = [r["t"] for r in firsts] if 0 < len(firsts) <= MOST_TRIPLES else None  # else every window is looked up
-        theirs = seeds(own, ["item"], masks).withColumnRenamed("at", "item_at")
-        if theirs.count() <= BROADCAST_ROWS:
-            theirs = F.broadcast(theirs)
-        got = seeds(texts, ["key"], masks, triples).join(theirs, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-        hits = got if hits is None else hits.unionByName(got)
-    if hits is None:
-        hits = texts.crossJoin(items).select("key", "item", F.lit(0).alias("diagonal")).limit(0)
+    masks = families(lengths)
+    theirs = materialize(item_seeds(items.withColumnRenamed("ih", "h"), masks), "seeds")
+    ours = text_seeds(texts, [m for m, _ in masks], _listed(theirs, "opening"), _listed(theirs, "seed"))
+    few = theirs.count() <= BROADCAST_ROWS
+    theirs = theirs.select("seed", "item", "item_at")
+    hits = ours.join(F.broadcast(theirs) if few else theirs, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("diagonal"))
     hits = materialize(hits.distinct(), "hits")
     keys = hits.select("key").distinct()
     few = keys.count() <= BROADCAST_ROWS

@@ -197,9 +197,9 @@ def test_short_items_with_changed_words(spark):
                 words = ["other" if j in at else w for j, w in enumerate(item)]
                 now = best = 0
                 for j in range(n):
-                    now = max(now + (1 if j not in at else -2), 0)
+                    now = max(now + (1 if j not in at else decontamination.MISMATCH), 0)
                     best = max(best, now)
-                if m == n // 6 or best < 10:
+                if m == n // 6 or best < decontamination.SCORE:
                     want[len(docs)] = [n] if m == n // 6 else []
                     docs.append((len(docs), " ".join([f"r{x}" for x in rng.integers(0, 5000, 15)] + words + [f"r{x}" for x in rng.integers(0, 5000, 15)])))
     benchmark = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
