@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.batches import map_texts
@@ -22,6 +22,8 @@ BAND_QUANTILE, BAND_WIDTH = 0.25, 8.0
 #: A group with fewer distinct texts has its bands widened, by the root of what it lacks.
 MIN_GROUP = 200
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+#: Quantiles are those of the measures in steps of one part in so many.
+GRID = 10_000
 _SPACE = b" \t\n\v\f\r"
 _NOT_COUNTED = _SPACE + bytes(range(0x80, 0xC0))
 
@@ -127,14 +129,19 @@ def text_measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 def fertility_bands(measures: DataFrame, quantile: float = BAND_QUANTILE, width: float = BAND_WIDTH, min_group: int = MIN_GROUP) -> DataFrame:
     """band_group with low and high of each measure, over its distinct texts (text_hash) that pass the base rules.
 
+    Quantiles come from counts of the values, in steps of 1 / GRID, so they are the same however the rows are split.
+
     A band reaches from the median by `width` times the distance to the quantile on that side, and at least as far as that of the mean distance of all groups
     (by their texts, and in parts of each median but for byte_share) and a twentieth of the median (a hundredth for byte_share). The fewer than min_group texts, the wider.
     """
-    aggs = [F.count("*").alias("n")]
-    for m in MEASURES:
-        aggs.append(F.percentile_approx(m, [quantile, 0.5, 1 - quantile], 2000).alias(m))
     texts = measures.filter("NOT base_failed").select("band_group", "text_hash", *MEASURES).dropDuplicates(["band_group", "text_hash"])
-    groups = materialize(texts.groupBy("band_group").agg(*aggs), "groups")
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * GRID).cast("long").alias("value")) for m in MEASURES]))
+    counts = texts.select("band_group", values.alias("x")).select("band_group", "x.*").filter("value IS NOT NULL").groupBy("band_group", "measure", "value").agg(F.count("*").alias("n"))
+    one = Window.partitionBy("band_group", "measure")
+    placed = counts.withColumn("upto", F.sum("n").over(one.orderBy("value"))).withColumn("all", F.sum("n").over(one))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("value"))) / GRID
+    middle = placed.groupBy("band_group", "measure").agg(F.array(at(quantile), at(0.5), at(1 - quantile)).alias("q"), F.max("all").alias("n"))
+    groups = materialize(middle.groupBy("band_group").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in MEASURES]), "groups")
     spreads = []
     for m in MEASURES:
         mid = F.col(m)[1]
