@@ -17,8 +17,10 @@ SCORE, MISMATCH = 10, -1
 CHANGED = 6
 #: Runs of equal words that such an item leaves at least, by its length: (span, fewest words, most words). Longer items that keep so many words reach SCORE.
 RUNS = ((3, 6, 7), (4, 8, 18))
-#: Seeds and keys that may be broadcast, of some 40 bytes, and hashes of the benchmark that an expression may hold.
-BROADCAST_ROWS, MOST_HASHES = 1_000_000, 50_000
+#: Seeds and keys that may be broadcast, of some 40 bytes.
+BROADCAST_ROWS = 1_000_000
+#: Bits of the sets that texts' windows are tested against before they are looked up: so many for each hash of the benchmark, and at most. A fuller set lets more windows through to the lookup and leaves none out.
+BITS_EACH, MOST_BITS = 16, 1 << 24
 #: Words are runs of other characters than these.
 SEPARATORS = "[\\x00-\\x2F:;<=>?@\\[\\\\\\]^_`{|}~]+"
 
@@ -58,28 +60,42 @@ def item_seeds(items: DataFrame, masks: list[tuple[str, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def text_seeds(texts: DataFrame, masks: list[str], openings: list[int] | None, seeds: list[int] | None) -> DataFrame:
-    """texts (key, h) to (key, seed, at) in one pass: a row for each mask and window. openings: only windows whose first two words have one of these hashes, but for masks of one word; seeds: only these."""
+def bitmap(df: DataFrame, column: str) -> Column:
+    """A bit set, as an array of longs, of the values of column, BITS_EACH bits a value and MOST_BITS at most. The driver sees the longs that aren't 0, at most MOST_BITS / 64."""
+    bits = 1 << 10
+    while bits < min(MOST_BITS, BITS_EACH * df.count()):
+        bits *= 2
+    place = F.pmod(F.col(column), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    got = df.filter(F.col(column).isNotNull()).groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    words = [0] * (bits // 64)
+    for r in got:
+        words[r["word"]] = r["bits"]
+    return F.from_json(F.lit(str(words)), "array<bigint>")  # one literal, folded before the query runs
+
+
+def _may_have(bits: Column, value: Column) -> Column:
+    """Whether the bit of value is set: for all values of the set, and few others."""
+    place = F.pmod(value, F.size(bits).cast("long") * 64)
+    return F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def text_seeds(texts: DataFrame, masks: list[str], openings: Column, seeds: Column) -> DataFrame:
+    """texts (key, h) to (key, seed, at) in one pass: a row for each mask and window whose first two words are in the bit set openings (masks of one word have no such test) and whose seed is in the bit set seeds."""
 
     def of_masks(at: Column, own: list[tuple[int, str]]) -> Column:
         one = lambda i, k, m: F.struct(F.when(i + len(m) <= F.size("h"), _read(m, k, i)).alias("seed"), i.alias("at"))
         return F.flatten(F.transform(at, lambda i: F.array(*[one(i, k, m) for k, m in own])))
 
     numbered = list(enumerate(masks))
-    opened = windows(2) if openings is None else F.filter(windows(2), lambda i: _opening(i).isin(openings))
+    opened = F.filter(windows(2), lambda i: _may_have(openings, _opening(i)))
     parts = [of_masks(opened, [(k, m) for k, m in numbered if len(m) > 1])]
     if any(len(m) == 1 for m in masks):
         parts.append(of_masks(windows(1), [(k, m) for k, m in numbered if len(m) == 1]))
-    made = F.filter(F.concat(*parts), lambda s: s["seed"].isNotNull() if seeds is None else s["seed"].isin(seeds))
+    made = F.filter(F.concat(*parts), lambda s: _may_have(seeds, s["seed"]))  # null beyond the text's end
     return texts.select("key", F.explode(made).alias("_s")).select("key", "_s.seed", "_s.at")
 
 
-def _listed(df: DataFrame, column: str) -> list[int] | None:
-    """The distinct values that aren't null, None if there are over MOST_HASHES."""
-    got = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_HASHES + 1).collect()
-    return [r[0] for r in got] if len(got) <= MOST_HASHES else None
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """Per row of docs: id, extra columns, contaminated, n_items, item_ids (ascending), best_score.
 
@@ -98,7 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lengths = [r[0] for r in items.filter(size < CHANGED).select(size).distinct().collect()]  # CHANGED - 1 numbers at most
     masks = families(lengths)
     theirs = materialize(item_seeds(items.withColumnRenamed("ih", "h"), masks), "seeds")
-    ours = text_seeds(texts, [m for m, _ in masks], _listed(theirs, "opening"), _listed(theirs, "seed"))
+    ours = text_seeds(texts, [m for m, _ in masks], bitmap(theirs, "opening"), bitmap(theirs, "seed"))
     few = theirs.count() <= BROADCAST_ROWS
     theirs = theirs.select("seed", "item", "item_at")
     hits = ours.join(F.broadcast(theirs) if few else theirs, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("diagonal"))
