@@ -11,6 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from quern.llm import packing, quality, token_counts
+from quern.llm.vocabularies import safe_word_vocabulary
 from tests.llm.cases import documents, empty, multiset, words
 
 
@@ -56,6 +57,28 @@ def test_packing_round_trip(spark):
     assert packing.packed_documents(empty(spark)).count() == 0
 
 
+def test_special_strings_in_any_case(spark):
+    """The library takes special strings before it lowers capitals: only the exact ones are one id."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "A<|endoftext|>B C", "<|StartOfText|><|startoftext|>", "<| x |> <|", "ONE <|endoftext|>\nTwo", "İstanbul É <|X", "e\u0301 \u0301x"]
+    rows = {r["doc_id"]: bytes(r["ids"]) for r in packing.tokenized_pieces(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), keep_ids=True).collect()}
+    assert [rows[k] for k in range(len(odd))] == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in odd]
+    assert safe_word_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_pieces_of_one_length_meet_their_own_places(spark):
+    """Many combinations use the same filler length; each piece gets one place."""
+    rows = [(k, 0, 0, n, 7) for k, n in enumerate([3000 - 7 * j for j in range(150)] + [5] * 3000 + [4096] * 3)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 4096
+
+
 def test_minimum_bin_slack_takes_the_fullest():
     from itertools import product
 
@@ -147,3 +170,37 @@ def test_dominant_script():
     scripts = quality._Scripts()
     cases = {"plain words": "LATIN", "12 - 3": "", "": "", "é à": "LATIN", "δρόμο road δρόμο": "GREEK", "ひらがなカタカナ漢字": "KANA", "漢字 ok 漢": "CJK", "🙂 €": ""}
     assert {t: quality.dominant_script(t, scripts) for t in cases} == cases
+
+
+def test_verdict_is_that_of_plain_quantiles(spark):
+    """kept against quantiles of sorted lists of each group's distinct texts, reckoned in plain loops from the same measures."""
+    import math
+
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    odd = lambda: "".join(rng.choice(letters, 7))
+    rows = [(k, " ".join(odd() if rng.random() < (k % 50) / 60 else str(rng.choice(PROSE)) for _ in range(90)), ("en", "de", None)[k % 3]) for k in range(240)]
+    rows += [(1000 + k, "".join(chr(0x12000 + j % 300) + " " for j in range(k, k + 80)), "en") for k in range(2)] + rows[:30]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    text = {i: (t, lang) for i, t, lang in rows}
+    group = lambda i: f"lang:{text[i][1]}" if text[i][1] else "script:LATIN"
+    measures = {r["doc_id"]: [r[m] for m in quality.MEASURES] for r in got}
+    passed = {r["doc_id"] for r in got if not r["base_failed"]}
+    bands, stats = {}, defaultdict(dict)
+    for g in {group(i) for i in passed}:
+        own = {text[i][0]: measures[i] for i in passed if group(i) == g}
+        for k, m in enumerate(quality.MEASURES):
+            v = sorted(round(x[k] * 10_000) / 10_000 for x in own.values())
+            stats[g][m] = (len(v), [v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75)])
+    for m in quality.MEASURES:
+        part = lambda mid: 1.0 if m == "byte_share" else mid  # noqa: B023, E731
+        total = sum(s[m][0] for s in stats.values())
+        spread = [sum(s[m][0] * abs(s[m][1][1] - s[m][1][side]) / part(s[m][1][1]) for s in stats.values()) / total for side in (0, 2)]
+        for g, s in stats.items():
+            n, (low, mid, high) = s[m]
+            wide = 8.0 * math.sqrt(max(1.0, 200 / n))
+            least = 0.01 if m == "byte_share" else 0.05 * mid
+            bands[g, m] = (mid - max((mid - low) * wide, spread[0] * part(mid) * wide, least), mid + max((high - mid) * wide, spread[1] * part(mid) * wide, least))
+    for r in got:
+        want = r["doc_id"] in passed and all(bands[group(r["doc_id"]), m][0] <= x <= bands[group(r["doc_id"]), m][1] for m, x in zip(quality.MEASURES, measures[r["doc_id"]]))
+        assert r["kept"] == want, r

@@ -46,6 +46,23 @@ def test_large_buckets_lose_no_link(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_large_buckets_with_texts_beyond_the_representative(spark):
+    """Groups around several centres share buckets; links between what links to a representative and what doesn't are found."""
+    rng = np.random.default_rng(17)
+    base = [f"w{j}" for j in range(150)]
+    rows = []
+    for k in range(260):  # from copies of the base to texts with up to 14 changed words, in runs, so similarities lie on either side of 0.85
+        t = list(base)
+        at, n = int(rng.integers(0, 130)), int(rng.integers(0, 15))
+        t[at : at + n] = [f"x{int(rng.integers(0, 4))}{j}" for j in range(n)]
+        if k % 3 == 0:
+            t[int(rng.integers(0, 150))] = f"only{k}"
+        rows.append((k, " ".join(t)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    group = near_groups(rows, 3, 85)
+    assert [got[k] for k in range(len(rows))] == group
+
+
 def test_posterior_bounds_hold():
     least = minhash.least_matches(0.85)
     assert all(a <= b for a, b in zip(least, least[1:]))
@@ -95,6 +112,26 @@ def test_communication_matrix_is_that_of_a_permutation():
     assert all(abs(tables[k] - want[k]) < 160 for k in want)
 
 
+def test_counts_beyond_numpys_limit():
+    rng = np.random.default_rng(2)
+    assert sharding.hypergeometric(rng, 10**10, 0, 5) == 5 and sharding.hypergeometric(rng, 0, 10**10, 5) == 0 and sharding.hypergeometric(rng, 10**10, 10**10, 0) == 0
+    good, bad, take = 3 * 10**10, 9 * 10**10, 40_000
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, take) for _ in range(3000)])
+    sd = (take * 0.25 * 0.75) ** 0.5
+    assert abs(drawn.mean() - take / 4) < 4 * sd / 3000**0.5 and 0.93 < drawn.std() / sd < 1.07
+    matrix = sharding.communication_matrix([3 * 10**9] * 4, [3 * 10**9] * 4, 1)
+    assert (matrix.sum(axis=0) == 3 * 10**9).all() and (matrix.sum(axis=1) == 3 * 10**9).all() and (matrix >= 0).all()
+
+
+def test_both_ways_of_drawing_agree(monkeypatch):
+    """The same distribution from numpy and from the ratios, small enough to count."""
+    rng = np.random.default_rng(3)
+    want = Counter(int(rng.hypergeometric(7, 12, 9)) for _ in range(6000))
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", 0)
+    got = Counter(sharding.hypergeometric(rng, 7, 12, 9) for _ in range(6000))
+    assert all(abs(got[k] - want[k]) < 240 for k in range(8))
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -133,6 +170,16 @@ def test_ledger_scans_only_unseen_blobs(spark):
     assert multiset(secrets.secret_scan(docs, first).collect()) == multiset(secrets.secret_scan(docs).collect())
 
 
+def test_ledger_in_a_folder(spark, tmp_path):
+    docs, path = documents(spark), str(tmp_path / "ledger")
+    first = secrets.append(docs.filter("doc_id < 30"), path)
+    n = first.count()
+    assert multiset(secrets.secret_scan(docs, path=path).collect()) == multiset(secrets.secret_scan(docs).collect())
+    whole = spark.read.parquet(path)
+    assert whole.count() == whole.select("blob").distinct().count() == docs.selectExpr("coalesce(text, '') t").distinct().count() > n
+    assert secrets.append(docs, path).count() == whole.count()
+
+
 def test_redaction(spark):
     rows = {r["doc_id"]: r["text"] for r in secrets.redact(documents(spark), ["doc_id", "text"]).collect()}
     for r in documents(spark).collect():
@@ -205,3 +252,46 @@ def test_short_items_with_changed_words(spark):
     benchmark = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
     assert {r["doc_id"]: r["item_ids"] for r in got} == want
+
+
+def best_run(item: list[str], text: list[str], diagonal: int) -> tuple[int, int]:
+    """Best score of a run along a diagonal, and equal words, in a plain loop."""
+    now = best = same = 0
+    for j, w in enumerate(item):
+        if 0 <= j + diagonal < len(text):
+            equal = w == text[j + diagonal]
+            now = max(now + (1 if equal else decontamination.MISMATCH), 0)
+            best, same = max(best, now), same + equal
+    return best, same
+
+
+def test_recall_by_share_of_changed_words(spark):
+    """Passages with every k-th word changed, and with words changed at random, against all diagonals in plain loops. Nothing else is found."""
+    rng = np.random.default_rng(21)
+    draw = lambda n: [f"b{int(x)}" for x in rng.integers(0, 20_000, n)]
+    items = [draw(int(n)) for n in rng.integers(20, 61, 40)]
+    docs, kind = [], []
+    for k in range(2, 11):
+        for item in items[:20]:
+            docs.append(draw(25) + [f"z{j}" if j % k == k - 1 else w for j, w in enumerate(item)] + draw(25))
+            kind.append(f"every {k}")
+    for share in (0.1, 0.2, 0.3, 0.4):
+        for item in items:
+            docs.append(draw(25) + [f"z{j}" if rng.random() < share else w for j, w in enumerate(item)] + draw(25))
+            kind.append(f"share {share}")
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontamination.contaminated(table, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()}
+    found, there = Counter(), Counter()
+    for k, d in enumerate(docs):
+        words = set(d)
+        want = set()
+        for i, item in enumerate(items):
+            if len(words.intersection(item)) >= 6:
+                runs = [best_run(item, d, at) for at in range(-len(item), len(d))]
+                if any(b >= decontamination.SCORE or s >= len(item) - len(item) // decontamination.CHANGED for b, s in runs):
+                    want.add(i)
+        assert got[k] <= want
+        there[kind[k]] += len(want)
+        found[kind[k]] += len(got[k])
+    assert there["every 3"] > 10 and not there["every 2"]
+    assert all(found[x] >= 0.9 * n for x, n in there.items()), (found, there)
