@@ -131,3 +131,17 @@ def codec_ids(x: Column, tag: str) -> Column:
 def record_errors(rules: dict[str, Column]) -> Column:
     """Names of the rules that a record breaks, in order; a rule that gives null is broken."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+
+
+def spacing_changes(before: Column, after: Column) -> Column:
+    """struct(double_spaces, spaces_before_marks, clicks): what the text before has of each, 0 where cleaning changed nothing."""
+    changed = ~before.eqNullSafe(after)
+    count = lambda form: F.when(changed, F.regexp_count(before, F.lit(form))).otherwise(0).cast("long")
+    return F.struct(count(" {2,}").alias("double_spaces"), count("\\s+[.,!?;:]").alias("spaces_before_marks"), (changed & before.contains("ǃ")).cast("long").alias("clicks"))
+
+
+def change_kinds(before: Column, after: Column) -> Column:
+    """What cleaning did to a text, in order: marks and quotes added, double spaces removed."""
+    added = lambda c: after.contains(c) & ~before.contains(c)
+    kinds = {"? added": added("?"), "! added": added("!"), "quotes added": added('"'), "double spaces removed": before.contains("  ") & ~after.contains("  ")}
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in kinds.items()]))

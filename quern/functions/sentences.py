@@ -52,7 +52,8 @@ MODULE_NAMES = (("module1_base", 1), ("module2_negation", 2), ("module3_past", 3
 #: Letters of the target language; target words that mark a tail that doesn't belong to a French text.
 TARGET_LETTERS, TAIL_WORDS = "ɖɛɔŋɣʋɥʔᴐ", "mi|wo|yi|e\\s+wa|mi\\s+wa|e\\s+kuku|e\\s+drodro|ŋu|ɔ|ɖɛ|axomɛ|wema|eho"
 #: Word pairs around a slash (either order), what the canonical and what the alternative text takes; marks of canonical and alternative phrases; pronouns.
-SLASH_PAIRS = (("sɔsɔ", "xɔxɔ", "xɔxɔ", "sɔsɔ"), ("sɔ", "xɔ", "xɔ", "sɔ"), ("kuku", "xɔxɔ", "xɔxɔ", "kuku"), ("ku", "xɔ", "xɔ", "ku"), ("baci", "eba", "baci", "eba"), ("keke", "ehun", "keke", "ehun"))
+#: word, word, and which of the two is canonical.
+SLASH_PAIRS = (("sɔsɔ", "xɔxɔ", "xɔxɔ"), ("sɔ", "xɔ", "xɔ"), ("kuku", "xɔxɔ", "xɔxɔ"), ("ku", "xɔ", "xɔ"), ("baci", "eba", "baci"), ("keke", "ehun", "keke"))
 CANONICAL_WORDS, ALTERNATIVE_WORDS, TARGET_PRONOUNS = ("xɔ", "xɔxɔ"), ("sɔ", "sɔsɔ", "ku", "kuku"), ("ŋu", "ɔ", "e", "mi", "wo")
 
 _LONG_QUESTION = "^(?:(?:qu['’])?est-ce qu(?:e |['’])\\s*)+"
@@ -174,38 +175,61 @@ def embedded_newline(x: Column) -> Column:
 
 
 def negate(x: Column) -> Column:
-    """Subject, ne, verb, pas, rest; j' becomes je n'. A sentence of one word other than an elision stays."""
+    """Subject, ne, verb, pas, rest; ne is n' before a vowel or h; j' becomes je n'. A sentence of one word other than an elision stays."""
     words = tokens(x)
     rest = F.array_join(F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))), " ")
     elided_rest = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
     head, verb = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     return F.when(head.startswith("j'"), F.concat(F.lit("je n'"), F.substring(head, 3, 1_000_000), F.lit(" pas "), elided_rest)).when(
-        verb.isNotNull(), F.trim(F.concat(head, F.lit(" ne "), verb, F.lit(" pas "), rest))
+        verb.isNotNull(), F.trim(F.concat(head, F.when(F.lower(verb).rlike("^[aeiouhéèêàâîôûœ]"), " n'").otherwise(" ne "), verb, F.lit(" pas "), rest))
     ).otherwise(x)
 
 
+def _side_score(side: Column) -> Column:
+    """Canonical words of a phrase less its alternative ones."""
+    words = F.transform(tokens(side), lambda w: F.btrim(w, F.lit("?.,;:")))
+    count = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
+    return count(CANONICAL_WORDS) - count(ALTERNATIVE_WORDS)
+
+
 def slash_alternatives(x: Column) -> Column:
-    """struct(canonical, alternative, status) of a target text with a slash: known word pairs first, then whole phrases; what neither settles is needs_review."""
-    original = collapse(x)
-    canonical = alternative = original
-    for a, b, keep, other in SLASH_PAIRS:
-        pattern = f"(?<!\\S)(?:{a}|{b})\\s*/\\s*(?:{a}|{b})([?.,;:]?)(?!\\S)"
-        canonical, alternative = F.regexp_replace(canonical, pattern, f"{keep}$1"), F.regexp_replace(alternative, pattern, f"{other}$1")
-    by_words = ~canonical.contains("/") & ~alternative.contains("/") & (canonical != alternative)
-    sides = F.split(original, "/")
-    left, right = collapse(F.get(sides, F.lit(0))), collapse(F.get(sides, F.lit(1)))
-    has = lambda side, words: F.arrays_overlap(F.transform(tokens(side), lambda w: F.btrim(w, F.lit(" ?.,;:"))), F.array(*[F.lit(w) for w in words]))
-    left_first = has(left, CANONICAL_WORDS) & has(right, ALTERNATIVE_WORDS)
-    right_first = ~left_first & has(right, CANONICAL_WORDS) & has(left, ALTERNATIVE_WORDS)
-    head, right_head = F.get(tokens(left), F.lit(0)), F.get(tokens(right), F.lit(0))
-    whole = F.when(head.isin(*TARGET_PRONOUNS) & right_head.isin(*CANONICAL_WORDS), F.concat_ws(" ", head, right)).otherwise(right)
-    phrase = F.when(right_first, whole).otherwise(left)
-    other = F.when(right_first, left).otherwise(right)
-    by_phrase = (F.size(sides) == 2) & (left != "") & (right != "") & (phrase != other)
-    out = lambda a, b, s: F.struct(a.alias("canonical"), b.alias("alternative"), F.lit(s).alias("status"))
+    """struct(canonical, alternative, status) of a target text in which a slash stands between two ways to say it.
+
+    1. A text without a slash is canonical and has no alternative: no_slash.
+    2. Word pairs: where `a/b`, with or without spaces around the slash and with a mark after it, is a pair of SLASH_PAIRS, each of the two texts takes its word. If that settles every slash: normalized.
+    3. Phrases: with one slash and two different phrases, the second is canonical if its words score above 0 and those of the first below; it then takes over
+       a leading pronoun of the first if it begins with a canonical word. Otherwise the first is canonical: normalized.
+    4. All else is needs_review.
+    """
+    text = collapse(x)
+    pairs = {f"{a}/{b}": keep for one, two, keep in SLASH_PAIRS for a, b in ((one, two), (two, one))}
+    chosen, left_out = _map(pairs), _map({k: next(w for w in k.split("/") if w != keep) for k, keep in pairs.items()})
+    units = F.split(F.regexp_replace(text, " ?/ ?", "/"), " ")
+
+    def taken(words: Column) -> Column:
+        def one(unit: Column) -> Column:
+            bare = F.regexp_replace(unit, "[?.,;:]$", "")
+            return F.coalesce(F.concat(F.element_at(words, bare), F.substring(unit, F.length(bare) + 1, F.lit(1))), unit)
+
+        return F.array_join(F.transform(units, one), " ")
+
+    by_words = F.struct(taken(chosen).alias("canonical"), taken(left_out).alias("alternative"), F.lit("normalized").alias("status"))
+    sides = F.transform(F.split(text, "/"), collapse)
+    first, second = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    opening = F.get(tokens(first), F.lit(0))
+    completed = F.when(opening.isin(*TARGET_PRONOUNS) & F.get(tokens(second), F.lit(0)).isin(*CANONICAL_WORDS), F.concat_ws(" ", opening, second)).otherwise(second)
+    swapped = (_side_score(second) > 0) & (_side_score(first) < 0)
+    by_phrases = F.struct(F.when(swapped, completed).otherwise(first).alias("canonical"), F.when(swapped, first).otherwise(second).alias("alternative"), F.lit("normalized").alias("status"))
+    unsettled = lambda status: F.struct(text.alias("canonical"), F.lit("").alias("alternative"), F.lit(status).alias("status"))
     return (
-        F.when(~original.contains("/"), out(original, F.lit(""), "no_slash"))
-        .when(by_words, out(canonical, alternative, "normalized"))
-        .when(by_phrase, out(phrase, other, "normalized"))
-        .when(original.isNotNull(), out(original, F.lit(""), "needs_review"))
+        F.when(~text.contains("/"), unsettled("no_slash"))
+        .when(~by_words["canonical"].contains("/"), by_words)
+        .when((F.size(sides) == 2) & (first != "") & (second != "") & (first != second), by_phrases)
+        .when(text.isNotNull(), unsettled("needs_review"))
     )
+
+
+def incomplete_ending(x: Column, words: tuple[str, ...]) -> Column:
+    """The last word of a sentence if it is one that can't end one, else null."""
+    last = F.regexp_extract(F.lower(x), "([a-zà-öø-ÿœ']+)[^a-zà-öø-ÿœ']*$", 1)
+    return F.when(last.isin(*words), last)

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -130,3 +130,51 @@ def spaced_characters(x: Column) -> Column:
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def strip_tags(x: Column) -> Column:
+    """Tags such as <pad> become spaces, white space collapses."""
+    return collapse(F.regexp_replace(x, "<[a-z_]+>", " "))
+
+
+def for_language_model(x: Column) -> Column:
+    """NFC, white space collapsed, punctuation spaced."""
+    return clean_cell(collapse(nfc(x)))
+
+
+def prefixed(text: Column, language: Column, names: dict[str, str]) -> Column:
+    """The text behind a tag that names its language; None for a language without a name."""
+    name = F.create_map(*[F.lit(x) for item in names.items() for x in item])[language]
+    return F.concat(F.lit("language "), F.coalesce(name, F.lit("None")), F.lit("<asr_text>"), text)
+
+
+def with_backup(df: DataFrame, column: str, new: Column, backup: str = "text_original") -> DataFrame:
+    """df with `column` replaced by new; where that changes it, `backup` holds what it was, else null."""
+    return df.withColumn("_new", new).withColumn(backup, F.when(~F.col("_new").eqNullSafe(F.col(column)), F.col(column))).withColumn(column, F.col("_new")).drop("_new")
+
+
+def one_line(x: Column, most: int) -> Column:
+    """White space collapsed; a longer text is cut and ends in an ellipsis. For reports: the limit is the feature."""
+    flat = collapse(x)
+    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
+
+
+def abbreviated(x: Column, least: int = 3, shown: int = 6, longest: int = 36, preview: int = 14) -> Column:
+    """struct(text, cut) for reports: up to the first run of `least` equal words and `shown` words of it, else the first `preview` words of over `longest`, else the text."""
+    from quern.operators.ngram_models import repeated_runs
+
+    words = tokens(x)
+    run = repeated_runs(words, least)
+    of = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+    out = lambda text, cut: F.struct(text.alias("text"), F.lit(cut).alias("cut"))
+    return F.when(F.size(words) == 0, out(F.lit(""), False)).when(run.isNotNull(), out(of(run["start"] + F.least(run["length"], F.lit(shown))), True)).when(F.size(words) > longest, out(of(F.lit(preview)), True)).otherwise(out(x, False))
+
+
+def encoded(x: Column, ids: Column, unknown: int) -> Column:
+    """Ids of the characters, by a map from characters; others are `unknown`."""
+    return F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(ids, c), F.lit(unknown)))
+
+
+def decoded(codes: Column, characters: Column, specials: int) -> Column:
+    """The text of ids, by a map to characters; ids below `specials` are left out."""
+    return F.array_join(F.transform(F.filter(codes, lambda c: c >= specials), lambda c: F.element_at(characters, c)), "")

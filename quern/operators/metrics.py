@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import strip, tokens
+from quern.functions.text import for_word_errors, strip, strip_markers, tokens
 
 
 def character_edits(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp).cast("long")
 
 
+@F.pandas_udf("ref string, hyp string")
+def _word_codes(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Both word sequences with each distinct word of the pair as one character, surrogates left out."""
+    refs, hyps = [], []
+    for r, h in zip(ref, hyp):
+        number: dict[str, str] = {}
+        code = lambda words: "".join(number.setdefault(w, chr(0x100 + len(number) + 0x800 * (len(number) >= 0xD700))) for w in words)  # noqa: B023, E731
+        refs.append(code(r))
+        hyps.append(code(h))
+    return pd.DataFrame({"ref": refs, "hyp": hyps})
+
+
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edits between word sequences: each distinct word of the pair stands as one private character, which the built-in distance then counts."""
-    r, h = tokens(ref), tokens(hyp)
-    known = F.array_distinct(F.concat(r, h))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4E00), 8, "0")), "UTF-32")), "")
-    return F.levenshtein(code(r), code(h)).cast("long")
+    """Edits between word sequences: each distinct word of the pair stands as one character, which the built-in distance then counts."""
+    codes = _word_codes(tokens(ref), tokens(hyp))
+    return F.levenshtein(codes["ref"], codes["hyp"]).cast("long")
 
 
 def error_rates(pairs: DataFrame, ref: str, hyp: str, keys: list[str]) -> DataFrame:
@@ -40,29 +51,6 @@ def clipped(pairs: DataFrame, key: str, ref: Column, hyp: Column, n: int) -> Dat
     return both.groupBy(key).agg(F.sum(F.least("r", "h")).alias("match"), F.sum("h").alias("hyp_n"), F.sum("r").alias("ref_n"))
 
 
-def corpus_bleu(pairs: DataFrame, key: str, ref: str, hyp: str, order: int = 4) -> DataFrame:
-    """One row: bleu of 1 to 4-grams over words, with brevity penalty; an order without a match counts half, a quarter and so on."""
-    r, h = tokens(F.col(ref)), tokens(F.col(hyp))
-    sums = [clipped(pairs, key, r, h, n).agg(F.coalesce(F.sum("match"), F.lit(0)).alias(f"m{n}"), F.coalesce(F.sum("hyp_n"), F.lit(0)).alias(f"t{n}")) for n in range(1, order + 1)]
-    sizes = pairs.agg(F.sum(F.size(r)).alias("rl"), F.sum(F.size(h)).alias("hl"))
-    one = reduce(lambda a, b: a.crossJoin(b), sums, sizes)  # rows of totals, one each
-    logs, halves = [], F.lit(1.0)
-    for n in range(1, order + 1):
-        zero = F.col(f"m{n}") == 0
-        halves = F.when(zero, halves * 2).otherwise(halves)
-        logs.append(F.log(F.when(zero, F.lit(1.0) / (halves * F.col(f"t{n}"))).otherwise(F.col(f"m{n}") / F.col(f"t{n}"))))
-    brevity = F.when(F.col("hl") >= F.col("rl"), 0.0).otherwise(1 - F.col("rl") / F.col("hl"))
-    return one.select(F.round(100 * F.exp(brevity + sum(logs[1:], logs[0]) / order), 4).alias("bleu"), *[F.col(f"m{n}").alias(f"match{n}") for n in range(1, order + 1)])
-
-
-def chrf_order(pairs: DataFrame, key: str, ref: str, hyp: str, n: int, beta: float = 2.0) -> DataFrame:
-    """One row: the F score of character n-grams of one order, over texts without spaces."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\\s+", ""), ""), lambda x: x != "")
-    s = clipped(pairs, key, chars(ref), chars(hyp), n).agg(F.sum("match").alias("m"), F.sum("hyp_n").alias("h"), F.sum("ref_n").alias("r"))
-    p, q, b = F.col("m") / F.col("h"), F.col("m") / F.col("r"), beta * beta
-    return s.select(F.col("m").alias("match"), F.round(100 * (1 + b) * p * q / (b * p + q), 4).alias("chrf"))
-
-
 def effect_sizes(scores: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Paired Cohen's d (population deviation of the differences, 0 where they don't vary) and the pooled one."""
     d = F.col(a) - F.col(b)
@@ -71,13 +59,56 @@ def effect_sizes(scores: DataFrame, a: str, b: str, keys: list[str]) -> DataFram
     return scores.groupBy(*keys).agg(F.count("*").alias("n"), ratio(F.avg(d), F.stddev_pop(d)).alias("d_paired"), ratio(F.avg(a) - F.avg(b), pooled).alias("d_pooled"))
 
 
-def bootstrap_wins(scores: DataFrame, key: str, a: str, b: str, resamples: int, n: int, seed: int = 1) -> DataFrame:
-    """One row: share of resamples in which b's mean isn't above a's, a one-sided p value. Weights of a row are hashed, so a lost task draws the same.
+#: 2^32 times the probability that a Poisson variable of mean 1 is at most 0, 1, 2, ... 11.
+POISSON = tuple(round(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12))
+
+
+def poisson_weight(number: Column) -> Column:
+    """How often a row is drawn, by inversion from a number of 32 bits. Weights over 12 have a probability of 10^-10."""
+    return sum((F.when(number >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(number >= POISSON[0], 1).otherwise(0))
+
 
-    Each row gets a Poisson-like weight 0 to 3 in each resample; sums are combined before the exchange.
+def bootstrap_wins(scores: DataFrame, key: str, a: str, b: str, resamples: int, seed: int = 1) -> DataFrame:
+    """One row: share of resamples in which b's mean isn't above a's, a one-sided p value, from a Poisson bootstrap: each row is drawn Poisson(1) times in each resample.
+
+    Draws are hashed, so a lost task draws the same; sums are combined before the exchange.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("resample"), F.col(key)), F.lit(1000))
-    weight = F.when(u < 368, 0).when(u < 736, 1).when(u < 920, 2).otherwise(3)
+    from quern.operators.sampling import draw_number
+
     drawn = scores.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    weight = poisson_weight(draw_number(seed, F.concat_ws("|", "resample", F.col(key).cast("string"))))
     means = drawn.groupBy("resample").agg(F.sum(weight * (F.col(b) - F.col(a))).alias("gain"))
     return means.agg((1 - F.avg((F.col("gain") > 0).cast("double"))).alias("p_value"), F.count("*").alias("resamples"))
+
+
+def utterance_rates(df: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """df with wer and cer of each row in percent, raw and of the normal forms (wer_norm, cer_norm), two digits; 0 for an empty reference. Markers are taken out of the candidate first; null is empty."""
+    heard = strip(strip_markers(F.coalesce(F.col(hyp), F.lit(""))))
+    said = strip(F.coalesce(F.col(ref), F.lit("")))
+    out = df.withColumns({"_said": said, "_heard": heard, "_said_norm": for_word_errors(said), "_heard_norm": for_word_errors(heard)})
+    for form in ("", "_norm"):
+        r, h = F.col(f"_said{form}"), F.col(f"_heard{form}")
+        out = out.withColumns({f"_we{form}": word_edits(r, h), f"_wn{form}": F.size(tokens(r)), f"_ce{form}": character_edits(r, h), f"_cn{form}": F.length(r)})
+        rate = lambda e, n: F.coalesce(F.round(100 * F.try_divide(F.col(e), F.col(n)), 2), F.lit(0.0))
+        out = out.withColumns({f"wer{form}": rate(f"_we{form}", f"_wn{form}"), f"cer{form}": rate(f"_ce{form}", f"_cn{form}")})
+    return out
+
+
+def error_report(df: DataFrame, ref: str, hyp: str, keys: list[str], error: Column) -> DataFrame:
+    """n, corpus rates raw and normalised, medians and mean of the rows' normalised rates, and rows with an error, by keys.
+
+    Rates have two digits, so a median is taken over counts of equal rates; no buffer holds all rows.
+    """
+    rows = utterance_rates(df, ref, hyp).withColumn("_bad", F.coalesce(error, F.lit(False)).cast("long"))
+    total = lambda e, n: F.coalesce(F.round(100 * F.try_divide(F.sum(e), F.sum(n)), 2), F.lit(0.0))
+    rates = [total(f"_{k}e{form}", f"_{k}n{form}").alias(f"{name}{form or '_raw'}") for form in ("", "_norm") for k, name in (("w", "wer"), ("c", "cer"))]
+    middle = [F.round(F.percentile(f"{m}_norm", 0.5), 2).alias(f"median_{m}") for m in ("wer", "cer")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *rates, *middle, F.round(F.avg("wer_norm"), 2).alias("mean_wer"), F.sum("_bad").alias("errors"))
+
+
+def unclamped_rates(df: DataFrame, ref: str, hyp: str, keys: list[str]) -> DataFrame:
+    """Corpus wer and cer in percent of texts as they are, with a denominator of 1 at least."""
+    r, h = F.coalesce(F.col(ref), F.lit("")), F.coalesce(F.col(hyp), F.lit(""))
+    rows = df.select(*keys, word_edits(r, h).alias("we"), F.size(tokens(r)).alias("wn"), character_edits(r, h).alias("ce"), F.length(r).alias("cn"))
+    rate = lambda e, n: F.round(100 * F.sum(e) / F.greatest(F.sum(n), F.lit(1)), 2)
+    return rows.groupBy(*keys).agg(rate("we", "wn").alias("wer"), rate("ce", "cn").alias("cer"))

@@ -32,9 +32,72 @@ def validation_split(df: DataFrame, by: list[str], key: Column, ratio: float, se
 
 
 def two_step_split(df: DataFrame, key: str, test: float = 0.1, dev: float = 0.1, seed: int = 1) -> DataFrame:
-    """df with split: rows whose hashed key falls below `test` go to test, and of the rest the share dev / (1 - test) to dev. Needs no exchange; sizes are near the shares, not exact."""
-    share = lambda s: F.conv(F.substring(hashed(s, F.col(key)), 1, 8), 16, 10).cast("double") / 2.0**32
-    return df.withColumn("split", F.when(share(seed) < test, "test").when(share(seed + 1) < dev / (1 - test), "dev").otherwise("train"))
+    """df with split: in order of the hashed key ceil(n * test) rows go to test, and ceil(rest * dev / (1 - test)) of the rest, in order of another hash, to dev. Sizes are exact."""
+    from quern.operators.rows import ranks
+
+    def step(rows: DataFrame, s: int, share: float, name: str) -> DataFrame:
+        ranked = ranks(rows.withColumn("_h", hashed(s, F.col(key))), ["_h", key], "_rank").drop("_h")
+        n = rows.agg(F.ceil(F.count("*") * F.lit(share)).alias("_take"))
+        return ranked.join(F.broadcast(n)).withColumn(name, F.col("_rank") <= F.col("_take")).drop("_rank", "_take")
+
+    first = step(df, seed, test, "_test")
+    second = step(first.filter("NOT _test").drop("_test"), seed + 1, dev / (1 - test), "_dev")
+    return first.filter("_test").drop("_test").withColumn("split", F.lit("test")).unionByName(second.withColumn("split", F.when(F.col("_dev"), "dev").otherwise("train")).drop("_dev"))
+
+
+def index_split(df: DataFrame, key: str, validation: float = 0.05, test: float = 0.05, least: int = 10, seed: int = 1) -> DataFrame:
+    """df with split: in order of the hashed key train, then max(1, int(n * validation)) rows val, then test likewise. With fewer than `least` rows all are train."""
+    from quern.operators.rows import ranks
+
+    size = lambda share: F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share))).cast("long")
+    n = df.agg(F.count("*").alias("_n")).select("_n", size(validation).alias("_val"), size(test).alias("_test"))
+    ranked = ranks(df.withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_rank").join(F.broadcast(n))
+    split = F.when((F.col("_n") < least) | (F.col("_rank") <= F.col("_n") - F.col("_val") - F.col("_test")), "train").when(F.col("_rank") <= F.col("_n") - F.col("_test"), "val").otherwise("test")
+    return ranked.withColumn("split", split).drop("_h", "_rank", "_n", "_val", "_test")
+
+
+def plain_validation(df: DataFrame, key: str, ratio: float, seed: int = 1) -> DataFrame:
+    """df with split: max(1, int(n * ratio)) rows by hashed key are val, without a cap: one row alone is val."""
+    from quern.operators.rows import ranks
+
+    n = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(ratio))).alias("_take"))
+    ranked = ranks(df.withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_rank").join(F.broadcast(n))
+    return ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_take"), "val").otherwise("train")).drop("_h", "_rank", "_take")
+
+
+def random_subsets(df: DataFrame, value: str, sizes: list[int], seed: int = 1) -> DataFrame:
+    """(subset, value): for each size and each of the draws a, b, c that many distinct values by hashed order, each draw with a seed of its own."""
+    values = df.select(F.col(value).alias("_v")).filter("_v IS NOT NULL").distinct()
+    draws = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(name).alias("draw"), F.lit(str(seed + k)).alias("seed")) for n in sizes for k, name in enumerate("abc")]))
+    drawn = values.select("_v", draws.alias("d")).withColumn("_h", F.md5(F.concat_ws("|", "d.seed", F.col("_v").cast("string"))))
+    w = Window.partitionBy("d.n", "d.draw").orderBy("_h", "_v")  # distinct values, not rows
+    return drawn.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("d.n")).select(F.concat_ws("-", F.col("d.n").cast("string"), "d.draw").alias("subset"), F.col("_v").alias(value))
+
+
+def mixed(first: DataFrame, second: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """As many rows of either corpus as the smaller has, by hashed key, with `corpus` (0 or 1) and `place`, their place from 1 in a shuffled order."""
+    from quern.operators.rows import ranks
+
+    both = first.withColumn("corpus", F.lit(0)).unionByName(second.withColumn("corpus", F.lit(1)))
+    least = both.groupBy("corpus").agg(F.count("*").alias("n")).agg(F.when(F.count("*") == 2, F.min("n")).otherwise(0).alias("_least"))
+    ranked = ranks_within(both.withColumn("_h", hashed(seed, F.concat_ws("|", "corpus", F.col(key).cast("string")))), ["corpus"], ["_h", key], "_rank")
+    kept = ranked.join(F.broadcast(least)).filter(F.col("_rank") <= F.col("_least")).drop("_rank", "_least", "_h")
+    return ranks(kept.withColumn("_h", hashed(seed + 1, F.concat_ws("|", "corpus", F.col(key).cast("string")))), ["_h", "corpus", key], "place").drop("_h")
+
+
+def drawn_with_replacement(df: DataFrame, key: str, size: int, seed: int = 1) -> DataFrame:
+    """(draw, key): `size` draws from all rows, each of them by a hash of its number, so a row can come again."""
+    from quern.operators.rows import ranks
+
+    numbered = ranks(df.select(key).withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_place").select(key, "_place")
+    n = numbered.agg(F.count("*").alias("_n"))
+    draws = df.sparkSession.range(1, size + 1).withColumnRenamed("id", "draw").join(F.broadcast(n)).filter("_n > 0")
+    return draws.withColumn("_place", F.pmod(draw_number(seed, F.col("draw")), F.col("_n")) + 1).join(numbered, "_place").select("draw", key)
+
+
+def draw_number(seed: int, key: Column) -> Column:
+    """A number from 0 to 2^32 - 1 that seed and key fix."""
+    return F.conv(F.substring(hashed(seed, key), 1, 8), 16, 10).cast("long")
 
 
 def quota_sample(df: DataFrame, stratum: str, quotas: dict, key: str, seed: int = 1) -> DataFrame:
@@ -72,14 +135,18 @@ def shuffled_pairs(df: DataFrame, stratum: str, intact: Column, key: str, src: s
 
 
 def context_rows(df: DataFrame, pool: DataFrame, key: str, pool_key: str, k: int, seed: int = 1) -> DataFrame:
-    """(key, slot, context): k rows of the pool for each row, drawn by hash with replacement of equal draws left out. The pool is numbered, so that a draw is an equi-join."""
+    """(key, slot, context): min(k, pool) different rows of the pool for each row, by hash. The pool is numbered in hashed order, so that a draw is an equi-join.
+
+    A row's draws start at a hashed place and go on by a hashed step of at most a k-th of the pool, so none comes twice.
+    """
     from quern.operators.rows import ranks
 
     numbered = ranks(pool.select(F.col(pool_key).alias("context")).withColumn("_h", hashed(seed, F.col("context"))), ["_h", "context"], "_place").select("context", "_place")
     n = numbered.agg(F.count("*").alias("_n"))
-    slots = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot")).join(F.broadcast(n), how="cross").filter("_n > 0")
-    slots = slots.withColumn("_place", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("slot")), F.col("_n")) + 1)
-    return slots.groupBy(key, "_place").agg(F.min("slot").alias("slot")).join(numbered, "_place").select(key, "slot", "context")
+    rows = df.select(key).join(F.broadcast(n)).filter("_n > 0")
+    start, step = F.pmod(draw_number(seed, F.col(key)), F.col("_n")), 1 + F.pmod(draw_number(seed + 1, F.col(key)), F.greatest(F.lit(1), F.floor(F.col("_n") / k)))
+    slots = rows.select(key, "_n", start.alias("_start"), step.alias("_step"), F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("_n")).cast("int"))).alias("slot"))
+    return slots.withColumn("_place", F.pmod(F.col("_start") + (F.col("slot") - 1) * F.col("_step"), F.col("_n")) + 1).join(numbered, "_place").select(key, "slot", "context")
 
 
 def diverse(df: DataFrame, key: str, text: str, size: int, clusters: int = 20, features: int = 5000, seed: int = 1) -> DataFrame:
@@ -109,3 +176,13 @@ def covering(df: DataFrame, key: str, words: Column, size: int) -> DataFrame:
         seen = open_.filter(F.col(key) == best[key]).select("_w")
         open_ = materialize(open_.join(seen, "_w", "left_anti"), "open_words")
     return df.sparkSession.createDataFrame(chosen, f"round int, {key} {dict(df.dtypes)[key]}, gain bigint")
+
+
+def ranks_in_ranges(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with its place from 1 in the order of an integer column of different values: rows are ranked within 256 ranges of equal width and shifted by the rows before."""
+    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    part = F.floor(F.try_divide((F.col(order) - F.col("_lo")) * 256, F.col("_hi") - F.col("_lo") + 1)).cast("int")
+    cut = df.join(F.broadcast(ends)).withColumn("_b", part).drop("_lo", "_hi")
+    shift = cut.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))  # 256 rows
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    return cut.withColumn("_own", own).join(F.broadcast(shift), "_b").withColumn(name, F.col("_own") + F.col("_shift")).drop("_b", "_own", "_shift")

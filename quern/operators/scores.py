@@ -259,9 +259,11 @@ def wilcoxon(scores: DataFrame, a: str, b: str, keys: list[str], least: int = 5)
 
 
 def bootstrap_interval(values: DataFrame, key: str, value: str, resamples: int, level: float = 0.95, seed: int = 1) -> DataFrame:
-    """One row (lo, hi): percentiles of the mean over resamples with hashed Poisson-like weights 0 to 4; sums are combined before the exchange."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("resample"), F.col(key)), F.lit(10_000))
-    weight = F.when(u < 3679, 0).when(u < 7358, 1).when(u < 9197, 2).when(u < 9810, 3).otherwise(4)
+    """One row (lo, hi): percentiles of the mean over resamples of a Poisson bootstrap with hashed draws; sums are combined before the exchange."""
+    from quern.operators.metrics import poisson_weight
+    from quern.operators.sampling import draw_number
+
+    weight = poisson_weight(draw_number(seed, F.concat_ws("|", "resample", F.col(key).cast("string"))))
     drawn = values.filter(F.col(value).isNotNull()).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     means = drawn.groupBy("resample").agg((F.sum(weight * F.col(value)) / F.nullif(F.sum(weight), F.lit(0))).alias("m"))
     return means.agg(F.percentile("m", (1 - level) / 2).alias("lo"), F.percentile("m", (1 + level) / 2).alias("hi"))

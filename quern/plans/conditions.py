@@ -74,3 +74,51 @@ def job_grid(spark: SparkSession, conditions: list[str], seeds: list[int], model
     strings = lambda xs: F.array(*[F.lit(x) for x in xs])
     g = spark.range(1).select(F.posexplode(strings(conditions)).alias("c", "condition")).select("*", F.posexplode(strings(seeds)).alias("s", "seed")).select("*", F.posexplode(strings(models)).alias("m", "model"))
     return g.select((F.col("c") * len(seeds) * len(models) + F.col("s") * len(models) + F.col("m") + 1).alias("job"), "condition", "seed", "model")
+
+
+def additive(structured: DataFrame, module: Column) -> DataFrame:
+    """Curricula that add a module at a time, from the first two on."""
+    return by_predicates(structured, {"ADD-" + "".join(f"M{k}" for k in range(1, last + 1)): module <= last for last in (2, 3, 4)})
+
+
+def combos(structured: DataFrame, selections: dict[str, DataFrame], key: str) -> DataFrame:
+    """(condition, key, ...): the structured rows with each selection, and with all of them, each key once; of equal keys the structured row stays, then that of the first selection."""
+    from functools import reduce
+
+    tag = lambda df, k, name: df.withColumn("_k", F.lit(k)).withColumn("condition", F.explode(F.array(*[F.lit(x) for x in name])))
+    each = {n: f"STRUCT4K-{n}2K" for n in selections}
+    parts = [tag(structured, 0, [*each.values(), "STRUCT4K-ALL-BASELINES"]), *[tag(df, k + 1, [each[n], "STRUCT4K-ALL-BASELINES"]) for k, (n, df) in enumerate(selections.items())]]
+    whole = reduce(DataFrame.unionByName, parts)
+    others = [c for c in whole.columns if c not in ("condition", key, "_k")]
+    return whole.groupBy("condition", key).agg(F.min_by(F.struct("_k", *others), "_k").alias("_r")).select("condition", key, "_r.*").drop("_k")
+
+
+def expansions(base: DataFrame, new: DataFrame, test: DataFrame, key: str, test_share: float = 0.1, seed: int = 1) -> DataFrame:
+    """(run, split, key) of four ways to bring in new rows: A trains on the base; B1 adds the new rows to training only; B2 also holds out a share of them; B3 trains on the new rows alone.
+
+    Keys of the fixed test set never train, in any run; new rows are never in B1's test. A key that the base has isn't new.
+    """
+    held = test.select(key).distinct()
+    old = base.select(key).distinct().join(held, key, "left_anti").withColumn("origin", F.lit("base"))
+    fresh = new.select(key).distinct().join(held, key, "left_anti").join(base.select(key).distinct(), key, "left_anti").withColumn("origin", F.lit("new"))
+    ranked = ranks(fresh.withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_rank")
+    n = fresh.agg(F.floor(F.count("*") * F.lit(test_share)).alias("_take"))
+    fresh = ranked.join(F.broadcast(n)).select(key, "origin", (F.col("_rank") <= F.col("_take")).alias("_out"))
+    rows = old.withColumn("_out", F.lit(False)).unionByName(fresh).unionByName(held.withColumn("origin", F.lit("test")).withColumn("_out", F.lit(False)))
+    origin, out = F.col("origin"), F.col("_out")
+    split = {
+        "A": F.when(origin == "base", "train").when(origin == "test", "test"), "B1": F.when(origin == "test", "test").otherwise("train"),
+        "B2": F.when((origin == "test") | out, "test").otherwise("train"), "B3": F.when(origin == "test", "test").when(origin == "new", "train"),
+    }
+    runs = F.explode(F.array(*[F.struct(F.lit(name).alias("run"), s.alias("split")) for name, s in split.items()]))
+    return rows.select(key, "origin", runs.alias("r")).select("r.run", "r.split", "origin", key).filter("split IS NOT NULL")
+
+
+def combined(parts: list[DataFrame], text: str, order: str, keys: list[str], date: str, error: str = "ERROR") -> DataFrame:
+    """Generated modules in one table: rows that failed go, of equal keys the first in order stays, `created` is the date given."""
+    from functools import reduce
+
+    from quern.operators.rows import keep_first
+
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).filter(F.coalesce(F.col(text), F.lit(error)) != error)
+    return keep_first(whole, keys, [order]).withColumn("created", F.lit(date))

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with SQL for its rows."""
 
-from quern.queries import columns, evaluation, measures, reshaping, rows, sentences
+from quern.queries import catalog, columns, evaluation, guards, measures, readback, reshaping, rows, sentences, systems, texts
 from quern.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "columns", "evaluation", "measures", "reshaping", "rows", "sentences"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "columns", "evaluation", "guards", "measures", "readback", "reshaping", "rows", "sentences", "systems", "texts"]

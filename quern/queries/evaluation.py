@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.predicates import character_jaccard
+from quern.functions.text import tokens
 from quern.operators import metrics as M
+from quern.operators import scores as K
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 
 _WORDS = f"w AS (SELECT ord, {words_sql('tgt')} AS r, {words_sql('src')} AS h FROM pairs)"
@@ -13,18 +15,22 @@ _WORDS = f"w AS (SELECT ord, {words_sql('tgt')} AS r, {words_sql('src')} AS h FR
 
 @query(f"WITH {PAIRS}, {_WORDS}, " + ", ".join(f"g{n} AS (SELECT sum(least(r, h))::BIGINT AS m, sum(h)::BIGINT AS t FROM (SELECT ord, g, sum(a) AS r, sum(b) AS h FROM (SELECT ord, unnest(list_transform(generate_series(1, len(r) - {n - 1}), lambda i: array_to_string(r[i:i + {n - 1}], chr(1)))) AS g, 1 AS a, 0 AS b FROM w UNION ALL SELECT ord, unnest(list_transform(generate_series(1, len(h) - {n - 1}), lambda i: array_to_string(h[i:i + {n - 1}], chr(1)))), 0, 1 FROM w) GROUP BY ord, g))" for n in (1, 2)) + " SELECT g1.m AS match1, g2.m AS match2 FROM g1, g2")
 def met_clipped_matches(spark, sf_dir):
-    """Clipped unigram and bigram matches, the sums under BLEU."""
-    return M.corpus_bleu(pairs(spark, sf_dir), "ord", "tgt", "src").select("match1", "match2")
+    """Clipped unigram and bigram matches of words between white space."""
+    p, total = pairs(spark, sf_dir), lambda n: F.coalesce(F.sum("match"), F.lit(0)).alias(f"match{n}")
+    one, two = (M.clipped(p, "ord", tokens(F.col("tgt")), tokens(F.col("src")), n).agg(total(n)) for n in (1, 2))
+    return one.crossJoin(two)  # one row each
 
 
 @query()
 def met_bleu(spark, sf_dir):
-    return M.corpus_bleu(pairs(spark, sf_dir), "ord", "tgt", "src")
+    d = pairs(spark, sf_dir).select(F.lit("all").alias("part"), "src", F.array("tgt").alias("refs"))
+    return K.corpus_scores(d, "src", "refs", ["part"]).select("n", "bleu")
 
 
 @query()
 def met_chrf(spark, sf_dir):
-    return M.chrf_order(pairs(spark, sf_dir), "ord", "tgt", "src", 2)
+    d = pairs(spark, sf_dir).select(F.lit("all").alias("part"), "src", F.array("tgt").alias("refs"))
+    return K.corpus_scores(d, "src", "refs", ["part"]).select("n", "chrf", "chrfpp")
 
 
 @query()
@@ -47,12 +53,6 @@ def sta_effect_sizes(spark, sf_dir):
     return M.effect_sizes(table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax", ["l_returnflag"])
 
 
-@query()
-def sta_bootstrap(spark, sf_dir):
-    p = pairs(spark, sf_dir).select("ord", F.length("src").alias("a"), F.length("tgt").alias("b"))
-    return M.bootstrap_wins(p, "ord", "a", "b", 100, 0)
-
-
 @query("WITH t AS (SELECT o_orderpriority AS test, 1.0 / count(*) AS p FROM orders GROUP BY 1) SELECT test, p < 0.05 / count(*) OVER () AS significant FROM t")
 def sta_bonferroni(spark, sf_dir):
     t = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("test")).agg((1.0 / F.count("*")).alias("p"))

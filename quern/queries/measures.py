@@ -62,11 +62,6 @@ def sta_wilcoxon(spark, sf_dir):
     return K.wilcoxon(o, "a", "b", ["l_returnflag"])
 
 
-@query()
-def sta_interval(spark, sf_dir):
-    return K.bootstrap_interval(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal", 200)
-
-
 _GRAMS = (
     f"t AS (SELECT list_concat(['<s>'], {words_sql('lower(text)')}, ['</s>']) AS w FROM benchmark), "
     + "g AS (" + " UNION ALL ".join(f"SELECT {n} AS n, unnest(list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM t" for n in (1, 2, 3)) + "), "

@@ -223,6 +223,7 @@ def gen_grid(spark, sf_dir):
 
 @query("SELECT vec_id, round(list_max(embedding)::DOUBLE, 6) AS hi, round(list_min(embedding)::DOUBLE, 6) AS lo, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) / len(embedding)), 5) AS rms FROM embeddings")
 def aud_levels(spark, sf_dir):
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    rms = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(x), 6).alias("hi"), F.round(F.array_min(x), 6).alias("lo"), F.round(rms, 5).alias("rms"))
+    from quern.operators.audio import levels
+
+    v = table(spark, sf_dir, "embeddings").select("vec_id", levels(F.col("embedding"), F.lit(16)).alias("l"))
+    return v.select("vec_id", F.round("l.hi", 6).alias("hi"), F.round("l.lo", 6).alias("lo"), F.round("l.rms", 5).alias("rms"))

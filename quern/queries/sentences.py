@@ -151,15 +151,6 @@ def smp_shuffled_pairs(spark, sf_dir):
     return Q.shuffled_pairs(o, "o_orderpriority", F.col("o_orderstatus") == "F", "o_orderkey", "o_custkey", "o_totalprice").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query()
-def smp_two_step(spark, sf_dir):
-    return Q.two_step_split(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
-
-
-@query()
-def smp_context_rows(spark, sf_dir):
-    """Four context customers for each order."""
-    return Q.context_rows(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_orderkey", "c_custkey", 4)
 
 
 @query()

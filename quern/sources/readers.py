@@ -97,6 +97,17 @@ def with_run(df: DataFrame, path: str = "_path") -> DataFrame:
     return df.filter(F.col(path).rlike(form)).withColumns({"model": part(1), "experiment": part(2), "condition": part(3), "seed": part(4).cast("int")})
 
 
+def with_result(df: DataFrame, models: list[str], path: str = "_path", root: str = "results", local: str = "paper-local") -> DataFrame:
+    """df with model, direction, experiment, condition and seed of a path .../results/[model/][reverse/]experiment/condition/seedN/file; rows of other paths go.
+
+    The first folder below the root is the model if it is a known one, else the model is `local`; a folder named reverse follows, or the direction is forward.
+    """
+    form = f"(?:^|/){root}/(?:({'|'.join(models)})/)?(?:(reverse)/)?([^/]+)/([^/]+)/seed_?(\\d+)/[^/]+$"
+    part = lambda k: F.regexp_extract(path, form, k)
+    named = lambda k, default: F.coalesce(F.nullif(part(k), F.lit("")), F.lit(default))
+    return df.filter(F.col(path).rlike(form)).withColumns({"model": named(1, local), "direction": named(2, "forward"), "experiment": part(3), "condition": part(4), "seed": part(5).cast("int")})
+
+
 def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Of each key the row of first, else that of second; columns that one lacks are null."""
     return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
