@@ -174,14 +174,14 @@ def embedded_newline(x: Column) -> Column:
     return x.rlike("[\\r\\n]")
 
 
-def negate(x: Column) -> Column:
-    """Subject, ne, verb, pas, rest; ne is n' before a vowel or h; j' becomes je n'. A sentence of one word other than an elision stays."""
+def negate(x: Column, elide: bool = False) -> Column:
+    """Subject, ne, verb, pas, rest; j' becomes je n'. With elide, as the second run has it, ne is n' before a vowel or h. A sentence of one word other than an elision stays."""
     words = tokens(x)
     rest = F.array_join(F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))), " ")
     elided_rest = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
     head, verb = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     return F.when(head.startswith("j'"), F.concat(F.lit("je n'"), F.substring(head, 3, 1_000_000), F.lit(" pas "), elided_rest)).when(
-        verb.isNotNull(), F.trim(F.concat(head, F.when(F.lower(verb).rlike("^[aeiouhéèêàâîôûœ]"), " n'").otherwise(" ne "), verb, F.lit(" pas "), rest))
+        verb.isNotNull(), F.trim(F.concat(head, F.when(F.lit(elide) & F.lower(verb).rlike("^[aeiouhéèêàâîôûœ]"), " n'").otherwise(" ne "), verb, F.lit(" pas "), rest))
     ).otherwise(x)
 
 

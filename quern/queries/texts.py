@@ -93,3 +93,9 @@ def spl_codec_ids(spark, sf_dir):
     text = F.concat(F.array_join(F.transform(F.slice("embedding", 1, 8), lambda v: tag("s", v)), ""), tag("bicodec_global", F.get("embedding", F.lit(8))))
     join = lambda name: F.array_join(F.transform(P.codec_ids(text, name), lambda v: v.cast("string")), " ")
     return table(spark, sf_dir, "embeddings").select("vec_id", join("s").alias("ids"), join("bicodec_global").alias("other"))
+
+
+@query("WITH w AS (SELECT p_partkey, string_split('il ' || p_name, ' ') AS w FROM part) SELECT p_partkey, w[1] || CASE WHEN regexp_matches(lower(w[2]), '^[aeiouhéèêàâîôûœ]') THEN ' n' || chr(39) ELSE ' ne ' END || w[2] || ' pas' || CASE WHEN len(w) > 2 THEN ' ' || array_to_string(w[3:], ' ') ELSE '' END AS text FROM w")
+def gen_elided_negations(spark, sf_dir):
+    """Part names as sentences without a verb of their own: the second word is negated, by the rule of the second run."""
+    return table(spark, sf_dir, "part").select("p_partkey", S.negate(F.concat(F.lit("il "), F.col("p_name")), elide=True).alias("text"))

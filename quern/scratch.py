@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where it is unset, as in tests, one of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary folder in local mode, as in tests, and an error on a cluster, whose executors share no such folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quern.scratch.dir", None)
     if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-quern-')}"
         spark.conf.set("quern.scratch.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -21,8 +25,19 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and lost executors cost nothing that was done before.
 
-    The table has the columns and rows of df; an empty df gives an empty table.
+    The table has the columns and rows of df; an empty df gives an empty table. It stays until release().
     """
-    path = f"{scratch_dir(df.sparkSession)}/quern-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application has written; how many. For the time when no result that reads them is wanted any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(p)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
