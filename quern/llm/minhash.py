@@ -314,7 +314,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     small = members.filter(F.col("n") <= SMALL).select("bucket", "node")
     pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").filter("u < v").select("u", "v").distinct()
     pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("sig").alias("su"), F.col("shingles").alias("xu")), "u").join(sets.select(F.col("node").alias("v"), F.col("sig").alias("sv"), F.col("shingles").alias("xv")), "v")
-    links = verified_pairs(pairs, percent).unionByName(large_bucket_links(members.filter(F.col("n") > SMALL).select("bucket", "band", "node"), sets, percent))
+    links, large = verified_pairs(pairs, percent), members.filter(F.col("n") > SMALL).select("bucket", "band", "node")
+    if not large.isEmpty():
+        links = links.unionByName(large_bucket_links(large, sets, percent))
     roots = materialize(components(links), "roots")
     # blank texts share a node but link with nothing; a text that stands once and links with nothing is its own group and takes no part in a join
     words = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
