@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quern.functions.text import for_word_errors, strip, strip_markers, tokens
 
@@ -15,7 +16,7 @@ def character_edits(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp).cast("long")
 
 
-@F.pandas_udf("ref string, hyp string")
+@F.pandas_udf(StructType([StructField("ref", StringType()), StructField("hyp", StringType())]))
 def _word_codes(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Both word sequences with each distinct word of the pair as one character, surrogates left out."""
     refs, hyps = [], []
