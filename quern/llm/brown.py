@@ -18,7 +18,9 @@ from quern.scratch import materialize
 #: Classes; words with a class of their own choice, the most frequent; words whose counts travel to the tasks. Rarer words share one class, and their counts are joined.
 CLASSES, CLUSTERED, CARRIED = 64, 16_384, 100_000
 #: Batches of moves that are tried, at most, and the share of the likelihood that a batch has to gain for another to be tried.
-ROUNDS, LEAST_GAIN = 10, 1e-4
+ROUNDS, LEAST_GAIN = 8, 5e-4
+#: Tasks that look for better classes: few words each, whatever AQE would make of so small a table.
+MOVE_TASKS = 64
 #: Weight of the class unigram in a transition, in observations.
 PRIOR = 5.0
 #: Distinct words or word pairs that a task gathers before it sends them on.
@@ -154,7 +156,7 @@ def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: int) -> n
 
 def best_moves(near: DataFrame, table: np.ndarray, classes: np.ndarray, k: int) -> list[tuple[float, int, int]]:
     """(gain, word, class) of the words that another class would suit better, each as if it moved alone; the largest gain first. At most CLUSTERED rows reach the driver."""
-    vectors = near.filter(F.col("word") < len(classes) - 1).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))  # 2 (k + 1) numbers a word at most
+    vectors = near.filter(F.col("word") < len(classes) - 1).repartition(MOVE_TASKS, "word").groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))  # 2 (k + 1) numbers a word at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
