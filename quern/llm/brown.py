@@ -21,6 +21,8 @@ CLASSES, CLUSTERED, CARRIED = 64, 16_384, 100_000
 ROUNDS, LEAST_GAIN = 8, 5e-4
 #: Tasks that look for better classes: few words each, whatever AQE would make of so small a table.
 MOVE_TASKS = 64
+#: Words whose gains are computed together, with 8 * (CLASSES + 1) squared bytes each at most.
+WORDS_AT_ONCE = 64
 #: Weight of the class unigram in a transition, in observations.
 PRIOR = 5.0
 #: Distinct words or word pairs that a task gathers before it sends them on.
@@ -125,8 +127,8 @@ def class_table(near: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _f(x: np.ndarray) -> np.ndarray:
-    x = np.maximum(x, 0.0)
-    return x * np.log(np.where(x > 0, x, 1.0))
+    """x log x of counts, which are whole; 0 for what is below 1."""
+    return x * np.log(np.maximum(x, 1.0))
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -135,22 +137,26 @@ def likelihood(table: np.ndarray) -> float:
     return float(_f(t).sum() - _f(t.sum(axis=1)).sum() - _f(t.sum(axis=0)).sum())
 
 
-def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: int) -> np.ndarray:
-    """Gain in likelihood() from moving one word, with `right` after it and `left` before it by class, from class `own` to each class. (A word beside itself counts as beside its class.)"""
-    t, k = table.astype(float), len(table)
-    r, c = right.astype(float), left.astype(float)
-    others = np.ones((k, k), dtype=bool)
-    others[:, own] = False
-    np.fill_diagonal(others, False)  # others[b, x]: x is neither own nor b
-    rows = _f(t + r) - _f(t) + (_f(t[own] - r) - _f(t[own]))[None, :]
-    cols = _f(t.T + c) - _f(t.T) + (_f(t[:, own] - c) - _f(t[:, own]))[None, :]
-    out = (rows * others).sum(axis=1) + (cols * others).sum(axis=1)
-    block_before = _f(t[own, own]) + _f(t[own]) + _f(t[:, own]) + _f(np.diag(t))
-    block_after = _f(t[own, own] - r[own] - c[own]) + _f(t[own] - r + c[own]) + _f(t[:, own] - c + r[own]) + _f(np.diag(t) + r + c)
-    out += block_after - block_before
-    for sums, total in ((t.sum(axis=1), r.sum()), (t.sum(axis=0), c.sum())):
-        out -= _f(sums + total) - _f(sums) + _f(sums[own] - total) - _f(sums[own])
-    out[own] = 0.0
+def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Gain in likelihood() from moving each word (a row), with `right` after it and `left` before it by class, alone from its class `own` to each class; the work grows with the classes it stands beside. (A word beside itself counts as beside its class.)"""
+    t = table.astype(float)
+    r, c, logs = right.astype(float), left.astype(float), _f(t)
+    word = np.arange(len(own))
+    out = np.zeros(r.shape)
+    for counts, log, add in ((t.T, logs.T, r), (t, logs, c)):
+        at, beside = np.nonzero((add > 0) & (np.arange(len(t)) != own[:, None]))  # only these counts change; the block of the two classes is below
+        n, mine = add[at, beside], own[at]
+        change = _f(counts[beside] + n[:, None]) - log[beside] + (_f(counts[beside, mine] - n) - log[beside, mine])[:, None]
+        change[np.arange(len(at)), beside] = 0.0
+        if len(at):
+            rows, starts = np.unique(at, return_index=True)
+            out[rows] += np.add.reduceat(change, starts, axis=0)
+        sums, total = counts.sum(axis=0), add.sum(axis=1)
+        out -= _f(sums + total[:, None]) - _f(sums) + (_f(sums[own] - total) - _f(sums[own]))[:, None]
+    r_own, c_own = r[word, own], c[word, own]
+    out += (_f(t[own, own] - r_own - c_own) - logs[own, own])[:, None] + _f(np.diag(t) + r + c) - np.diag(logs)
+    out += _f(t[own] - r + c_own[:, None]) - logs[own] + _f(t.T[own] - c + r_own[:, None]) - logs.T[own]
+    out[word, own] = 0.0
     return out
 
 
@@ -160,18 +166,17 @@ def best_moves(near: DataFrame, table: np.ndarray, classes: np.ndarray, k: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, to, gain = [], [], []
-            for w, near_ in zip(batch.column("word").to_pylist(), batch.column("near").to_pylist()):
-                v = np.zeros(2 * (k + 1))
-                for x in near_:
-                    v[x["slot"]] = x["n"]
-                g = gains(table, v[: k + 1], v[k + 1 :], int(classes[w]))
-                g[k] = 0.0  # the class of rare words takes none
-                if g.max() > 1e-6:
-                    word.append(w)
-                    to.append(int(g.argmax()))
-                    gain.append(float(g.max()))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(to, pa.int32()), pa.array(gain, pa.float64())], ["word", "to", "gain"])
+            for at in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.slice(at, WORDS_AT_ONCE)
+                word, lists = np.asarray(part.column("word")), part.column("near")
+                beside, of = lists.flatten(), np.repeat(np.arange(len(word)), np.asarray(lists.value_lengths()))
+                v = np.zeros((len(word), 2 * (k + 1)))
+                v[of, np.asarray(beside.field("slot"))] = np.asarray(beside.field("n"))
+                g = gains(table, v[:, : k + 1], v[:, k + 1 :], classes[word])
+                g[:, k] = 0.0  # the class of rare words takes none
+                best = g.max(axis=1)
+                better = best > 1e-6
+                yield pa.RecordBatch.from_arrays([pa.array(word[better]), pa.array(g.argmax(axis=1)[better].astype(np.int32)), pa.array(best[better])], ["word", "to", "gain"])
 
     return sorted(((r["gain"], r["word"], r["to"]) for r in vectors.mapInArrow(run, "word int, to int, gain double").collect()), key=lambda m: (-m[0], m[1]))
 

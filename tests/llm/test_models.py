@@ -236,7 +236,7 @@ def test_gain_is_the_change_in_likelihood():
     for w in range(n):
         right = np.bincount(of, weights=pairs[w], minlength=k)
         left = np.bincount(of, weights=pairs[:, w], minlength=k)
-        got = brown.gains(table(of), right, left, int(of[w]))
+        got = brown.gains(table(of), right[None], left[None], of[[w]])[0]
         for to in range(k):
             moved = of.copy()
             moved[w] = to
