@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Typographic characters and what they become.
 FOLDED = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": " - ", "…": "...", " ": " "}
 SPACE = "(?U)\\s+"
+#: The published rules for punctuation of machine translation's corpora, for English, in order.
+PUNCTUATION = (
+    ("\\r", ""), ("\\(", " ("), ("\\)", ") "), (" +", " "), ("\\) ([.!:?;,])", ")$1"), ("\\( ", "("), (" \\)", ")"), ("([0-9]) %", "$1%"), (" :", ":"), (" ;", ";"),
+    ("`", "'"), ("''", ' " '),
+    ("[„“”]", '"'), ("–", "-"), ("—", " - "), (" +", " "), ("´", "'"), ("([a-zA-Z])[‘’]([a-zA-Z])", "$1'$2"), ("[‘‚’]", "'"), ("''", '"'), ("´´", '"'), ("…", "..."),
+    ("\u00a0«\u00a0|«\u00a0|\u00a0»\u00a0|\u00a0»|[«»]", '"'),
+    ("\u00a0%", "%"), ("nº\u00a0", "nº "), ("\u00a0:", ":"), ("\u00a0ºC", " ºC"), ("\u00a0cm", " cm"), ("\u00a0\\?", "?"), ("\u00a0!", "!"), ("\u00a0;", ";"), (",\u00a0", ", "), (" +", " "),
+    ('"([,.]+)', '$1"'), ("([0-9])\u00a0([0-9])", "$1.$2"),
+)
+#: Number words.
+ENGLISH_ONES = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+ENGLISH_TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+FRENCH_ONES = ("zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "dix-sept", "dix-huit", "dix-neuf")
+FRENCH_TENS = ("", "", "vingt", "trente", "quarante", "cinquante", "soixante", "soixante", "quatre-vingt", "quatre-vingt")
 
 
 def strip(x: Column) -> Column:
@@ -178,3 +193,88 @@ def encoded(x: Column, ids: Column, unknown: int) -> Column:
 def decoded(codes: Column, characters: Column, specials: int) -> Column:
     """The text of ids, by a map to characters; ids below `specials` are left out."""
     return F.array_join(F.transform(F.filter(codes, lambda c: c >= specials), lambda c: F.element_at(characters, c)), "")
+
+
+@F.pandas_udf(StructType([StructField("name", StringType()), StructField("category", StringType())]))
+def character_names(parts: pd.Series) -> pd.DataFrame:
+    """Name and general category of a character; UNNAMED where Unicode has none. For tables of characters, not of texts."""
+    one = lambda c: ("UNNAMED", None) if not c else (unicodedata.name(c, "UNNAMED"), unicodedata.category(c))
+    return pd.DataFrame([one(c) for c in parts], columns=["name", "category"])
+
+
+def affected_characters(df: DataFrame, key: str, text: str, shown: int = 5, context: int = 50) -> DataFrame:
+    """(ch, codepoint, name, category, mark, n, examples): characters of texts that NFC changes, but for space and , . ! ?, how often they stand there, and for combining marks (mark) the first `shown` keys
+    with the start of their texts. The limits are the feature: no more than `shown` rows of a mark are gathered. Null texts have no characters.
+    """
+    changed = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(nfc(F.col(text)) != F.col(text))
+    each = changed.select("key", F.substring("text", 1, context).alias("context"), F.explode(F.split("text", "")).alias("ch")).filter(~F.col("ch").isin("", " ", ",", ".", "!", "?"))
+    counts = each.groupBy("ch").agg(F.count("*").alias("n"))
+    marks = each.filter(F.col("ch").rlike("\\p{M}")).groupBy("ch", "key").agg(F.min("context").alias("context"))
+    first = marks.withColumn("_n", F.row_number().over(Window.partitionBy("ch").orderBy("key"))).filter(F.col("_n") <= shown)
+    examples = first.groupBy(F.col("ch").alias("_ch")).agg(F.array_sort(F.collect_list(F.struct("key", "context"))).alias("examples"))
+    out = counts.join(examples, F.col("ch") == F.col("_ch"), "left").withColumn("_c", character_names(F.col("ch")))
+    code = F.concat(F.lit("U+"), F.lpad(F.regexp_replace(F.hex(F.encode("ch", "UTF-32")), "^0{0,4}", ""), 4, "0"))
+    return out.select("ch", code.alias("codepoint"), "_c.name", "_c.category", F.col("ch").rlike("\\p{M}").alias("mark"), "n", "examples")
+
+
+def for_translation(x: Column) -> Column:
+    """PUNCTUATION's rules, characters that don't print as spaces, compatibility forms composed."""
+    for pattern, new in PUNCTUATION:
+        x = F.regexp_replace(x, pattern, new)
+    return _compatible(F.regexp_replace(x, "\\p{C}", " "))
+
+
+@F.pandas_udf(StringType())
+def _compatible(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def english_number(n: int) -> str:
+    """A whole number below 10^12 in words."""
+    if n < 20:
+        return ENGLISH_ONES[n]
+    if n < 100:
+        return ENGLISH_TENS[n // 10] + (f"-{ENGLISH_ONES[n % 10]}" if n % 10 else "")
+    for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred")):
+        if n >= size:
+            rest = n % size
+            joint = " and " if rest < 100 else ", "
+            return f"{english_number(n // size)} {name}" + (joint + english_number(rest) if rest else "")
+
+
+def french_number(n: int, last: bool = True) -> str:
+    """A whole number below 10^12 in words. cent and quatre-vingt take an s only where nothing follows them, mille aside (last)."""
+    if n < 20:
+        return FRENCH_ONES[n]
+    if n < 100:
+        base = n // 10 * 10 - (10 if n // 10 in (7, 9) else 0)
+        rest, tens = n - base, FRENCH_TENS[n // 10]
+        if not rest:
+            return tens + ("s" if n == 80 and last else "")
+        return tens + (" et " if rest in (1, 11) and n < 80 else "-") + FRENCH_ONES[rest]
+    for size, name in ((10**9, "milliard"), (10**6, "million"), (1000, "mille"), (100, "cent")):
+        if n >= size:
+            count, rest = divmod(n, size)
+            many = "s" if count > 1 and (size >= 10**6 or (size == 100 and not rest and last)) else ""
+            before = "" if count == 1 and size <= 1000 else french_number(count, size >= 10**6) + " "
+            return before + name + many + (f" {french_number(rest, last)}" if rest else "")
+
+
+def numbers_to_words(x: Column, language: str) -> Column:
+    """Numbers of a text in words, English (en) or French (fr); digits behind a point one by one. Numbers of 10^12 and more, and those inside words, stay, as all do in other languages."""
+    make, point = {"en": (english_number, "point"), "fr": (french_number, "virgule")}.get(language, (None, ""))
+    if make is None:
+        return x
+
+    def one(found: re.Match) -> str:
+        whole, _, part = found[0].partition(".")
+        if int(whole) >= 10**12:
+            return found[0]
+        return " ".join([make(int(whole)), *([point, *(make(int(d)) for d in part)] if part else [])])
+
+    @F.pandas_udf(StringType())
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda t: re.sub(r"\b[0-9]+(?:\.[0-9]+)?\b", one, t), na_action="ignore")
+
+    return run(x)

@@ -104,3 +104,14 @@ def by_subset(rows: DataFrame, index: str, end: int, aggregates: list[Column], i
     """The aggregates over all rows (combined), those with an index below `end` and those from it on; the rows are read once."""
     named = rows.withColumn("subset", F.explode(F.array(F.lit("combined"), F.when(F.col(index) < end, inside).otherwise(outside))))
     return named.groupBy("subset").agg(*aggregates)
+
+
+def property_report(rows: DataFrame, name: str, text: str) -> DataFrame:
+    """Per name: sentences, words, distinct words, mean, least and most words of a sentence, and distinct words a word (0 without words). Null texts have none. Words are counted before they are exchanged."""
+    from quern.functions.text import tokens
+
+    words = rows.select(name, tokens(F.lower(text)).alias("_w"))
+    sizes = words.groupBy(name).agg(F.count("*").alias("sentences"), F.sum(F.size("_w")).alias("words"), F.avg(F.size("_w")).alias("mean_length"), F.min(F.size("_w")).cast("long").alias("least"), F.max(F.size("_w")).cast("long").alias("most"))
+    kinds = words.select(name, F.explode("_w").alias("_x")).distinct().groupBy(F.col(name).alias("_name")).agg(F.count("*").alias("vocabulary"))
+    out = sizes.join(kinds, F.col(name).eqNullSafe(F.col("_name")), "left").drop("_name").withColumn("vocabulary", F.coalesce("vocabulary", F.lit(0).cast("long")))
+    return out.withColumn("type_token_ratio", F.coalesce(F.try_divide("vocabulary", "words"), F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.rows import hashed, ranks
-from quern.operators.sampling import ranks_within, validation_split
+from quern.operators.sampling import ranks_within, shuffled_pairs, validation_split
 
 #: Rows of the random pool and of the structured pool in each condition; ALL takes a whole pool.
 ALL = 2**62
@@ -76,6 +76,28 @@ def job_grid(spark: SparkSession, conditions: list[str], seeds: list[int], model
     return g.select((F.col("c") * len(seeds) * len(models) + F.col("s") * len(models) + F.col("m") + 1).alias("job"), "condition", "seed", "model")
 
 
+#: Modules of the leave-one-out conditions, modules and rows a module of those of 1000 rows, pronouns of the coverage conditions.
+WITHOUT_MODULES = {"FULL": (1, 2, 3, 4, 5), "NO-NEGATION": (1, 3, 4, 5), "NO-PAST": (1, 2, 4, 5), "NO-FUTURE": (1, 2, 3, 5), "NO-QUESTIONS": (1, 2, 3, 4), "BASE-ONLY": (1,)}
+OF_1000_ROWS = {
+    "FULL-1K": ((1, 2, 3, 4, 5), 200), "NO-NEG-1K": ((1, 3, 4, 5), 250), "NO-PAST-1K": ((1, 2, 4, 5), 250), "NO-FUT-1K": ((1, 2, 3, 5), 250), "NO-QUEST-1K": ((1, 2, 3, 4), 250), "BASE-1K": ((1,), 1000),
+}
+PRONOUN_SETS = {"ALL-8": ("je", "tu", "il", "elle", "nous", "vous", "ils", "elles"), "REDUCED-4": ("je", "tu", "il", "nous"), "SINGULAR-3": ("je", "tu", "il"), "MINIMAL-1": ("je",)}
+
+
+def ablation_families(structured: DataFrame, key: str, module: str, pronoun: str, src: str, tgt: str, seed: int = 1) -> DataFrame:
+    """structured (key, module from 1 to 5, pronoun, src, tgt) once for each condition that holds a row, with `family` and `condition`: modules left out, the same in 1000 rows at most, pronouns, and pairs intact and broken.
+
+    Rows of a size-controlled condition are the first of each module by hashed key. Broken pairs have their targets permuted within each module but the first. Null modules and pronouns are in no condition of theirs.
+    """
+    tests = {f"module_loo/{n}": F.col(module).isin(*ms) for n, ms in WITHOUT_MODULES.items()}
+    tests |= {f"module_size_ctrl/{n}": F.col(module).isin(*ms) & (F.col("_rank") <= most) for n, (ms, most) in OF_1000_ROWS.items()}
+    tests |= {f"pronoun/{n}": F.col(pronoun).isin(*ps) for n, ps in PRONOUN_SETS.items()} | {"minimal_pairs/PAIRS-INTACT": F.lit(True)}
+    ranked = ranks_within(structured.withColumn("_h", hashed(seed, F.col(key))), [module], ["_h", key], "_rank").drop("_h")
+    broken = shuffled_pairs(structured, module, F.col(module) == 1, key, src, tgt, seed).withColumn("condition", F.lit("minimal_pairs/PAIRS-BROKEN"))
+    rows = by_predicates(ranked, tests).drop("_rank").unionByName(broken)
+    return rows.withColumn("family", F.substring_index("condition", "/", 1)).withColumn("condition", F.substring_index("condition", "/", -1))
+
+
 def additive(structured: DataFrame, module: Column) -> DataFrame:
     """Curricula that add a module at a time, from the first two on."""
     return by_predicates(structured, {"ADD-" + "".join(f"M{k}" for k in range(1, last + 1)): module <= last for last in (2, 3, 4)})

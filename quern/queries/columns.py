@@ -53,6 +53,17 @@ def txt_nfc_report(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.col("new") != F.col("text")).cast("long")).alias("changed"), F.sum(F.abs(F.length("text") - F.length("new"))).cast("long").alias("moved"))
 
 
+@query("WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' caf' || 'e' || chr(769) WHEN 1 THEN ' n' || chr(771) || '.' ELSE '' END AS text FROM part), c AS (SELECT p_partkey, text, unnest(string_split(text, '')) AS ch FROM t WHERE nfc_normalize(text) <> text), "
+       "e AS (SELECT ch, string_agg(p_partkey::VARCHAR || ':' || substr(text, 1, 50), '|' ORDER BY p_partkey) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY p_partkey) AS k FROM (SELECT DISTINCT * FROM c WHERE ch IN (chr(769), chr(771)))) WHERE k <= 5 GROUP BY ch) "
+       "SELECT c.ch, 'U+' || upper(lpad(printf('%x', ord(c.ch)), 4, '0')) AS codepoint, c.ch IN (chr(769), chr(771)) AS mark, count(*) AS n, coalesce(any_value(examples), '') AS examples FROM c LEFT JOIN e ON e.ch = c.ch WHERE c.ch NOT IN (' ', ',', '.', '!', '?') GROUP BY c.ch")
+def txt_affected_characters(spark, sf_dir):
+    """Two of three names of parts get a letter with its mark apart."""
+    tail = F.when(F.col("p_partkey") % 3 == 0, " cafe\u0301").when(F.col("p_partkey") % 3 == 1, " n\u0303.").otherwise("")
+    a = T.affected_characters(table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", tail).alias("text")), "p_partkey", "text")
+    shown = F.array_join(F.transform("examples", lambda x: F.concat_ws(":", x["key"].cast("string"), x["context"])), "|")
+    return a.select("ch", "codepoint", "mark", "n", F.coalesce(shown, F.lit("")).alias("examples"))
+
+
 @query("SELECT lower(c) AS ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) GROUP BY 1")
 def agg_characters(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.explode(F.split(F.col("text"), "")).alias("c")).filter("c <> ''")

@@ -71,6 +71,24 @@ def gen_ablations(spark, sf_dir):
     return C.ablations(s, "m", "pronoun", "verb", list(_VERBS)).groupBy("condition").agg(F.count("*").alias("n"))
 
 
+_FAMILIES = " UNION ALL ".join(
+    [f"SELECT 'module_loo' AS family, '{n}' AS condition, id, tgt FROM k WHERE m IN ({', '.join(map(str, ms))})" for n, ms in C.WITHOUT_MODULES.items()]
+    + [f"SELECT 'module_size_ctrl', '{n}', id, tgt FROM k WHERE m IN ({', '.join(map(str, ms))}) AND a <= {most}" for n, (ms, most) in C.OF_1000_ROWS.items()]
+    + [f"SELECT 'pronoun', '{n}', id, tgt FROM k WHERE pronoun IN ({', '.join(repr(x) for x in ps)})" for n, ps in C.PRONOUN_SETS.items()]
+    + ["SELECT 'minimal_pairs', 'PAIRS-INTACT', id, tgt FROM k", "SELECT 'minimal_pairs', 'PAIRS-BROKEN', x.id, CASE WHEN x.m = 1 THEN x.tgt ELSE y.tgt END FROM k x JOIN k y ON x.m = y.m AND x.a = y.b"]
+)
+
+
+@query(f"WITH {_SENTENCES}, i AS (SELECT concat_ws('|', object, verb, pronoun, module) AS id, pronoun, substr(module, 2)::INT AS m, upper(french) AS tgt FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY md5('1|' || id), id) AS a, row_number() OVER (PARTITION BY m ORDER BY md5('2|' || id), id) AS b FROM i), "
+       f"rows AS ({_FAMILIES}) SELECT family, condition, count(*) AS n, sum(('0x' || substr(md5(id || '>' || tgt), 1, 8))::BIGINT)::BIGINT AS pairs FROM rows GROUP BY family, condition")
+def gen_ablation_families(spark, sf_dir):
+    """Rows of each condition, and the sum of a digest of their pairs."""
+    s = _sentences(spark, sf_dir).select(F.concat_ws("|", "object", "verb", "pronoun", "module").alias("id"), S.module_number(F.col("module")).alias("m"), "pronoun", "french", F.upper("french").alias("tgt"))
+    rows = C.ablation_families(s, "id", "m", "pronoun", "french", "tgt")
+    digest = F.conv(F.substring(F.md5(F.concat("id", F.lit(">"), "tgt")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy("family", "condition").agg(F.count("*").alias("n"), F.sum(digest).alias("pairs"))
+
+
 _SPEC = "c(experiment, condition, r, s) AS (VALUES " + ", ".join(f"('{e}', '{n}', {r}, {s})" for e, n, r, s in C.families()) + ")"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import systems as Y
-from quern.queries.registry import query, table
+from quern.queries.registry import query, table, words_sql
 
 # Suppliers stand for test rows; three systems' scores are made from their keys.
 _A, _B, _C = "(s_suppkey * 37 % 1000) / 10.0", "(s_suppkey * 53 % 997) / 10.0", "(s_suppkey * 71 % 991) / 10.0"
@@ -158,3 +158,9 @@ def met_unclamped_rates(spark, sf_dir):
 
     p = table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("part"), F.concat("p_name", F.lit(". "), "p_type").alias("ref"), F.concat_ws(" ", F.upper("p_type"), "p_name").alias("hyp"))
     return unclamped_rates(p, "ref", "hyp", ["part"])
+
+
+@query(f"WITH w AS (SELECT lang, {words_sql('lower(text)')} AS w FROM documents), v AS (SELECT lang, count(DISTINCT x) AS vocabulary FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY lang), n AS (SELECT lang, count(*) AS sentences, sum(len(w))::BIGINT AS words, round(avg(len(w)), 4) AS mean_length, min(len(w)) AS least, max(len(w)) AS most FROM w GROUP BY lang) SELECT n.*, coalesce(vocabulary, 0) AS vocabulary, CASE WHEN words > 0 THEN round(vocabulary / words, 6) ELSE 0 END AS type_token_ratio FROM n LEFT JOIN v ON n.lang IS NOT DISTINCT FROM v.lang")
+def agg_property_report(spark, sf_dir):
+    r = Y.property_report(table(spark, sf_dir, "documents"), "lang", "text")
+    return r.withColumn("mean_length", F.round("mean_length", 4)).withColumn("type_token_ratio", F.round("type_token_ratio", 6))

@@ -99,3 +99,29 @@ def spl_codec_ids(spark, sf_dir):
 def gen_elided_negations(spark, sf_dir):
     """Part names as sentences without a verb of their own: the second word is negated, by the rule of the second run."""
     return table(spark, sf_dir, "part").select("p_partkey", S.negate(F.concat(F.lit("il "), F.col("p_name")), elide=True).alias("text"))
+
+
+def _replaced(column: str) -> str:
+    for pattern, new in T.PUNCTUATION:
+        quoted = [v.replace("'", "''") for v in (pattern, new.replace("$", "\\"))]
+        column = f"regexp_replace({column}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return column
+
+
+@query(f"SELECT item_id, nfc_normalize(regexp_replace({_replaced('text')}, '\\pC', ' ', 'g')) AS text FROM (SELECT item_id, 'a ( “' || text || '” ) , l’eau – 5 % : «' || chr(160) || 'b' || chr(160) || '» 1' || chr(160) || '000…' || chr(7) AS text FROM benchmark)")
+def txt_for_translation(spark, sf_dir):
+    """Marks of all kinds are put around each item."""
+    x = F.concat(F.lit("a ( “"), "text", F.lit("” ) , l’eau – 5 % : «\u00a0b\u00a0» 1\u00a0000…\x07"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.for_translation(x).alias("text"))
+
+
+_BELOW_100 = "CASE WHEN {0} < 20 THEN ones[{0} + 1] ELSE tens[{0} // 10 + 1] || CASE WHEN {0} % 10 > 0 THEN '-' || ones[{0} % 10 + 1] ELSE '' END END"
+_BELOW_1000 = "CASE WHEN {0} >= 100 THEN ones[{0} // 100 + 1] || ' hundred' || CASE WHEN {0} % 100 > 0 THEN ' and ' || (" + _BELOW_100.replace("{0}", "({0} % 100)") + ") ELSE '' END ELSE " + _BELOW_100 + " END"
+_WORDS = f"(CASE WHEN n >= 1000000 THEN ({_BELOW_1000.format('(n // 1000000)')}) || ' million' || CASE WHEN n % 1000000 = 0 THEN '' WHEN n % 1000000 < 100 THEN ' and ' ELSE ', ' END ELSE '' END || CASE WHEN n % 1000000 >= 1000 THEN ({_BELOW_1000.format('(n // 1000 % 1000)')}) || ' thousand' || CASE WHEN n % 1000 = 0 THEN '' WHEN n % 1000 < 100 THEN ' and ' ELSE ', ' END ELSE '' END || CASE WHEN n % 1000 > 0 THEN ({_BELOW_1000.format('(n % 1000)')}) ELSE '' END)"
+
+
+@query(f"SELECT k AS o_orderkey, 'No ' || {_WORDS} || ', x' || n || ' of ' || ones[n % 10 + 1] || ' point ' || ones[n % 7 + 1] || '.' AS text FROM (SELECT o_orderkey AS k, o_orderkey * 37 AS n, {list(T.ENGLISH_ONES)} AS ones, {list(T.ENGLISH_TENS)} AS tens FROM orders WHERE o_orderkey > 0)")
+def txt_number_words(spark, sf_dir):
+    n = F.col("o_orderkey") * 37
+    text = F.concat(F.lit("No "), n.cast("string"), F.lit(", x"), n.cast("string"), F.lit(" of "), (n % 10).cast("string"), F.lit("."), (n % 7).cast("string"), F.lit("."))
+    return table(spark, sf_dir, "orders").filter("o_orderkey > 0").select("o_orderkey", T.numbers_to_words(text, "en").alias("text"))

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from quern.functions import predicates as P
 from quern.functions import sentences as S
+from quern.functions.text import french_number, numbers_to_words
 from quern.operators import audio as A
 from quern.operators import ngram_models as L
 from quern.operators import sampling as Q
 from quern.operators import scores as K
+from quern.operators.audit import audit
 from quern.sources import readers, writers
 
 
@@ -146,3 +148,26 @@ def test_more_readers_and_writers(spark, tmp_path):
     writers.union_of_keys([d.select("i"), d.select("t")], str(tmp_path / "u"))
     assert spark.read.csv(str(tmp_path / "u"), header=True).columns == ["i", "t"]
     assert writers.summary(d, "t").collect()[0][0] == '{"total":3,"by":{"e":1,"null":1,"z":1}}'
+
+
+@pytest.mark.parametrize(("n", "words"), [(0, "zéro"), (21, "vingt et un"), (71, "soixante et onze"), (80, "quatre-vingts"), (81, "quatre-vingt-un"), (91, "quatre-vingt-onze"), (99, "quatre-vingt-dix-neuf"), (200, "deux cents"), (201, "deux cent un"), (1000, "mille"), (1100, "mille cent"), (80_000, "quatre-vingt mille"), (200_000, "deux cent mille"), (2_000_080, "deux millions quatre-vingts")])
+def test_french_numbers(n, words):
+    assert french_number(n) == words
+
+
+def test_numbers_inside_words_and_other_languages_stay(spark):
+    df = spark.createDataFrame([("x12 et 3.05 de 16",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(numbers_to_words(F.col("t"), "fr")).collect()] == ["x12 et trois virgule zéro cinq de seize", None, ""]
+    assert [r[0] for r in df.select(numbers_to_words(F.col("t"), "ee")).collect()] == ["x12 et 3.05 de 16", None, ""]
+
+
+def test_audit_of_null_and_blank_sides(spark):
+    """A told boundary isn't judged, null sides are empty, an equal line is reported once, and brackets move with the prefix."""
+    rows = [(1, "f", "r", "il va", "sur le champ) mi wo", "lexicon_split"), (2, "f", "r", "il va", "sur le champ) mi wo", "lexicon_split"), (3, "f", "r", "il va", "sur le champ", "colon"), (4, "f", None, None, None, "lexicon_split"), (5, "f", "ɖɛ", "ɖɛ", "xyz", "lexicon_split")]
+    df = spark.createDataFrame(rows, "id long, source string, raw string, src string, tgt string, method string")
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    got = {(r["id"], r["issue"]): (r["confidence"], r["suggested_src"], r["suggested_tgt"]) for r in audit(df, "id", words("va"), words("wo"), F.lit(None).cast("string")).collect()}
+    assert got == {
+        (1, "source_prefix_in_target"): ("high", "il va sur le champ)", "mi wo"), (4, "empty_target"): ("needs-human", "", ""),
+        (5, "target_letters_in_source"): ("high", "", ""), (5, "no_target_evidence"): ("needs-human", "", ""),
+    }
