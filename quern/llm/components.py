@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from quern.scratch import materialize
 
+#: Rows of a few ids or labels, of up to 50 bytes each, that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, a written table of ids and labels, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import brown, decontamination, language, minhash, packing, quality, secrets, sharding, token_counts, toxicity
+from quern.llm import brown, decontamination, language, minhash, packing, quality, secrets, sharding, simhash, token_counts, toxicity
 from quern.scratch import scratch_dir
 
 
@@ -68,8 +68,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])).drop("n_tokens", *quality.MEASURES)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_packing, op3_sharding, op4_minhash, op5_token_counts, op6_brown, op7_language, op8_secrets, op9_decontamination, op10_quality)
+    f.__name__: f for f in (op1_toxicity, op2_packing, op3_sharding, op4_minhash, op5_token_counts, op6_brown, op7_language, op8_secrets, op9_decontamination, op10_quality, op12_simhash)
 }
 
 #: Queries whose rows SQL can express. The others learn, draw or encode; tests hold them against brute force.
