@@ -62,10 +62,10 @@ def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
 def numbered_first(df: DataFrame, keys: list[str], order: str, prefix: str) -> DataFrame:
     """The first row of each key, with a new id: prefix and a number from 1 in that order, four digits at least. Ranks come from ranges of the order."""
     from quern.operators.rows import keep_first
-    from quern.operators.sampling import ranks_in_ranges
+    from quern.operators.ordering import ranks
 
     kept = keep_first(df, keys, [order])
-    return ranks_in_ranges(kept, order, "_n").withColumn("new_id", F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), F.greatest(F.lit(4), F.length(F.col("_n").cast("string"))), F.lit("0")))).drop("_n")
+    return ranks(kept, [order], "_n").withColumn("new_id", F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), F.greatest(F.lit(4), F.length(F.col("_n").cast("string"))), F.lit("0")))).drop("_n")
 
 
 def pending(inputs: DataFrame, cache: DataFrame, content: Column) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import ranks, ranks_within
+
+__all__ = ["duplicate_flags", "group_split", "hashed", "keep_first", "keep_last", "overlay", "ranks", "sample_rows", "strata_sample", "without_keys"]
+
 
 def hashed(seed: int, key: Column) -> Column:
     """A key's place in an order that seed fixes."""
@@ -32,14 +36,14 @@ def without_keys(df: DataFrame, held: DataFrame, key: Column, held_key: Column)
 
 def strata_sample(df: DataFrame, stratum: str, per_stratum: int, key: str, seed: int = 1) -> DataFrame:
     """Of each stratum the first rows by hashed key."""
-    w = Window.partitionBy(stratum).orderBy(hashed(seed, F.col(key)), key)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_stratum).drop("_n")
+    ranked = ranks_within(df.withColumn("_h", hashed(seed, F.col(key))), [stratum], ["_h", key], "_n")
+    return ranked.filter(F.col("_n") <= per_stratum).drop("_h", "_n")
 
 
 def group_split(df: DataFrame, group: str, test: float, validation: float, seed: int = 1, rounding: str = "floor") -> DataFrame:
     """df with `split`. Whole groups go to test, then validation, then train; sizes are shares of the number of groups, at least 1.
 
-    Ranks come from a sort by ranges and the groups of each range before it, so no task holds all groups. rounding: floor, bround or ceil.
+    Ranks come from a sort by ranges, so no task holds all groups. rounding: floor, bround or ceil.
     """
     groups = df.select(F.col(group).alias("_g")).distinct().withColumn("_h", hashed(seed, F.col("_g")))
     n = groups.agg(F.count("*").alias("_total"))
@@ -49,15 +53,6 @@ def group_split(df: DataFrame, group: str, test: float, validation: float, seed:
     return df.join(ranked.select("_g", split.alias("split")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
-def ranks(df: DataFrame, order: list[str], name: str, buckets: int = 256) -> DataFrame:
-    """df with its place from 1 in `order`, whose first column is a hexadecimal hash: rows are ranked within the hash's first two digits and shifted by the rows before."""
-    cut = df.withColumn("_b", F.conv(F.substring(order[0], 1, 2), 16, 10).cast("int"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = cut.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))  # at most `buckets` rows
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return cut.withColumn("_own", own).join(F.broadcast(shift), "_b").withColumn(name, F.col("_own") + F.col("_shift")).drop("_b", "_own", "_shift")
-
-
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     """n rows by hashed key, all if there are fewer."""
     return df.orderBy(hashed(seed, F.col(key)), key).limit(n)

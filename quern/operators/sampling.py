@@ -5,20 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import few, grouped_few, ranks, ranks_within, same
 from quern.operators.rows import hashed
-
-
-def ranks_within(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """df with its place from 1 within each group of `by`, in `order`, whose first column is a hexadecimal hash. A group is ranked in 256 parts, shifted by the rows before; groups must be few enough that their counts can be broadcast."""
-    cut = df.withColumn("_b", F.conv(F.substring(order[0], 1, 2), 16, 10).cast("int"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = cut.groupBy(*by, "_b").count().select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(by)], F.col("_b").alias("_sb"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
-    same = F.col("_b") == F.col("_sb")
-    for k, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"_s{k}"))
-    ranked = cut.withColumn("_own", own).join(F.broadcast(shift), same)
-    return ranked.withColumn(name, F.col("_own") + F.col("_shift")).drop("_b", "_sb", "_own", "_shift", *[f"_s{k}" for k in range(len(by))])
+from quern.scratch import materialize
 
 
 def validation_split(df: DataFrame, by: list[str], key: Column, ratio: float, seed: int = 1) -> DataFrame:
@@ -26,15 +15,13 @@ def validation_split(df: DataFrame, by: list[str], key: Column, ratio: float, se
     if ratio <= 0:
         return df.withColumn("split", F.lit("train"))
     ranked = ranks_within(df.withColumn("_h", hashed(seed, key)).withColumn("_k", key), by, ["_h", "_k"], "_rank")
-    n = ranked.groupBy(*by).agg(F.count("*").alias("_n"))
+    n = grouped_few(ranked.groupBy(*by).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_n"))
     take = F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)), F.col("_n") - 1)
-    return ranked.join(F.broadcast(n), by).withColumn("split", F.when(F.col("_rank") <= take, "val").otherwise("train")).drop("_h", "_k", "_rank", "_n")
+    return ranked.join(n, same(ranked, n, by, [f"_g{k}" for k in range(len(by))])).drop(*[f"_g{k}" for k in range(len(by))]).withColumn("split", F.when(F.col("_rank") <= take, "val").otherwise("train")).drop("_h", "_k", "_rank", "_n")
 
 
 def two_step_split(df: DataFrame, key: str, test: float = 0.1, dev: float = 0.1, seed: int = 1) -> DataFrame:
     """df with split: in order of the hashed key ceil(n * test) rows go to test, and ceil(rest * dev / (1 - test)) of the rest, in order of another hash, to dev. Sizes are exact."""
-    from quern.operators.rows import ranks
-
     def step(rows: DataFrame, s: int, share: float, name: str) -> DataFrame:
         ranked = ranks(rows.withColumn("_h", hashed(s, F.col(key))), ["_h", key], "_rank").drop("_h")
         n = rows.agg(F.ceil(F.count("*") * F.lit(share)).alias("_take"))
@@ -47,8 +34,6 @@ def two_step_split(df: DataFrame, key: str, test: float = 0.1, dev: float = 0.1,
 
 def index_split(df: DataFrame, key: str, validation: float = 0.05, test: float = 0.05, least: int = 10, seed: int = 1) -> DataFrame:
     """df with split: in order of the hashed key train, then max(1, int(n * validation)) rows val, then test likewise. With fewer than `least` rows all are train."""
-    from quern.operators.rows import ranks
-
     size = lambda share: F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share))).cast("long")
     n = df.agg(F.count("*").alias("_n")).select("_n", size(validation).alias("_val"), size(test).alias("_test"))
     ranked = ranks(df.withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_rank").join(F.broadcast(n))
@@ -56,10 +41,17 @@ def index_split(df: DataFrame, key: str, validation: float = 0.05, test: float =
     return ranked.withColumn("split", split).drop("_h", "_rank", "_n", "_val", "_test")
 
 
+def grouped_validation(df: DataFrame, group: str, share: float, seed: int = 1) -> DataFrame:
+    """df with split: max(1, ceil(groups * share)) whole groups by hashed key are validation, the others train. Rows without a group are train."""
+    groups = df.select(F.col(group).alias("_g")).filter("_g IS NOT NULL").distinct()
+    ranked = ranks(groups.withColumn("_h", hashed(seed, F.col("_g"))), ["_h", "_g"], "_rank")
+    take = groups.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(share))).alias("_take"))
+    held = ranked.join(F.broadcast(take)).filter(F.col("_rank") <= F.col("_take")).select("_g", F.lit("validation").alias("_split"))
+    return df.join(held, F.col(group) == F.col("_g"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_g", "_split")
+
+
 def plain_validation(df: DataFrame, key: str, ratio: float, seed: int = 1) -> DataFrame:
     """df with split: max(1, int(n * ratio)) rows by hashed key are val, without a cap: one row alone is val."""
-    from quern.operators.rows import ranks
-
     n = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(ratio))).alias("_take"))
     ranked = ranks(df.withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_rank").join(F.broadcast(n))
     return ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_take"), "val").otherwise("train")).drop("_h", "_rank", "_take")
@@ -70,14 +62,12 @@ def random_subsets(df: DataFrame, value: str, sizes: list[int], seed: int = 1) -
     values = df.select(F.col(value).alias("_v")).filter("_v IS NOT NULL").distinct()
     draws = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(name).alias("draw"), F.lit(str(seed + k)).alias("seed")) for n in sizes for k, name in enumerate("abc")]))
     drawn = values.select("_v", draws.alias("d")).withColumn("_h", F.md5(F.concat_ws("|", "d.seed", F.col("_v").cast("string"))))
-    w = Window.partitionBy("d.n", "d.draw").orderBy("_h", "_v")  # distinct values, not rows
-    return drawn.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("d.n")).select(F.concat_ws("-", F.col("d.n").cast("string"), "d.draw").alias("subset"), F.col("_v").alias(value))
+    ranked = ranks_within(drawn.select("_v", "_h", F.col("d.n").alias("_size"), F.col("d.draw").alias("_draw")), ["_size", "_draw"], ["_h", "_v"], "_k")
+    return ranked.filter(F.col("_k") <= F.col("_size")).select(F.concat_ws("-", F.col("_size").cast("string"), "_draw").alias("subset"), F.col("_v").alias(value))
 
 
 def mixed(first: DataFrame, second: DataFrame, key: str, seed: int = 1) -> DataFrame:
     """As many rows of either corpus as the smaller has, by hashed key, with `corpus` (0 or 1) and `place`, their place from 1 in a shuffled order."""
-    from quern.operators.rows import ranks
-
     both = first.withColumn("corpus", F.lit(0)).unionByName(second.withColumn("corpus", F.lit(1)))
     least = both.groupBy("corpus").agg(F.count("*").alias("n")).agg(F.when(F.count("*") == 2, F.min("n")).otherwise(0).alias("_least"))
     ranked = ranks_within(both.withColumn("_h", hashed(seed, F.concat_ws("|", "corpus", F.col(key).cast("string")))), ["corpus"], ["_h", key], "_rank")
@@ -87,8 +77,6 @@ def mixed(first: DataFrame, second: DataFrame, key: str, seed: int = 1) -> DataF
 
 def drawn_with_replacement(df: DataFrame, key: str, size: int, seed: int = 1) -> DataFrame:
     """(draw, key): `size` draws from all rows, each of them by a hash of its number, so a row can come again."""
-    from quern.operators.rows import ranks
-
     numbered = ranks(df.select(key).withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_place").select(key, "_place")
     n = numbered.agg(F.count("*").alias("_n"))
     draws = df.sparkSession.range(1, size + 1).withColumnRenamed("id", "draw").join(F.broadcast(n)).filter("_n > 0")
@@ -103,25 +91,25 @@ def draw_number(seed: int, key: Column) -> Column:
 def quota_sample(df: DataFrame, stratum: str, quotas: dict, key: str, seed: int = 1) -> DataFrame:
     """Of each named stratum its quota by hashed key; strata without one go."""
     quota = F.create_map(*[F.lit(x) for item in quotas.items() for x in item])[F.col(stratum)]
-    w = Window.partitionBy(stratum).orderBy(hashed(seed, F.col(key)), key)
-    return df.withColumn("_q", quota).filter("_q IS NOT NULL").withColumn("_n", F.row_number().over(w)).filter((F.col("_n") <= max(quotas.values(), default=0)) & (F.col("_n") <= F.col("_q"))).drop("_q", "_n")
+    ranked = ranks_within(df.withColumn("_q", quota).filter("_q IS NOT NULL").withColumn("_h", hashed(seed, F.col(key))), [stratum], ["_h", key], "_n")
+    return ranked.filter(F.col("_n") <= F.col("_q")).drop("_q", "_h", "_n")
 
 
 def stratified(df: DataFrame, stratum: str, size: int, key: str, seed: int = 1) -> DataFrame:
     """max(1, size // strata) rows of each stratum by hashed key; with more strata than size, the first strata in order give one each."""
-    names = df.select(F.col(stratum).alias("_s")).distinct().withColumn("_o", F.row_number().over(Window.orderBy("_s"))).withColumn("_m", F.count("*").over(Window.partitionBy()))  # strata, not rows
-    w = Window.partitionBy(stratum).orderBy(hashed(seed, F.col(key)), key)
-    ranked = df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size)
-    j = ranked.join(F.broadcast(names), F.col(stratum).eqNullSafe(F.col("_s")))
-    return j.filter((F.col("_n") <= F.greatest(F.lit(1), F.floor(F.lit(size) / F.col("_m")))) & (F.col("_o") <= size)).drop("_n", "_s", "_o", "_m")
+    names = ranks(df.select(F.col(stratum).alias("_s")).distinct(), ["_s"], "_o")
+    names = materialize(names, "strata")
+    each = max(1, size // max(1, names.count()))
+    ranked = ranks_within(df.withColumn("_h", hashed(seed, F.col(key))), [stratum], ["_h", key], "_n").filter(F.col("_n") <= each)
+    j = ranked.join(few(names), F.col(stratum).eqNullSafe(F.col("_s")))
+    return j.filter(F.col("_o") <= size).drop("_n", "_h", "_s", "_o")
 
 
 def length_bins(df: DataFrame, length: Column, size: int, key: str, edges: tuple[int, int] = (5, 9), seed: int = 1) -> DataFrame:
     """`size` rows: a third from each of three bins of length, by hashed key, then the rest in order of the hash."""
     bin_ = F.when(length <= edges[0], 0).when(length <= edges[1], 1).otherwise(2)
     h = hashed(seed, F.col(key))
-    w = Window.partitionBy("_bin").orderBy("_h", key)
-    r = df.withColumn("_bin", bin_).withColumn("_h", h).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size)
+    r = ranks_within(df.withColumn("_bin", bin_).withColumn("_h", h), ["_bin"], ["_h", key], "_n").filter(F.col("_n") <= size)
     return r.orderBy((F.col("_n") > size // 3).cast("int"), "_h", key).limit(size).drop("_bin", "_h", "_n")
 
 
@@ -139,8 +127,6 @@ def context_rows(df: DataFrame, pool: DataFrame, key: str, pool_key: str, k: int
 
     A row's draws start at a hashed place and go on by a hashed step of at most a k-th of the pool, so none comes twice.
     """
-    from quern.operators.rows import ranks
-
     numbered = ranks(pool.select(F.col(pool_key).alias("context")).withColumn("_h", hashed(seed, F.col("context"))), ["_h", "context"], "_place").select("context", "_place")
     n = numbered.agg(F.count("*").alias("_n"))
     rows = df.select(key).join(F.broadcast(n)).filter("_n > 0")
@@ -158,7 +144,7 @@ def diverse(df: DataFrame, key: str, text: str, size: int, clusters: int = 20, f
     steps = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern="\\s+"), CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=features), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_vector"), KMeans(k=clusters, seed=seed, featuresCol="_vector", predictionCol="cluster")]
     d = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     found = Pipeline(stages=steps).fit(d).transform(d).withColumn("_h", hashed(seed, F.col(key)))
-    r = found.withColumn("_n", F.row_number().over(Window.partitionBy("cluster").orderBy("_h", key))).filter(F.col("_n") <= size)
+    r = ranks_within(found.select(*df.columns, "cluster", "_h"), ["cluster"], ["_h", key], "_n").filter(F.col("_n") <= size)
     return r.orderBy((F.col("_n") > max(1, size // clusters)).cast("int"), "_h", key).limit(size).select(*df.columns, "cluster")
 
 
@@ -176,13 +162,3 @@ def covering(df: DataFrame, key: str, words: Column, size: int) -> DataFrame:
         seen = open_.filter(F.col(key) == best[key]).select("_w")
         open_ = materialize(open_.join(seen, "_w", "left_anti"), "open_words")
     return df.sparkSession.createDataFrame(chosen, f"round int, {key} {dict(df.dtypes)[key]}, gain bigint")
-
-
-def ranks_in_ranges(df: DataFrame, order: str, name: str) -> DataFrame:
-    """df with its place from 1 in the order of an integer column of different values: rows are ranked within 256 ranges of equal width and shifted by the rows before."""
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    part = F.floor(F.try_divide((F.col(order) - F.col("_lo")) * 256, F.col("_hi") - F.col("_lo") + 1)).cast("int")
-    cut = df.join(F.broadcast(ends)).withColumn("_b", part).drop("_lo", "_hi")
-    shift = cut.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))  # 256 rows
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    return cut.withColumn("_own", own).join(F.broadcast(shift), "_b").withColumn(name, F.col("_own") + F.col("_shift")).drop("_b", "_own", "_shift")

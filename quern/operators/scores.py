@@ -12,10 +12,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from quern.operators.ordering import running_sums
+
 CHAR_ORDER, WORD_ORDER = 6, 2
 _COUNTS = ArrayType(LongType())
 #: The public definition of the 13a tokenizer, in order.
@@ -244,13 +246,13 @@ def _wilcoxon_p(n: pd.Series, plus: pd.Series, ties: pd.Series, dropped: pd.Seri
 def wilcoxon(scores: DataFrame, a: str, b: str, keys: list[str], least: int = 5) -> DataFrame:
     """(keys, n, w_plus, p_value) of the signed-rank test, two-sided; null p under `least` pairs. Zero differences go, equal ones share their mean rank.
 
-    Exact up to 50 pairs without ties and zeros, else by the normal law with its correction for ties. Ranks run over distinct differences, counted before the exchange.
+    Exact up to 50 pairs without ties and zeros, else by the normal law with its correction for ties. Ranks are running sums over the counts of distinct differences, range by range, so no task holds a key.
     """
     d = scores.select(*keys, (F.col(a) - F.col(b)).alias("_d")).filter("_d IS NOT NULL")
     zeros = d.groupBy(*keys).agg(F.count("*").alias("_pairs"), F.sum((F.col("_d") == 0).cast("long")).alias("_dropped"))
     by = d.filter("_d <> 0").groupBy(*keys, F.abs("_d").alias("_size")).agg(F.count("*").alias("_k"), F.sum((F.col("_d") > 0).cast("long")).alias("_up"))
-    k, upto = F.col("_k"), F.sum("_k").over(Window.partitionBy(*keys).orderBy("_size"))
-    ranked = by.withColumn("_rank", upto - (k - 1) / 2)
+    k = F.col("_k")
+    ranked = running_sums(by, keys, ["_size"], "_k", "_upto").withColumn("_rank", F.col("_upto") - (k - 1) / 2)
     s = ranked.groupBy(*keys).agg(F.sum(k).alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum(k * k * k - k).alias("_ties"))
     same = reduce(lambda x, y: x & y, [zeros[c].eqNullSafe(s[c]) for c in keys])
     j = zeros.join(s, same, "left").select(*[zeros[c] for c in keys], "_pairs", "_dropped", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "_ties")], F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"))

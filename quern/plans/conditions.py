@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.rows import hashed, ranks
-from quern.operators.sampling import ranks_within, shuffled_pairs, validation_split
+from quern.operators.ordering import few, ranks, ranks_within
+from quern.operators.rows import hashed
+from quern.operators.sampling import shuffled_pairs, validation_split
+from quern.scratch import materialize
 
 #: Rows of the random pool and of the structured pool in each condition; ALL takes a whole pool.
 ALL = 2**62
@@ -45,8 +47,8 @@ def assign(random: DataFrame, structured: DataFrame, key: str, module: str, cond
     r = ranks(random.select(key).withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_rank")
     of_random = r.select(key, F.lit("random").alias("pool"), F.explode(F.filter(spec, lambda c: F.col("_rank") <= c["r"])).alias("c"))
     s = ranks_within(structured.select(key, module).withColumn("_h", hashed(seed, F.col(key))), [module], ["_h", key], "_rank")
-    names = structured.select(F.col(module).alias("_m")).distinct().withColumn("_o", F.row_number().over(Window.orderBy("_m"))).withColumn("_strata", F.count("*").over(Window.partitionBy()))  # modules, not rows
-    s = s.join(F.broadcast(names), F.col(module).eqNullSafe(F.col("_m")))
+    names = materialize(ranks(structured.select(F.col(module).alias("_m")).distinct(), ["_m"], "_o"), "modules")
+    s = s.join(few(names), F.col(module).eqNullSafe(F.col("_m"))).withColumn("_strata", F.lit(names.count()))
     share = lambda c: F.greatest(F.lit(1).cast("long"), F.floor(c["s"] / F.col("_strata")))
     held = lambda c: (c["s"] == ALL) | ((F.col("_rank") <= share(c)) & (F.col("_o") <= c["s"]))
     of_structured = s.select(key, F.lit("structured").alias("pool"), F.explode(F.filter(spec, held)).alias("c"))

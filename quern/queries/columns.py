@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import predicates as P
 from quern.functions import text as T
+from quern.operators.ordering import quantiles
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 
 
@@ -82,7 +83,7 @@ def prd_flags(spark, sf_dir):
 @query("WITH " + PAIRS + ", r AS (SELECT ord, greatest(len(" + words_sql("src") + "), 1) / greatest(len(" + words_sql("tgt") + "), 1) AS ratio FROM pairs), m AS (SELECT quantile_cont(ratio, 0.5) AS mid FROM r) SELECT ord, round(ratio, 6) AS ratio, ratio > 3 * mid OR ratio < mid / 3 AS outlier FROM r, m")
 def prd_length_ratio(spark, sf_dir):
     d = pairs(spark, sf_dir).select("ord", P.length_ratio(F.col("src"), F.col("tgt")).alias("ratio"))
-    mid = d.agg(F.percentile("ratio", 0.5).alias("mid"))
+    mid = quantiles(d, "ratio", {"mid": 0.5})  # one row
     return d.crossJoin(F.broadcast(mid)).select("ord", F.round("ratio", 6).alias("ratio"), ((F.col("ratio") > 3 * F.col("mid")) | (F.col("ratio") < F.col("mid") / 3)).alias("outlier"))
 
 

@@ -135,14 +135,9 @@ def smp_rounded_group_split(spark, sf_dir):
 @query("WITH g AS (SELECT DISTINCT o_custkey AS c FROM orders), r AS (SELECT c, row_number() OVER (ORDER BY md5('7|' || c), c) AS k, count(*) OVER () AS n FROM g) SELECT o_orderkey, CASE WHEN k <= greatest(1, ceil(n * 0.1)) THEN 'validation' ELSE 'train' END AS split FROM orders JOIN r ON c = o_custkey")
 def smp_grouped_validation(spark, sf_dir):
     """Whole customers' orders, a tenth of the customers and any part of one more."""
-    n = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    from quern.operators.rows import ranks
-    from quern.operators.rows import hashed
-
-    g = n.select(F.col("o_custkey").alias("c")).distinct()
-    take = g.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(0.1))).alias("take"))
-    r = ranks(g.withColumn("h", hashed(7, F.col("c"))), ["h", "c"], "k").join(F.broadcast(take)).select(F.col("c").alias("o_custkey"), F.when(F.col("k") <= F.col("take"), "validation").otherwise("train").alias("split"))
-    return n.join(r, "o_custkey").select("o_orderkey", "split")
+    from quern.operators.sampling import grouped_validation
+
+    return grouped_validation(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 0.1, seed=7).select("o_orderkey", "split")
 
 
 _RANKED = "SELECT c_custkey, row_number() OVER (ORDER BY md5('{s}|' || c_custkey), c_custkey) AS k, count(*) OVER () AS n FROM {t}"

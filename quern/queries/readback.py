@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.queries.registry import PAIRS, pairs, query, table
-from quern.scratch import scratch_dir
+from quern.scratch import scratch_path
 from quern.sources import readers as R
 from quern.sources import writers as W
 
 
 def _folder(spark, name):
-    return f"{scratch_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 _PAIRS = f"WITH {PAIRS} SELECT {{}} FROM pairs WHERE trim(src) <> '' AND trim(tgt) <> ''"
@@ -155,21 +153,17 @@ def snk_union_of_keys(spark, sf_dir):
 
 @query("SELECT p_partkey::VARCHAR AS a, p_name AS b FROM part")
 def snk_aligned(spark, sf_dir):
-    """Two files of the same lines in the same order, put side by side by place."""
+    """Two files of each range with the same lines in the same order, put side by side by place."""
     path = _folder(spark, "aligned")
-    W.aligned(table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("a"), F.col("p_name").alias("b")), "p_partkey", ["a", "b"], path)
-    part = lambda c: spark.read.text(f"{path}/{c}").select(F.regexp_extract("_metadata.file_name", "^part-(\\d+)", 1).alias("f"), F.col("_metadata.file_block_start").alias("s"), F.col("value").alias(c), F.monotonically_increasing_id().alias("i"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("f").orderBy("s", "i"))
-    return part("a").withColumn("k", place).join(part("b").withColumn("k", place), ["f", "k"]).select("a", "b")
+    W.aligned(table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("a"), F.col("p_name").alias("b")), "p_partkey", ["a", "b"], path, parts=7)
+    return R.aligned_lines(spark, path, ["a", "b"]).select("a", "b")
 
 
-@query("SELECT 'adja' AS model, 'exp' || (s_nationkey % 2) AS experiment, 'C' || (s_nationkey % 4) AS condition, (s_suppkey % 5)::INT AS seed, s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0")
+@query("SELECT 'model-b' AS model, 'exp' || (s_nationkey % 2) AS experiment, 'C' || (s_nationkey % 4) AS condition, (s_suppkey % 5)::INT AS seed, s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0")
 def src_run_paths(spark, sf_dir):
     """Listed paths of which every third has no seed and goes."""
     k = F.col("s_suppkey")
-    path = F.concat(F.lit("/r/adja/exp"), (F.col("s_nationkey") % 2).cast("string"), F.lit("/C"), (F.col("s_nationkey") % 4).cast("string"), F.when(k % 3 == 0, "/test_metrics.json").otherwise(F.concat(F.lit("/seed"), (k % 5).cast("string"), F.lit("/test_metrics.json"))))
+    path = F.concat(F.lit("/r/model-b/exp"), (F.col("s_nationkey") % 2).cast("string"), F.lit("/C"), (F.col("s_nationkey") % 4).cast("string"), F.when(k % 3 == 0, "/test_metrics.json").otherwise(F.concat(F.lit("/seed"), (k % 5).cast("string"), F.lit("/test_metrics.json"))))
     return R.with_run(table(spark, sf_dir, "supplier").select("s_suppkey", path.alias("_path"))).select("model", "experiment", "condition", "seed", "s_suppkey")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import predicates as P
 from quern.functions import text as T
 from quern.operators import rows as R
+from quern.operators.ordering import quantiles
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 from quern.sources import readers, writers
 
@@ -129,7 +130,8 @@ def agg_manifest(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (k IS NULL) AS failed, round(avg(value), 4) AS mean, quantile_cont(value, 0.5) AS median, max(value) AS most FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
 def agg_stages(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("k").isNull().cast("long")).alias("failed"), F.round(F.avg("value"), 4).alias("mean"), F.percentile("value", 0.5).alias("median"), F.max("value").alias("most"))
+    s = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("k").isNull().cast("long")).alias("failed"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("most"))
+    return s.join(quantiles(e, "value", {"median": 0.5}, ["event_type"]), "event_type", "left")
 
 
 @query("WITH r AS (SELECT DISTINCT unnest(" + words_sql("text") + ") AS w FROM conversations WHERE role = 'user'), h AS (SELECT DISTINCT unnest(" + words_sql("text") + ") AS w FROM conversations WHERE role = 'assistant') SELECT (SELECT count(*) FROM r) AS ref_words, (SELECT count(*) FROM h) AS hyp_words, (SELECT count(*) FROM r JOIN h USING (w)) AS shared")

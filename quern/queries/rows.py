@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
 from quern.operators import rows as R
+from quern.operators.ordering import quantiles
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 
 
@@ -139,11 +140,11 @@ def agg_length_buckets(spark, sf_dir):
 def agg_length_summary(spark, sf_dir):
     """p95 is the element at the truncated place in ascending order, found by rank and not by gathering a source's lengths."""
     n = table(spark, sf_dir, "documents").select("source", F.size(tokens(F.col("text"))).alias("n"))
-    s = n.groupBy("source").agg(F.count("*").alias("docs"), F.round(F.avg("n"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 4).alias("sd"), F.percentile("n", 0.5).alias("median"), F.sum((F.col("n") > 128).cast("long")).alias("over_128"))
+    s = n.groupBy("source").agg(F.count("*").alias("docs"), F.round(F.avg("n"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 4).alias("sd"), F.sum((F.col("n") > 128).cast("long")).alias("over_128"))
     upto = F.sum("k").over(Window.partitionBy("source").orderBy("n"))
     place = n.groupBy("source", "n").agg(F.count("*").alias("k")).withColumn("upto", upto)
     p95 = place.join(F.broadcast(s.select("source", "docs")), "source").filter(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("docs") * 0.95))).groupBy("source").agg(F.min("n").alias("p95"))
-    return s.join(p95, "source")
+    return s.join(p95, "source").join(quantiles(n, "n", {"median": 0.5}, ["source"]), "source")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std_pop, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS lo, max(l_quantity) AS hi, quantile_cont(l_quantity, 0.1) AS p10, quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem GROUP BY ALL")

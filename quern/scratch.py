@@ -22,15 +22,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by release()."""
+    path = f"{scratch_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and lost executors cost nothing that was done before.
 
     The table has the columns and rows of df; an empty df gives an empty table. It stays until release().
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import is_blank
@@ -145,3 +145,15 @@ def waveforms(spark: SparkSession, path: str) -> DataFrame:
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
     return f.select("path", decode_wav("content").alias("w")).select("path", "w.samples", "w.rate")
+
+
+def aligned_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(_part, line, one column each) of folders that writers.aligned has written: line k of file k of every folder is one row."""
+    first, rest = None, []
+    for c in columns:
+        t = spark.read.schema("value string, _part int").text(f"{path}/{c}").select("_part", F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias(c))
+        t = t.withColumn("line", F.row_number().over(Window.partitionBy("_part").orderBy("_s", "_i"))).drop("_s", "_i")  # a range, not all rows
+        first, rest = (t, rest) if first is None else (first, [*rest, t])
+    for t in rest:
+        first = first.join(t, ["_part", "line"], "full")
+    return first

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import escape_controls
+from quern.operators.ordering import in_ranges
 
 
 def pair_files(df: DataFrame, path: str) -> None:
@@ -56,13 +57,15 @@ def speech_manifest(df: DataFrame, path: str) -> None:
     json_lines(df, F.to_json(F.struct("audio_filepath", "duration", "text")), path)
 
 
-def aligned(df: DataFrame, index: str, columns: list[str], path: str) -> None:
-    """One folder a column whose files have the same rows in the same order: rows are sorted by ranges of the index, once, and every column is written from that table."""
-    from quern.scratch import materialize
+def aligned(df: DataFrame, index: str, columns: list[str], path: str, parts: int | None = None) -> None:
+    """One folder a column, in it a folder _part=k with one file for each range of the index. File k of every column has the same rows in the same order.
 
-    whole = materialize(df.select(index, *columns).repartitionByRange(index).sortWithinPartitions(index), "aligned")
+    Ranges are drawn once and stored with the rows, so that every column is written by the same ones. Null is an empty line; line feeds inside values are escaped.
+    """
+    whole = in_ranges(df.select(index, *columns), [index], parts)
     for c in columns:
-        whole.repartitionByRange(index).sortWithinPartitions(index).select(escape_controls(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("value")).write.text(f"{path}/{c}")
+        line = escape_controls(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("value")
+        whole.select("_part", "_at", line).repartition("_part").sortWithinPartitions("_part", "_at").select("_part", "value").write.partitionBy("_part").text(f"{path}/{c}")
 
 
 def piped(df: DataFrame, path: str, header: bool = True) -> None:
