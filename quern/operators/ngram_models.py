@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Callable
+from functools import cache, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +97,100 @@ def greedy_labels(frames: Column, blank: int = 0) -> Column:
     return ctc_collapse(F.transform(frames, lambda f: (F.array_position(f, F.array_max(f)) - 1).cast("int")), blank)
 
 
+class CharacterModel:
+    """A model's entries (gram -> probability, backoff) of one character or label a word; the sum of backed-off probabilities along a sequence."""
+
+    def __init__(self, entries: dict[tuple[str, ...], tuple[float, float]]):
+        self.entries, self.order = entries, max(map(len, entries), default=1)
+        self.unknown = entries.get((UNKNOWN,), (-99.0, 0.0))[0]
+
+    def next(self, before: tuple[str, ...], label: str) -> float:
+        """Probability of `label` behind `before`: that of the longest known gram, and the backoffs of the contexts passed."""
+        context, passed = ((START,) + before)[-(self.order - 1) :] if self.order > 1 else (), 0.0
+        while True:
+            if context + (label,) in self.entries:
+                return passed + self.entries[context + (label,)][0]
+            if not context:
+                return passed + self.unknown
+            passed += self.entries.get(context, (0.0, 0.0))[1]
+            context = context[1:]
+
+
+def prefix_beam(scores: np.ndarray, width: int, blank: int = 0, bonus: Callable[[tuple[int, ...]], float] | None = None) -> list[tuple[tuple[int, ...], float]]:
+    """(labels, natural logarithm of their probability) of up to `width` label sequences, the best first.
+
+    A sequence's probability is the sum over all paths that collapse to it. Paths that end in a blank and paths that end in the last label are summed apart, as a repeated label grows a sequence behind a blank only.
+    bonus(labels) is added where sequences are compared, not to their probability; equal ones go by their labels.
+    """
+    none = -math.inf
+    logs = scores - np.logaddexp.reduce(scores, axis=1, keepdims=True)
+    extra = cache(bonus) if bonus else lambda labels: 0.0
+    beam: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, none)}
+    for frame in logs.tolist():
+        grown: dict[tuple[int, ...], list[float]] = {}
+        for labels, (behind_blank, behind_label) in beam.items():
+            whole = _log_sum(behind_blank, behind_label)
+            stay = grown.setdefault(labels, [none, none])
+            stay[0] = _log_sum(stay[0], whole + frame[blank])
+            last = labels[-1] if labels else None
+            if labels:
+                stay[1] = _log_sum(stay[1], behind_label + frame[last])
+            for label, log in enumerate(frame):
+                mass = behind_blank if label == last else whole
+                if label != blank and mass > none:
+                    longer = grown.setdefault((*labels, label), [none, none])
+                    longer[1] = _log_sum(longer[1], mass + log)
+        best = sorted(grown, key=lambda x: (-_log_sum(*grown[x]) - extra(x), x))[:width]
+        beam = {labels: tuple(grown[labels]) for labels in best}
+    return [(labels, _log_sum(*masses)) for labels, masses in beam.items()]
+
+
+def _log_sum(a: float, b: float) -> float:
+    high, low = (a, b) if a >= b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def beam_candidates(df: DataFrame, key: str, frames: str, names: list[str], width: int = 8, model: DataFrame | None = None, alpha: float = 0.5, beta: float = 0.0, blank: int = 0, most_entries: int = 2_000_000) -> DataFrame:
+    """(key, rank, text, acoustic, fused): up to `width` label sequences of each row's frames (an array of arrays of scores, one for each name), the best first. text joins the labels' names by spaces.
+
+    With a model (n, gram, logprob, backoff) whose words are names, sequences compete by acoustic + ln(10) * alpha * model + beta * labels; the end is scored last. The model goes to every task, so one of more than
+    `most_entries` entries is refused: take candidates without it and use backoff_scores and rescore, which join. Rows of null or no frames have no candidate.
+    """
+    entries = None
+    if model is not None:
+        n = model.count()
+        if n > most_entries:
+            raise ValueError(f"a model of {n} entries is too large for every task; rescore candidates instead")
+        entries = df.sparkSession.sparkContext.broadcast({tuple(r["gram"].split(" ")): (r["logprob"], r["backoff"]) for r in model.select("gram", "logprob", "backoff").toLocalIterator()})
+
+    @F.pandas_udf("array<struct<rank int, text string, acoustic double, fused double>>")
+    def candidates(rows: pd.Series) -> pd.Series:
+        lm = CharacterModel(entries.value) if entries is not None else None
+
+        @cache
+        def gained(labels: tuple[int, ...]) -> float:
+            if not labels:
+                return 0.0
+            said = tuple(names[x] for x in labels)
+            return gained(labels[:-1]) + math.log(10) * alpha * lm.next(said[:-1], said[-1]) + beta
+
+        def one(row) -> list[dict]:
+            if row is None or not len(row):
+                return []
+            found = prefix_beam(np.stack([np.asarray(f, dtype=float) for f in row]), width, blank, gained if lm else None)
+            if lm:
+                end = lambda labels: math.log(10) * alpha * lm.next(tuple(names[x] for x in labels), END)
+                found = sorted(((labels, a, a + gained(labels) + end(labels)) for labels, a in found), key=lambda r: (-r[2], r[0]))
+            else:
+                found = [(labels, a, a) for labels, a in found]
+            gained.cache_clear()
+            return [{"rank": k + 1, "text": " ".join(names[x] for x in labels), "acoustic": a, "fused": f} for k, (labels, a, f) in enumerate(found)]
+
+        return pd.Series([one(r) for r in rows])
+
+    return df.select(key, F.inline(candidates(F.col(frames))))
+
+
 def repeated_runs(words: Column, least: int = 3) -> Column:
     """struct(word, start, length) of the first run of `least` or more equal words, from 0; null if there is none."""
     empty = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit(False).alias("done"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,17 +151,47 @@ def diverse(df: DataFrame, key: str, text: str, size: int, clusters: int = 20, f
     return r.orderBy((F.col("_n") > max(1, size // clusters)).cast("int"), "_h", key).limit(size).select(*df.columns, "cluster")
 
 
-def covering(df: DataFrame, key: str, words: Column, size: int) -> DataFrame:
-    """(round, key, gain): up to `size` rows, each the one with most words that no earlier one has, of equal ones the least key. A round is one distributed pass over the words still open, so this is for small sizes."""
-    from quern.scratch import materialize
+def covering(df: DataFrame, key: str, words: Column, size: int, candidates: int = 1000, candidate_words: int = 500_000) -> DataFrame:
+    """(round, key, gain): `size` rows, each the one with most words that no earlier one has, of equal ones the least key; all rows if there are fewer. Where no row has a new word, rows follow by key with a gain of 0.
 
-    open_ = materialize(df.select(key, F.explode(F.array_distinct(words)).alias("_w")), "open_words")
-    chosen = []
-    for _ in range(size):
-        best = open_.groupBy(key).agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), key).first()
-        if best is None:
+    Gains only fall. A pass counts every row's open words and brings the open words of the rows of largest gains, up to `candidates` rows or `candidate_words` words, to the driver, which goes on choosing among them as long as
+    the best gain isn't below the last count of a row that it doesn't have. Every pass chooses one row at least, most choose many. Keys must be unique; null keys and rows without words have no gain.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("_k"), words.alias("_ws")).filter("_k IS NOT NULL")
+    left = materialize(rows.select("_k", F.explode(F.array_distinct("_ws")).alias("_w")), "open_words")
+    chosen: list[tuple] = []
+    while len(chosen) < size:
+        gains = left.groupBy("_k").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "_k").limit(candidates + 1).collect()
+        if not gains:
             break
-        chosen.append((len(chosen) + 1, best[key], best["gain"]))
-        seen = open_.filter(F.col(key) == best[key]).select("_w")
-        open_ = materialize(open_.join(seen, "_w", "left_anti"), "open_words")
-    return df.sparkSession.createDataFrame(chosen, f"round int, {key} {dict(df.dtypes)[key]}, gain bigint")
+        upto = [k for k, total in enumerate(accumulate(r["gain"] for r in gains)) if total <= candidate_words]
+        take = max(1, min(candidates, len(upto)))
+        rival = (-gains[take]["gain"], gains[take]["_k"]) if len(gains) > take else None
+        held = spark.createDataFrame([(r["_k"],) for r in gains[:take]], left.select("_k").schema)
+        sets = {r["_k"]: set(r["ws"]) for r in left.join(F.broadcast(held), "_k").groupBy("_k").agg(F.collect_list("_w").alias("ws")).collect()}
+        heap = [(-len(ws), k) for k, ws in sets.items()]
+        heapify(heap)
+        new, covered = [], set()
+        while heap and len(chosen) < size:
+            bound, k = heappop(heap)
+            gain = len(sets[k] - covered)
+            if gain != -bound:
+                if gain:
+                    heappush(heap, (-gain, k))
+                continue
+            if rival and (bound, k) > rival:
+                break
+            chosen.append((len(chosen) + 1, k, gain))
+            new.append(k)
+            covered |= sets[k]
+        if len(chosen) < size:
+            done = spark.createDataFrame([(k,) for k in new], left.select("_k").schema)
+            seen = materialize(left.join(F.broadcast(done), "_k").select("_w").distinct(), "seen_words")
+            left = materialize(left.join(few(seen), "_w", "left_anti"), "open_words")
+    out = spark.createDataFrame(chosen, f"round int, {key} {dict(df.dtypes)[key]}, gain bigint")
+    if len(chosen) == size:
+        return out
+    others = rows.join(F.broadcast(out.select(F.col(key).alias("_k"))), "_k", "left_anti").orderBy("_k").limit(size - len(chosen))
+    place = F.row_number().over(Window.orderBy("_k")) + len(chosen)  # `size` rows at most
+    return out.unionByName(others.select(place.alias("round"), F.col("_k").alias(key), F.lit(0).cast("long").alias("gain")))

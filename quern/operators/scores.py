@@ -75,20 +75,30 @@ def bleu_counts(hyp: pd.Series, refs: pd.Series) -> pd.Series:
     return pd.Series([one(h, r) for h, r in zip(hyp, refs)])
 
 
+def _chrf_counts(h: str, r: str) -> list[int]:
+    out: list[int] = []
+    for a, b, order in (("".join(h.split()), "".join(r.split()), CHAR_ORDER), (_apart(h), _apart(r), WORD_ORDER)):
+        for n in range(1, order + 1):
+            x, y = _counts(a, n), _counts(b, n)
+            out += [sum(x.values()), sum(y.values()), sum((x & y).values())]
+    return out
+
+
+def _chrf_of(counts: list[int], words: int, beta: float = 2.0) -> float:
+    have = [counts[3 * k : 3 * k + 3] for k in range(CHAR_ORDER + words) if counts[3 * k] and counts[3 * k + 1]]
+    p, r = (sum(x[2] / x[side] for x in have) / len(have) if have else 0.0 for side in (0, 1))
+    return (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
+
+
 @F.pandas_udf(_COUNTS)
-def chrf_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    """Candidates, references and matches of 1 to 6 characters (white space left out), then of 1 and 2 words."""
-
-    def one(h, r):
-        h, r, out = h or "", r or "", []
-        sides = [("".join(h.split()), "".join(r.split()), CHAR_ORDER), (_apart(h), _apart(r), WORD_ORDER)]
-        for a, b, order in sides:
-            for n in range(1, order + 1):
-                x, y = _counts(a, n), _counts(b, n)
-                out += [sum(x.values()), sum(y.values()), sum((x & y).values())]
-        return out
+def chrf_counts(hyp: pd.Series, refs: pd.Series, words: pd.Series) -> pd.Series:
+    """Candidates, references and matches of 1 to 6 characters (white space left out), then of 1 and 2 words, against that reference which gives the highest chrF with so many orders of words, the first of equal ones."""
+
+    def one(h, rs, k):
+        each = [_chrf_counts(h or "", r or "") for r in (rs if rs is not None and len(rs) else [""])]
+        return max(each, key=lambda c: _chrf_of(c, k))
 
-    return pd.Series([one(h, r) for h, r in zip(hyp, ref)])
+    return pd.Series([one(*x) for x in zip(hyp, refs, words)])
 
 
 def bleu_score(c: Column, effective: bool = False) -> Column:
@@ -120,18 +130,18 @@ def chrf_score(c: Column, words: int = 0, beta: float = 2.0) -> Column:
 
 def sentence_scores(pairs: DataFrame, hyp: str, ref: str) -> DataFrame:
     """pairs with sentence_bleu, sentence_chrf, sentence_chrfpp; null where the reference is null."""
-    out = pairs.withColumn("_b", bleu_counts(F.col(hyp), F.array(ref))).withColumn("_c", chrf_counts(F.col(hyp), F.col(ref)))
+    out = pairs.withColumn("_b", bleu_counts(F.col(hyp), F.array(ref))).withColumn("_c", chrf_counts(F.col(hyp), F.array(ref), F.lit(0)))
     known = lambda x: F.when(F.col(ref).isNotNull(), F.round(x, 6))
     b, c = F.col("_b"), F.col("_c")
     return out.withColumns({"sentence_bleu": known(bleu_score(b, True)), "sentence_chrf": known(chrf_score(c)), "sentence_chrfpp": known(chrf_score(c, WORD_ORDER))}).drop("_b", "_c")
 
 
 def corpus_scores(pairs: DataFrame, hyp: str, refs: str, keys: list[str]) -> DataFrame:
-    """(keys, n, bleu, chrf, chrfpp). refs is an array of references, the first of which chrF takes; corpus scores come from summed counts."""
-    d = pairs.select(*keys, bleu_counts(F.col(hyp), F.col(refs)).alias("b"), chrf_counts(F.col(hyp), F.get(F.col(refs), F.lit(0))).alias("c"))
+    """(keys, n, bleu, chrf, chrfpp). refs is an array of references: BLEU's n-grams may match any, chrF takes for each row the reference of the highest score; corpus scores come from summed counts."""
+    d = pairs.select(*keys, bleu_counts(F.col(hyp), F.col(refs)).alias("b"), chrf_counts(F.col(hyp), F.col(refs), F.lit(0)).alias("c"), chrf_counts(F.col(hyp), F.col(refs), F.lit(WORD_ORDER)).alias("p"))
     sums = lambda name, k: F.array(*[F.sum(F.col(name)[i]) for i in range(k)]).alias(name)
-    s = d.groupBy(*keys).agg(F.count("*").alias("n"), sums("b", 10), sums("c", 3 * (CHAR_ORDER + WORD_ORDER)))
-    scores = {"bleu": bleu_score(F.col("b")), "chrf": chrf_score(F.col("c")), "chrfpp": chrf_score(F.col("c"), WORD_ORDER)}
+    s = d.groupBy(*keys).agg(F.count("*").alias("n"), sums("b", 10), sums("c", 3 * CHAR_ORDER), sums("p", 3 * (CHAR_ORDER + WORD_ORDER)))
+    scores = {"bleu": bleu_score(F.col("b")), "chrf": chrf_score(F.col("c")), "chrfpp": chrf_score(F.col("p"), WORD_ORDER)}
     return s.select(*keys, "n", *[F.round(v, 4).alias(k) for k, v in scores.items()])
 
 
@@ -188,33 +198,100 @@ def rouge_l(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([one(r, h) for r, h in zip(ref, hyp)], dtype="float64")
 
 
-def _shifted_edits(hyp: list[str], ref: list[str], longest: int = 10, farthest: int = 50) -> int:
-    """Edits with shifts: as long as one helps, the shift of a span that the reference has which saves most edits is made, at the cost of one."""
-    cost, shifts = int(_table(ref, hyp)[-1, -1]), 0
-    while cost:
-        spans = {tuple(ref[k : k + n]): k for n in range(1, longest + 1) for k in range(len(ref) - n, -1, -1)}
-        best, moved = cost, None
-        for i in range(len(hyp)):
-            for n in range(1, min(longest, len(hyp) - i) + 1):
-                to = spans.get(tuple(hyp[i : i + n]))
-                if to is None:
+#: Fixed values of the published edit rate: longest span, farthest way and candidates of a shift, half the width of the table's band.
+LONGEST_SHIFT, FARTHEST_SHIFT, MOST_SHIFTS, BAND = 10, 50, 1000, 25
+
+
+def _banded(candidates: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Tables of edits (candidates, words + 1, reference words + 1) of candidates of one length against a reference, all at once. Cells far from the diagonal stay out of reach."""
+    n, size, width = len(candidates), candidates.shape[1], len(ref)
+    steps, far = np.arange(width + 1), 1 << 40
+    ratio = width / size if size else 1.0
+    band = math.ceil(ratio / 2 + BAND) if ratio / 2 > BAND else BAND
+    table = np.full((n, size + 1, width + 1), far, dtype=np.int64)
+    table[:, 0] = steps
+    for i in range(1, size + 1):
+        middle = math.floor(i * ratio)
+        a, b = max(0, middle - band), width + 1 if i == size else min(width + 1, middle + band)
+        row = table[:, i - 1, a:b] + 1
+        first = max(a, 1)
+        kept = table[:, i - 1, first - 1 : b - 1] + (candidates[:, i - 1, None] != ref[first - 1 : b - 1])
+        row[:, first - a :] = np.minimum(row[:, first - a :], kept)
+        table[:, i, a:b] = np.minimum.accumulate(row - steps[a:b], axis=1) + steps[a:b]
+    return table
+
+
+def _alignment(table: np.ndarray, hyp: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the candidate for each reference word, wrong candidate words, wrong reference words) of a shortest path; of equal ones a kept or replaced word before a dropped one before an added one."""
+    i, j = len(hyp), len(ref)
+    at, hyp_wrong, ref_wrong = np.zeros(j, dtype=np.int64), np.ones(i, dtype=np.int64), np.ones(j, dtype=np.int64)
+    while i or j:
+        if i and j and table[i, j] == table[i - 1, j - 1] + (hyp[i - 1] != ref[j - 1]):
+            i, j = i - 1, j - 1
+            at[j] = i
+            hyp_wrong[i] = ref_wrong[j] = hyp[i] != ref[j]
+        elif i and table[i, j] == table[i - 1, j] + 1:
+            i -= 1
+        else:
+            j -= 1
+            at[j] = i - 1
+    return at, hyp_wrong, ref_wrong
+
+
+def _shifts(hyp: list[int], ref: list[int], at: np.ndarray, hyp_wrong: np.ndarray, ref_wrong: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
+    """(length, start, goal, shifted candidate) of the shifts worth a trial: a span that the reference has elsewhere, where the alignment errs on both sides, to each place that the reference's words around it are aligned to."""
+    starts: dict[int, list[int]] = {}
+    for j, w in enumerate(ref):
+        starts.setdefault(w, []).append(j)
+    wrong_h, wrong_r, out = np.append(0, np.cumsum(hyp_wrong)), np.append(0, np.cumsum(ref_wrong)), []
+    for i in range(len(hyp)):
+        for j in starts.get(hyp[i], ()):
+            if abs(j - i) > FARTHEST_SHIFT:
+                continue
+            for n in range(1, LONGEST_SHIFT + 1):
+                if i + n > len(hyp) or j + n > len(ref) or hyp[i + n - 1] != ref[j + n - 1]:
                     break
-                if to == i or abs(to - i) > farthest:
+                if wrong_h[i + n] == wrong_h[i] or wrong_r[j + n] == wrong_r[j] or i <= at[j] < i + n:
                     continue
-                rest = hyp[:i] + hyp[i + n :]
-                candidate = rest[:to] + hyp[i : i + n] + rest[to:]
-                now = int(_table(ref, candidate)[-1, -1])
-                if now < best:
-                    best, moved = now, candidate
-        if moved is None or best + 1 > cost:
+                before = None
+                for k in range(j - 1, j + n):
+                    goal = 0 if k < 0 else int(at[k]) + 1
+                    if goal == before:
+                        continue
+                    before = goal
+                    rest, place = hyp[:i] + hyp[i + n :], goal if goal <= i + n else goal - n
+                    out.append((n, i, goal, rest[:place] + hyp[i : i + n] + rest[place:]))
+                    if len(out) >= MOST_SHIFTS:
+                        return out
+    return out
+
+
+def shifted_edits(hyp: list[str], ref: list[str]) -> int:
+    """Edits with shifts at the cost of one each, by the published greedy search: of all trials the one that saves most edits is made, of equal ones the longest span, then the first start, then the first goal; as long as one saves and fewer than MOST_SHIFTS were tried in all."""
+    ids: dict[str, int] = {}
+    words, target = ([ids.setdefault(w, len(ids)) for w in x] for x in (hyp, ref))
+    goal = np.array(target, dtype=np.int64)
+    if not words or not target:
+        return max(len(words), len(target))
+    shifts = tried = 0
+    table = _banded(np.array([words]), goal)[0]
+    while cost := int(table[-1, -1]):
+        trials = _shifts(words, target, *_alignment(table, np.array(words), goal))
+        tried += len(trials)
+        if not trials or tried >= MOST_SHIFTS:
+            break
+        tables = _banded(np.array([t[3] for t in trials]), goal)
+        saved = cost - tables[:, -1, -1]
+        k = max(range(len(trials)), key=lambda k: (saved[k], trials[k][0], -trials[k][1], -trials[k][2], trials[k][3]))
+        if saved[k] <= 0:
             break
-        hyp, cost, shifts = moved, best, shifts + 1
-    return cost + shifts
+        words, table, shifts = trials[k][3], tables[k], shifts + 1
+    return int(table[-1, -1]) + shifts
 
 
 @F.pandas_udf(_longs("edits", "ref_words"))
 def translation_edits(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = [(_shifted_edits((h or "").lower().split(), (r or "").lower().split()), len((r or "").split())) for h, r in zip(hyp, ref)]
+    rows = [(shifted_edits((h or "").lower().split(), (r or "").lower().split()), len((r or "").split())) for h, r in zip(hyp, ref)]
     return pd.DataFrame(rows, columns=["edits", "ref_words"])
 
 

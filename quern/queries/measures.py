@@ -112,6 +112,21 @@ def met_ctc_collapse(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(L.ctc_collapse(ids), lambda v: v.cast("string")), " ").alias("labels"))
 
 
+_FRAMES = "list_transform(generate_series(0, 4), lambda t: list_transform(embedding[4 * t + 1:4 * t + 4], lambda v: 8 * v::DOUBLE))"
+
+
+@query(f"WITH x AS (SELECT vec_id, {_FRAMES} AS f FROM embeddings), l AS (SELECT vec_id, list_transform(f, lambda r: list_transform(r, lambda v: v - ln(list_sum(list_transform(r, lambda u: exp(u)))))) AS f FROM x), "
+       "p AS (SELECT range AS n, list_transform(generate_series(0, 4), lambda t: (range // (4 ** t)::BIGINT) % 4) AS path FROM range(1024)), "
+       "c AS (SELECT n, path, array_to_string(list_transform(list_filter(generate_series(1, 5), lambda i: path[i] <> 0 AND (i = 1 OR path[i] <> path[i - 1])), lambda i: substr('_abc', path[i] + 1, 1)), ' ') AS text FROM p), "
+       "s AS (SELECT vec_id, text, ln(sum(exp(list_sum(list_transform(generate_series(1, 5), lambda t: f[t][path[t] + 1]))))) AS acoustic FROM l, c GROUP BY ALL) "
+       "SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY acoustic DESC, text) AS INTEGER) AS rank, text, round(acoustic, 6) AS acoustic FROM s QUALIFY rank <= 3")
+def met_ctc_beam(spark, sf_dir):
+    """The three best label sequences of five frames of a blank and three labels; the beam holds all of them, so that probabilities are whole. SQL sums over all paths."""
+    f = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda t: F.transform(F.slice("embedding", 4 * t + 1, 4), lambda v: 8 * v.cast("double")))
+    b = L.beam_candidates(table(spark, sf_dir, "embeddings").select("vec_id", f.alias("f")), "vec_id", "f", ["_", "a", "b", "c"], width=400)
+    return b.filter("rank <= 3").select("vec_id", "rank", "text", F.round("acoustic", 6).alias("acoustic"))
+
+
 @query("WITH w AS (SELECT doc_id, " + words_sql("text") + " AS w FROM documents), f AS (SELECT doc_id, w, list_filter(generate_series(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])[1] AS i FROM w) SELECT doc_id, w[i] AS word, (i - 1)::BIGINT AS start FROM f WHERE i IS NOT NULL")
 def win_repeated_runs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", L.repeated_runs(tokens(F.col("text"))).alias("r")).filter("r IS NOT NULL")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import io
 import math
+import time
 import wave
+from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,96 @@ def test_language_models(spark, tmp_path):
     assert [r and tuple(r) for r in runs] == [("b", 2, 4), None, ("x", 0, 3)]
 
 
+def test_prefix_beam(spark, tmp_path):
+    """Against sums over all paths, alone and fused with a model that is read from a file."""
+    rng = np.random.default_rng(3)
+    names = ["_", "a", "b", "c"]
+    (tmp_path / "m.arpa").write_text("\\data\\\nngram 1=6\nngram 2=3\n\n\\1-grams:\n-2.0\t<unk>\n-0.5\ta\t-0.2\n-0.9\tb\t-0.1\n-0.6\t</s>\n-9\t<s>\t-0.1\n-1.5\tc\n\n\\2-grams:\n-0.3\t<s> a\n-0.2\ta b\n-0.4\tb </s>\n\n\\end\\\n")
+    model = L.read_arpa(spark, str(tmp_path / "m.arpa"))
+    frames = [rng.normal(size=(5, 4)) * 2 for _ in range(6)]
+    rows = [(k, f.tolist()) for k, f in enumerate(frames)] + [(6, None), (7, [])]
+    df = spark.createDataFrame(rows, "k int, f array<array<double>>")
+    whole = []
+    for f in frames:
+        logs = f - np.log(np.exp(f).sum(axis=1, keepdims=True))
+        mass: dict = {}
+        for path in product(range(4), repeat=5):
+            labels = tuple(x for i, x in enumerate(path) if x and (not i or path[i - 1] != x))
+            mass[labels] = mass.get(labels, 0.0) + math.exp(sum(logs[t][x] for t, x in enumerate(path)))
+        whole.append({labels: math.log(p) for labels, p in mass.items()})
+    assert len(whole[0]) < 400
+    for got, want in zip((L.prefix_beam(f, 400) for f in frames), whole):
+        assert {labels for labels, _ in got} == set(want) and all(math.isclose(p, want[labels], abs_tol=1e-9) for labels, p in got)
+        assert np.allclose([p for _, p in got], sorted(want.values(), reverse=True))
+    narrow = L.prefix_beam(frames[0], 3)
+    assert len(narrow) == 3 and all(p <= whole[0][labels] + 1e-9 for labels, p in narrow)
+    got = L.beam_candidates(df, "k", "f", names, width=400, model=model, alpha=0.7, beta=0.3).collect()
+    assert {r["k"] for r in got} == set(range(6))
+    texts = sorted({r["text"] for r in got})
+    lm = dict(map(tuple, L.backoff_scores(spark.createDataFrame([(t,) for t in texts], "t string"), "t", F.filter(F.split("t", " "), lambda w: w != ""), model, 2).collect()))
+    lm[""] = -0.1 - 0.6  # the end right behind the start
+    for k in range(6):
+        want = {" ".join(names[x] for x in labels): a + math.log(10) * 0.7 * lm[" ".join(names[x] for x in labels)] + 0.3 * len(labels) for labels, a in whole[k].items()}
+        mine = [r for r in got if r["k"] == k]
+        assert all(math.isclose(r["fused"], want[r["text"]], abs_tol=1e-5) for r in mine)
+        assert max(mine, key=lambda r: r["fused"])["rank"] == 1 and math.isclose(mine[0]["fused"], max(want.values()), abs_tol=1e-5)
+    # candidates without the model, rescored by joins, give the same best text
+    plain = L.beam_candidates(df, "k", "f", names, width=400).withColumn("lm", F.lit(0.0)).drop("lm")
+    scored = plain.join(spark.createDataFrame(list(lm.items()), "text string, lm double"), "text")
+    best = {r["k"]: r["text"] for r in L.rescore(scored.select("k", "text", "acoustic", "lm"), "k", [math.log(10) * 0.7], [0.3]).collect()}
+    assert all(best[k] == next(r["text"] for r in got if r["k"] == k and r["rank"] == 1) for k in range(6))
+    with pytest.raises(ValueError):
+        L.beam_candidates(df, "k", "f", names, model=model, most_entries=3)
+
+
+def test_cover_is_the_plain_greedy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 600)) for k in range(2_000)]
+    sets, covered, want = {k: set(t.split()) for k, t in rows}, set(), []
+    while len(want) < 700:
+        k = min((k for k in sets), key=lambda k: (-len(sets[k] - covered), k))
+        gain = len(sets[k] - covered)
+        want.append((len(want) + 1, k, gain))
+        covered |= sets.pop(k)
+    assert want[-1][2] == 0  # words run out, rows follow by key
+    df = spark.createDataFrame(rows, "k int, t string")
+    words = F.filter(F.split("t", " "), lambda w: w != "")
+    assert sorted(map(tuple, Q.covering(df, "k", words, 700).collect())) == want
+    assert sorted(map(tuple, Q.covering(df, "k", words, 60, candidates=7).collect())) == want[:60]
+    assert sorted(map(tuple, Q.covering(df, "k", words, 30, candidate_words=50).collect())) == want[:30]
+    assert Q.covering(df.limit(0), "k", words, 5).count() == 0 and Q.covering(df.limit(3), "k", words, 5).count() == 3
+
+
+def test_edits_with_shifts():
+    """Worked by hand: shifts cost one each, spans move whole, a shift that saves nothing isn't made."""
+    cases = [
+        ("b c d a", "a b c d", 1), ("a b c d", "a b c d", 0), ("c d e a b", "a b c d e", 1), ("x a b", "a b", 1), ("a b", "a b x y", 2), ("d c b a", "a b c d", 3),
+        ("this is a test of this", "this of is a test this", 1), ("e f a b c d g h", "a b c d e f g h", 1), ("a x c", "a b c", 1), ("", "a b", 2), ("a b", "", 2),
+    ]
+    assert [(h, r, K.shifted_edits(h.split(), r.split())) for h, r, _ in cases] == cases
+    rng = np.random.default_rng(8)
+    took, edits = [], []
+    for _ in range(40):
+        ref = [f"w{int(x)}" for x in rng.zipf(1.6, 60) % 200]
+        hyp = [w for w in ref if rng.random() > 0.1]
+        at = int(rng.integers(0, len(hyp) - 8))
+        hyp = hyp[:at] + hyp[at + 4 :] + hyp[at : at + 4]
+        began = time.process_time()
+        edits.append(K.shifted_edits(hyp, ref))
+        took.append(time.process_time() - began)
+        assert edits[-1] <= K._table(hyp, ref)[-1, -1]
+    assert sorted(took)[20] < 0.05
+
+
+def test_several_references(spark):
+    """chrF takes the reference of the highest score for each row, for each number of word orders."""
+    d = spark.createDataFrame([(1, "the cat is here", ["nothing like it", "the cat is here"]), (2, "a b", []), (3, "one two", [None, "one"])], "k int, h string, r array<string>")
+    got = {r["k"]: r for r in K.corpus_scores(d, "h", "r", ["k"]).collect()}
+    assert got[1]["chrf"] == got[1]["chrfpp"] == 100.0 and got[2]["chrf"] == 0.0 and 0 < got[3]["chrf"] < 100
+    one = {r["k"]: r for r in K.corpus_scores(d.withColumn("r", F.slice("r", 2, 1)), "h", "r", ["k"]).collect()}
+    assert one[3]["chrf"] == got[3]["chrf"]
+
+
 def test_audio(spark, tmp_path):
     data = io.BytesIO()
     with wave.open(data, "wb") as w:
