@@ -11,14 +11,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import few
+from quern.scratch import materialize
+
 START, END, UNKNOWN = "<s>", "</s>", "<unk>"
 
 
-def read_arpa(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of an ARPA file. Every line tells its own order by the words of its gram, so that parts of a file are read alone."""
-    f = spark.read.text(path).select(F.split("value", "\t").alias("f")).filter((F.size("f") >= 2) & F.col("f")[0].rlike("^\\s*-?[0-9.]+([eE][-+]?[0-9]+)?\\s*$"))
-    gram = F.trim(F.col("f")[1])
-    return f.select(F.size(F.split(gram, " +")).alias("n"), F.regexp_replace(gram, " +", " ").alias("gram"), F.trim(F.col("f")[0]).cast("double").alias("logprob"), F.coalesce(F.trim(F.get("f", F.lit(2))).cast("double"), F.lit(0.0)).alias("backoff"))
+def sectioned(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """(file, section, value) of text lines: each with the last line of its file before it that matches `header`; null before the first. Header lines stay out.
+
+    A file's parts are read by different tasks, so a line's section may begin in an earlier part: headers, of which a file has few, are gathered with their places, and every line looks up the last before its own.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = materialize(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value"), "lines")
+    lines = lines.withColumn("_head", F.trim("value").rlike(header))
+    heads = lines.filter("_head").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("place", F.trim("value").alias("section"))), asc=False).alias("heads"))  # a file's sections
+    j = lines.filter("NOT _head").join(few(materialize(heads, "heads")), "file", "left")
+    before = F.filter("heads", lambda h: (h["place"]["start"] < F.col("place.start")) | ((h["place"]["start"] == F.col("place.start")) & (h["place"]["at"] < F.col("place.at"))))
+    return j.select("file", F.get(before, F.lit(0))["section"].alias("section"), "value")
+
+
+def read_arpa(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """(n, gram, logprob, backoff): the entries of an ARPA file. A section's header tells the order of its grams, so a gram of one word may hold a space. Lines without a number and a gram go.
+
+    With check, an order whose entries aren't as many as the file's head says is an error.
+    """
+    lines = sectioned(spark, path, "^\\\\(data|end|\\d+-grams:).*$")
+    f = lines.select("section", F.split("value", "\t").alias("f"), "value")
+    gram = F.regexp_replace(F.trim(F.col("f")[1]), " +", " ")
+    number = F.trim(F.col("f")[0])
+    entries = f.filter(F.col("section").rlike("^\\\\\\d+-grams:") & (F.size("f") >= 2) & number.rlike("^-?[0-9.]+([eE][-+]?[0-9]+)?$"))
+    n = F.regexp_extract("section", "^\\\\(\\d+)-grams:", 1).cast("int")
+    entries = materialize(entries.select(n.alias("n"), gram.alias("gram"), number.cast("double").alias("logprob"), F.coalesce(F.expr("try_cast(trim(get(f, 2)) AS double)"), F.lit(0.0)).alias("backoff")), "arpa")
+    if check:
+        told = f.filter(F.col("section").startswith("\\data")).select(F.regexp_extract("value", "^\\s*ngram\\s+(\\d+)\\s*=\\s*(\\d+)", 1).alias("n"), F.regexp_extract("value", "=\\s*(\\d+)", 1).alias("c")).filter("n <> ''").collect()
+        there = dict(map(tuple, entries.groupBy("n").agg(F.count("*")).collect()))
+        if wrong := {int(n): (int(c), there.get(int(n), 0)) for n, c in told if int(c) != there.get(int(n), 0)}:
+            raise ValueError(f"entries by order, told and found: {wrong}")
+    return entries
 
 
 def bounded(words: Column) -> Column:

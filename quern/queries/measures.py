@@ -62,7 +62,7 @@ def sta_wilcoxon(spark, sf_dir):
     return K.wilcoxon(o, "a", "b", ["l_returnflag"])
 
 
-_GRAMS = (
+GRAMS = (
     f"t AS (SELECT list_concat(['<s>'], {words_sql('lower(text)')}, ['</s>']) AS w FROM benchmark), "
     + "g AS (" + " UNION ALL ".join(f"SELECT {n} AS n, unnest(list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM t" for n in (1, 2, 3)) + "), "
     + "c AS (SELECT n, gram, count(*) AS c FROM g GROUP BY ALL), z AS (SELECT sum(c) AS tokens, count(*) AS v FROM c WHERE n = 1), "
@@ -70,23 +70,23 @@ _GRAMS = (
 )
 
 
-def _model(spark, sf_dir):
+def model(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark")
     return L.add_one(L.gram_counts(t, tokens(F.lower("text")), 3))
 
 
-@query(f"WITH {_GRAMS} SELECT * FROM m")
+@query(f"WITH {GRAMS} SELECT * FROM m")
 def agg_ngram_model(spark, sf_dir):
-    return _model(spark, sf_dir).select(F.col("n").cast("long").alias("n"), "gram", "logprob")
+    return model(spark, sf_dir).select(F.col("n").cast("long").alias("n"), "gram", "logprob")
 
 
-@query(f"WITH {_GRAMS}, d AS (SELECT item_id, list_concat(['<s>'], {words_sql('text')}, ['</s>']) AS w FROM benchmark), p AS (SELECT item_id, w, unnest(generate_series(2, len(w))) AS i FROM d WHERE len(w) > 2), "
+@query(f"WITH {GRAMS}, d AS (SELECT item_id, list_concat(['<s>'], {words_sql('text')}, ['</s>']) AS w FROM benchmark), p AS (SELECT item_id, w, unnest(generate_series(2, len(w))) AS i FROM d WHERE len(w) > 2), "
        "k AS (SELECT item_id, i, coalesce((SELECT logprob FROM m WHERE m.n = 3 AND i >= 3 AND m.gram = array_to_string(w[i - 2:i], ' ')), (SELECT logprob FROM m WHERE m.n = 2 AND m.gram = array_to_string(w[i - 1:i], ' ')), (SELECT logprob FROM m WHERE m.n = 1 AND m.gram = w[i]), -99) AS s FROM p) "
        "SELECT d.item_id, round(coalesce(sum(k.s), -99), 4) AS score FROM d LEFT JOIN k USING (item_id) GROUP BY d.item_id")
 def met_backoff_scores(spark, sf_dir):
     """The benchmark as written under the model of its lower-case texts: known trigrams, then shorter ones, then -99."""
     t = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return L.backoff_scores(t, "item_id", tokens(F.col("text")), _model(spark, sf_dir), 3).select("item_id", F.round("score", 4).alias("score"))
+    return L.backoff_scores(t, "item_id", tokens(F.col("text")), model(spark, sf_dir), 3).select("item_id", F.round("score", 4).alias("score"))
 
 
 def _candidates(spark, sf_dir):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators.ngram_models import read_arpa
+from quern.queries.measures import GRAMS, model
 from quern.queries.registry import PAIRS, pairs, query, table
 from quern.scratch import scratch_path
+from quern.sources import containers as C
 from quern.sources import readers as R
 from quern.sources import writers as W
 
@@ -93,14 +96,92 @@ def src_first_column(spark, sf_dir):
     return t.select("r_regionkey", F.col(R.first_column(t, ["sentence", "r_name", "r_comment"])).alias("r_name"))
 
 
-@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS c_acctbal FROM customer")
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 100)::VARCHAR WHEN c_custkey % 3 = 1 THEN 'n' || c_custkey END AS code, CASE c_custkey % 3 WHEN 0 THEN c_nationkey ELSE c_custkey END::DOUBLE AS number FROM customer")
 def src_drifting(spark, sf_dir):
-    """Files with and without a column, one with an index that its writer left."""
+    """Files with and without a column, of which two are numbers in one file and text or fractions in the next, and one with an index that its writer left."""
     path = _folder(spark, "drift")
-    c = table(spark, sf_dir, "customer")
-    c.filter("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal").write.parquet(path)
-    c.filter("c_custkey % 2 = 1").select("c_custkey", "c_name", F.lit(0).alias("__index_level_0__")).write.mode("append").parquet(path)
-    return R.drifting(spark, path).select("c_custkey", "c_name", "c_acctbal")
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c.filter(k % 3 == 0).select("c_custkey", "c_name", (k % 100).cast("int").alias("code"), F.col("c_nationkey").cast("int").alias("number")).write.parquet(path)
+    c.filter(k % 3 == 1).select("c_custkey", "c_name", F.concat(F.lit("n"), k.cast("string")).alias("code"), k.cast("double").alias("number"), F.lit(0).alias("__index_level_0__")).write.mode("append").parquet(path)
+    c.filter(k % 3 == 2).select("c_custkey", "c_name", k.cast("long").alias("number")).write.mode("append").parquet(path)
+    return R.drifting(spark, path).select("c_custkey", "c_name", "code", "number")
+
+
+@query("SELECT p_name AS src, CASE WHEN p_partkey % 10 = 0 THEN 'nan' WHEN p_partkey % 10 = 1 THEN p_size::VARCHAR ELSE p_type END AS tgt FROM part")
+def src_sheets(spark, sf_dir):
+    """Workbooks of 500 rows each, with numbers and absent cells; their bytes are read as those of files are. Columns are found by name in every second one, by place in the others."""
+    target = F.when(F.col("p_partkey") % 10 == 1, F.col("p_size").cast("string")).when(F.col("p_partkey") % 10 != 0, F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 500).alias("book"), "p_name", target.alias("t"), (F.col("p_partkey") % 10 == 1).alias("number"))
+
+    def book(pdf):
+        import pandas as pd
+
+        named = int(pdf["book"].iloc[0]) % 2 == 0
+        lines = [[7, int(t) if n else t, name] if named else [name, int(t) if n else t] for name, t, n in zip(pdf["p_name"], pdf["t"], pdf["number"])]
+        return pd.DataFrame({"path": [f"book{pdf['book'].iloc[0]}"], "content": [C.sheet_bytes([["id", "Target", " SOURCE"] if named else ["a", "b"], *lines])]})
+
+    books = rows.groupBy("book").applyInPandas(book, "path string, content binary")  # 500 rows a group
+    return C.sheet_pairs(C.parts(books)).select("src", "tgt")
+
+
+@query("SELECT 'pairs' AS kind, p_name AS src, p_brand AS tgt FROM part WHERE (p_partkey // 500) % 3 <> 2 OR p_partkey % 5 <> 4 UNION ALL SELECT 'doubtful', p_name, split_part(p_name, ' ', 1) FROM part WHERE (p_partkey // 500) % 3 = 2 AND p_partkey % 5 = 4")
+def src_documents(spark, sf_dir):
+    """Documents of 500 rows each: tables, lines with colons, and lines that only the words' languages can part. Every fifth of the last has words of one side only and stays doubtful."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.floor(F.col("p_partkey") / 500).alias("book"), "p_partkey", "p_name", "p_brand")
+
+    def document(pdf):
+        import pandas as pd
+
+        k = int(pdf["book"].iloc[0])
+        pairs = list(zip(pdf["p_partkey"], pdf["p_name"], pdf["p_brand"]))
+        if k % 3 == 0:
+            content = C.document_bytes([[["Source", "Target"], *[[a, b] for _, a, b in pairs]]], ["a paragraph: not read"])
+        elif k % 3 == 1:
+            content = C.document_bytes([], [f"{n + 1}. 2) {a} - : {b}" for n, (_, a, b) in enumerate(pairs)])
+        else:
+            content = C.document_bytes([], [f"{n + 1}) {a} {a.split(' ')[0] if key % 5 == 4 else b}" for n, (key, a, b) in enumerate(pairs)])
+        return pd.DataFrame({"path": [f"document{k}"], "content": [content]})
+
+    books = rows.groupBy("book").applyInPandas(document, "path string, content binary")  # 500 rows a group
+    words = lambda c: part.select(F.explode(F.split(c, " ")).alias("word"))
+    pairs, doubtful = C.document_pairs(C.parts(books), words("p_name"), words("p_brand"), "#", least=3.0)
+    # a name with its first word again is all of the source's words: the best cut leaves one for the target
+    said = doubtful.select(F.lit("doubtful").alias("kind"), F.regexp_replace("line", " \\S+$", "").alias("src"), F.regexp_extract("line", "(\\S+)$", 1).alias("tgt"))
+    return pairs.select(F.lit("pairs").alias("kind"), "src", "tgt").unionByName(said)
+
+
+@query("SELECT 'c' || (s_nationkey % 3) AS condition, (s_suppkey % 4)::INT AS seed, count(*) AS n FROM supplier GROUP BY ALL")
+def src_listed(spark, sf_dir):
+    """Metrics of runs in a tree of folders, beside other files: paths are listed by suffix and say the run, then their files are read."""
+    path = _folder(spark, "tree")
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), (F.col("s_nationkey") % 3).cast("string")).alias("condition"), (F.col("s_suppkey") % 4).alias("seed"))
+    runs = s.groupBy("condition", "seed").agg(F.count("*").alias("n"))
+    row = runs.select("condition", F.concat(F.lit("seed"), F.col("seed").cast("string")).alias("seed"), F.to_json(F.struct("n")).alias("value"))
+    row.repartition("condition", "seed").write.partitionBy("condition", "seed").text(path)
+    row.repartition("condition", "seed").write.mode("append").partitionBy("condition", "seed").option("compression", "gzip").text(path)
+    found = R.listed(spark, path, ".txt").withColumn("_path", F.regexp_replace("path", "/(condition|seed)=", "/"))
+    found = R.with_run(found).select("condition", "seed", F.substring_index("path", "/", -1).alias("name"))
+    said = spark.read.schema("n long").option("pathGlobFilter", "*.txt").json(path).select(F.col("_metadata.file_name").alias("name"), "_metadata.file_path", "n")
+    return said.select("n", F.regexp_extract("file_path", "condition=([^/]+)/seed=seed(\\d+)/", 1).alias("condition"), F.regexp_extract("file_path", "seed=seed(\\d+)/", 1).cast("int").alias("seed")).join(found.select("condition", "seed").distinct(), ["condition", "seed"])
+
+
+@query(f"WITH {GRAMS} SELECT * FROM m WHERE n < 3")
+def src_arpa(spark, sf_dir):
+    """A model written as one file of sections, with its counts, and read again; the counts are checked."""
+    path = _folder(spark, "arpa")
+    W.arpa(model(spark, sf_dir).filter("n < 3"), path)
+    return read_arpa(spark, path).select(F.col("n").cast("long").alias("n"), "gram", "logprob")
+
+
+@query("SELECT c_name AS text FROM customer WHERE c_custkey % 4 < 2 UNION ALL SELECT c_mktsegment FROM customer WHERE c_custkey % 4 = 2")
+def src_usable_texts(spark, sf_dir):
+    """Entries whose text stands under one of three names, an empty one giving way to the next; every fourth line isn't an object and goes."""
+    path = _folder(spark, "entries")
+    k, name = F.col("c_custkey") % 4, F.col("c_name")
+    line = F.when(k == 0, F.to_json(F.struct(name.alias("text")))).when(k == 1, F.to_json(F.struct(F.lit("").alias("text"), name.alias("target_text")))).when(k == 2, F.to_json(F.struct(F.lit("").alias("text"), F.col("c_mktsegment").alias("prompt"))))
+    table(spark, sf_dir, "customer").select(F.coalesce(line, F.concat(F.lit('{"text": "'), name)).alias("value")).write.text(path)
+    return R.usable_texts(spark, path).select("text")
 
 
 @query("SELECT n_nationkey, 'seed' || (n_nationkey % 3) AS condition, (n_nationkey % 5)::INT AS seed, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name FROM nation")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +124,64 @@ def manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return t
 
 
+def listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """(path, length) of the files below root whose path ends so. Folders are listed by tasks where there are many, names are filtered before anything is opened, and no content is read."""
+    name = suffix.rsplit("/", 1)[-1]
+    t = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{name}").load(root)
+    return t.select("path", "length").filter(F.col("path").endswith(suffix))
+
+
+#: Types of which each holds all values of those before.
+WIDTHS = ("tinyint", "smallint", "int", "bigint", "double")
+
+
+def wider(types: list[str]) -> str:
+    """A type for the values of all: the widest of numbers, else string."""
+    kinds = {"double" if t == "float" else t for t in types}
+    if len(kinds) == 1:
+        return kinds.pop()
+    if kinds == {"date", "timestamp"}:
+        return "timestamp"
+    return WIDTHS[max(map(WIDTHS.index, kinds))] if kinds <= set(WIDTHS) else "string"
+
+
+def by_schema(spark: SparkSession, files: list[str]) -> list[tuple[list[str], dict[str, str]]]:
+    """Runs of files, by name, whose schemas go together, and the columns of each. Tasks read the footers of a run; a run that doesn't go together is halved, so that the jobs follow the number of changes and not of files."""
+    try:
+        return [(files, dict(spark.read.option("mergeSchema", True).parquet(*files).dtypes))]
+    except AnalysisException as e:
+        unlike = e
+    except Exception as e:  # an error of the task that merges footers comes as that of its job
+        if "CANNOT_MERGE" not in str(e) and "Failed merging schema" not in str(e):
+            raise
+        unlike = e
+    if len(files) == 1:
+        raise unlike
+    half = len(files) // 2
+    return by_schema(spark, files[:half]) + by_schema(spark, files[half:])
+
+
 def drifting(spark: SparkSession, path: str, extra: str = "__index_level_0__") -> DataFrame:
-    """Parquet files whose schemas differ by added columns, without the index column that some writers leave."""
-    return spark.read.option("mergeSchema", True).parquet(path).drop(extra)
+    """Parquet files whose schemas differ by columns and types, without the index column that some writers leave.
+
+    Files of one schema are read together by their own; a column has a type that holds all its forms (numbers the widest, others text), and is null where a file lacks it.
+    """
+    files = sorted(r["path"] for r in listed(spark, path, ".parquet").select("path").toLocalIterator())
+    if not files:
+        return spark.read.parquet(path)
+    groups: dict[tuple, list[str]] = {}
+    for part, columns in by_schema(spark, files):
+        groups.setdefault(tuple((c, t) for c, t in columns.items() if c != extra), []).extend(part)
+    names = dict.fromkeys(c for g in groups for c, _ in g)
+    kinds = {c: wider([t for g in groups for d, t in g if d == c]) for c in names}
+    whole = [spark.read.option("mergeSchema", True).parquet(*part).select(*[(F.col(c) if c in dict(g) else F.lit(None)).cast(kinds[c]).alias(c) for c in names]) for g, part in groups.items()]
+    return reduce(DataFrame.unionByName, whole)
+
+
+def usable_texts(spark: SparkSession, path: str, names: tuple[str, ...] = ("text", "target_text", "prompt")) -> DataFrame:
+    """(text, entry) of JSON lines: the first of the names that has a text which isn't empty. Entries that aren't JSON objects, or have none, go."""
+    t = spark.read.text(path).select(F.col("value").alias("entry"), F.from_json("value", ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"}).alias("e"))
+    return t.select(F.coalesce(*[F.nullif(F.col(f"e.{n}"), F.lit("")) for n in names]).alias("text"), "entry").filter(F.col("text").isNotNull() & F.trim("entry").startswith("{"))
 
 
 def first_column(df: DataFrame, candidates: list[str]) -> str | None:

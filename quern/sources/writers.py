@@ -68,6 +68,17 @@ def aligned(df: DataFrame, index: str, columns: list[str], path: str, parts: int
         whole.select("_part", "_at", line).repartition("_part").sortWithinPartitions("_part", "_at").select("_part", "value").write.partitionBy("_part").text(f"{path}/{c}")
 
 
+def arpa(model: DataFrame, path: str) -> None:
+    """A model (n, gram, logprob, backoff) as one file: counts, then a section for each order. Entries are sorted by ranges and written by one task after the sort, as a file has an order."""
+    order = model.groupBy("n").agg(F.count("*").alias("c"))
+    head = order.select(F.col("n").cast("int").alias("s"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.concat(F.lit("ngram "), F.col("n").cast("string"), F.lit("="), F.col("c").cast("string")).alias("value")), F.struct(F.lit(1).alias("k"), F.concat(F.lit("\\"), F.col("n").cast("string"), F.lit("-grams:")).alias("value")))).alias("e"))
+    head = head.select(F.when(F.col("e.k") == 0, 0).otherwise(F.col("s")).alias("section"), F.col("e.k").alias("k"), F.when(F.col("e.k") == 0, F.col("s").cast("string")).otherwise("").alias("gram"), "e.value")
+    entry = F.concat_ws("\t", F.col("logprob").cast("string"), "gram", F.when(F.col("backoff") != 0, F.col("backoff").cast("string")))
+    rows = model.select(F.col("n").cast("int").alias("section"), F.lit(2).alias("k"), "gram", entry.alias("value"))
+    ends = model.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("k"), F.lit("").alias("gram"), F.lit(v).alias("value")) for s, k, v in ((-1, 0, "\\data\\"), (1 << 30, 0, "\\end\\"))])))
+    head.unionByName(rows).unionByName(ends).orderBy("section", "k", "gram").select("value").coalesce(1).write.text(path)
+
+
 def piped(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.csv(path, sep="|", header=header, quote="")
 
