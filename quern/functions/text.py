@@ -64,6 +64,17 @@ def nfc(x: Column) -> Column:
     return F.when(x.rlike("[^\\x00-\\x7F]"), _normalize(x)).otherwise(x)
 
 
+@F.pandas_udf(StringType())
+def _decompose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+
+
+def nfd(x: Column) -> Column:
+    """NFD, as nfc() goes about it."""
+    return F.when(x.rlike("[^\\x00-\\x7F]"), _decompose(x)).otherwise(x)
+
+
 def clean(x: Column) -> Column:
     """NFC; control, format, private and unassigned characters become spaces; white space collapses; null is empty."""
     return F.coalesce(collapse(F.regexp_replace(nfc(x), "\\p{C}", " ")), F.lit(""))

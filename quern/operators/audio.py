@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
+from quern.operators.ordering import ranks
+
 #: Entries of a codebook, and codebooks interleaved in a frame.
 CODEBOOK, FRAME = 4096, 7
 _SAMPLES = StructField("samples", ArrayType(FloatType()))
@@ -79,6 +82,64 @@ def resampled(samples: Column, rate: int, target: int) -> Column:
     return F.when(m > 0, F.transform(F.sequence(F.lit(0), F.greatest(m, F.lit(1)) - 1), at)).otherwise(F.array().cast("array<float>"))
 
 
+#: Zero crossings of the low-pass on either side, and the share of the lower rate's band that it keeps.
+CROSSINGS, ROLLOFF = 6, 0.99
+#: Output samples that are made at a time.
+SLICE = 1 << 15
+
+
+def sinc_resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """ceil(n * target / rate) samples at the target's rate, each a sum of its neighbours under a sinc with a cosine-squared window, which also keeps out what the lower rate can't hold. Samples beyond the ends are 0."""
+    shared = math.gcd(rate, target)
+    rate, target = rate // shared, target // shared
+    if rate == target or not len(x):
+        return np.asarray(x, dtype=np.float64)
+    band = min(rate, target) * ROLLOFF
+    reach = math.ceil(CROSSINGS * rate / band)
+    padded = np.pad(np.asarray(x, dtype=np.float64), (reach, reach + 1))
+    out = np.empty(-(-len(x) * target // rate))
+    offset = np.arange(-reach, reach + 1)
+    for a in range(0, len(out), SLICE):
+        k = np.arange(a, min(a + SLICE, len(out)), dtype=np.int64)
+        whole, part = k * rate // target, (k * rate % target) / target
+        t = np.clip((offset - part[:, None]) * band / rate, -CROSSINGS, CROSSINGS)
+        weights = np.sinc(t) * np.cos(t * np.pi / CROSSINGS / 2) ** 2 * band / rate
+        out[k] = (padded[whole[:, None] + offset + reach] * weights).sum(axis=1)
+    return out
+
+
+def sped(samples: Column, rate: int, factor: float) -> Column:
+    """The samples played so many times as fast, at the same rate: as if taken at int(rate * factor), they are brought back to rate. Tones are as many times as high. Null stays null."""
+    source = int(rate * factor)
+    if source < 1:
+        raise ValueError("the factor leaves no rate")
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def resample(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else sinc_resampled(x, source, rate) for x in rows])
+
+    return resample(samples)
+
+
+def collated(df: DataFrame, key: str, samples: str, labels: str, size: int) -> DataFrame:
+    """(batch, keys, waveforms, lengths, targets, target_lengths, mask): rows of about equal length in batches of `size`, the longest first within each.
+
+    Rows are placed by length, then key, over stored ranges, so that padding is small and no task sorts all of them. Waveforms and targets are filled with zeros up to the longest of the batch; mask has true for each sample.
+    Null arrays count as empty.
+    """
+    kind = dict(df.dtypes)[samples].removeprefix("array<").removesuffix(">")
+    x = df.select(F.col(key).alias("_key"), F.coalesce(samples, F.array().cast(f"array<{kind}>")).alias("_x"), F.coalesce(labels, F.array().cast("array<int>")).cast("array<int>").alias("_y"))
+    x = ranks(x.withColumn("_n", F.size("_x")), ["_n", "_key"], "_place")
+    row = F.struct((-F.col("_n")).alias("o"), F.col("_key").alias("key"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    b = x.groupBy(F.floor((F.col("_place") - 1) / size).alias("batch")).agg(F.sort_array(F.collect_list(row)).alias("r"))  # `size` rows
+    part = lambda f: F.transform("r", lambda r: r[f])
+    b = b.select("batch", part("key").alias("keys"), part("x").alias("_x"), part("y").alias("_y"))
+    most = lambda c: F.array_max(F.transform(c, F.size))
+    filled = lambda c, zero: F.transform(c, lambda v: F.concat(v, F.array_repeat(zero, most(c) - F.size(v))))
+    mask = F.transform("_x", lambda v: F.concat(F.array_repeat(F.lit(True), F.size(v)), F.array_repeat(F.lit(False), most("_x") - F.size(v))))
+    return b.select("batch", "keys", filled("_x", F.lit(0).cast(kind)).alias("waveforms"), F.transform("_x", F.size).alias("lengths"), filled("_y", F.lit(0)).alias("targets"), F.transform("_y", F.size).alias("target_lengths"), mask.alias("mask"))
+
+
 def at_peak(samples: Column, peak: float = 0.95) -> Column:
     top = F.array_max(F.transform(samples, F.abs))
     return F.when(top > 0, F.transform(samples, lambda v: v * F.try_divide(F.lit(peak), top))).otherwise(samples)

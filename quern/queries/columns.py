@@ -97,9 +97,11 @@ def prd_questions_and_quotes(spark, sf_dir):
     return pairs(spark, sf_dir).select("ord", P.likely_question(F.col("src")).alias("question"), P.has_quotes(F.col("src")).alias("quotes"))
 
 
-@query("WITH " + PAIRS + ", m AS (SELECT ord, src, tgt, regexp_extract(rtrim(src), '([.!?]+)[\"»]?$', 1) AS s, regexp_extract(rtrim(tgt), '([.!?]+)[\"»]?$', 1) AS t FROM pairs) SELECT ord, CASE WHEN contains(s, '?') AND NOT contains(t, '?') THEN 'question_to_target' WHEN contains(t, '?') AND NOT contains(s, '?') THEN CASE WHEN regexp_matches(lower(trim(src)), '" + _OPENERS + "') THEN 'question_to_source' ELSE 'flag' END WHEN contains(s, '!') AND NOT contains(t, '!') THEN 'exclamation_to_target' WHEN contains(t, '!') AND NOT contains(s, '!') THEN 'exclamation_to_source' ELSE 'none' END AS change FROM m")
+@query("WITH " + PAIRS + ", p AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN 'est-ce que ' || src || '!' ELSE src END AS src, CASE WHEN ord % 3 = 0 THEN tgt || '?' ELSE tgt END AS tgt FROM pairs), m AS (SELECT ord, src, tgt, regexp_extract(rtrim(src), '([.!?]+)[\"»]?$', 1) AS s, regexp_extract(rtrim(tgt), '([.!?]+)[\"»]?$', 1) AS t FROM p), c AS (SELECT ord, CASE WHEN contains(s, '?') AND NOT contains(t, '?') THEN 'question_to_target' WHEN contains(t, '?') AND NOT contains(s, '?') THEN CASE WHEN regexp_matches(lower(trim(src)), '" + _OPENERS + "') THEN 'question_to_source' ELSE 'flag' END WHEN contains(s, '!') AND NOT contains(t, '!') THEN 'exclamation_to_target' WHEN contains(t, '!') AND NOT contains(s, '!') THEN 'exclamation_to_source' ELSE 'none' END AS change, src, tgt FROM m), e AS (SELECT *, regexp_replace(rtrim(src), '[.!?]+$', '') AS a, regexp_replace(rtrim(tgt), '[.!?]+$', '') AS b FROM c) SELECT ord, CASE change WHEN 'question_to_source' THEN a || '?' WHEN 'exclamation_to_source' THEN a || '!' ELSE src END AS src, CASE change WHEN 'question_to_target' THEN b || '?' WHEN 'exclamation_to_target' THEN b || '!' ELSE tgt END AS tgt, change FROM e")
 def prd_matched_marks(spark, sf_dir):
-    return pairs(spark, sf_dir).select("ord", P.matched_marks(F.col("src"), F.col("tgt"))["change"].alias("change"))
+    """Both sides as they are rewritten. Every third answer ends in a question mark, every fifth source in an exclamation mark, so that each rule holds for some."""
+    d = pairs(spark, sf_dir).withColumns({"tgt": F.when(F.col("ord") % 3 == 0, F.concat("tgt", F.lit("?"))).otherwise(F.col("tgt")), "src": F.when(F.col("ord") % 5 == 0, F.concat(F.lit("est-ce que "), "src", F.lit("!"))).otherwise(F.col("src"))})
+    return d.select("ord", P.matched_marks(F.col("src"), F.col("tgt")).alias("m")).select("ord", "m.src", "m.tgt", "m.change")
 
 
 @query("WITH s AS (SELECT doc_id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS s FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN contains(s, ' pas ') OR ends_with(s, ' pas') OR contains(s, ' ne ') THEN 'neg' END, CASE WHEN ends_with(s, '?') OR starts_with(s, 'est-ce que') THEN 'q' END, CASE WHEN contains(' ' || s, ' j''') OR contains(' ' || s, ' ai ') OR contains(' ' || s, ' as ') THEN 'past' END) AS tags FROM s")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.operators import agreement as N
 from quern.operators import audio as A
 from quern.operators import ngram_models as L
 from quern.operators import scores as K
@@ -56,6 +57,33 @@ def met_length_ratio(spark, sf_dir):
     return pairs(spark, sf_dir).select("ord", F.round(n("tgt") / F.greatest(n("src"), F.lit(1)), 6).alias("ratio"), (F.trim(F.coalesce("tgt", F.lit(""))) == "").alias("empty"))
 
 
+@query("WITH r AS (SELECT row_number() OVER () AS id, l_orderkey AS u, l_returnflag AS f, l_quantity AS q, round(l_discount * 100)::INT AS d FROM lineitem), s AS (SELECT u, count(*) AS m FROM r GROUP BY u HAVING count(*) > 1), t AS (SELECT r.*, m FROM r JOIN s USING (u)), "
+       "mid AS (SELECT d, sum(c) OVER (ORDER BY d) - c / 2 AS x FROM (SELECT d, count(*) AS c FROM t GROUP BY d)), x AS (SELECT t.*, x FROM t JOIN mid USING (d)), n AS (SELECT count(*) AS n FROM x), "
+       "o AS (SELECT sum((a.f <> b.f)::INT / (a.m - 1)) AS f, sum((a.q - b.q) ** 2 / (a.m - 1)) AS q, sum((a.x - b.x) ** 2 / (a.m - 1)) AS d FROM x a JOIN x b ON a.u = b.u AND a.id <> b.id), "
+       "cf AS (SELECT f AS v, count(*)::DOUBLE AS c FROM x GROUP BY 1), cq AS (SELECT q AS v, count(*)::DOUBLE AS c FROM x GROUP BY 1), cd AS (SELECT x AS v, count(*)::DOUBLE AS c FROM x GROUP BY 1), "
+       "e AS (SELECT (SELECT sum(a.c * b.c) FROM cf a JOIN cf b ON a.v <> b.v) AS f, (SELECT sum(a.c * b.c * (a.v - b.v) ** 2) FROM cq a, cq b) AS q, (SELECT sum(a.c * b.c * (a.v - b.v) ** 2) FROM cd a, cd b) AS d) "
+       "SELECT unnest(['nominal', 'interval', 'ordinal']) AS level, n, unnest([round(1 - o.f * (n - 1) / e.f, 8), round(1 - o.q * (n - 1) / e.q, 8), round(1 - o.d * (n - 1) / e.d, 8)]) AS alpha FROM o, e, n")
+def sta_krippendorff(spark, sf_dir):
+    """Lines of an order as ratings of it, at three levels; SQL goes over all pairs."""
+    t = table(spark, sf_dir, "lineitem").withColumn("d", F.round(F.col("l_discount") * 100).cast("int"))
+    level = lambda name, c: N.krippendorff(t, "l_orderkey", c, name).select(F.lit(name).alias("level"), "n", F.round("alpha", 8).alias("alpha"))
+    return level("nominal", "l_returnflag").unionByName(level("interval", "l_quantity")).unionByName(level("ordinal", "d"))
+
+
+@query("WITH x AS (SELECT o_orderpriority AS p, o_orderkey % 3 AS a, CASE WHEN o_custkey % 4 = 0 THEN o_orderkey % 3 ELSE o_custkey % 3 END AS b FROM orders), m AS (SELECT p, count(*) AS n, avg((a = b)::INT) AS agreed FROM x GROUP BY p), s AS (SELECT p, c, count(*) FILTER (a = c) / count(*) AS pa, count(*) FILTER (b = c) / count(*) AS pb FROM x, (VALUES (0), (1), (2)) v(c) GROUP BY p, c), e AS (SELECT p, sum(pa * pb) AS e FROM s GROUP BY p) SELECT p AS o_orderpriority, n, round(agreed, 8) AS agreed, round((agreed - e) / (1 - e), 8) AS kappa FROM m JOIN e USING (p)")
+def sta_kappa(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_orderkey") % 3).alias("a"), F.when(F.col("o_custkey") % 4 == 0, F.col("o_orderkey") % 3).otherwise(F.col("o_custkey") % 3).alias("b"))
+    return N.cohen_kappa(o, "a", "b", ["o_orderpriority"]).select("o_orderpriority", "n", F.round("agreed", 8).alias("agreed"), F.round("kappa", 8).alias("kappa"))
+
+
+@query("WITH c AS (SELECT l_linestatus AS k, l_returnflag AS a, l_linenumber AS b, count(*)::DOUBLE AS o FROM lineitem GROUP BY ALL), t AS (SELECT *, sum(o) OVER (PARTITION BY k, a) AS ra, sum(o) OVER (PARTITION BY k, b) AS rb, sum(o) OVER (PARTITION BY k) AS n FROM c), s AS (SELECT k, max(n)::BIGINT AS n, max(n) * (sum(o * o / (ra * rb)) - 1) AS x, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS f FROM t GROUP BY k) "
+       "SELECT k AS l_linestatus, n, round(x, 6) AS chi_square, f AS freedom, round(exp(-x / 2) * list_sum(list_transform(generate_series(0, f // 2 - 1), lambda i: (x / 2) ** i / gamma(i + 1))), 8) AS p_value FROM s")
+def sta_chi_square(spark, sf_dir):
+    """Return flags against line numbers, for each status; degrees of freedom are even, so the tail is a finite sum."""
+    x = N.chi_square(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber", ["l_linestatus"])
+    return x.select("l_linestatus", "n", F.round("chi_square", 6).alias("chi_square"), "freedom", F.round("p_value", 8).alias("p_value"))
+
+
 @query()
 def sta_wilcoxon(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") / 100).alias("a"), F.col("l_discount").alias("b"))
@@ -158,6 +186,74 @@ def aud_codes_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", text(back["coarse"]).alias("coarse"), text(back["fine"]).alias("fine"))
 
 
-@query()
+_RAGGED = "(SELECT vec_id, embedding[1:1 + vec_id % 60] AS x, list_transform(generate_series(1, vec_id % 5), lambda i: i::INT) AS y FROM embeddings)"
+
+
+@query(f"WITH x AS {_RAGGED}, p AS (SELECT *, (row_number() OVER (ORDER BY len(x), vec_id) - 1) // 16 AS batch FROM x), b AS (SELECT batch, max(len(x)) AS longest, max(len(y)) AS target, count(*) AS n, sum(len(x)) AS held, string_agg(vec_id::VARCHAR, ' ' ORDER BY len(x) DESC, vec_id) AS keys, round(sum(list_sum(list_transform(x, lambda v: v::DOUBLE))), 4) AS total FROM p GROUP BY batch) "
+       "SELECT batch, keys, longest::BIGINT AS longest, target::BIGINT AS target, (n * longest - held)::BIGINT AS padding, total FROM b")
+def aud_batches(spark, sf_dir):
+    """Vectors of unequal length in batches of 16; what is filled up, and sums over what isn't."""
+    t = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, (1 + F.col("vec_id") % 60).cast("int")).alias("x"), F.when(F.col("vec_id") % 5 > 0, F.sequence(F.lit(1), (F.col("vec_id") % 5).cast("int"))).alias("y"))
+    b = A.collated(t, "vec_id", "x", "y", 16)
+    flat = lambda c: F.flatten(c)
+    total = F.aggregate(F.zip_with(flat("waveforms"), flat("mask"), lambda v, m: F.when(m, v.cast("double")).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+    keys = F.array_join(F.transform("keys", lambda k: k.cast("string")), " ")
+    return b.select("batch", keys.alias("keys"), F.size(F.get("waveforms", F.lit(0))).cast("long").alias("longest"), F.size(F.get("targets", F.lit(0))).cast("long").alias("target"), F.size(F.filter(flat("mask"), lambda m: ~m)).cast("long").alias("padding"), F.round(total, 4).alias("total"))
+
+
+@query("WITH x AS (SELECT vec_id, embedding, unnest(generate_series(0, 51)) AS k FROM embeddings WHERE len(embedding) = 64), n AS (SELECT vec_id, k, embedding, unnest(generate_series(greatest(0, k * 5 // 4 - 8), least(63, k * 5 // 4 + 8))) AS j FROM x), "
+       "t AS (SELECT vec_id, k, embedding[j + 1]::DOUBLE AS v, greatest(-6, least(6, (j - k * 1.25) * 3.96 / 5)) AS t FROM n) "
+       "SELECT vec_id, k, round(sum(v * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END * cos(t * pi() / 12) ** 2 * 3.96 / 5), 4) + 0.0 AS sample FROM t GROUP BY ALL")
+def aud_sped(spark, sf_dir):
+    """Vectors of 64 samples played five quarters as fast."""
+    y = A.sped(F.col("embedding"), 16000, 1.25)
+    return table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", F.posexplode(y).alias("k", "v")).select("vec_id", F.col("k").cast("long").alias("k"), (F.round("v", 4) + 0.0).alias("sample"))
+
+
+_TRIM = "x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings WHERE len(embedding) = 64)"
+
+
+@query(f"WITH {_TRIM}, a AS (SELECT vec_id, x, list_sort(list_transform(x, lambda v: abs(v))) AS m, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) AS rms FROM x) SELECT vec_id, 64::BIGINT AS n, round(20 * log10(greatest(rms, 1e-10) / greatest(m[4] + (m[5] - m[4]) * 0.15, 1e-10)), 1) AS snr_db FROM a")
 def aud_trimmed(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", A.trimmed("embedding").alias("t")).select("vec_id", F.size("t.samples").alias("n"), "t.snr_db")
+    """Vectors of 64 samples lie within one frame each, so none is cut; the ratio of their level to the fifth percentile of magnitudes."""
+    t = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64)
+    return t.select("vec_id", A.trimmed("embedding").alias("t")).select("vec_id", F.size("t.samples").cast("long").alias("n"), "t.snr_db")
+
+
+@query("SELECT vec_id, (7 * least(len(embedding) // 7, 3))::BIGINT AS n, round(list_sum(list_transform(embedding[1:least(len(embedding), 21)], lambda v: v::DOUBLE)), 5) AS total FROM embeddings")
+def aud_truncated(spark, sf_dir):
+    """Three frames of seven at most."""
+    y = A.truncated(F.slice("embedding", F.lit(1), (F.floor(F.size("embedding") / 7) * 7).cast("int")), 21)
+    return table(spark, sf_dir, "embeddings").select("vec_id", y.alias("y")).select("vec_id", F.size("y").cast("long").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v.cast("double")), 5).alias("total"))
+
+
+@query("WITH x AS (SELECT vec_id, list_transform(embedding[1:63], lambda v: floor(abs(v) * 10)::INT) AS c FROM embeddings WHERE len(embedding) >= 63), f AS (SELECT vec_id, list_filter(generate_series(0, 8), lambda i: i = 0 OR c[7 * i + 1] <> c[7 * i - 6]) AS kept, c FROM x) SELECT vec_id, array_to_string(flatten(list_transform(kept, lambda i: c[7 * i + 1:7 * i + 7])), ' ') AS codes FROM f")
+def ded_frames(spark, sf_dir):
+    """Frames of seven codes without those whose first code is that of the last one kept; nine frames are made from each vector."""
+    c = F.transform(F.slice("embedding", 1, 63), lambda v: F.floor(F.abs(v) * 10).cast("int"))
+    return table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 63).select("vec_id", F.array_join(F.transform(A.without_repeats(c), lambda v: v.cast("string")), " ").alias("codes"))
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: (greatest(-1, least(0.999, v)) * 32768)::DOUBLE) AS x FROM embeddings), q AS (SELECT vec_id, list_transform(x, lambda v: floor(v) / 32768.0) AS x FROM e) SELECT vec_id, len(x)::BIGINT AS n, 8000 AS rate, round(list_sum(list_transform(x, lambda v: v * v)), 4) AS power FROM q")
+def aud_decoded(spark, sf_dir):
+    """Each vector as a file of 16 bits, made in a task, and decoded."""
+
+    @F.pandas_udf("binary")
+    def as_wav(rows):
+        import io
+        import wave
+
+        import numpy as np
+        import pandas as pd
+
+        def one(x):
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000)
+                w.writeframes(np.floor(np.clip(np.asarray(x, dtype=np.float64), -1, 0.999) * 32768).astype("<i2").tobytes())
+            return out.getvalue()
+
+        return pd.Series([one(x) for x in rows])
+
+    w = table(spark, sf_dir, "embeddings").select("vec_id", A.decode_wav(as_wav("embedding")).alias("w"))
+    return w.select("vec_id", F.size("w.samples").cast("long").alias("n"), "w.rate", F.round(F.aggregate("w.samples", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")), 4).alias("power"))

@@ -178,6 +178,17 @@ def drifting(spark: SparkSession, path: str, extra: str = "__index_level_0__") -
     return reduce(DataFrame.unionByName, whole)
 
 
+def unfinished(records: DataFrame, url: str, checkpoint: str) -> DataFrame:
+    """Records whose trimmed url isn't blank nor in the checkpoint that writers.checkpointed adds to; all of them where there is none yet."""
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    wanted = records.withColumn("_url", F.trim(url)).filter("_url <> ''")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        done = spark.read.text(checkpoint).select(F.trim("value").alias("_url")).filter("_url <> ''").distinct()
+        wanted = wanted.join(done, "_url", "left_anti")
+    return wanted.drop("_url")
+
+
 def usable_texts(spark: SparkSession, path: str, names: tuple[str, ...] = ("text", "target_text", "prompt")) -> DataFrame:
     """(text, entry) of JSON lines: the first of the names that has a text which isn't empty. Entries that aren't JSON objects, or have none, go."""
     t = spark.read.text(path).select(F.col("value").alias("entry"), F.from_json("value", ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"}).alias("e"))

@@ -68,6 +68,22 @@ def aligned(df: DataFrame, index: str, columns: list[str], path: str, parts: int
         whole.select("_part", "_at", line).repartition("_part").sortWithinPartitions("_part", "_at").select("_part", "value").write.partitionBy("_part").text(f"{path}/{c}")
 
 
+def ordered_lines(rows: DataFrame, path: str) -> None:
+    """(section, part, place, line) as text, part files in order; line feeds inside a line are escaped. A report of few rows is one file."""
+    rows.orderBy("section", "part", "place").select(escape_controls(F.col("line")).alias("value")).write.text(path)
+
+
+def paragraph(df: DataFrame, order: str, text: str, path: str) -> None:
+    """All texts that aren't blank, stripped, in order and joined by spaces. Part files follow each other; each ends with the space before the next."""
+    said = F.regexp_replace(F.col(text), "^\\s+|\\s+$", "").alias("value")
+    df.select(order, said).filter("value <> ''").orderBy(order).select("value").write.option("lineSep", " ").text(path)
+
+
+def checkpointed(done: DataFrame, url: str, path: str) -> None:
+    """Add the urls of what is done to a checkpoint, a folder of text lines that only grows; a lost run's files aren't committed."""
+    done.select(F.trim(url).alias("value")).filter("value <> ''").write.mode("append").text(path)
+
+
 def arpa(model: DataFrame, path: str) -> None:
     """A model (n, gram, logprob, backoff) as one file: counts, then a section for each order. Entries are sorted by ranges and written by one task after the sort, as a file has an order."""
     order = model.groupBy("n").agg(F.count("*").alias("c"))
