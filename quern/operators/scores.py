@@ -117,14 +117,11 @@ def bleu_score(c: Column, effective: bool = False) -> Column:
 
 def chrf_score(c: Column, words: int = 0, beta: float = 2.0) -> Column:
     """chrF in percent from counts, chrF++ with words=2: F of mean precision and mean recall over the orders that both sides have."""
-    p = r = F.lit(0.0)
-    have = F.lit(0)
-    for k in range(CHAR_ORDER + words):
-        both = (c[3 * k] > 0) & (c[3 * k + 1] > 0)
-        p = p + F.when(both, c[3 * k + 2] / c[3 * k]).otherwise(0.0)
-        r = r + F.when(both, c[3 * k + 2] / c[3 * k + 1]).otherwise(0.0)
-        have = have + both.cast("int")
-    p, r, b = F.try_divide(p, have), F.try_divide(r, have), beta * beta
+    orders = F.transform(F.sequence(F.lit(0), F.lit(CHAR_ORDER + words - 1)), lambda k: F.slice(c, 3 * k + 1, F.lit(3)))
+    both = F.filter(orders, lambda t: (t[0] > 0) & (t[1] > 0))
+    have = F.size(both)
+    mean = lambda side: F.try_divide(F.aggregate(both, F.lit(0.0), lambda a, t: a + t[2] / t[side]), have)
+    p, r, b = mean(0), mean(1), beta * beta
     return F.when((have > 0) & (p + r > 0), 100 * (1 + b) * p * r / (b * p + r)).otherwise(0.0)
 
 

@@ -8,6 +8,7 @@ from quern.functions.predicates import character_jaccard
 from quern.functions.text import tokens
 from quern.operators import metrics as M
 from quern.operators import scores as K
+from quern.queries import score_sql as Q
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 
 _WORDS = f"w AS (SELECT ord, {words_sql('tgt')} AS r, {words_sql('src')} AS h FROM pairs)"
@@ -21,19 +22,19 @@ def met_clipped_matches(spark, sf_dir):
     return one.crossJoin(two)  # one row each
 
 
-@query()
+@query(Q.CORPUS_BLEU)
 def met_bleu(spark, sf_dir):
     d = pairs(spark, sf_dir).select(F.lit("all").alias("part"), "src", F.array("tgt").alias("refs"))
     return K.corpus_scores(d, "src", "refs", ["part"]).select("n", "bleu")
 
 
-@query()
+@query(Q.CORPUS_CHRF)
 def met_chrf(spark, sf_dir):
     d = pairs(spark, sf_dir).select(F.lit("all").alias("part"), "src", F.array("tgt").alias("refs"))
     return K.corpus_scores(d, "src", "refs", ["part"]).select("n", "chrf", "chrfpp")
 
 
-@query()
+@query(Q.ERROR_RATES)
 def met_error_rates(spark, sf_dir):
     return M.error_rates(pairs(spark, sf_dir).withColumn("all", F.lit("all")), "tgt", "src", ["all"])
 

@@ -9,6 +9,7 @@ from quern.operators import agreement as N
 from quern.operators import audio as A
 from quern.operators import ngram_models as L
 from quern.operators import scores as K
+from quern.queries import score_sql as Q
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 
 
@@ -17,30 +18,30 @@ def _refs(d):
     return d.withColumn("refs", F.array("tgt", F.lower("tgt")))
 
 
-@query()
+@query(Q.CORPUS_SCORES)
 def met_corpus_scores(spark, sf_dir):
     d = _refs(pairs(spark, sf_dir)).withColumn("part", F.pmod("conv_id", F.lit(4)))
     return K.corpus_scores(d, "src", "refs", ["part"])
 
 
-@query()
+@query(Q.SENTENCE_SCORES)
 def met_sentence_scores(spark, sf_dir):
     return K.sentence_scores(pairs(spark, sf_dir), "src", "tgt").select("ord", "sentence_bleu", "sentence_chrf", "sentence_chrfpp")
 
 
-@query()
+@query(Q.SPOTLIGHT)
 def met_spotlight(spark, sf_dir):
     """The 20 pairs of the widest gap between chrF and BLEU: the limit is the feature."""
     s = K.sentence_scores(pairs(spark, sf_dir), "src", "tgt").withColumn("gap", F.col("sentence_chrf") - F.col("sentence_bleu"))
     return s.orderBy(F.desc("gap"), "ord").limit(20).select("ord", "gap")
 
 
-@query()
+@query(Q.OPERATIONS)
 def met_word_operations(spark, sf_dir):
     return pairs(spark, sf_dir).select("ord", K.word_operations("tgt", "src").alias("o")).select("ord", "o.*")
 
 
-@query()
+@query(Q.ROUGE)
 def met_rouge_l(spark, sf_dir):
     return pairs(spark, sf_dir).select("ord", F.round(K.rouge_l("tgt", "src"), 6).alias("rouge_l"))
 
@@ -84,7 +85,14 @@ def sta_chi_square(spark, sf_dir):
     return x.select("l_linestatus", "n", F.round("chi_square", 6).alias("chi_square"), "freedom", F.round("p_value", 8).alias("p_value"))
 
 
-@query()
+@query(Q.wilcoxon("SELECT o_orderpriority, o_totalprice - 100000 - o_custkey AS d FROM orders", "o_orderpriority"))
+def sta_wilcoxon_orders(spark, sf_dir):
+    """Prices against what customers' numbers would have them be, by priority."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_totalprice").alias("a"), (F.col("o_custkey") + 100000).cast("double").alias("b"))
+    return K.wilcoxon(o, "a", "b", ["o_orderpriority"])
+
+
+@query(Q.wilcoxon("SELECT l_returnflag, l_quantity / 100 - l_discount AS d FROM lineitem", "l_returnflag"))
 def sta_wilcoxon(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") / 100).alias("a"), F.col("l_discount").alias("b"))
     return K.wilcoxon(o, "a", "b", ["l_returnflag"])

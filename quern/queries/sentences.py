@@ -120,9 +120,12 @@ def prd_audit_tests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.has_placeholder(x).alias("placeholder"), S.target_letters(x).alias("letters"), S.embedded_newline(x).alias("newline"))
 
 
-@query()
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' xɔ fini.' WHEN 2 THEN p_name WHEN 3 THEN p_name || '/a/b' ELSE 'xɔ te ' || p_type END AS canonical, CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN p_name || ' sɔ fini.' WHEN 2 THEN '' WHEN 3 THEN '' ELSE 'sɔ te ' || p_type END AS alternative, CASE p_partkey % 5 WHEN 2 THEN 'no_slash' WHEN 3 THEN 'needs_review' ELSE 'normalized' END AS status FROM part")
 def rsh_slash_alternatives(spark, sf_dir):
-    s = S.slash_alternatives(F.concat_ws(" / ", "p_name", "p_type"))
+    """Two phrases, a pair of words, no slash, too many, and a pair without spaces and in the other order."""
+    k, name, kind = F.col("p_partkey") % 5, F.col("p_name"), F.col("p_type")
+    text = F.when(k == 0, F.concat_ws(" / ", name, kind)).when(k == 1, F.concat(name, F.lit("  sɔ / xɔ fini."))).when(k == 2, name).when(k == 3, F.concat(name, F.lit("/a/b"))).otherwise(F.concat(F.lit("xɔ/sɔ te "), kind))
+    s = S.slash_alternatives(text)
     return table(spark, sf_dir, "part").select("p_partkey", s["canonical"].alias("canonical"), s["alternative"].alias("alternative"), s["status"].alias("status"))
 
 
