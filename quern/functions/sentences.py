@@ -11,28 +11,28 @@ from quern.functions.text import collapse, strip, tokens
 
 #: Present forms of the verbs of the two generation runs, for je, tu, il/elle, nous, vous, ils/elles.
 FIRST_RUN = {
-    "manger": "mange manges mange mangeons mangez mangent",
-    "boire": "bois bois boit buvons buvez boivent",
-    "voir": "vois vois voit voyons voyez voient",
-    "aller": "vais vas va allons allez vont",
-    "venir": "viens viens vient venons venez viennent",
-    "faire": "fais fais fait faisons faites font",
-    "avoir": "ai as a avons avez ont",
-    "prendre": "prends prends prend prenons prenez prennent",
-    "donner": "donne donnes donne donnons donnez donnent",
-    "vouloir": "veux veux veut voulons voulez veulent",
+    "manger": ("mange", "manges", "mange", "mangeons", "mangez", "mangent"),
+    "boire": ("bois", "bois", "boit", "buvons", "buvez", "boivent"),
+    "voir": ("vois", "vois", "voit", "voyons", "voyez", "voient"),
+    "aller": ("vais", "vas", "va", "allons", "allez", "vont"),
+    "venir": ("viens", "viens", "vient", "venons", "venez", "viennent"),
+    "faire": ("fais", "fais", "fait", "faisons", "faites", "font"),
+    "avoir": ("ai", "as", "a", "avons", "avez", "ont"),
+    "prendre": ("prends", "prends", "prend", "prenons", "prenez", "prennent"),
+    "donner": ("donne", "donnes", "donne", "donnons", "donnez", "donnent"),
+    "vouloir": ("veux", "veux", "veut", "voulons", "voulez", "veulent"),
 }
 SECOND_RUN = {
-    "aimer": "aime aimes aime aimons aimez aiment",
-    "acheter": "achète achètes achète achetons achetez achètent",
-    "chercher": "cherche cherches cherche cherchons cherchez cherchent",
-    "trouver": "trouve trouves trouve trouvons trouvez trouvent",
-    "parler": "parle parles parle parlons parlez parlent",
-    "savoir": "sais sais sait savons savez savent",
-    "mettre": "mets mets met mettons mettez mettent",
-    "laisser": "laisse laisses laisse laissons laissez laissent",
-    "apporter": "apporte apportes apporte apportons apportez apportent",
-    "montrer": "montre montres montre montrons montrez montrent",
+    "aimer": ("aime", "aimes", "aime", "aimons", "aimez", "aiment"),
+    "acheter": ("achète", "achètes", "achète", "achetons", "achetez", "achètent"),
+    "chercher": ("cherche", "cherches", "cherche", "cherchons", "cherchez", "cherchent"),
+    "trouver": ("trouve", "trouves", "trouve", "trouvons", "trouvez", "trouvent"),
+    "parler": ("parle", "parles", "parle", "parlons", "parlez", "parlent"),
+    "savoir": ("sais", "sais", "sait", "savons", "savez", "savent"),
+    "mettre": ("mets", "mets", "met", "mettons", "mettez", "mettent"),
+    "laisser": ("laisse", "laisses", "laisse", "laissons", "laissez", "laissent"),
+    "apporter": ("apporte", "apportes", "apporte", "apportons", "apportez", "apportent"),
+    "montrer": ("montre", "montres", "montre", "montrons", "montrez", "montrent"),
 }
 #: Past participles, auxiliaries, pronouns, words that open a question, common words.
 PARTICIPLES = {
@@ -106,7 +106,7 @@ def detect_verb(x: Column, module: Column, run: str | None = None) -> Column:
     """The infinitive of the sentence's verb among those of a generation run (all without one); null if none stands there. The first word that gives one decides."""
     verbs = _verbs(run)
     words = tokens(F.lower(clean_sentence(x)))
-    by_form = _map({form: verb for verb, forms in verbs.items() for form in forms.split()})
+    by_form = _map({form: verb for verb, forms in verbs.items() for form in forms})
     by_participle = _map({PARTICIPLES[v]: v for v in verbs})
     couples = _couples(words)
     first = lambda found: F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))

@@ -20,6 +20,10 @@ CONNECTORS = (
 TARGET_OPENERS = ("a", "be", "da", "de", "e", "ji", "le", "mi", "na", "nɔ", "sa", "se", "va", "wo", "yi")
 #: The parse method that guesses the boundary; the others are told where it is.
 GUESSED = "lexicon_split"
+#: Names of the issues, in the order in which a row's issues stand; a caller may give others.
+LABELS = {
+    "letters": "target_letters_in_source", "prefix": "source_prefix_in_target", "incomplete": "incomplete_source", "placeholder": "placeholder", "empty": "empty_target", "evidence": "no_target_evidence",
+}
 ISSUE_KEY = ["source", "raw", "src", "tgt", "issue"]
 
 
@@ -75,11 +79,13 @@ def confidence(n: Column, marked: Column, left: Column, evidence: Column, ending
     return F.when((left != "") & (evidence > 0), F.when((n >= 2) | marked | ending.isNotNull(), "high").otherwise("medium")).otherwise("needs-human")
 
 
-def audit(rows: DataFrame, key: str, source_words: DataFrame, target_words: DataFrame, ending: Column) -> DataFrame:
+def audit(rows: DataFrame, key: str, source_words: DataFrame, target_words: DataFrame, ending: Column, labels: dict[str, str] | None = None) -> DataFrame:
     """rows (key, source, raw, src, tgt, method, ...) to issues: key, source, raw, src, tgt, issue, suggested_src, suggested_tgt, confidence, detail; of equal ISSUE_KEY the least key's.
 
     ending: the source's last word where it can't end a sentence, else null. Boundaries are judged only where the method guessed them. Null sides are empty. key is unique.
+    labels: other names for some of LABELS.
     """
+    labels = LABELS | (labels or {})
     rows = rows.select(key, "source", "raw", *[F.coalesce(c, F.lit("")).alias(c) for c in ("src", "tgt")], "method")
     runs = source_prefix(rows.filter(F.col("method") == GUESSED), key, "tgt", source_words, target_words)
     r = rows.withColumn("_ending", ending).join(runs, key, "left").withColumn("_moved", moved(F.col("src"), F.col("tgt"), F.coalesce("prefix", F.lit(""))))
@@ -89,12 +95,12 @@ def audit(rows: DataFrame, key: str, source_words: DataFrame, target_words: Data
     issue = lambda test, name, conf, detail, src=none, tgt=none: F.when(test, F.struct(F.lit(name).alias("issue"), src.alias("suggested_src"), tgt.alias("suggested_tgt"), conf.alias("confidence"), detail.alias("detail")))
     unsure, empty = F.lit("needs-human"), strip(F.col("tgt")) == ""
     found = F.array_compact(F.array(
-        issue(letters > 0, "target_letters_in_source", F.lit("high"), letters.cast("string")),
-        issue(guessed & begun, "source_prefix_in_target", sure, strip(F.col("prefix")), F.col("_moved.src"), left),
-        issue(guessed & ~begun & F.col("_ending").isNotNull(), "incomplete_source", F.lit("medium"), F.col("_ending")),
-        issue(has_placeholder(F.concat_ws(" | ", "raw", "src", "tgt")), "placeholder", unsure, none),
-        issue(empty, "empty_target", unsure, none),
-        issue(~empty & guessed & (target_letters(F.col("tgt")) + F.coalesce("hits", F.lit(0)) == 0), "no_target_evidence", unsure, none),
+        issue(letters > 0, labels["letters"], F.lit("high"), letters.cast("string")),
+        issue(guessed & begun, labels["prefix"], sure, strip(F.col("prefix")), F.col("_moved.src"), left),
+        issue(guessed & ~begun & F.col("_ending").isNotNull(), labels["incomplete"], F.lit("medium"), F.col("_ending")),
+        issue(has_placeholder(F.concat_ws(" | ", "raw", "src", "tgt")), labels["placeholder"], unsure, none),
+        issue(empty, labels["empty"], unsure, none),
+        issue(~empty & guessed & (target_letters(F.col("tgt")) + F.coalesce("hits", F.lit(0)) == 0), labels["evidence"], unsure, none),
     ))
     issues = r.select(key, "source", "raw", "src", "tgt", F.explode(found).alias("_i")).select(key, "source", "raw", "src", "tgt", "_i.*")
     return keep_first(issues, ISSUE_KEY, [key])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import nfc, nfd
+from quern.operators.ordering import quantiles
 
 
 def cells(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -45,6 +46,34 @@ def mean_and_spread(values: list[str], digits: int = 1) -> list[Column]:
     return [f(v).alias(f"{v}_{name}") for v in values for name, f in (("mean", lambda c: F.round(F.avg(c), digits)), ("std", lambda c: F.round(F.stddev_samp(c), digits)))]
 
 
+def filled_mean_and_spread(value: str, digits: int = 1) -> list[Column]:
+    """mean and deviation of a value, 0 where one value or none leaves them undefined."""
+    return [F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), digits).alias("deviation")]
+
+
+def stage_summary(df: DataFrame, stage: str, value: str, failed: Column) -> DataFrame:
+    """(stage, n, failed, mean, median, most) of a value by stage; nulls are left out of its statistics."""
+    s = df.groupBy(stage).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    q = quantiles(df, value, {"median": 0.5}, [stage]).withColumnRenamed(stage, "_stage")
+    return s.join(q, F.col(stage).eqNullSafe(F.col("_stage")), "left").drop("_stage")
+
+
+def metric_summary(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, metric, mean, std) of every metric of the runs, one row each; std is the population's."""
+    return runs.select(*keys, *metrics).unpivot(keys, metrics, "metric", "value").groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def routed_by_place(place: Column, cut: int, names: tuple[str, str] = ("structured", "random")) -> Column:
+    """The subset of a row by its place from 0: the first `cut` rows, or the others."""
+    return F.when(place < cut, names[0]).when(place >= cut, names[1])
+
+
+def routed_by_membership(df: DataFrame, text: str, members: DataFrame, member: str, names: tuple[str, str] = ("structured", "random")) -> DataFrame:
+    """df with `subset`: whether its stripped text is among the members' stripped texts. Null is in the second."""
+    known = members.select(F.trim(member).alias("_m")).filter("_m IS NOT NULL").distinct().withColumn("_in", F.lit(True))
+    return df.join(known, F.trim(text) == F.col("_m"), "left").withColumn("subset", F.when(F.col("_in"), names[0]).otherwise(names[1])).drop("_m", "_in")
+
+
 def pooled(df: DataFrame, condition: str, pools: dict[str, list[str]], values: list[str], size: str, digits: int = 1) -> DataFrame:
     """(pool, n, size, means and deviations) over all rows of each pool's conditions; a condition may be in several pools. size is the mean of the column, as a whole number."""
     held = F.array_compact(F.array(*[F.when(F.col(condition).isin(*members), F.lit(name)) for name, members in pools.items()]))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import predicates as P
 from quern.functions import text as T
+from quern.operators import reports as G
 from quern.operators import rows as R
-from quern.operators.ordering import quantiles
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 from quern.sources import readers, writers
 
@@ -130,8 +130,7 @@ def agg_manifest(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (k IS NULL) AS failed, round(avg(value), 4) AS mean, quantile_cont(value, 0.5) AS median, max(value) AS most FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
 def agg_stages(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
-    s = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("k").isNull().cast("long")).alias("failed"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("most"))
-    return s.join(quantiles(e, "value", {"median": 0.5}, ["event_type"]), "event_type", "left")
+    return G.stage_summary(e, "event_type", "value", F.col("k").isNull()).withColumn("mean", F.round("mean", 4))
 
 
 @query("WITH r AS (SELECT DISTINCT unnest(" + words_sql("text") + ") AS w FROM conversations WHERE role = 'user'), h AS (SELECT DISTINCT unnest(" + words_sql("text") + ") AS w FROM conversations WHERE role = 'assistant') SELECT (SELECT count(*) FROM r) AS ref_words, (SELECT count(*) FROM h) AS hyp_words, (SELECT count(*) FROM r JOIN h USING (w)) AS shared")
@@ -146,8 +145,7 @@ def agg_vocabulary_overlap(spark, sf_dir):
 def agg_any_metric(spark, sf_dir):
     """Mean and population deviation of every metric of the runs, one row each."""
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("p"), "o_orderstatus").agg(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
-    u = m.unpivot(["p", "o_orderstatus"], ["mean", "most"], "metric", "value")
-    return u.groupBy("p", "metric").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"))
+    return G.metric_summary(m, ["p"], ["mean", "most"]).withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -192,7 +190,14 @@ def src_prefer(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN doc_id < 455 THEN 'structured' ELSE 'random' END AS subset FROM documents")
 def flt_routing(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") < 455, "structured").otherwise("random").alias("subset"))
+    return table(spark, sf_dir, "documents").select("doc_id", G.routed_by_place(F.col("doc_id"), 455).alias("subset"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size > 40) THEN 'structured' ELSE 'random' END AS subset FROM part")
+def flt_routing_by_text(spark, sf_dir):
+    """Rows whose text another table has."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return G.routed_by_membership(p, "p_name", p.filter("p_size > 40").select(F.concat("p_name", F.lit(" ")).alias("t")), "t").select("p_partkey", "subset")
 
 
 _LABELLED = "^(.*[^:/]):([^:/]+)$"

@@ -26,7 +26,7 @@ def _forms() -> list[tuple[str, str, str, str, str, str]]:
         for pronoun in S.PRONOUNS:
             k = _person(pronoun)
             auxiliary = (S.BEING if verb in ("aller", "venir") else S.HAVING)[k]
-            out.append((verb, pronoun, forms.split()[k], S.GOING[k], auxiliary, S.PARTICIPLES[verb]))
+            out.append((verb, pronoun, forms[k], S.GOING[k], auxiliary, S.PARTICIPLES[verb]))
     return out
 
 

@@ -111,8 +111,9 @@ def agg_cascade_summary(spark, sf_dir):
 @query("SELECT c_nationkey, coalesce(avg(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 0) AS mean, round(coalesce(stddev_samp(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 0), 1) AS deviation FROM customer GROUP BY 1")
 def agg_filled_deviations(spark, sf_dir):
     """Sample deviations; what one value or none leaves undefined is 0."""
-    v = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 1).alias("deviation"))
+    from quern.operators.reports import filled_mean_and_spread
+
+    return table(spark, sf_dir, "customer").withColumn("v", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))).groupBy("c_nationkey").agg(*filled_mean_and_spread("v"))
 
 
 def _coded(words: str) -> str:
