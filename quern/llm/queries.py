@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import brown, decontamination, language, lexical, minhash, negatives, packing, quality, secrets, sharding, simhash, token_counts, toxicity
-from quern.scratch import scratch_dir
+from quern.scratch import scratch_path
 
 
 def _remainder(n: int):
@@ -55,7 +54,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in two deliveries. The first begins a ledger; the second, which is all documents, scans only blobs that the ledger lacks."""
     docs = _table(spark, sf_dir, "documents", ["doc_id", "text"])
-    path = f"{scratch_dir(spark)}/quern-secret-ledger-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "secret-ledger")
     secrets.append(docs.filter(_remainder(2) == 0), path)
     return secrets.secret_scan(docs, path=path)
 

@@ -94,18 +94,25 @@ def address(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
     """Ledger rows to append: one for each blob of versions that the ledger doesn't have under this rule version.
 
-    Addresses alone are counted and compared with the ledger. Texts of blobs that one path has are scanned where they are read; only those of shared blobs
-    are exchanged, so that each is scanned once: copies meet within their task first, and a blob of a third of all rows is a row for each task.
-    With more than BROADCAST_HASHES hashes of shared blobs all texts go the way of shared ones.
+    Addresses alone are counted and compared with the ledger, whatever its size. Texts of unseen blobs are picked where they are read, by a broadcast of the hashes of their addresses, or of known addresses where those are few;
+    those of blobs that one path has are scanned there too. Only texts of shared blobs are exchanged, so that each is scanned once: copies meet within their task first, and a blob of a third of all rows is a row for each task.
+    Beyond BROADCAST_HASHES unseen blobs in one delivery, and more than a few known ones among its paths, its unseen texts are picked by an exchange; beyond as many shared blobs all of them go the way of shared ones.
     """
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     counts = address(versions, text_col, text_col).groupBy("blob").agg(F.count("*").alias("n"))
     rows = versions.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ledger is not None:
-        known = counts.join(ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_semi")
-        known = materialize(known, "known")
-        rows = rows.join(_sized(known.select("blob"), BROADCAST_HASHES // 8), "blob", "left_anti")
-        counts = counts.join(known, "blob", "left_anti")
+        ledgered = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct().withColumn("_known", F.lit(True))
+        counts = materialize(counts.join(ledgered, "blob", "left").select("blob", "n", F.coalesce("_known", F.lit(False)).alias("known")), "counts")
+        known, unseen = counts.filter("known").select("blob"), counts.filter("NOT known")
+        if known.count() <= BROADCAST_HASHES // 8:
+            rows = rows.join(F.broadcast(known), "blob", "left_anti")
+        elif unseen.count() <= BROADCAST_HASHES:
+            # a known blob whose hash an unseen one has by chance is scanned again; the ledger's readers take each blob once
+            rows = rows.withColumn("_h", F.xxhash64("blob")).join(F.broadcast(unseen.select(F.xxhash64("blob").alias("_h")).distinct()), "_h", "left_semi").drop("_h")
+        else:
+            rows = rows.join(unseen.select("blob"), "blob", "left_semi")
+        counts = unseen
     # a hash of the address tells rows apart well enough here: one that shares it by chance is exchanged like a copy
     shared = materialize(counts.filter("n > 1").select(F.xxhash64("blob").alias("_h")).distinct(), "shared")
     if shared.count() > BROADCAST_HASHES:

@@ -170,6 +170,19 @@ def test_ledger_scans_only_unseen_blobs(spark):
     assert multiset(secrets.secret_scan(docs, first).collect()) == multiset(secrets.secret_scan(docs).collect())
 
 
+def test_ledgers_of_any_size(spark, monkeypatch):
+    """Limits lowered: many known blobs, many unseen ones, and both; texts are exchanged in the last case only."""
+    docs = documents(spark).unionByName(documents(spark).selectExpr("doc_id + 1000 AS doc_id", "concat(text, ' more password=hunter2hunter', doc_id) AS text", "* EXCEPT (doc_id, text)"))
+    first = secrets.update_ledger(docs.filter("doc_id < 60"))
+    want = multiset(secrets.secret_scan(docs).collect())
+    blobs = docs.selectExpr("coalesce(text, '') t").distinct().count()
+    for limit in (10**6, 480, 8):  # known ones are few up to an eighth
+        monkeypatch.setattr(secrets, "BROADCAST_HASHES", limit)
+        more = secrets.update_ledger(docs, first)
+        assert more.count() + first.count() == blobs and more.join(first, "blob").count() == 0
+        assert multiset(secrets.secret_scan(docs, first).collect()) == want
+
+
 def test_ledger_in_a_folder(spark, tmp_path):
     docs, path = documents(spark), str(tmp_path / "ledger")
     first = secrets.append(docs.filter("doc_id < 30"), path)
