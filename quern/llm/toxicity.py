@@ -19,12 +19,10 @@ from quern.llm.batches import held, map_texts
 
 #: The training sample: documents of each label, and the longest text (bytes) taken into it.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 20_000
-#: Bytes of each dictionary, compression level. Both hold every window of the sample that is meant for them; the bounds only guard a worker's memory.
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY, LEVEL = 1 << 23, 1 << 23, 16
+#: Bytes of each dictionary, compression level. The toxic one takes the most frequent windows of toxic texts as far as they fit, ordinary or not; the ordinary one has every window of the sample, its bound only guards a worker's memory.
+TOXIC_DICTIONARY, ORDINARY_DICTIONARY, LEVEL = 1 << 17, 1 << 23, 16
 #: Ids of a label that are ranked for the sample, in parts of it.
 RANKED = 4
-#: Toxic windows are those with a piece of a word that has this many times as many contexts by toxic document as by ordinary one, so many at least, and that share of the toxic documents.
-LIFT, LEAST_CONTEXTS, LEAST_SHARE, PIECES = 8.0, 3, 0.01, (4, 5, 6, 7, 8)
 #: Calibration tries these gains, and these bytes beyond what a whole match takes.
 GAINS, SLACKS = (2, 3, 4, 5, 6, 8, 10), (0, 1, 2, 3, 4, 6, 40)
 THRESHOLD = 0.7
@@ -129,25 +127,15 @@ def _contexts(texts: list[str]) -> Counter:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from the windows of both kinds of text, then the gain and the score calibrated on the same sample."""
-    contexts = [_contexts(texts) for texts in (toxic, ordinary)]
-    pieces: list[Counter] = [Counter(), Counter()]
-    of = lambda w: {w[a : a + n] for w in (f" {w} ",) for n in PIECES for a in range(len(w) - n + 1)}
-    for words, count in zip(contexts, pieces):
-        for word, n in words.items():
-            for piece in of(word):
-                count[piece] += n
+    """Dictionaries from the windows of both kinds of text, then the gain and the score calibrated on the same sample; of equally good gains and lengths the first tried holds."""
     n_toxic, n_ordinary = max(1, len(toxic)), max(1, len(ordinary))
-    marks = {p for p, n in pieces[0].items() if n >= max(LEAST_CONTEXTS, LEAST_SHARE * n_toxic) and n / n_toxic >= LIFT * (pieces[1][p] + 1) / n_ordinary}
-    words = contexts
-    marked = [w for w, _ in sorted(words[0].items(), key=lambda x: (-x[1], x[0])) if not marks.isdisjoint(of(w))]
-    plain = [w for w, _ in sorted(words[1].items(), key=lambda x: (-x[1], x[0]))]
-    model = Model(train_dictionary(marked, TOXIC_DICTIONARY), train_dictionary(plain, ORDINARY_DICTIONARY), 1, 0, (0.0, 0.0, 0.0, 0.0))
+    frequent = [[w for w, _ in sorted(_contexts(texts).items(), key=lambda x: (-x[1], x[0]))] for texts in (toxic, ordinary)]
+    model = Model(train_dictionary(frequent[0], TOXIC_DICTIONARY), train_dictionary(frequent[1], ORDINARY_DICTIONARY), 1, 0, (0.0, 0.0, 0.0, 0.0))
     if not toxic or not ordinary:
         return Model(b"", b"", 1, 0, (0.0, 0.0, 0.0, -5.0 if not toxic else 5.0))
     gains, y = Gains(model, 10**7), np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     lengths = window_lengths(gains, [*toxic, *ordinary])
-    whole = min((gains[w][1] for w in marked), default=0)  # a window that the toxic dictionary has in one piece
+    whole = min((gains[w][1] for w in frequent[0]), default=0)  # a window that the toxic dictionary has in one piece
     best: tuple = ()
     for gain, slack in product(GAINS, SLACKS):
         x = features(*lengths, gain, whole + slack)
@@ -199,7 +187,7 @@ def training_sample(rows: DataFrame, labels: DataFrame, id_col: str, most: int =
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score, predicted (1 where score >= THRESHOLD).
 
-    labels (id, toxic 0/1) may have a share of the ids; rows with a null or other label and held-out rows train nothing; of contradicting labels 1 holds.
+    labels (id, toxic 0/1) may have a share of the ids; rows of null id, with a null or other label and held-out rows train nothing; of contradicting labels 1 holds.
     held_out is a condition on docs' columns (null: false). Null and empty texts have no window and get the score of none. Without labels of both kinds the score is constant.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
