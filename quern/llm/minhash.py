@@ -24,6 +24,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 30, 1e-6
 #: Buckets up to this size give pairs; of larger ones each member is compared with one representative, and what that leaves block by block, with at most about BLOCK members each.
 SMALL, BLOCK = 16, 400
+#: A node of so few large buckets is compared in its other bands alone: a pair at the threshold of 0.85 shares none of 27 with probability 1.3e-7, one of 0.8 with 2.2e-5.
+FEW_LARGE = 3
 #: Ids and labels, of up to 50 bytes, that may be broadcast, and bytes of the sets of representatives that may.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Rows of one word sequence from which its label is spread by a broadcast.
@@ -238,8 +240,10 @@ def large_bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> Dat
 
     Every member is verified against the least node of its bucket, its representative. Members that link to it are connected, so no pair of them is compared again.
     The others, the rest, are compared among themselves, and those of them that could link to a connected member with the connected ones, block against block.
-    So a bucket of n near copies costs n comparisons of whole sets, and one with a rest of m costs n * ceil(m / BLOCK) rows more.
+    Of the rest, texts that share a header but not more are in few large buckets, and whatever they link to shares small buckets with them; they are left to those, and only members of more than FEW_LARGE large buckets go on.
+    So a bucket of n near copies costs n comparisons of whole sets, one of n texts with a common header as many, and one with a rest of m in many large buckets costs m * ceil(m / BLOCK) rows more.
     """
+    crowded = materialize(members.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > FEW_LARGE).select("node", F.lit(True).alias("crowded")), "crowded")
     reps = members.groupBy("bucket").agg(F.min("node").alias("rep"))
     placed = materialize(members.join(_few(materialize(reps, "reps")), "bucket"), "placed")
     theirs = materialize(placed.select(F.col("rep").alias("node")).distinct().join(sets, "node").select(F.col("node").alias("rep"), F.col("shingles").alias("xv")), "rep_sets")
@@ -247,14 +251,14 @@ def large_bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     pairs = placed.filter("node <> rep").select("node", "rep").distinct().join(sets.select("node", F.col("shingles").alias("xu")), "node").join(F.broadcast(theirs) if light else theirs, "rep")
     judged = materialize(compared_with_one(pairs, percent), "judged")
     state = placed.join(judged, ["node", "rep"], "left").select("bucket", "band", "node", F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("near", F.lit(True)).alias("near"))
-    state = materialize(state, "state")
+    state = materialize(state.join(_few(crowded), "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))), "state")
     rest = state.filter("NOT linked")
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n_rest"), F.sum(F.col("near").cast("long")).alias("n_near"))
+    sizes = rest.groupBy("bucket").agg(F.count_if("crowded").alias("n_rest"), F.count_if("near").alias("n_near"))
     sizes = materialize(sizes.join(state.filter("linked").groupBy("bucket").agg(F.count("*").alias("n_linked")), "bucket"), "sizes")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
     sized = state.join(_few(sizes), "bucket")
-    apart = sized.filter("NOT linked AND n_rest > 1").select("bucket", "band", "node", own("n_rest").alias("own"), F.explode(F.sequence(F.lit(0), blocks("n_rest") - 1)).alias("other"))
+    apart = sized.filter("NOT linked AND crowded AND n_rest > 1").select("bucket", "band", "node", own("n_rest").alias("own"), F.explode(F.sequence(F.lit(0), blocks("n_rest") - 1)).alias("other"))
     among = apart.select("bucket", "band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     # rest against connected: blocks of the rest are numbered below 0
     left = sized.filter("NOT linked AND near").select("bucket", "band", "node", (-1 - own("n_near")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("n_linked") - 1)).alias("j"), F.lit(0).alias("side"))

@@ -63,6 +63,29 @@ def test_large_buckets_with_texts_beyond_the_representative(spark):
     assert [got[k] for k in range(len(rows))] == group
 
 
+def test_large_buckets_of_unlike_texts(spark, monkeypatch):
+    """Texts that share half their words, a header, and nothing else, with near copies among them: no block of them is compared, and no link is lost."""
+    rng = np.random.default_rng(23)
+    header = [f"h{j}" for j in range(60)]
+    rows = [(k, header + [f"t{k}w{j}" for j in range(60)]) for k in range(2500)]
+    for k in range(40):  # up to two changed words behind the header
+        t = list(rows[k * 50][1])
+        for _ in range(1 + k % 2):
+            t[60 + int(rng.integers(0, 60))] = f"new{k}"
+        rows.append((5000 + k, t))
+    handed = []
+    blocks = minhash.verified_blocks
+    monkeypatch.setattr(minhash, "verified_blocks", lambda members, percent: handed.append(members.count()) or blocks(members, percent))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect()}
+    assert handed and handed[0] < 500
+    sets = {k: shingles(" ".join(t), 3) for k, t in rows if k >= 5000 or k % 50 == 0 and k < 2000}
+    for k in range(40):
+        both = len(sets[k * 50] & sets[5000 + k])
+        linked = 100 * both >= 85 * (len(sets[k * 50]) + len(sets[5000 + k]) - both)
+        assert linked and got[5000 + k] == k * 50
+    assert sum(c != k for k, c in got.items()) == 40
+
+
 def test_posterior_bounds_hold():
     least = minhash.least_matches(0.85)
     assert all(a <= b for a, b in zip(least, least[1:]))
