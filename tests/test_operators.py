@@ -236,7 +236,7 @@ def test_more_readers_and_writers(spark, tmp_path):
     assert readers.manifest(spark, str(tmp_path / "man.tsv"), ["p", "t"]).collect() == [("x", "y")]
     d = spark.createDataFrame([(2, "b\tc", None), (1, "a", "z"), (3, "d", "e")], "i int, s string, t string")
     writers.aligned(d, "i", ["s", "t"], str(tmp_path / "al"))
-    read = lambda c: [line for p in sorted((tmp_path / "al" / c).glob("part-*")) for line in p.read_text().split("\n")[:-1]]
+    read = lambda c: [line for p in sorted((tmp_path / "al" / c).glob("_part=*/part-*")) for line in p.read_text().split("\n")[:-1]]
     assert read("s") == ["a", "b\\tc", "d"] and read("t") == ["z", "", "e"]
     writers.union_of_keys([d.select("i"), d.select("t")], str(tmp_path / "u"))
     assert spark.read.csv(str(tmp_path / "u"), header=True).columns == ["i", "t"]
