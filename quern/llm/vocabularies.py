@@ -15,7 +15,7 @@ import numpy as np
 from quern.llm.batches import held
 
 #: Chunks and their characters that a process remembers in each of two generations.
-MEMO_CHUNKS, MEMO_CHARS = 500_000, 8_000_000
+MEMO_CHUNKS, MEMO_CHARS = 350_000, 8_000_000
 #: The same for pieces, which are encoded faster.
 PIECE_CHUNKS, PIECE_CHARS = 150_000, 4_000_000
 ENCODE_BYTES = 1 << 18
