@@ -129,7 +129,7 @@ def test_prefix_beam(spark, tmp_path):
         assert all(math.isclose(r["fused"], want[r["text"]], abs_tol=1e-5) for r in mine)
         assert max(mine, key=lambda r: r["fused"])["rank"] == 1 and math.isclose(mine[0]["fused"], max(want.values()), abs_tol=1e-5)
     # candidates without the model, rescored by joins, give the same best text
-    plain = L.beam_candidates(df, "k", "f", names, width=400).withColumn("lm", F.lit(0.0)).drop("lm")
+    plain = L.beam_candidates(df, "k", "f", names, width=400)
     scored = plain.join(spark.createDataFrame(list(lm.items()), "text string, lm double"), "text")
     best = {r["k"]: r["text"] for r in L.rescore(scored.select("k", "text", "acoustic", "lm"), "k", [math.log(10) * 0.7], [0.3]).collect()}
     assert all(best[k] == next(r["text"] for r in got if r["k"] == k and r["rank"] == 1) for k in range(6))
