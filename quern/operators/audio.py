@@ -171,6 +171,11 @@ def trimmed(samples: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in samples], columns=["samples", "snr_db"]).astype({"snr_db": "float64"})
 
 
+def code(v: Column, scale: int) -> Column:
+    """The magnitude of a sample in whole parts of 1 / scale. The product has single precision, as samples have: one in double precision stays below whole numbers that are meant (0.29 * 100)."""
+    return F.floor(F.abs(v) * F.lit(scale).cast("float")).cast("int")
+
+
 def interleaved(coarse: Column, middle: Column, fine: Column, first: int = 0) -> Column:
     """Codes of three levels (one, two and four a step) as frames of seven, each place with its own range of ids from `first` on."""
     code = lambda level, k, place: F.get(level, k) + first + place * CODEBOOK

@@ -144,7 +144,7 @@ def met_best_rescoring(spark, sf_dir):
 
 @query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: (floor(abs(v) * 10))::INT % 3) AS ids FROM embeddings) SELECT vec_id, array_to_string(list_filter(list_transform(generate_series(1, len(ids)), lambda i: CASE WHEN i = 1 OR ids[i] <> ids[i - 1] THEN ids[i] ELSE 0 END), lambda v: v <> 0), ' ') AS labels FROM x")
 def met_ctc_collapse(spark, sf_dir):
-    ids = F.transform("embedding", lambda v: F.floor(F.abs(v) * 10).cast("int") % 3)
+    ids = F.transform("embedding", lambda v: A.code(v, 10) % 3)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(L.ctc_collapse(ids), lambda v: v.cast("string")), " ").alias("labels"))
 
 
@@ -188,7 +188,7 @@ def aud_resampled(spark, sf_dir):
 @query("SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda v: (floor(abs(v) * 100))::INT), ' ') AS coarse, array_to_string(list_transform(embedding[1:16], lambda v: (floor(abs(v) * 100))::INT), ' ') AS fine FROM embeddings")
 def aud_codes_round_trip(spark, sf_dir):
     """Codes of three levels, interleaved and taken apart again; four steps of codes are made from each vector."""
-    x = F.transform("embedding", lambda v: F.floor(F.abs(v) * 100).cast("int"))
+    x = F.transform("embedding", lambda v: A.code(v, 100))
     back = A.levels_of(A.interleaved(F.slice(x, 1, 4), F.slice(x, 1, 8), F.slice(x, 1, 16), 128266), 128266)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
     return table(spark, sf_dir, "embeddings").select("vec_id", text(back["coarse"]).alias("coarse"), text(back["fine"]).alias("fine"))
@@ -238,7 +238,7 @@ def aud_truncated(spark, sf_dir):
 @query("WITH x AS (SELECT vec_id, list_transform(embedding[1:63], lambda v: floor(abs(v) * 10)::INT) AS c FROM embeddings WHERE len(embedding) >= 63), f AS (SELECT vec_id, list_filter(generate_series(0, 8), lambda i: i = 0 OR c[7 * i + 1] <> c[7 * i - 6]) AS kept, c FROM x) SELECT vec_id, array_to_string(flatten(list_transform(kept, lambda i: c[7 * i + 1:7 * i + 7])), ' ') AS codes FROM f")
 def ded_frames(spark, sf_dir):
     """Frames of seven codes without those whose first code is that of the last one kept; nine frames are made from each vector."""
-    c = F.transform(F.slice("embedding", 1, 63), lambda v: F.floor(F.abs(v) * 10).cast("int"))
+    c = F.transform(F.slice("embedding", 1, 63), lambda v: A.code(v, 10))
     return table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 63).select("vec_id", F.array_join(F.transform(A.without_repeats(c), lambda v: v.cast("string")), " ").alias("codes"))
 
 
