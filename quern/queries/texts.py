@@ -8,6 +8,7 @@ from quern.functions import predicates as P
 from quern.functions import sentences as S
 from quern.functions import text as T
 from quern.operators import ngram_models as L
+from quern.operators.audio import code
 from quern.queries.registry import PAIRS, pairs, query, table, words_sql
 
 _NAMES = {"en": "English", "fr": "French", "de": "German"}
@@ -88,7 +89,7 @@ def spl_numbered_lines(spark, sf_dir):
 @query("SELECT vec_id, array_to_string(list_transform(embedding[1:8], lambda v: (floor(abs(v) * 1000))::INT), ' ') AS ids, (floor(abs(embedding[9]) * 1000))::INT::VARCHAR AS other FROM embeddings")
 def spl_codec_ids(spark, sf_dir):
     """Numbers of each vector written as tags of two families among words, and read again."""
-    number = lambda v: F.floor(F.abs(v) * 1000).cast("int").cast("string")
+    number = lambda v: code(v, 1000).cast("string")
     tag = lambda name, v: F.concat(F.lit(f"said <|{name}_"), number(v), F.lit("|>"))
     text = F.concat(F.array_join(F.transform(F.slice("embedding", 1, 8), lambda v: tag("s", v)), ""), tag("bicodec_global", F.get("embedding", F.lit(8))))
     join = lambda name: F.array_join(F.transform(P.codec_ids(text, name), lambda v: v.cast("string")), " ")

@@ -11,7 +11,7 @@ from quern.queries import ORACLE_SQL, QUERIES
 VALUES = [0.29, 0.58, 0.57, 0.7, 0.9, 0.069, 0.138, 0.276]
 
 
-@pytest.mark.parametrize("name", ["aud_codes_round_trip", "met_ctc_collapse", "ded_frames"])
+@pytest.mark.parametrize("name", ["aud_codes_round_trip", "met_ctc_collapse", "ded_frames", "spl_codec_ids"])
 def test_codes(spark, tmp_path, name):
     rows = [(k, [VALUES[(k + i) % len(VALUES)] * (-1) ** i for i in range(64)]) for k in range(20)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
