@@ -231,5 +231,6 @@ def slash_alternatives(x: Column) -> Column:
 
 def incomplete_ending(x: Column, words: tuple[str, ...]) -> Column:
     """The last word of a sentence if it is one that can't end one, else null."""
-    last = F.regexp_extract(F.lower(x), "([a-zà-öø-ÿœ']+)[^a-zà-öø-ÿœ']*$", 1)
+    # read from the end, where the match is anchored: from the start every letter of the text would be tried
+    last = F.reverse(F.regexp_extract(F.reverse(F.lower(x)), "^[^a-zà-öø-ÿœ']*+([a-zà-öø-ÿœ']++)", 1))
     return F.when(last.isin(*words), last)
