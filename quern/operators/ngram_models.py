@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from quern.operators.ordering import few
 from quern.scratch import materialize
 
+#: Candidates that a task of a beam search holds before it gives them out.
+MOST_CANDIDATES = 20_000
 START, END, UNKNOWN = "<s>", "</s>", "<unk>"
 
 
@@ -180,11 +184,12 @@ def _log_sum(a: float, b: float) -> float:
     return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
-def beam_candidates(df: DataFrame, key: str, frames: str, names: list[str], width: int = 8, model: DataFrame | None = None, alpha: float = 0.5, beta: float = 0.0, blank: int = 0, most_entries: int = 2_000_000) -> DataFrame:
+def beam_candidates(df: DataFrame, key: str, frames: str, names: list[str], width: int = 8, model: DataFrame | None = None, alpha: float = 0.5, beta: float = 0.0, blank: int = 0, most_entries: int = 2_000_000, best: int | None = None) -> DataFrame:
     """(key, rank, text, acoustic, fused): up to `width` label sequences of each row's frames (an array of arrays of scores, one for each name), the best first. text joins the labels' names by spaces.
 
     With a model (n, gram, logprob, backoff) whose words are names, sequences compete by acoustic + ln(10) * alpha * model + beta * labels; the end is scored last. The model goes to every task, so one of more than
-    `most_entries` entries is refused: take candidates without it and use backoff_scores and rescore, which join. Rows of null or no frames have no candidate.
+    `most_entries` entries is refused: take candidates without it and use backoff_scores and rescore, which join. Rows of null or no frames have no candidate. With `best`, only so many of a row's candidates are returned.
+    Tasks give out about MOST_CANDIDATES candidates at a time, however many rows a batch has.
     """
     entries = None
     if model is not None:
@@ -193,8 +198,7 @@ def beam_candidates(df: DataFrame, key: str, frames: str, names: list[str], widt
             raise ValueError(f"a model of {n} entries is too large for every task; rescore candidates instead")
         entries = df.sparkSession.sparkContext.broadcast({tuple(r["gram"].split(" ")): (r["logprob"], r["backoff"]) for r in model.select("gram", "logprob", "backoff").toLocalIterator()})
 
-    @F.pandas_udf("array<struct<rank int, text string, acoustic double, fused double>>")
-    def candidates(rows: pd.Series) -> pd.Series:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = CharacterModel(entries.value) if entries is not None else None
 
         @cache
@@ -204,8 +208,8 @@ def beam_candidates(df: DataFrame, key: str, frames: str, names: list[str], widt
             said = tuple(names[x] for x in labels)
             return gained(labels[:-1]) + math.log(10) * alpha * lm.next(said[:-1], said[-1]) + beta
 
-        def one(row) -> list[dict]:
-            if row is None or not len(row):
+        def one(row) -> list[tuple[str, float, float]]:
+            if not row:
                 return []
             found = prefix_beam(np.stack([np.asarray(f, dtype=float) for f in row]), width, blank, gained if lm else None)
             if lm:
@@ -214,11 +218,29 @@ def beam_candidates(df: DataFrame, key: str, frames: str, names: list[str], widt
             else:
                 found = [(labels, a, a) for labels, a in found]
             gained.cache_clear()
-            return [{"rank": k + 1, "text": " ".join(names[x] for x in labels), "acoustic": a, "fused": f} for k, (labels, a, f) in enumerate(found)]
-
-        return pd.Series([one(r) for r in rows])
-
-    return df.select(key, F.inline(candidates(F.col(frames))))
+            return [(" ".join(names[x] for x in labels), a, f) for labels, a, f in found[:best]]
+
+        def given(keys: pa.Array, at: list[int], rows: list[list[tuple[str, float, float]]]) -> pa.RecordBatch:
+            times = [len(r) for r in rows]
+            text, acoustic, fused = zip(*chain.from_iterable(rows))
+            columns = [keys.take(pa.array(np.repeat(at, times))), pa.array([k for n in times for k in range(1, n + 1)], pa.int32()), pa.array(text, pa.string()), pa.array(acoustic, pa.float64()), pa.array(fused, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, [key, "rank", "text", "acoustic", "fused"])
+
+        for batch in batches:
+            keys, values, at, rows, held = batch.column(0), batch.column(1), [], [], 0
+            for i in range(batch.num_rows):
+                if found := one(values[i].as_py()):
+                    at.append(i)
+                    rows.append(found)
+                    held += len(found)
+                if held >= MOST_CANDIDATES:
+                    yield given(keys, at, rows)
+                    at, rows, held = [], [], 0
+            if rows:
+                yield given(keys, at, rows)
+
+    t = df.select(F.col(key), F.col(frames).alias("_frames"))
+    return t.mapInArrow(candidates, StructType([t.schema[0], *[StructField(n, k) for n, k in (("rank", IntegerType()), ("text", StringType()), ("acoustic", DoubleType()), ("fused", DoubleType()))]]))
 
 
 def repeated_runs(words: Column, least: int = 3) -> Column:

@@ -159,8 +159,8 @@ _FRAMES = "list_transform(generate_series(0, 4), lambda t: list_transform(embedd
 def met_ctc_beam(spark, sf_dir):
     """The three best label sequences of five frames of a blank and three labels; the beam holds all of them, so that probabilities are whole. SQL sums over all paths."""
     f = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda t: F.transform(F.slice("embedding", 4 * t + 1, 4), lambda v: 8 * v.cast("double")))
-    b = L.beam_candidates(table(spark, sf_dir, "embeddings").select("vec_id", f.alias("f")), "vec_id", "f", ["_", "a", "b", "c"], width=400)
-    return b.filter("rank <= 3").select("vec_id", "rank", "text", F.round("acoustic", 6).alias("acoustic"))
+    b = L.beam_candidates(table(spark, sf_dir, "embeddings").select("vec_id", f.alias("f")), "vec_id", "f", ["_", "a", "b", "c"], width=400, best=3)
+    return b.select("vec_id", "rank", "text", F.round("acoustic", 6).alias("acoustic"))
 
 
 @query("WITH w AS (SELECT doc_id, " + words_sql("text") + " AS w FROM documents), f AS (SELECT doc_id, w, list_filter(generate_series(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])[1] AS i FROM w) SELECT doc_id, w[i] AS word, (i - 1)::BIGINT AS start FROM f WHERE i IS NOT NULL")
