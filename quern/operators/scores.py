@@ -41,7 +41,7 @@ def words_13a(text: str | None) -> list[str]:
 
 
 def _counts(items, n: int) -> Counter:
-    return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
+    return Counter(zip(*(items[i:] for i in range(n))))
 
 
 def _apart(text: str) -> list[str]:
@@ -65,23 +65,32 @@ def bleu_counts(hyp: pd.Series, refs: pd.Series) -> pd.Series:
         h, rs = words_13a(h), [words_13a(r) for r in (rs if rs is not None and len(rs) else [""])]
         out = [len(h), min((abs(len(r) - len(h)), len(r)) for r in rs)[1]]
         for n in range(1, 5):
-            most: Counter = Counter()
-            for r in rs:
+            most = _counts(rs[0], n)
+            for r in rs[1:]:
                 most |= _counts(r, n)
-            mine = _counts(h, n)
-            out += [sum((mine & most).values()), sum(mine.values())]
+            out += [_shared(_counts(h, n), most), max(0, len(h) - n + 1)]
         return out
 
     return pd.Series([one(h, r) for h, r in zip(hyp, refs)])
 
 
-def _chrf_counts(h: str, r: str) -> list[int]:
-    out: list[int] = []
-    for a, b, order in (("".join(h.split()), "".join(r.split()), CHAR_ORDER), (_apart(h), _apart(r), WORD_ORDER)):
-        for n in range(1, order + 1):
-            x, y = _counts(a, n), _counts(b, n)
-            out += [sum(x.values()), sum(y.values()), sum((x & y).values())]
-    return out
+def _chrf_grams(text: str) -> list[tuple[int, Counter]]:
+    """Number and counts of grams of 1 to 6 characters, then of 1 and 2 words."""
+    s, w = "".join(text.split()), _apart(text)
+    chars = [Counter(s), *(Counter([s[i : i + n] for i in range(len(s) - n + 1)]) for n in range(2, CHAR_ORDER + 1))]
+    words = [Counter(w), *(Counter(zip(*(w[i:] for i in range(n)))) for n in range(2, WORD_ORDER + 1))]
+    return [(max(0, len(x) - n), c) for x, cs in ((s, chars), (w, words)) for n, c in enumerate(cs)]
+
+
+def _shared(x: Counter, y: Counter) -> int:
+    """Items of both, each as often as the rarer side has it."""
+    if len(y) < len(x):
+        x, y = y, x
+    return sum([k if k < (m := y[g]) else m for g, k in x.items() if g in y])
+
+
+def _chrf_counts(h: list[tuple[int, Counter]], r: list[tuple[int, Counter]]) -> list[int]:
+    return [v for (a, x), (b, y) in zip(h, r) for v in (a, b, _shared(x, y))]
 
 
 def _chrf_of(counts: list[int], words: int, beta: float = 2.0) -> float:
@@ -90,15 +99,16 @@ def _chrf_of(counts: list[int], words: int, beta: float = 2.0) -> float:
     return (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
 
 
-@F.pandas_udf(_COUNTS)
-def chrf_counts(hyp: pd.Series, refs: pd.Series, words: pd.Series) -> pd.Series:
-    """Candidates, references and matches of 1 to 6 characters (white space left out), then of 1 and 2 words, against that reference which gives the highest chrF with so many orders of words, the first of equal ones."""
+@F.pandas_udf(StructType([StructField("c", _COUNTS), StructField("p", _COUNTS)]))
+def chrf_counts(hyp: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    """Candidates, references and matches of 1 to 6 characters (white space left out), then of 1 and 2 words, against that reference which gives the highest chrF (c) and chrF++ (p), the first of equal ones. Grams of a text are counted once."""
 
-    def one(h, rs, k):
-        each = [_chrf_counts(h or "", r or "") for r in (rs if rs is not None and len(rs) else [""])]
-        return max(each, key=lambda c: _chrf_of(c, k))
+    def one(h, rs):
+        mine = _chrf_grams(h or "")
+        each = [_chrf_counts(mine, _chrf_grams(r or "")) for r in (rs if rs is not None and len(rs) else [""])]
+        return (each[0], each[0]) if len(each) == 1 else tuple(max(each, key=lambda c: _chrf_of(c, k)) for k in (0, WORD_ORDER))
 
-    return pd.Series([one(*x) for x in zip(hyp, refs, words)])
+    return pd.DataFrame([one(*x) for x in zip(hyp, refs)], columns=["c", "p"])
 
 
 def bleu_score(c: Column, effective: bool = False) -> Column:
@@ -127,7 +137,7 @@ def chrf_score(c: Column, words: int = 0, beta: float = 2.0) -> Column:
 
 def sentence_scores(pairs: DataFrame, hyp: str, ref: str) -> DataFrame:
     """pairs with sentence_bleu, sentence_chrf, sentence_chrfpp; null where the reference is null."""
-    out = pairs.withColumn("_b", bleu_counts(F.col(hyp), F.array(ref))).withColumn("_c", chrf_counts(F.col(hyp), F.array(ref), F.lit(0)))
+    out = pairs.withColumn("_b", bleu_counts(F.col(hyp), F.array(ref))).withColumn("_c", chrf_counts(F.col(hyp), F.array(ref))["c"])
     known = lambda x: F.when(F.col(ref).isNotNull(), F.round(x, 6))
     b, c = F.col("_b"), F.col("_c")
     return out.withColumns({"sentence_bleu": known(bleu_score(b, True)), "sentence_chrf": known(chrf_score(c)), "sentence_chrfpp": known(chrf_score(c, WORD_ORDER))}).drop("_b", "_c")
@@ -135,7 +145,7 @@ def sentence_scores(pairs: DataFrame, hyp: str, ref: str) -> DataFrame:
 
 def corpus_scores(pairs: DataFrame, hyp: str, refs: str, keys: list[str]) -> DataFrame:
     """(keys, n, bleu, chrf, chrfpp). refs is an array of references: BLEU's n-grams may match any, chrF takes for each row the reference of the highest score; corpus scores come from summed counts."""
-    d = pairs.select(*keys, bleu_counts(F.col(hyp), F.col(refs)).alias("b"), chrf_counts(F.col(hyp), F.col(refs), F.lit(0)).alias("c"), chrf_counts(F.col(hyp), F.col(refs), F.lit(WORD_ORDER)).alias("p"))
+    d = pairs.select(*keys, bleu_counts(F.col(hyp), F.col(refs)).alias("b"), chrf_counts(F.col(hyp), F.col(refs)).alias("f")).select(*keys, "b", "f.c", "f.p")
     sums = lambda name, k: F.array(*[F.sum(F.col(name)[i]) for i in range(k)]).alias(name)
     s = d.groupBy(*keys).agg(F.count("*").alias("n"), sums("b", 10), sums("c", 3 * CHAR_ORDER), sums("p", 3 * (CHAR_ORDER + WORD_ORDER)))
     scores = {"bleu": bleu_score(F.col("b")), "chrf": chrf_score(F.col("c")), "chrfpp": chrf_score(F.col("p"), WORD_ORDER)}
