@@ -34,3 +34,10 @@ def test_counts(spark, monkeypatch):
     for (h, rs), c, p in zip(rows, got["c"], got["p"]):
         each = [plain(h, r) for r in rs]
         assert c == max(each, key=lambda x: K._chrf_of(x, 0)) and p == max(each, key=lambda x: K._chrf_of(x, 2))
+
+
+def test_one_reference_is_the_best(spark):
+    """With one reference chrF and chrF++ have the same counts, from one call."""
+    d = spark.createDataFrame([(h, [r]) for h in TEXTS for r in TEXTS], "h string, r array<string>")
+    for x in d.select("h", "r", K.chrf_counts(F.col("h"), F.col("r")).alias("f")).collect():
+        assert x.f.c == x.f.p == plain(x.h, x.r[0])
