@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quern.operators.ordering import grouped_few, running_sums, same
+from quern.scratch import materialize
 
 
 def _spread(n: Column, first: Column, second: Column) -> Column:
@@ -25,28 +26,32 @@ def krippendorff(ratings: DataFrame, unit: str, value: str, level: str = "nomina
     keys = list(keys or [])
     if level not in ("nominal", "ordinal", "interval"):
         raise ValueError(f"no level {level}")
-    x = ratings.select(*keys, F.col(unit).alias("_u"), F.col(value).alias("_v")).filter("_v IS NOT NULL").groupBy(*keys, "_u", "_v").agg(F.count("*").alias("_k"))
-    sizes = x.groupBy(*keys, "_u").agg(F.sum("_k").alias("_m")).filter("_m > 1").select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate([*keys, "_u"])], "_m")
-    x = x.join(sizes, same(x, sizes, [*keys, "_u"], [f"_g{k}" for k in range(len(keys) + 1)])).select(*keys, "_u", "_v", "_k", "_m")
-    if level == "ordinal":
-        values = x.groupBy(*keys, "_v").agg(F.sum("_k").alias("_c"))
-        ranked = running_sums(values, keys, ["_v"], "_c", "_upto").select(*[F.col(c).alias(f"_r{k}") for k, c in enumerate([*keys, "_v"])], (F.col("_upto") - F.col("_c") / 2).alias("_x"))
-        ranked = grouped_few(ranked)
-        x = x.join(ranked, same(x, ranked, [*keys, "_v"], [f"_r{k}" for k in range(len(keys) + 1)]))
-    else:
-        x = x.withColumn("_x", F.col("_v").cast("double") if level == "interval" else F.lit(0.0))
-    k = F.col("_k")
-    if level == "nominal":
-        of_unit, of_all = F.sum(k * (F.col("_m") - k)), None
-    else:
-        of_unit = _spread(F.first("_m"), F.sum(k * F.col("_x")), F.sum(k * F.col("_x") * F.col("_x")))
-    units = x.groupBy(*keys, "_u").agg((of_unit / (F.first("_m") - 1)).alias("_d"), F.first("_m").alias("_m"))
-    observed = units.groupBy(*keys).agg(F.sum("_d").alias("_o"), F.sum("_m").alias("n"))
+    base = ratings.select(*keys, F.col(unit).alias("_u"), F.col(value).alias("_v")).filter("_v IS NOT NULL")
+    k, m = F.col("_k"), F.col("_m")
+    if level != "interval":
+        # values of units of one rating are told apart, as they count nowhere
+        x = base.groupBy(*keys, "_u", "_v").agg(F.count("*").alias("_k"))
+        units = x.groupBy(*keys, "_u").agg(F.sum("_k").alias("_m"), F.sum(k * k).alias("_kk"), F.min("_v").alias("_v"))
+        units = units.withColumn("_alone", F.when(m == 1, F.col("_v")))
+        sums = materialize(units.groupBy(*keys, "_alone").agg(F.sum(F.when(m > 1, (m * m - F.col("_kk")) / (m - 1))).alias("_o"), F.sum(F.when(m > 1, m)).alias("n"), F.count_if(m == 1).alias("_k")), "units")
+        alone = sums.filter("_alone IS NOT NULL").select(*keys, F.col("_alone").alias("_v"), (-k).alias("_k"))
+        values = base.groupBy(*keys, "_v").agg(F.count("*").alias("_k")).unionByName(alone).groupBy(*keys, "_v").agg(F.sum("_k").alias("_c")).filter("_c > 0")
     if level == "nominal":
-        values = x.groupBy(*keys, "_v").agg(F.sum("_k").alias("_c"))
+        observed = sums.filter("_alone IS NULL AND n IS NOT NULL").select(*keys, "_o", "n")
         of_all = values.groupBy(*keys).agg((F.sum("_c") * F.sum("_c") - F.sum(F.col("_c") * F.col("_c"))).cast("double").alias("_e"))
     else:
-        of_all = x.groupBy(*keys).agg(_spread(F.sum("_k"), F.sum(k * F.col("_x")), F.sum(k * F.col("_x") * F.col("_x"))).alias("_e"))
+        if level == "ordinal":
+            ranked = running_sums(values, keys, ["_v"], "_c", "_upto").select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate([*keys, "_v"])], (F.col("_upto") - F.col("_c") / 2).alias("_x"))
+            ranked = grouped_few(ranked)
+            # a value that only units of one rating have has no rank, and its units go below
+            base = base.join(ranked, same(base, ranked, [*keys, "_v"], [f"_r{i}" for i in range(len(keys) + 1)]))
+        else:
+            base = base.withColumn("_x", F.col("_v").cast("double"))
+        moments = [F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_ss")]
+        units = base.groupBy(*keys, "_u").agg(F.count("*").alias("_m"), *moments).filter("_m > 1")
+        spread = _spread(m, F.col("_s"), F.col("_ss")) / (m - 1)
+        sums = materialize(units.groupBy(*keys).agg(F.sum(spread).alias("_o"), F.sum("_m").alias("n"), _spread(F.sum("_m"), F.sum("_s"), F.sum("_ss")).alias("_e")), "units")
+        observed, of_all = sums.select(*keys, "_o", "n"), sums.select(*keys, "_e")
     of_all = of_all.select(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(keys)], "_e")
     j = observed.join(of_all, same(observed, of_all, keys, [f"_e{k}" for k in range(len(keys))]))
     return j.select(*keys, "n", (1 - F.try_divide(F.col("_o") * (F.col("n") - 1), F.col("_e"))).alias("alpha"))
