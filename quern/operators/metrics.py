@@ -74,9 +74,10 @@ def bootstrap_wins(scores: DataFrame, key: str, a: str, b: str, resamples: int,
 
     Draws are hashed, so a lost task draws the same; sums are combined before the exchange.
     """
+    from quern.operators.ordering import spread
     from quern.operators.sampling import draw_number
 
-    drawn = scores.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    drawn = spread(scores.select(key, a, b), resamples).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     weight = poisson_weight(draw_number(seed, F.concat_ws("|", "resample", F.col(key).cast("string"))))
     means = drawn.groupBy("resample").agg(F.sum(weight * (F.col(b) - F.col(a))).alias("gain"))
     return means.agg((1 - F.avg((F.col("gain") > 0).cast("double"))).alias("p_value"), F.count("*").alias("resamples"))

@@ -41,6 +41,11 @@ def parts_of(df: DataFrame, rows: int = ROWS_A_RANGE) -> int:
     return max(1, -(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, n // 1000))
 
 
+def spread(df: DataFrame, times: int, rows: int = ROWS_A_RANGE) -> DataFrame:
+    """df dealt anew over tasks that get about `rows` rows each once every row stands `times` times: a small file is one task, however many rows it is made into."""
+    return df.repartition(max(1, min(n := df.count(), max(-(-n * times // rows), df.sparkSession.sparkContext.defaultParallelism))))
+
+
 def in_ranges(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
     """df as a written table with _part, the number of a row's range in `order`, and _at, its place from 0 within. Ranges are of about equal counts, whatever the values are; only rows equal in all of `order` must share one."""
     parted = df.repartitionByRange(parts or parts_of(df), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())

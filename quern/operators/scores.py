@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from quern.operators.ordering import running_sums
+from quern.operators.ordering import running_sums, spread
 
 CHAR_ORDER, WORD_ORDER = 6, 2
 _COUNTS = ArrayType(LongType())
@@ -350,6 +350,6 @@ def bootstrap_interval(values: DataFrame, key: str, value: str, resamples: int,
     from quern.operators.sampling import draw_number
 
     weight = poisson_weight(draw_number(seed, F.concat_ws("|", "resample", F.col(key).cast("string"))))
-    drawn = values.filter(F.col(value).isNotNull()).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    drawn = spread(values.filter(F.col(value).isNotNull()).select(key, value), resamples).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     means = drawn.groupBy("resample").agg((F.sum(weight * F.col(value)) / F.nullif(F.sum(weight), F.lit(0))).alias("m"))
     return means.agg(F.percentile("m", (1 - level) / 2).alias("lo"), F.percentile("m", (1 + level) / 2).alias("hi"))
