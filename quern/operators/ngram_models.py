@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from quern.operators.ordering import few
+from quern.operators.ordering import few, spread_parts
 from quern.scratch import materialize
 
 #: Candidates that a task of a beam search holds before it gives them out.
@@ -108,7 +108,9 @@ def rescore(candidates: DataFrame, key: str, alphas: list[float], betas: list[fl
     """Of candidates (key, text, acoustic, lm), for each point of the grid the best text of each key by acoustic + alpha * lm + beta * words; of equal ones the first in order. Returns (alpha, beta, key, text)."""
     grid = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a in alphas for b in betas])
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != ""))
-    c = candidates.withColumn("g", F.explode(grid)).withColumn("total", F.col("acoustic") + F.col("g.alpha") * F.col("lm") + F.col("g.beta") * words)
+    # a key's candidates are brought together before they are multiplied, in tasks of about as many rows whatever the table's size
+    parts = spread_parts(candidates, len(alphas) * len(betas))
+    c = candidates.repartition(parts, key).withColumn("g", F.explode(grid)).withColumn("total", F.col("acoustic") + F.col("g.alpha") * F.col("lm") + F.col("g.beta") * words)
     best = c.groupBy("g.alpha", "g.beta", key).agg(F.min_by("text", F.struct((-F.col("total")).alias("t"), F.col("text"))).alias("text"))
     return best.select("alpha", "beta", key, "text")
 

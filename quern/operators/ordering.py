@@ -41,9 +41,15 @@ def parts_of(df: DataFrame, rows: int = ROWS_A_RANGE) -> int:
     return max(1, -(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, n // 1000))
 
 
+def spread_parts(df: DataFrame, times: int, rows: int = ROWS_A_RANGE) -> int:
+    """Tasks of about `rows` rows each once every row of df stands `times` times."""
+    n = df.count()
+    return max(1, min(n, max(-(-n * times // rows), df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def spread(df: DataFrame, times: int, rows: int = ROWS_A_RANGE) -> DataFrame:
     """df dealt anew over tasks that get about `rows` rows each once every row stands `times` times: a small file is one task, however many rows it is made into."""
-    return df.repartition(max(1, min(n := df.count(), max(-(-n * times // rows), df.sparkSession.sparkContext.defaultParallelism))))
+    return df.repartition(spread_parts(df, times, rows))
 
 
 def in_ranges(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
