@@ -305,15 +305,18 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     rows = materialize(map_texts(texts, "text", make_keys, f"id {kind}, node binary, n_shingles long, bands array<long>"), "keys")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     banded = nodes.select("node", "rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(banded.join(shared, "bucket"), "members")
+    shared = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    members = materialize(banded.join(_few(shared), "bucket"), "members")
 
     wanted = materialize(members.select("node", "rep").distinct(), "wanted")
     ids = wanted.select(F.col("rep").alias("id")).distinct()
-    few = wanted.count() <= BROADCAST_IDS
+    n_wanted = wanted.count()
+    few = n_wanted <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ids) if few else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
     sets = map_texts(chosen.select("text"), "text", make_sets, "node binary, sig binary, shingles binary")
-    sets = materialize(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = materialize(sets.join(wanted.select("node"), "node", "left_semi"), "sets")
+    if sets.count() > n_wanted:  # only repeated ids bring a node twice; else no set is sent anywhere to find that out
+        sets = materialize(sets.dropDuplicates(["node"]), "distinct_sets")
 
     small = members.filter(F.col("n") <= SMALL).select("bucket", "node")
     pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").filter("u < v").select("u", "v").distinct()
