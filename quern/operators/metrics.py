@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern.functions.text import for_word_errors, strip, strip_markers, tokens
+from quern.operators.ordering import few
+from quern.scratch import materialize
 
 
 def character_edits(ref: Column, hyp: Column) -> Column:
@@ -45,11 +50,49 @@ def grams(items: Column, n: int) -> Column:
     return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
 
 
+#: Rows of a batch whose words are Python objects at a time.
+SLICE = 200
+_CLIPPED = StructType([StructField(c, LongType()) for c in ("match", "hyp_n", "ref_n")])
+
+
+def _row_grams(items: list[str | None] | None, n: int) -> Counter:
+    """As grams() makes them: a null item leaves nothing."""
+    items = items or []
+    if n == 1:
+        return Counter("" if x is None else x for x in items)
+    return Counter("\u0001".join(x for x in items[i : i + n] if x is not None) for i in range(len(items) - n + 1))
+
+
+def _clipped_row(n: int) -> Callable[[Column, Column], Column]:
+    """(match, hyp_n, ref_n) of a row's own arrays of words: no gram crosses an exchange."""
+
+    @F.arrow_udf(_CLIPPED)
+    def run(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(refs), SLICE):
+            for r, h in zip(refs.slice(at, SLICE).to_pylist(), hyps.slice(at, SLICE).to_pylist()):
+                x, y = _row_grams(r, n), _row_grams(h, n)
+                out.append((sum(min(k, y[g]) for g, k in x.items() if g in y), y.total(), x.total()))
+        return pa.StructArray.from_arrays([pa.array([row[k] for row in out], pa.int64()) for k in range(3)], _CLIPPED.names)
+
+    return run
+
+
 def clipped(pairs: DataFrame, key: str, ref: Column, hyp: Column, n: int) -> DataFrame:
-    """(key, match, hyp_n, ref_n) over n-grams: shared ones count as often as the rarer side has them."""
-    side = lambda items, a, b: pairs.select(key, F.explode(grams(items, n)).alias("g"), F.lit(a).alias("r"), F.lit(b).alias("h"))
+    """(key, match, hyp_n, ref_n) over n-grams: shared ones count as often as the rarer side has them. Keys without grams have no row.
+
+    A key that stands once is counted within its row; grams of repeated keys are counted over all rows of the key.
+    """
+    repeated = materialize(pairs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"), "repeated")
+    is_in = lambda how: pairs.join(few(repeated), pairs[key].eqNullSafe(repeated["_key"]), how)
+    names = _CLIPPED.names
+    once = is_in("left_anti").select(key, _clipped_row(n)(ref, hyp).alias("_c")).select(key, *[F.col(f"_c.{c}") for c in names]).filter("hyp_n + ref_n > 0")
+    if repeated.isEmpty():
+        return once
+    several = is_in("left_semi")
+    side = lambda items, a, b: several.select(key, F.explode(grams(items, n)).alias("g"), F.lit(a).alias("r"), F.lit(b).alias("h"))
     both = side(ref, 1, 0).unionByName(side(hyp, 0, 1)).groupBy(key, "g").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    return both.groupBy(key).agg(F.sum(F.least("r", "h")).alias("match"), F.sum("h").alias("hyp_n"), F.sum("r").alias("ref_n"))
+    return once.unionByName(both.groupBy(key).agg(F.sum(F.least("r", "h")).alias("match"), F.sum("h").alias("hyp_n"), F.sum("r").alias("ref_n")))
 
 
 def effect_sizes(scores: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
