@@ -15,6 +15,8 @@ from quern.llm.vocabularies import vocabulary_path, word_bpe_ids, word_chunks
 from quern.scratch import materialize
 
 CAPACITY, END_ID = 4096, 1
+#: Bytes of text that are chunks at a time: a chunk is an object of some 60 bytes.
+SLICE_BYTES = 1 << 19
 #: Pieces of one length that a task ranks at most, about.
 RANKED_TOGETHER = 100_000
 #: Ranks that share a key of the join with the plan: a piece meets the plan's rows of its own ranks and no others.
@@ -58,7 +60,7 @@ def tokenized_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
 
     cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = cols.schema["id"].dataType.simpleString()
-    out = map_texts(cols, "text", make, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    out = map_texts(cols, "text", make, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, SLICE_BYTES)
     return out.withColumnRenamed("id", id_col)
 
 
