@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.batches import held, map_texts
@@ -188,7 +188,7 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _in_block(sig: np.ndarray, side: np.ndarray, band: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, others, matches): pairs of one pair of blocks that no batch rules out and that share this band first."""
+    """(i, others, matches): pairs of one pair of blocks that no batch rules out and that share this band first; in a band below 0, of buckets merged, all that no batch rules out."""
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
     for i in left.tolist():
@@ -198,7 +198,7 @@ def _in_block(sig: np.ndarray, side: np.ndarray, band: int, percent: int) -> Ite
         alive = others[survivors(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], percent / 100)]
         if len(alive):
             same = sig[alive] == sig[i]
-            first = same.reshape(len(alive), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            first = same.reshape(len(alive), BANDS, ROWS).all(axis=2).argmax(axis=1) == band if band >= 0 else np.ones(len(alive), dtype=bool)
             yield i, alive[first], same.sum(axis=1)[first]
 
 
@@ -278,13 +278,48 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def large_bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (bucket, band, node) of large buckets, sets (node, sig, half, shingles) to links (u, v), enough to connect what is connected.
+def _blocks(column: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(column) / BLOCK)).cast("int")
+
+
+def _sizes(state: DataFrame) -> DataFrame:
+    """(bucket, n_rest, n_near, n_linked) of the buckets with a rest, and the rows that their blocks take."""
+    rest = state.filter("NOT linked").groupBy("bucket").agg(F.count_if("crowded").alias("n_rest"), F.count_if("near").alias("n_near"))
+    sizes = rest.join(state.filter("linked").groupBy("bucket").agg(F.count("*").alias("n_linked")), "bucket")
+    among = F.when(F.col("n_rest") > 1, F.col("n_rest") * _blocks("n_rest")).otherwise(0)
+    across = F.when(F.col("n_near") > 0, F.col("n_near") * _blocks("n_linked") + F.col("n_linked") * _blocks("n_near")).otherwise(0)
+    return sizes.withColumn("n_rows", among + across)
+
+
+def merged_buckets(state: DataFrame, roots: DataFrame) -> DataFrame:
+    """state (bucket, band, node, linked, near, crowded) with buckets in whose members one component (roots: node, root) leads made one, of band -1, where that takes fewer rows of blocks.
+
+    Copies of one text share many bands, so their buckets hold the same texts up to BANDS times, and links of any bucket have connected most of them.
+    In a merged bucket each text stands once, members of the leading component are the linked ones, and all others that aren't left to their small buckets are compared with them and among themselves.
+    """
+    rooted = materialize(state.join(_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    leading = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.min(F.struct((-F.col("n")).alias("n"), "root"))["root"].alias("lead"))
+    leading = materialize(leading, "leading")
+    keys = leading.groupBy("lead").agg(F.min("bucket").alias("key"))
+    leading = materialize(leading.join(_few(materialize(keys, "keys_of_leads")), "lead"), "leads")
+    whole = rooted.join(_few(leading), "bucket").groupBy(F.col("key").alias("bucket"), "node").agg(F.first(F.col("root") == F.col("lead")).alias("linked"), F.max(F.col("near") | F.col("crowded")).alias("near"), F.first("crowded").alias("crowded"))
+    whole = materialize(whole, "merged")
+    apart = leading.join(_few(materialize(_sizes(state).select("bucket", "n_rows"), "rows_apart")), "bucket").groupBy("key").agg(F.sum("n_rows").alias("n_apart"))
+    once = materialize(_sizes(whole).select(F.col("bucket").alias("key"), F.col("n_rows").alias("n_once")), "rows_once")
+    better = materialize(apart.join(_few(once), "key", "left").filter(F.coalesce("n_once", F.lit(0)) < F.col("n_apart")).select("key"), "better")
+    merged = leading.join(_few(better), "key", "left_semi").select("bucket")
+    kept = state.join(_few(materialize(merged, "merged_away")), "bucket", "left_anti")
+    return kept.unionByName(whole.join(_few(better.select(F.col("key").alias("bucket"))), "bucket", "left_semi").withColumn("band", F.lit(-1)))
+
+
+def large_bucket_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """members (bucket, band, node) of large buckets, sets (node, sig, half, shingles) and the links (u, v) of small buckets to links (u, v), which with those connect what is connected.
 
     Every member is verified against the least node of its bucket, its representative. Members that link to it are connected, so no pair of them is compared again.
     The others, the rest, are compared among themselves, and those of them that could link to a connected member with the connected ones, block against block.
     Of the rest, texts that share a header but not more are in few large buckets, and whatever they link to shares small buckets with them; they are left to those, and only members of more than FEW_LARGE large buckets go on.
     So a bucket of n near copies costs n comparisons of whole sets, one of n texts with a common header as many, and one with a rest of m in many large buckets costs m * ceil(m / BLOCK) rows more.
+    Buckets of the same texts are first merged by the components that all links so far make, so that the rest of a large group of near copies is what no link has reached, once and not once a band.
     Those rows carry halves of signatures; sets follow only to the groups in which a member has a pair that its signature doesn't rule out and that shares no band before.
     """
     crowded = materialize(members.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > FEW_LARGE).select("node", F.lit(True).alias("crowded")), "crowded")
@@ -297,22 +332,22 @@ def large_bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     judged = materialize(compared_with_one(pairs, percent), "judged")
     state = placed.join(judged, ["node", "rep"], "left").select("bucket", "band", "node", F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("near", F.lit(True)).alias("near"))
     state = materialize(state.join(_few(crowded), "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))), "state")
-    rest = state.filter("NOT linked")
-    sizes = rest.groupBy("bucket").agg(F.count_if("crowded").alias("n_rest"), F.count_if("near").alias("n_near"))
-    sizes = materialize(sizes.join(state.filter("linked").groupBy("bucket").agg(F.count("*").alias("n_linked")), "bucket"), "sizes")
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    own_links = judged.filter("linked").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    roots = materialize(components(links.unionByName(own_links)), "roots_so_far")
+    state = materialize(merged_buckets(state, roots), "state")
+    sizes = materialize(_sizes(state), "sizes")
+    own = lambda c: F.pmod(F.xxhash64("node"), _blocks(c)).cast("int")
     sized = state.join(_few(sizes), "bucket")
-    apart = sized.filter("NOT linked AND crowded AND n_rest > 1").select("bucket", "band", "node", own("n_rest").alias("own"), F.explode(F.sequence(F.lit(0), blocks("n_rest") - 1)).alias("other"))
+    apart = sized.filter("NOT linked AND crowded AND n_rest > 1").select("bucket", "band", "node", own("n_rest").alias("own"), F.explode(F.sequence(F.lit(0), _blocks("n_rest") - 1)).alias("other"))
     among = apart.select("bucket", "band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     # rest against connected: blocks of the rest are numbered below 0
-    left = sized.filter("NOT linked AND near").select("bucket", "band", "node", (-1 - own("n_near")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("n_linked") - 1)).alias("j"), F.lit(0).alias("side"))
-    right = sized.filter("linked AND n_near > 0").select("bucket", "band", "node", F.explode(F.sequence(F.lit(0), blocks("n_near") - 1)).alias("i"), own("n_linked").alias("j"), F.lit(1).alias("side"))
+    left = sized.filter("NOT linked AND near").select("bucket", "band", "node", (-1 - own("n_near")).alias("i"), F.explode(F.sequence(F.lit(0), _blocks("n_linked") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = sized.filter("linked AND n_near > 0").select("bucket", "band", "node", F.explode(F.sequence(F.lit(0), _blocks("n_near") - 1)).alias("i"), own("n_linked").alias("j"), F.lit(1).alias("side"))
     across = left.unionByName(right.withColumn("i", -1 - F.col("i")))
-    own_links = judged.filter("linked").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     blocks_of = materialize(among.unionByName(across), "blocks")
     likely = materialize(likely_members(sets.select("node", "half").join(_few(blocks_of), "node"), percent), "in_blocks")
-    return own_links.unionByName(verified_blocks(sets.select("node", "sig", "shingles").join(_few(likely), "node"), percent))
+    found = verified_blocks(sets.select("node", "sig", "shingles").join(_few(likely), "node"), percent)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,7 +403,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").filter("u < v").select("u", "v").distinct()
     links, large = verified_pairs(materialize(pairs, "pairs"), sets, percent), members.filter(F.col("n") > SMALL).select("bucket", "band", "node")
     if not large.isEmpty():
-        links = links.unionByName(large_bucket_links(large, sets, percent))
+        links = large_bucket_links(large, sets, links, percent)
     roots = materialize(components(links), "roots")
     # blank texts share a node but link with nothing; a text that stands once and links with nothing is its own group and takes no part in a join
     words = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
