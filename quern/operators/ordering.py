@@ -16,6 +16,8 @@ from quern.scratch import materialize
 ROWS_A_RANGE, ROWS_A_CELL = 1_000_000, 1_000_000
 #: Cells of the sketch.
 LEAST_CELLS, MOST_CELLS = 64, 10_000
+#: Leading hexadecimal digits of a digest that name a cell of rows.
+DIGITS = 3
 #: Rows of a table of ids, names and numbers that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,6 +76,36 @@ def ranks_within(df: DataFrame, by: list[str], order: list, name: str) -> DataFr
     return j.withColumn(name, F.col("_all") - F.col("_first") + 1).select(*df.columns, name)
 
 
+def _bordered(df: DataFrame, by: list[str], digest: str, take: Column) -> DataFrame:
+    """df with _cell, the first digits of its digest, and of its group _border, the cell in which the place `take` (of _n, the group's count) in order of the digest lies, and _in, the places of that cell up to it. Cells are counted; no row is moved."""
+    names = [f"_g{k}" for k in range(len(by))]
+    d = df.withColumn("_cell", F.substring(digest, 1, DIGITS))
+    whole = Window.partitionBy(*by)
+    counts = materialize(d.groupBy(*by, "_cell").agg(F.count("*").alias("_c")), "digits")
+    counts = counts.select("*", F.sum("_c").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_c").over(whole).alias("_n")).withColumn("_take", take)  # a row a cell
+    border = counts.filter("_upto - _c < _take AND _take <= _upto").select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_cell").alias("_border"), (F.col("_take") - F.col("_upto") + F.col("_c")).alias("_in"))
+    border = grouped_few(border)
+    return d.join(border, same(d, border, by, names), "left")
+
+
+def among_first(df: DataFrame, by: list[str], digest: str, order: list[str], take: Column, name: str) -> DataFrame:
+    """df with `name`, whether a row is among the first `take` (of _n, the group's count) of its group in order of a hexadecimal digest and then `order`. Only rows of the cell in which the last of them lies are sorted."""
+    d = _bordered(df, by, digest, take)
+    at = F.coalesce(F.col("_cell") == F.col("_border"), F.lit(False))
+    sure = d.filter(~at).withColumn(name, F.coalesce(F.col("_cell") < F.col("_border"), F.lit(False)))
+    near = ranks_within(materialize(d.filter(at).select(*df.columns, "_in"), "at_border"), by, [digest, *order], "_place").withColumn(name, F.col("_place") <= F.col("_in"))
+    return sure.select(*df.columns, name).unionByName(near.select(*df.columns, name))
+
+
+def first_places(df: DataFrame, by: list[str], digest: str, order: list[str], most: int, name: str) -> DataFrame:
+    """df with its place from 1 within its group in order of a hexadecimal digest and then `order`, at least where that is `most` or lower; null for rows of cells beyond, which aren't sorted."""
+    d = _bordered(df, by, digest, F.least(F.lit(most), F.col("_n")))
+    low = F.coalesce(F.col("_cell") <= F.col("_border"), F.lit(False))
+    near = materialize(d.filter(low).select(*df.columns), "first")
+    near = ranks_within(near, by, [digest, *order], name) if by else ranks(near, [digest, *order], name)
+    return near.unionByName(d.filter(~low).select(*df.columns, F.lit(None).cast("long").alias(name)))
+
+
 def running_sums(df: DataFrame, by: list[str], order: list, amount: str, name: str) -> DataFrame:
     """df with the sum of `amount` over the rows of its group up to it in `order`."""
     t = in_ranges(df, [*by, *order])

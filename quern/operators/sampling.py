@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.ordering import few, grouped_few, ranks, ranks_within, same
+from quern.operators.ordering import among_first, few, ranks, ranks_within
 from quern.operators.rows import hashed
 from quern.scratch import materialize
 
@@ -17,10 +17,9 @@ def validation_split(df: DataFrame, by: list[str], key: Column, ratio: float, se
     """df with split val or train: in each group max(1, int(n * ratio)) rows, n - 1 at most, go to val; none for a ratio of 0 or less."""
     if ratio <= 0:
         return df.withColumn("split", F.lit("train"))
-    ranked = ranks_within(df.withColumn("_h", hashed(seed, key)).withColumn("_k", key), by, ["_h", "_k"], "_rank")
-    n = grouped_few(ranked.groupBy(*by).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_n"))
     take = F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)), F.col("_n") - 1)
-    return ranked.join(n, same(ranked, n, by, [f"_g{k}" for k in range(len(by))])).drop(*[f"_g{k}" for k in range(len(by))]).withColumn("split", F.when(F.col("_rank") <= take, "val").otherwise("train")).drop("_h", "_k", "_rank", "_n")
+    held = among_first(df.withColumn("_h", hashed(seed, key)).withColumn("_k", key), by, "_h", ["_k"], take, "_held")
+    return held.withColumn("split", F.when(F.col("_held"), "val").otherwise("train")).drop("_h", "_k", "_held")
 
 
 def two_step_split(df: DataFrame, key: str, test: float = 0.1, dev: float = 0.1, seed: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.ordering import few, ranks, ranks_within
+from quern.operators.ordering import few, first_places, ranks, ranks_within
 from quern.operators.rows import hashed
 from quern.operators.sampling import shuffled_pairs, validation_split
 from quern.scratch import materialize
@@ -43,15 +43,19 @@ def _spec(conditions: list[tuple[str, str, int, int]]) -> Column:
 
 def assign(random: DataFrame, structured: DataFrame, key: str, module: str, conditions: list[tuple[str, str, int, int]] | None = None, validation: float = 0.1, seed: int = 1) -> DataFrame:
     """(experiment, condition, pool, key, split) of both pools. A random row is in the conditions whose size its rank reaches; a structured one where its rank within its module is within the module's share."""
-    spec = _spec(families() if conditions is None else conditions)
-    r = ranks(random.select(key).withColumn("_h", hashed(seed, F.col(key))), ["_h", key], "_rank")
-    of_random = r.select(key, F.lit("random").alias("pool"), F.explode(F.filter(spec, lambda c: F.col("_rank") <= c["r"])).alias("c"))
-    s = ranks_within(structured.select(key, module).withColumn("_h", hashed(seed, F.col(key))), [module], ["_h", key], "_rank")
+    conditions = families() if conditions is None else conditions
+    spec, most = _spec(conditions), [max((c[k] for c in conditions if c[k] != ALL), default=0) for k in (2, 3)]
+    of_all = lambda k: _spec([c for c in conditions if c[k] == ALL]) if any(c[k] == ALL for c in conditions) else F.slice(spec, 1, 0)
+    # most rows are beyond all sizes and in whole pools alone; no test of each condition is made for them
+    held_by = lambda k, test: F.explode(F.when(F.col("_rank").isNull(), of_all(k)).otherwise(F.filter(spec, test))).alias("c")
+    r = first_places(random.select(key).withColumn("_h", hashed(seed, F.col(key))), [], "_h", [key], most[0], "_rank")
+    of_random = r.select(key, F.lit("random").alias("pool"), held_by(2, lambda c: F.col("_rank") <= c["r"]))
+    s = first_places(structured.select(key, module).withColumn("_h", hashed(seed, F.col(key))), [module], "_h", [key], max(1, most[1]), "_rank")
     names = materialize(ranks(structured.select(F.col(module).alias("_m")).distinct(), ["_m"], "_o"), "modules")
     s = s.join(few(names), F.col(module).eqNullSafe(F.col("_m"))).withColumn("_strata", F.lit(names.count()))
     share = lambda c: F.greatest(F.lit(1).cast("long"), F.floor(c["s"] / F.col("_strata")))
     held = lambda c: (c["s"] == ALL) | ((F.col("_rank") <= share(c)) & (F.col("_o") <= c["s"]))
-    of_structured = s.select(key, F.lit("structured").alias("pool"), F.explode(F.filter(spec, held)).alias("c"))
+    of_structured = s.select(key, F.lit("structured").alias("pool"), held_by(3, held))
     rows = of_random.unionByName(of_structured).select("c.experiment", "c.condition", "pool", key)
     return validation_split(rows, ["experiment", "condition"], F.concat_ws("|", "pool", F.col(key).cast("string")), validation, seed)
 
