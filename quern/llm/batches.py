@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 BATCH_BYTES = 2 << 20
+#: Bytes of text after which a task returns what it has freed.
+GIVE_BACK_BYTES = 16 << 20
 
 _held: dict = {}
 
@@ -48,12 +50,18 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> It
 
 
 def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, limit: int = BATCH_BYTES) -> DataFrame:
-    """Apply make()(slice) to slices of bounded text bytes. make runs once a task, where it may load a tokenizer or a model."""
+    """Apply make()(slice) to slices of bounded text bytes. make runs once a task, where it may load a tokenizer or a model. Freed memory is returned on the way and at the task's end, as idle workers stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work, done = make(), 0
         for batch in batches:
             for part in by_bytes(batch, column, limit):
                 yield work(part)
+                done += part.nbytes
+                if done >= GIVE_BACK_BYTES:
+                    done = 0
+                    give_back()
+            batch = part = None  # before the next one is read
+        give_back()
 
     return df.mapInArrow(run, schema)
