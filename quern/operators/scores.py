@@ -99,16 +99,77 @@ def _chrf_of(counts: list[int], words: int, beta: float = 2.0) -> float:
     return (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
 
 
+#: Characters of pairs that are counted together, about.
+COUNTED_TOGETHER = 1 << 17
+
+
+def _chrf_slices(pairs: list[tuple[str, str]]) -> list[list[int]]:
+    """_chrf_counts of each pair, many pairs at a time."""
+    out, start, size = [], 0, 0
+    for k, (h, r) in enumerate(pairs):
+        size += len(h) + len(r)
+        if size > COUNTED_TOGETHER or k + 1 == len(pairs):
+            out += _chrf_together(pairs[start : k + 1])
+            start, size = k + 1, 0
+    return out
+
+
+def _chrf_together(pairs: list[tuple[str, str]]) -> list[list[int]]:
+    """_chrf_counts of each pair. Texts follow each other, candidates first in each pair."""
+    texts = [t for pair in pairs for t in pair]
+    chars = ["".join(t.split()) for t in texts]
+    codes = np.frombuffer("".join(chars).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    words = [_apart(t) for t in texts]
+    ids: dict[str, int] = {}
+    flat = np.array([ids.setdefault(w, len(ids)) for ws in words for w in ws], dtype=np.int64)
+    parts = [_gram_counts(x, np.array([len(t) for t in own], dtype=np.int64), order) for x, own, order in ((codes, chars, CHAR_ORDER), (flat, words, WORD_ORDER))]
+    return np.concatenate(parts, axis=1).tolist()
+
+
+def _gram_counts(items: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
+    """For each pair of texts: grams of the first, of the second and of both, each as often as the rarer side has it, for 1 to `order` items. sizes: items of each text, two texts a pair.
+
+    A gram is the rank of the gram one shorter and the item behind it; numbers that outgrow 62 bits are ranked anew, so grams are told apart exactly whatever the items are.
+    """
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes) // 2, 3 * order), dtype=np.int64)
+    first = np.unique(items, return_inverse=True)[1] if len(items) else items
+    kinds, grams, at = int(first.max(initial=0)) + 1, first, np.arange(len(items))
+    width, most = kinds, 2**61 // max(1, len(sizes))  # grams are below width; with a pair's number in front they fit 62 bits
+    for n in range(order):
+        out[:, 3 * n], out[:, 3 * n + 1] = (np.maximum(sizes[side::2] - n, 0) for side in (0, 1))
+        if n:
+            if width * kinds > most:
+                grams = np.unique(grams, return_inverse=True)[1]
+                width = int(grams.max(initial=0)) + 1
+            goes_on = at + n < len(items)
+            goes_on[goes_on] = text[at[goes_on]] == text[at[goes_on] + n]
+            at, grams, width = at[goes_on], grams[goes_on] * kinds + first[at[goes_on] + n], width * kinds
+        if not len(at):
+            continue
+        s = np.sort(((text[at] >> 1) * width + grams) * 2 + (text[at] & 1))  # grams of a pair stand together
+        start = np.flatnonzero(np.r_[True, s[1:] >> 1 != s[:-1] >> 1])
+        second = np.add.reduceat(s & 1, start)
+        both = np.minimum(second, np.diff(np.r_[start, len(s)]) - second)
+        out[:, 3 * n + 2] = np.bincount((s[start] >> 1) // width, weights=both, minlength=len(out))
+    return out
+
+
 @F.pandas_udf(StructType([StructField("c", _COUNTS), StructField("p", _COUNTS)]))
 def chrf_counts(hyp: pd.Series, refs: pd.Series) -> pd.DataFrame:
     """Candidates, references and matches of 1 to 6 characters (white space left out), then of 1 and 2 words, against that reference which gives the highest chrF (c) and chrF++ (p), the first of equal ones. Grams of a text are counted once."""
 
-    def one(h, rs):
-        mine = _chrf_grams(h or "")
-        each = [_chrf_counts(mine, _chrf_grams(r or "")) for r in (rs if rs is not None and len(rs) else [""])]
-        return (each[0], each[0]) if len(each) == 1 else tuple(max(each, key=lambda c: _chrf_of(c, k)) for k in (0, WORD_ORDER))
-
-    return pd.DataFrame([one(*x) for x in zip(hyp, refs)], columns=["c", "p"])
+    many = [k for k, rs in enumerate(refs) if rs is not None and len(rs) > 1]
+    single = [k for k, rs in enumerate(refs) if rs is None or len(rs) < 2]
+    out = [None] * len(refs)
+    for k in many:
+        mine = _chrf_grams(hyp.iloc[k] or "")
+        each = [_chrf_counts(mine, _chrf_grams(r or "")) for r in refs.iloc[k]]
+        out[k] = tuple(max(each, key=lambda c: _chrf_of(c, w)) for w in (0, WORD_ORDER))
+    texts = [(hyp.iloc[k] or "", (refs.iloc[k][0] if refs.iloc[k] is not None and len(refs.iloc[k]) else None) or "") for k in single]
+    for k, c in zip(single, _chrf_slices(texts)):
+        out[k] = (c, c)
+    return pd.DataFrame(out, columns=["c", "p"])
 
 
 def bleu_score(c: Column, effective: bool = False) -> Column:
