@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quern.memory import give_back
+
 BATCH_BYTES = 2 << 20
 #: Bytes of text after which a task returns what it has freed.
 GIVE_BACK_BYTES = 16 << 20
@@ -18,16 +18,6 @@ GIVE_BACK_BYTES = 16 << 20
 _held: dict = {}
 
 
-def give_back() -> None:
-    """Return freed memory to the system. Worker processes live through all stages, and the C library keeps what the stages before have freed."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # no such call in this C library
-        pass
-
-
 def held(key: object, make: Callable):
     """make()'s result, kept for the next tasks of this worker process until another key is asked for: one operator's memory at a time."""
     if key not in _held:
