@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.batches import map_texts
-from quern.llm.vocabularies import vocabulary_path, word_bpe_ids, word_chunks
+from quern.llm.vocabularies import MEMO_CHUNKS, vocabulary_path, word_bpe_ids, word_chunks
 from quern.scratch import materialize
 
 CAPACITY, END_ID = 4096, 1
@@ -23,18 +23,18 @@ RANKED_TOGETHER = 100_000
 RANKS_TOGETHER = 64
 
 
-def tokenized_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
     """Pieces of at most `capacity` tokens of each row: id, piece, start, length, ids_crc32, with keep_ids also ids (little-endian unsigned 32-bit bytes).
 
     A document is its tokens and then END_ID, so null and empty texts are one piece of one token.
     Only longer documents are cut, into pieces of `capacity`; the last may be shorter.
-    Repeated rows give their pieces again. Other columns of docs are ignored.
+    Repeated rows give their pieces again. Other columns of docs are ignored. With fewer memo_chunks a process holds less and encodes more chunks again; the rows are the same.
     """
     path = path or vocabulary_path("word_bpe_49k.json")
     end, step = END_ID.to_bytes(4, "little"), 4 * capacity
 
     def make():
-        memo = word_bpe_ids(path)
+        memo = word_bpe_ids(path, memo_chunks)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             chunks = [word_chunks(t) if t else [] for t in batch.column("text").to_pylist()]
@@ -156,6 +156,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     )
 
 
-def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
     """Tokenise, write the pieces' lengths to the shared folder, and pack. See tokenized_pieces and pack."""
-    return pack(materialize(tokenized_pieces(docs, path, capacity, id_col, text_col), "pieces"), capacity, id_col)
+    return pack(materialize(tokenized_pieces(docs, path, capacity, id_col, text_col, memo_chunks=memo_chunks), "pieces"), capacity, id_col)

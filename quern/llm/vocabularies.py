@@ -138,12 +138,12 @@ def safe_word_vocabulary(path: str) -> bool:
 _MARK = "|"
 
 
-def word_bpe_ids(path: str) -> ChunkMemo:
-    """Ids of a chunk as little-endian unsigned 32-bit bytes. Chunks are encoded together, with a mark between them at which the ids are cut again."""
-    return held(("word_bpe_ids", path), lambda: _word_bpe_memo(path))
+def word_bpe_ids(path: str, chunks: int = MEMO_CHUNKS) -> ChunkMemo:
+    """Ids of a chunk as little-endian unsigned 32-bit bytes. Chunks are encoded together, with a mark between them at which the ids are cut again. chunks: how many a generation remembers, of some 200 bytes."""
+    return held(("word_bpe_ids", path, chunks), lambda: _word_bpe_memo(path, chunks))
 
 
-def _word_bpe_memo(path: str) -> ChunkMemo:
+def _word_bpe_memo(path: str, chunks: int) -> ChunkMemo:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -168,4 +168,4 @@ def _word_bpe_memo(path: str) -> ChunkMemo:
                 return [parts[c] for c in chunks]
         return [x.tobytes() for x in ids_of(chunks)]
 
-    return ChunkMemo(encode)
+    return ChunkMemo(encode, chunks)
