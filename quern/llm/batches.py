@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from quern.memory import give_back
 
 BATCH_BYTES = 2 << 20
+#: The same where a slice's words and their arrays take many times its bytes.
+SMALL_BYTES = 1 << 19
 #: Bytes of text after which a task returns what it has freed.
 GIVE_BACK_BYTES = 16 << 20
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.batches import held, map_texts
+from quern.llm.batches import SMALL_BYTES, held, map_texts
 from quern.llm.components import components
 from quern.scratch import materialize
 
@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    rows = materialize(map_texts(texts, "text", make_keys, f"id {kind}, node binary, n_shingles long, bands array<long>"), "keys")
+    rows = materialize(map_texts(texts, "text", make_keys, f"id {kind}, node binary, n_shingles long, bands array<long>", SMALL_BYTES), "keys")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     banded = nodes.select("node", "rep", F.posexplode("bands").alias("band", "bucket"))
     shared = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     n_wanted = wanted.count()
     few = n_wanted <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ids) if few else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = materialize(map_texts(chosen.select("text"), "text", make_sets, "node binary, sig binary, half binary, shingles binary"), "sets")
+    sets = materialize(map_texts(chosen.select("text"), "text", make_sets, "node binary, sig binary, half binary, shingles binary", SMALL_BYTES), "sets")
     if sets.count() > n_wanted:  # every wanted node is there; only repeated ids bring others or bring one twice, else no set is sent anywhere to find that out
         sets = materialize(sets.join(_few(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "distinct_sets")
 

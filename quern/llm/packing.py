@@ -139,7 +139,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
             used[length] += bins * copies
             offset += length * copies
         first += bins
-    plan = spark.createDataFrame(rows, "length long, from_rank long, to_rank long, copies long, first_sequence long, first_offset long")
+    names = ["length", "from_rank", "to_rank", "copies", "first_sequence", "first_offset"]
+    plan = spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}))  # from Python rows it would start processes of its own on the executors
     ids = [id_col, "piece", "ids_crc32"]
     bucket = lambda x: F.floor(x / RANKS_TOGETHER).cast("long")
     plan = plan.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("from_rank")), bucket(F.col("to_rank") - 1))))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.batches import map_texts
+from quern.llm.batches import SMALL_BYTES, map_texts
 from quern.llm.vocabularies import byte_pieces, piece_chunks, piece_ids, vocabulary_path
 from quern.scratch import materialize
 
@@ -123,7 +123,7 @@ def text_measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     cols = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *keep)
     kind = lambda c: cols.schema[c].dataType.simpleString()
     own = "".join(f", `{c}` {kind(c)}" for c in keep)
-    return map_texts(cols, "text", make, f"id {kind('id')}, lang string{own}, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double").withColumnRenamed("id", id_col)
+    return map_texts(cols, "text", make, f"id {kind('id')}, lang string{own}, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double", SMALL_BYTES).withColumnRenamed("id", id_col)
 
 
 def fertility_bands(measures: DataFrame, quantile: float = BAND_QUANTILE, width: float = BAND_WIDTH, min_group: int = MIN_GROUP) -> DataFrame:

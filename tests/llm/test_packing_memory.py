@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark import SparkContext
+
 import corpus_pipeline
-from quern.llm import packing
+from quern.llm import batches, minhash, packing, quality
 from quern.llm.vocabularies import vocabulary_path, word_bpe_ids
 
 TEXTS = [" ".join(f"w{n}x{n * 7919 % 1000003}" for n in range(a, a + 400)) for a in range(0, 8000, 200)]
@@ -30,3 +33,20 @@ def test_pipeline_packs_with_its_own(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     assert corpus_pipeline.best_fit_packing(spark, docs, "").count() == 2
     assert asked == [corpus_pipeline.PACKING_CHUNKS]
+
+
+def test_plan_starts_no_python_processes(spark, monkeypatch):
+    """Rows that Python hands over one by one pass through worker processes of another kind, which stay beside the others."""
+    pieces = packing.tokenized_pieces(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"))
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a: pytest.fail("rows sent by Python"))
+    assert packing.pack(pieces).count() == 2
+    assert packing.pack(pieces.filter("doc_id > 2")).count() == 0
+
+
+@pytest.mark.parametrize("of", (quality, minhash))
+def test_small_slices(spark, monkeypatch, of):
+    limits = []
+    monkeypatch.setattr(of, "map_texts", lambda *a, f=batches.map_texts: limits.append(a[4:]) or f(*a))
+    docs = spark.createDataFrame([(1, "a b c d e f", "en"), (2, "a b c d e f", "en")], "doc_id long, text string, lang string")
+    (quality.text_measures(docs) if of is quality else minhash.near_duplicates(docs.select("doc_id", "text"), 5, 80)).count()
+    assert limits and set(limits) == {(batches.SMALL_BYTES,)}
